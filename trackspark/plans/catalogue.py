@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import series  # noqa: F401
+from . import pose, series  # noqa: F401
 from .registry import IDS, ORACLES, QUERIES  # noqa: F401
