@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from .chunk import scan, windowed
 
 
-def bout_frames(bouts: DataFrame, closed: bool = False, extra=()) -> DataFrame:
+def bout_frames(bouts: DataFrame, closed: bool = False, extra=(), keys=("track_id",)) -> DataFrame:
     """One row per frame of every half-open bout (closed: the stop frame too)."""
     last = F.col("stop") if closed else F.col("stop") - 1
     return bouts.where(last >= F.col("start")).select(
-        "track_id", *extra, F.explode(F.sequence(F.col("start"), last)).alias("frame"))
+        *keys, *extra, F.explode(F.sequence(F.col("start"), last)).alias("frame"))
 
 
-def label_frames(frames: DataFrame, bouts: DataFrame, out: str = "manual", crop0: int = 0, drop_last: int = 0) -> DataFrame:
+def label_frames(frames: DataFrame, bouts: DataFrame, out: str = "manual", crop0: int = 0, drop_last: int = 0, keys=("track_id",)) -> DataFrame:
     """Dense 0/1 per frame: inside any bout. Frames before ``crop0`` and the last ``drop_last`` are removed."""
-    inside = bout_frames(bouts).distinct().withColumn("_in", F.lit(1).cast("long"))
-    out_df = frames.join(inside, ["track_id", "frame"], "left").withColumn(out, F.coalesce("_in", F.lit(0).cast("long"))).drop("_in")
+    inside = bout_frames(bouts, keys=keys).distinct().withColumn("_in", F.lit(1).cast("long"))
+    out_df = frames.join(inside, [*keys, "frame"], "left").withColumn(out, F.coalesce("_in", F.lit(0).cast("long"))).drop("_in")
     if drop_last:
-        out_df = windowed(out_df, lambda w: {"_keep": F.lead(F.lit(1), drop_last).over(w).isNotNull()}, after=drop_last)
+        out_df = windowed(out_df, lambda w: {"_keep": F.lead(F.lit(1), drop_last).over(w).isNotNull()}, after=drop_last, keys=keys)
         out_df = out_df.where("_keep").drop("_keep")
     return out_df.where(F.col("frame") >= crop0) if crop0 else out_df
 
@@ -50,15 +50,18 @@ def runs(df: DataFrame, value: str, keys=("track_id",), size: int | None = None)
             .select(*keys, value, F.col("frame").alias("start"), "stop", (F.col("stop") - F.col("frame") + 1).alias("length")))
 
 
-def wide_bouts(df: DataFrame, binary: str, width: int = 30, least: int = 10, **kw) -> DataFrame:
-    """Runs of 1 that span more than ``width`` and ``least`` frames, as [start, last index)."""
-    r = runs(df, binary, **kw).where(F.col(binary) == 1)
-    return r.where((F.col("stop") > F.col("start") + least) & (F.col("stop") - F.col("start") > width)).select("track_id", "start", "stop")
+def wide_bouts(df: DataFrame, binary: str, width=30, least: int = 10, keys=("track_id",), carry=(), **kw) -> DataFrame:
+    """Runs of 1 that span more than ``width`` and ``least`` frames, as [start, last index).
 
+    ``width`` may be a column; columns named in ``carry`` are constant per key and kept for it.
+    """
+    r = runs(df, binary, keys=(*keys, *carry), **kw).where(F.col(binary) == 1)
+    return r.where((F.col("stop") > F.col("start") + least) & (F.col("stop") - F.col("start") > width)).select(*keys, "start", "stop")
 
-def width_filter(df: DataFrame, binary: str, width: int = 30, least: int = 10, out: str = "kept", **kw) -> DataFrame:
+
+def width_filter(df: DataFrame, binary: str, width=30, least: int = 10, out: str = "kept", keys=("track_id",), carry=(), **kw) -> DataFrame:
     """Keep only wide runs of 1; the last frame of a kept run becomes 0."""
-    return label_frames(df, wide_bouts(df, binary, width, least, **kw), out)
+    return label_frames(df, wide_bouts(df, binary, width, least, keys, carry, **kw), out, keys=keys)
 
 
 def run_positions(df: DataFrame, valid: Column, start_at: int = 1, keys=("track_id",), **kw) -> DataFrame:
