@@ -18,6 +18,15 @@ from pyspark.sql import functions as F
 CHUNK_FRAMES = 16384
 
 
+def computed(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
+    """Add columns that are evaluated once per row.
+
+    A plain projection may be merged into the expressions that use it, which repeats array work inside their loops.
+    """
+    keep = [c for c in df.columns if c not in cols]
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
 def chunk_size(size: int | None = None) -> int:
     return size or CHUNK_FRAMES
 

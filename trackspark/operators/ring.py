@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .chunk import computed
+
 
 def _at(pts: str, i: str) -> str:
     return f"{pts}[cast(pmod({i}, size({pts})) as int)]"
@@ -97,8 +99,8 @@ def suppress_far(scores: str, dists: str, threshold: str, value: float = 0.1) ->
 
 def circular_mean(values: str, width: int | str) -> Column:
     """Mean of the 2*width+1 values around each position, over the seam."""
-    return F.expr(f"""transform({values}, (v, i) -> aggregate(sequence(-({width}), {width}), 0D,
-        (s, j) -> s + {_at(values, 'i + j')}) / (2 * ({width}) + 1))""")
+    return F.expr(f"""transform({values}, (val_, pos_) -> aggregate(sequence(-({width}), {width}), 0D,
+        (acc_, off_) -> acc_ + {_at(values, 'pos_ + off_')}) / (2 * ({width}) + 1))""")
 
 
 def top_scores(scores: str, k: int) -> Column:
@@ -130,7 +132,7 @@ def tail_shape(df: DataFrame, pts: str = "pts", head: str = "head_idx", tail: st
     """tail_angle between the head and tail midlines and tail_dev, the tail's distance to the head midline."""
     from ..functions.geom import line_distance, vector_angle
 
-    d = df.withColumns({"_h1": point_at(pts, head), "_h2": midline(pts, head, step), "_t1": point_at(pts, tail), "_t2": midline(pts, tail, step)})
+    d = computed(df, {"_h1": point_at(pts, head), "_h2": midline(pts, head, step), "_t1": point_at(pts, tail), "_t2": midline(pts, tail, step)})
     c = lambda n: (F.col(f"{n}.x"), F.col(f"{n}.y"))
     (hx, hy), (mx, my), (tx, ty), (ux, uy) = c("_h1"), c("_h2"), c("_t1"), c("_t2")
     return d.withColumns({
@@ -154,23 +156,23 @@ def merge_short_runs(df: DataFrame, runs: str, out: str, n_pts: str, shortest: i
     before it. The result is array<struct<v, len>> from position 0; null when no run is long.
     """
     seam = f"(size({runs}) > 1 AND {runs}[0].v = {runs}[size({runs}) - 1].v)"
-    d = df.withColumn("_cut", F.expr(f"CASE WHEN {seam} THEN {runs}[size({runs}) - 1].len ELSE 0 END"))
+    d = computed(df, {"_cut": F.expr(f"CASE WHEN {seam} THEN {runs}[size({runs}) - 1].len ELSE 0 END")})
     # positions are counted from the start of the seam run
-    d = d.withColumn("_turned", F.expr(f"""transform(slice({runs}, 1, size({runs}) - CASE WHEN {seam} THEN 1 ELSE 0 END),
-        (r, k) -> named_struct('v', r.v, 'at', CASE WHEN k = 0 THEN 0 ELSE r.at + _cut END, 'len', r.len + CASE WHEN k = 0 THEN _cut ELSE 0 END))"""))
-    d = d.withColumn("_long", F.expr(f"filter(_turned, r -> r.len >= {shortest})"))
-    d = d.withColumn("_heads", F.expr("filter(_long, (r, k) -> k = 0 OR r.v <> _long[greatest(k - 1, 0)].v)"))
-    d = d.withColumn("_segs", F.expr(f"""transform(_heads, (h, k) -> named_struct('v', h.v, 'len',
-        CASE WHEN k + 1 < size(_heads) THEN _heads[least(k + 1, size(_heads) - 1)].at ELSE {n_pts} END - CASE WHEN k = 0 THEN 0 ELSE h.at END))"""))
+    d = computed(d, {"_turned": F.expr(f"""transform(slice({runs}, 1, size({runs}) - CASE WHEN {seam} THEN 1 ELSE 0 END),
+        (r, k) -> named_struct('v', r.v, 'at', CASE WHEN k = 0 THEN 0 ELSE r.at + _cut END, 'len', r.len + CASE WHEN k = 0 THEN _cut ELSE 0 END))""")})
+    d = computed(d, {"_long": F.expr(f"filter(_turned, r -> r.len >= {shortest})")})
+    d = computed(d, {"_heads": F.expr("filter(_long, (r, k) -> k = 0 OR r.v <> _long[greatest(k - 1, 0)].v)")})
+    d = computed(d, {"_segs": F.expr(f"""transform(_heads, (h, k) -> named_struct('v', h.v, 'len',
+        CASE WHEN k + 1 < size(_heads) THEN _heads[least(k + 1, size(_heads) - 1)].at ELSE {n_pts} END - CASE WHEN k = 0 THEN 0 ELSE h.at END))""")})
     last = "size(_segs) - 1"
-    d = d.withColumn("_segs", F.expr(f"""CASE WHEN size(_segs) = 0 THEN NULL WHEN _cut = 0 THEN _segs
+    d = computed(d, {"_segs": F.expr(f"""CASE WHEN size(_segs) = 0 THEN NULL WHEN _cut = 0 THEN _segs
         WHEN _segs[{last}].v <> _segs[0].v THEN concat(
             transform(_segs, (s, k) -> named_struct('v', s.v, 'len', s.len - CASE WHEN k = 0 THEN _cut ELSE 0 END)),
             array(named_struct('v', _segs[0].v, 'len', _cut)))
         ELSE transform(_segs, (s, k) -> named_struct('v', s.v, 'len',
-            s.len - CASE WHEN k = 0 THEN _cut ELSE 0 END + CASE WHEN k = {last} THEN _cut ELSE 0 END)) END"""))
+            s.len - CASE WHEN k = 0 THEN _cut ELSE 0 END + CASE WHEN k = {last} THEN _cut ELSE 0 END)) END""")})
     # a single long run is not a segmentation
-    return d.withColumn(out, F.expr(f"CASE WHEN size({runs}) > 1 THEN _segs END")).drop("_cut", "_turned", "_long", "_heads", "_segs")
+    return computed(d, {out: F.expr(f"CASE WHEN size({runs}) > 1 THEN _segs END")}).drop("_cut", "_turned", "_long", "_heads", "_segs")
 
 
 def anchors_by_runs(df: DataFrame, runs: str, n_pts: str, shortest: int = 100) -> DataFrame:
@@ -181,18 +183,18 @@ def anchors_by_runs(df: DataFrame, runs: str, n_pts: str, shortest: int = 100) -
     """
     last = f"size({runs}) - 1"
     ends = f"({runs}[0].len + {runs}[{last}].len > {shortest})"
-    d = df.withColumn("_eff", F.expr(f"""transform({runs}, (r, k) -> named_struct('at', r.at, 'v',
-        CASE WHEN k = 0 THEN r.v OR NOT {ends} WHEN r.len < {shortest} THEN true ELSE r.v END))"""))
+    d = computed(df, {"_eff": F.expr(f"""transform({runs}, (r, k) -> named_struct('at', r.at, 'v',
+        CASE WHEN k = 0 THEN r.v OR NOT {ends} WHEN r.len < {shortest} THEN true ELSE r.v END))""")})
     inner = f"slice(_eff, 1, {last})"
     starts = f"""concat(filter({inner}, (r, k) -> k = 0 OR r.v <> _eff[greatest(k - 1, 0)].v),
         CASE WHEN {ends} THEN array(_eff[{last}]) ELSE slice(_eff, 1, 0) END)"""
-    d = d.withColumn("_s", F.expr(f"CASE WHEN size({runs}) > 1 THEN {starts} END"))
+    d = computed(d, {"_s": F.expr(f"CASE WHEN size({runs}) > 1 THEN {starts} END")})
     ok = "size(_s) >= 4"
     end4 = f"least({n_pts} - 1, CASE WHEN size(_s) > 4 THEN _s[4].at ELSE {n_pts} END)"
     first = "_s[0].v"
     names = {"in1": f"CASE WHEN {first} THEN _s[2].at ELSE _s[1].at END", "out1": f"CASE WHEN {first} THEN _s[3].at ELSE _s[2].at END",
              "in2": f"CASE WHEN {first} THEN {end4} ELSE _s[3].at END", "out2": f"CASE WHEN {first} THEN _s[1].at ELSE {end4} END"}
-    return d.withColumns({n: F.expr(f"CASE WHEN {ok} THEN {e} END") for n, e in names.items()}).drop("_eff", "_s")
+    return computed(d, {n: F.expr(f"CASE WHEN {ok} THEN {e} END") for n, e in names.items()}).drop("_eff", "_s")
 
 
 def anchors_by_cooldown(df: DataFrame, flags: str, cooldown: int = 30) -> DataFrame:
@@ -208,11 +210,11 @@ def anchors_by_cooldown(df: DataFrame, flags: str, cooldown: int = 30) -> DataFr
             'since', CASE WHEN {flip} THEN 0 ELSE s.since + 1 END,
             'flips', CASE WHEN {flip} THEN concat(s.flips, array(named_struct('i', i, 'v', {flags}[i]))) ELSE s.flips END),
         s -> s.flips)"""
-    d = df.withColumn("_flips", F.expr(state))
-    d = d.withColumns({"_in": F.expr("filter(_flips, f -> f.v)"), "_out": F.expr("filter(_flips, f -> NOT f.v)")})
+    d = computed(df, {"_flips": F.expr(state)})
+    d = computed(d, {"_in": F.expr("filter(_flips, f -> f.v)"), "_out": F.expr("filter(_flips, f -> NOT f.v)")})
     first_out = "CASE WHEN size(_out) > 0 THEN _out[0].i ELSE -1 END"
     later_out = "CASE WHEN size(_out) > 1 THEN _out[size(_out) - 1].i ELSE -1 END"
-    return d.withColumns({
+    return computed(d, {
         "in1": F.expr("CASE WHEN size(_in) > 0 THEN _in[0].i ELSE -1 END"),
         "in2": F.expr("CASE WHEN size(_in) > 1 THEN _in[1].i ELSE -1 END"),
         "out1": F.expr(f"CASE WHEN {flags}[0] THEN {later_out} ELSE {first_out} END"),
@@ -228,32 +230,32 @@ def locate_ends(df: DataFrame, pts: str = "pts", head: str = "head_idx", q: floa
     tail_step = tail_step or f"cast({n} / 10 as int)"
     head_step = head_step or f"cast(cast({n} / 10 as int) * 1.5 as int)"
     blur = blur or f"cast({n} / 20 as int)"
-    d = df.withColumn("_center", centroid(pts)).withColumn("_d", distances(pts, "_center.x", "_center.y"))
-    d = d.withColumn("_thr", array_quantile("_d", q)).withColumn("_far", F.expr("transform(_d, v -> v > _thr)"))
-    d = merge_short_runs(d.withColumn("_runs", ring_runs("_far")), "_runs", "_seg", n, shortest)
+    d = computed(computed(df, {"_center": centroid(pts)}), {"_d": distances(pts, "_center.x", "_center.y")})
+    d = computed(computed(d, {"_thr": array_quantile("_d", q)}), {"_far": F.expr("transform(_d, dist_ -> dist_ > _thr)")})
+    d = merge_short_runs(computed(d, {"_runs": ring_runs("_far")}), "_runs", "_seg", n, shortest)
     ring = "(size(_seg) > 1 AND _seg[0].v = _seg[size(_seg) - 1].v)"
-    d = d.withColumn("_joined", F.expr(f"""transform(slice(_seg, 1, size(_seg) - CASE WHEN _seg[0].v = _seg[size(_seg) - 1].v THEN 1 ELSE 0 END), (s, k) ->
-        named_struct('v', s.v, 'k', k, 'len', s.len + CASE WHEN k = 0 AND {ring} THEN _seg[size(_seg) - 1].len ELSE 0 END))"""))
-    d = d.withColumn("_pick", F.expr("""slice(array_sort(transform(filter(_joined, s -> s.v),
-        s -> named_struct('rank', -s.len, 'k', s.k))), 1, 2)"""))
+    d = computed(d, {"_joined": F.expr(f"""transform(slice(_seg, 1, size(_seg) - CASE WHEN _seg[0].v = _seg[size(_seg) - 1].v THEN 1 ELSE 0 END), (s, k) ->
+        named_struct('v', s.v, 'k', k, 'len', s.len + CASE WHEN k = 0 AND {ring} THEN _seg[size(_seg) - 1].len ELSE 0 END))""")})
+    d = computed(d, {"_pick": F.expr("""slice(array_sort(transform(filter(_joined, s -> s.v),
+        s -> named_struct('rank', -s.len, 'k', s.k))), 1, 2)""")})
     upto = "aggregate(slice(_seg, 1, p.k), 0, (a, s) -> a + s.len)"
     head_of_last = f"pmod(aggregate(slice(_seg, 1, size(_seg) - 1), 0, (a, s) -> a + s.len), {n})"
     # segment 0 is taken to run over the seam
-    d = d.withColumn("_iv", F.expr(f"""transform(_pick, p -> named_struct(
+    d = computed(d, {"_iv": F.expr(f"""transform(_pick, p -> named_struct(
         's', CASE WHEN p.k = 0 THEN {head_of_last} ELSE {upto} END,
-        'e', CASE WHEN p.k = 0 THEN _seg[0].len ELSE {upto} + _seg[p.k].len END - 1))"""))
+        'e', CASE WHEN p.k = 0 THEN _seg[0].len ELSE {upto} + _seg[p.k].len END - 1))""")})
     holds = lambda i: f"({head} <= _iv[{i}].e AND {head} >= _iv[{i}].s) OR ({head} >= _iv[{i}].s AND _iv[{i}].s > _iv[{i}].e)"
     gap = lambda i: "least(" + ", ".join(f"pmod({a} - {b}, {n})" for a, b in (
         (head, f"_iv[{i}].s"), (head, f"_iv[{i}].e"), (f"_iv[{i}].s", head), (f"_iv[{i}].e", head))) + ")"
-    d = d.withColumn("_first", F.expr(f"""CASE WHEN size(_iv) < 2 THEN NULL WHEN {holds(0)} THEN true WHEN {holds(1)} THEN false
-        ELSE {gap(1)} >= {gap(0)} END"""))
-    d = d.withColumns({"_head": F.expr("CASE WHEN _first THEN _iv[0] WHEN NOT _first THEN _iv[1] END"),
+    d = computed(d, {"_first": F.expr(f"""CASE WHEN size(_iv) < 2 THEN NULL WHEN {holds(0)} THEN true WHEN {holds(1)} THEN false
+        ELSE {gap(1)} >= {gap(0)} END""")})
+    d = computed(d, {"_head": F.expr("CASE WHEN _first THEN _iv[0] WHEN NOT _first THEN _iv[1] END"),
                        "_tail": F.expr("CASE WHEN _first THEN _iv[1] WHEN NOT _first THEN _iv[0] END")})
     for name, step in (("tail", tail_step), ("head", head_step)):
-        d = d.withColumn("_score", cosine_scores(pts, step)).withColumn("_score", circular_mean("_score", blur))
+        d = computed(computed(d, {"_score": cosine_scores(pts, step)}), {"_score": circular_mean("_score", blur)})
         length = f"CASE WHEN _{name}.s <= _{name}.e THEN _{name}.e - _{name}.s + 1 ELSE {n} - _{name}.s + _{name}.e + 1 END"
-        d = d.withColumn(f"{name}_at", F.expr(f"""CASE WHEN _{name} IS NOT NULL THEN cast(pmod(_{name}.s - array_max(transform(
-            sequence(0, cast({length} as int) - 1), j -> named_struct('v', {_at('_score', f'_{name}.s + j')}, 'j', -j))).j, {n}) as int) END"""))
+        d = computed(d, {f"{name}_at": F.expr(f"""CASE WHEN _{name} IS NOT NULL THEN cast(pmod(_{name}.s - array_max(transform(
+            sequence(0, cast({length} as int) - 1), j -> named_struct('v', {_at('_score', f'_{name}.s + j')}, 'j', -j))).j, {n}) as int) END""")})
     return d.drop("_center", "_d", "_thr", "_far", "_runs", "_seg", "_joined", "_pick", "_iv", "_first", "_head", "_tail", "_score")
 
 

@@ -377,7 +377,7 @@ def _(spark, sf):
 
 @query("density_sorted", "A13 T4 T1", f"""WITH h AS (SELECT CAST(FLOOR(l_quantity / 5) AS BIGINT) AS bx, CAST(FLOOR(l_extendedprice / 10000) AS BIGINT) AS by, COUNT(*) AS n FROM lineitem GROUP BY 1, 2),
     t AS (SELECT * FROM (VALUES {_TAPS}) v(k, w)), s AS (SELECT SUM(w) AS s FROM t), g AS (SELECT h.bx + a.k AS bx, h.by + b.k AS by, SUM(h.n * a.w * b.w) / MAX(s.s * s.s) AS density FROM h, t a, t b, s GROUP BY 1, 2)
-    SELECT l_returnflag, COUNT(*) AS rows, AVG(density) AS mean, MAX(density) AS top FROM lineitem JOIN g ON bx = FLOOR(l_quantity / 5) AND by = FLOOR(l_extendedprice / 10000) GROUP BY 1 ORDER BY mean DESC""", "mean top")
+    SELECT l_returnflag, COUNT(*) AS rows, AVG(density) AS mean, MAX(density) AS top FROM lineitem JOIN g ON g.bx = FLOOR(l_quantity / 5) AND g."by" = FLOOR(l_extendedprice / 10000) GROUP BY 1 ORDER BY mean DESC""", "mean top")
 def _(spark, sf):
     li = _line_rows(spark, sf, "l_returnflag", "l_quantity", (F.col("l_extendedprice") / 2000).alias("price"))
     d = density.density_at_points(li, "l_quantity", "price", 5.0)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geom as G
 from ..functions import label as L
-from ..operators import arena, clean, intervals, ring
+from ..operators import arena, intervals, ring
+from ..operators.chunk import computed
 from ..sources import bind
 from ..sources.bind import SQL_POSE, SQL_RINGS
 from ..sources.schema import PARTS, SPINE8
@@ -28,8 +29,8 @@ COS1 = f"{cosv('ax-x', 'ay-y', 'bx-x', 'by_-y')} + 1"
 
 
 def centered(spark, sf):
-    r = bind.rings(spark, sf).withColumn("center", ring.centroid("pts"))
-    return r.withColumn("d", ring.distances("pts"))
+    r = computed(bind.rings(spark, sf), {"center": ring.centroid("pts")})
+    return computed(r, {"d": ring.distances("pts")})
 
 
 def points_of(df, values: str, name: str, keys=("track_id", "frame")):
@@ -58,7 +59,7 @@ def _(spark, sf):
 
 @query("ring_cosine", "R5", f"WITH {SQL_RINGS}, n AS ({_neighbours(5)}) SELECT track_id, frame, pt, {COS1} AS score FROM n", "score")
 def _(spark, sf):
-    return points_of(bind.rings(spark, sf).withColumn("s", ring.cosine_scores("pts", 5)), "s", "score")
+    return points_of(computed(bind.rings(spark, sf), {"s": ring.cosine_scores("pts", 5)}), "s", "score")
 
 
 SQL_VALID = SQL_CENTER + ", th AS (SELECT frame, QUANTILE_CONT(d, 0.5) AS thr FROM di GROUP BY 1), va AS (SELECT di.*, d < thr AS ok FROM di JOIN th USING (frame))"
@@ -71,21 +72,21 @@ SQL_VALID = SQL_CENTER + ", th AS (SELECT frame, QUANTILE_CONT(d, 0.5) AS thr FR
         JOIN va a ON a.frame = p.frame AND a.pt = (p.pt + fs) % {N} JOIN va b ON b.frame = p.frame AND b.pt = (p.pt - bs + {N}) % {N})
     SELECT track_id, frame, pt, CASE WHEN NOT ok THEN -1.0 ELSE {COS1} END AS score FROM n""", "score")
 def _(spark, sf):
-    c = centered(spark, sf).withColumn("thr", ring.array_quantile("d", 0.5)).withColumn("ok", F.expr("transform(d, v -> v < thr)"))
-    return points_of(c.withColumn("s", ring.cosine_scores_backoff("pts", "ok", 5, 2)), "s", "score")
+    c = _flags(spark, sf, 0.5)
+    return points_of(computed(c, {"score": ring.cosine_scores_backoff("pts", "near", 5, 2)}), "score", "score")
 
 
 @query("ring_curvature", "R7", f"""WITH {SQL_RINGS}, n AS ({_neighbours(3)}), d AS (SELECT *, (ax-bx)/(2*3.0/{N}) AS dx, (ay-by_)/(2*3.0/{N}) AS dy, (ax+bx-2*x)/((3.0/{N})*(3.0/{N})) AS ddx, (ay+by_-2*y)/((3.0/{N})*(3.0/{N})) AS ddy FROM n)
     SELECT track_id, frame, pt, ABS(dx*ddy-dy*ddx) / NULLIF(POWER(dx*dx+dy*dy, 1.5), 0) AS k FROM d""", "k")
 def _(spark, sf):
-    return points_of(bind.rings(spark, sf).withColumn("k", ring.curvature("pts", 3)), "k", "k")
+    return points_of(computed(bind.rings(spark, sf), {"k": ring.curvature("pts", 3)}), "k", "k")
 
 
 @query("ring_suppress_far", "R8 A27", f"""WITH {SQL_CENTER}, th AS (SELECT frame, QUANTILE_CONT(d, 0.6) AS thr FROM di GROUP BY 1), n AS ({_neighbours(5)}), s AS (SELECT frame, pt, {COS1} AS score FROM n)
     SELECT di.track_id, di.frame, di.pt, CASE WHEN d > thr THEN 0.1 ELSE score END AS score FROM di JOIN th USING (frame) JOIN s USING (frame, pt)""", "score")
 def _(spark, sf):
-    c = centered(spark, sf).withColumn("thr", ring.array_quantile("d", 0.6)).withColumn("s", ring.cosine_scores("pts", 5))
-    return points_of(c.withColumn("s", ring.suppress_far("s", "d", "thr")), "s", "score")
+    c = computed(centered(spark, sf), {"thr": ring.array_quantile("d", 0.6), "cosines": ring.cosine_scores("pts", 5)})
+    return points_of(computed(c, {"kept": ring.suppress_far("cosines", "d", "thr")}), "kept", "score")
 
 
 SQL_SCORE = SQL_RINGS + f", n AS ({_neighbours(5)}), sc AS (SELECT track_id, frame, pt, {COS1} AS score FROM n)"
@@ -93,14 +94,14 @@ SQL_SCORE = SQL_RINGS + f", n AS ({_neighbours(5)}), sc AS (SELECT track_id, fra
 
 @query("ring_smooth", "R9", f"WITH {SQL_SCORE} SELECT p.track_id, p.frame, p.pt, AVG(q.score) AS smooth FROM sc p JOIN sc q ON p.frame = q.frame AND ((q.pt - p.pt + {N}) % {N} <= 3 OR (p.pt - q.pt + {N}) % {N} <= 3) GROUP BY 1, 2, 3", "smooth")
 def _(spark, sf):
-    c = bind.rings(spark, sf).withColumn("s", ring.cosine_scores("pts", 5))
-    return points_of(c.withColumn("m", ring.circular_mean("s", 3)), "m", "smooth")
+    c = computed(bind.rings(spark, sf), {"cosines": ring.cosine_scores("pts", 5)})
+    return points_of(computed(c, {"blurred": ring.circular_mean("cosines", 3)}), "blurred", "smooth")
 
 
 @query("ring_topk", "R10 T3", f"WITH {SQL_SCORE}, r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY frame ORDER BY score DESC) AS rank FROM sc) SELECT track_id, frame, rank, score FROM r WHERE rank <= 10", "score")
 def _(spark, sf):
-    c = bind.rings(spark, sf).withColumn("s", ring.cosine_scores("pts", 5)).withColumn("t", ring.top_scores("s", 10))
-    return c.select("track_id", "frame", F.posexplode("t").alias("i", "score")).select("track_id", "frame", (F.col("i") + 1).cast("long").alias("rank"), "score")
+    c = computed(computed(bind.rings(spark, sf), {"cosines": ring.cosine_scores("pts", 5)}), {"top": ring.top_scores("cosines", 10)})
+    return c.select("track_id", "frame", F.posexplode("top").alias("i", "score")).select("track_id", "frame", (F.col("i") + 1).cast("long").alias("rank"), "score")
 
 
 # head and tail positions for the next queries: fixed offsets that differ per frame
@@ -142,26 +143,25 @@ SQL_FLAG = SQL_CENTER + f", th AS (SELECT frame, QUANTILE_CONT(d, 0.4) AS thr FR
 @query("ring_runs", "R11 W21", f"""WITH {SQL_FLAG}, c AS (SELECT *, CASE WHEN far = LAG(far) OVER (PARTITION BY frame ORDER BY pt) THEN 0 ELSE 1 END AS new FROM fl), g AS (SELECT *, SUM(new) OVER (PARTITION BY frame ORDER BY pt) AS g FROM c)
     SELECT track_id, frame, far, MIN(pt) AS at, COUNT(*) AS len FROM g GROUP BY track_id, frame, g, far""")
 def _(spark, sf):
-    c = centered(spark, sf).withColumn("thr", ring.array_quantile("d", 0.4)).withColumn("far", F.expr("transform(d, v -> v > thr)"))
-    r = c.withColumn("runs", ring.ring_runs("far")).select("track_id", "frame", F.explode("runs").alias("r"))
+    r = computed(_flags(spark, sf, 0.4), {"runs": ring.ring_runs("far")}).select("track_id", "frame", F.explode("runs").alias("r"))
     return r.select("track_id", "frame", F.col("r.v").alias("far"), F.col("r.at").cast("long").alias("at"), F.col("r.len").cast("long").alias("len"))
 
 
 def _flags(spark, sf, q):
-    c = centered(spark, sf).withColumn("thr", ring.array_quantile("d", q))
-    return c.withColumns({"far": F.expr("transform(d, v -> v > thr)"), "near": F.expr("transform(d, v -> v < thr)")})
+    c = computed(centered(spark, sf), {"thr": ring.array_quantile("d", q)})
+    return computed(c, {"far": F.expr("transform(d, dist_ -> dist_ > thr)"), "near": F.expr("transform(d, dist_ -> dist_ < thr)")})
 
 
 @query("ring_segments", "R11")
 def _(spark, sf):
-    c = _flags(spark, sf, 0.4).withColumn("runs", ring.ring_runs("far"))
+    c = computed(_flags(spark, sf, 0.4), {"runs": ring.ring_runs("far")})
     m = ring.merge_short_runs(c, "runs", "segs", "size(pts)", 3)
     return m.select("track_id", "frame", F.posexplode("segs").alias("seg", "s")).select("track_id", "frame", "seg", F.col("s.v").alias("far"), F.col("s.len").alias("len"))
 
 
 @query("ring_anchors_runs", "R12")
 def _(spark, sf):
-    c = _flags(spark, sf, 0.5).withColumn("runs", ring.ring_runs("near"))
+    c = computed(_flags(spark, sf, 0.5), {"runs": ring.ring_runs("near")})
     return ring.anchors_by_runs(c, "runs", "size(pts)", 3).select("track_id", "frame", "in1", "out1", "in2", "out2")
 
 
@@ -177,11 +177,12 @@ def _(spark, sf):
 
 @query("ring_side_scores", "R6 R12")
 def _(spark, sf):
-    c = _flags(spark, sf, 0.5).withColumn("runs", ring.ring_runs("near"))
-    c = ring.anchors_by_runs(c, "runs", "size(pts)", 3).withColumn("s", ring.cosine_scores_backoff("pts", "near", 5, 2))
-    left, right = ring.side_scores("s", "near", "in1", "out1")
-    return c.select("track_id", "frame", F.size(left).alias("left_points"), F.size(right).alias("right_points"),
-                    F.array_max(left).alias("left_top"), F.array_max(right).alias("right_top"))
+    c = computed(_flags(spark, sf, 0.5), {"runs": ring.ring_runs("near")})
+    c = computed(ring.anchors_by_runs(c, "runs", "size(pts)", 3), {"cosines": ring.cosine_scores_backoff("pts", "near", 5, 2)})
+    left, right = ring.side_scores("cosines", "near", "in1", "out1")
+    c = computed(c, {"left_scores": left, "right_scores": right})
+    return c.select("track_id", "frame", F.size("left_scores").alias("left_points"), F.size("right_scores").alias("right_points"),
+                    F.array_max("left_scores").alias("left_top"), F.array_max("right_scores").alias("right_top"))
 
 
 # --- points and outlines ---------------------------------------------------------------------------------------------

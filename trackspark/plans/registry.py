@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -31,10 +32,12 @@ def query(name: str, ids: str, sql: str | None = None, rnd: str = ""):
         QUERIES[name] = lambda spark, sf_dir: _rounded(fn(spark, sf_dir), digits)
         IDS[name] = ids
         if sql is not None:
+            # every step is computed once, however often it is used
+            text = re.sub(r"\b(\w+) AS \((?=SELECT)", r"\1 AS MATERIALIZED (", sql)
             cols = ", ".join(
                 f"CASE WHEN ROUND({c}, {d}) = 0 THEN CAST(0 AS DOUBLE) ELSE ROUND({c}, {d}) END AS {c}"
                 for c, d in digits.items())
-            ORACLES[name] = f"SELECT * REPLACE ({cols}) FROM ({sql}) AS checked" if cols else sql
+            ORACLES[name] = f"SELECT * REPLACE ({cols}) FROM ({text}) AS checked" if cols else text
         return fn
 
     return register

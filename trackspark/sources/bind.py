@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.chunk import number_frames, windowed
+from ..operators.chunk import computed, number_frames, windowed
 from .schema import PARTS
 
 
@@ -66,8 +66,8 @@ def rings(spark, sf_dir) -> DataFrame:
     point = """transform(sequence(0, 31), k -> named_struct(
         'x', 250D + (100D + 200D * cast(element_at(embedding, k + 1) as double)) * cos(2 * pi() * k / 32),
         'y', 250D + (100D + 200D * cast(element_at(embedding, k + 1) as double)) * sin(2 * pi() * k / 32)))"""
-    return table(spark, sf_dir, "embeddings").select(
-        F.col("label").cast("long").alias("track_id"), F.col("vec_id").alias("frame"), F.expr(point).alias("pts"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("track_id"), F.col("vec_id").alias("frame"), "embedding")
+    return computed(e, {"pts": F.expr(point)}).drop("embedding")
 
 
 def bouts(spark, sf_dir) -> DataFrame:
