@@ -26,3 +26,36 @@ def scale(df: DataFrame, scaler: DataFrame, cols: list[str]) -> DataFrame:
 def unscale(df: DataFrame, scaler: DataFrame, cols: list[str]) -> DataFrame:
     out = df.crossJoin(F.broadcast(scaler))  # one row
     return out.withColumns({c: F.col(c) * F.col(f"_s_{c}") + F.col(f"_a_{c}") for c in cols}).drop(*scaler.columns)
+
+
+def sine_fit(df: DataFrame, value: str, keys=("track_id",), rates: list[float] | None = None, amplitude: float = 30.0) -> DataFrame:
+    """Best b, c, d of amplitude * sin(b * frame + c) + d per group, with its mean squared error.
+
+    For every candidate b the free harmonic a1 sin + a2 cos + d is fitted from sums; c is its phase, d the offset left
+    by the fixed-amplitude sine, and the b with the smallest error wins.
+    """
+    rates = rates or [i / 200 for i in range(1, 41)]
+    v, t = F.col(value), F.col("frame")
+    rows = df.where(v.isNotNull()).select(*keys, "frame", value, F.explode(F.array(*[F.lit(b) for b in rates])).alias("b"))
+    s, c = F.sin(F.col("b") * t), F.cos(F.col("b") * t)
+    m = rows.groupBy(*keys, "b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(s).alias("S"), F.sum(c).alias("C"), F.sum(s * s).alias("SS"), F.sum(c * c).alias("CC"), F.sum(s * c).alias("SC"),
+        F.sum(v).alias("V"), F.sum(v * s).alias("VS"), F.sum(v * c).alias("VC"), F.sum(v * v).alias("VV"))
+    x = lambda name: F.col(name)
+    # centred normal equations in (a1, a2)
+    ss, cc, sc = x("SS") - x("S") * x("S") / x("n"), x("CC") - x("C") * x("C") / x("n"), x("SC") - x("S") * x("C") / x("n")
+    vs, vc = x("VS") - x("V") * x("S") / x("n"), x("VC") - x("V") * x("C") / x("n")
+    det = ss * cc - sc * sc
+    m = m.withColumns({"a1": F.try_divide(vs * cc - vc * sc, det), "a2": F.try_divide(vc * ss - vs * sc, det)})
+    m = m.withColumn("c", F.atan2("a2", "a1"))
+    p, q = amplitude * F.cos("c"), amplitude * F.sin("c")  # amplitude * sin(bt + c) = p sin(bt) + q cos(bt)
+    m = m.withColumn("d", (x("V") - p * x("S") - q * x("C")) / x("n"))
+    d = F.col("d")
+    err = (x("VV") + p * p * x("SS") + q * q * x("CC") + d * d * x("n") + 2 * (p * q * x("SC") - p * x("VS") - q * x("VC") + d * (p * x("S") + q * x("C") - x("V")))) / x("n")
+    return m.withColumn("error", err).groupBy(*keys).agg(F.min_by(F.struct("b", "c", "d", "error"), F.struct("error", "b")).alias("f")).select(*keys, "f.*")
+
+
+def sine_error(df: DataFrame, value: str, fit: DataFrame, keys=("track_id",), amplitude: float = 30.0) -> DataFrame:
+    """Absolute difference of every row to its group's fitted sine."""
+    model = amplitude * F.sin(F.col("b") * F.col("frame") + F.col("c")) + F.col("d")
+    return df.join(fit, list(keys)).withColumn("sine_error", F.abs(F.col(value) - model))

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from . import events, outline, pose, series  # noqa: F401
+from . import events, outline, pose, series, spectra  # noqa: F401
 from .registry import IDS, ORACLES, QUERIES  # noqa: F401
