@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geom import acos_degrees, distance, midpoint, vector_cosine, xy
 from ..sources.schema import SPINE8, SPINE10
-from .chunk import windowed
+from .chunk import computed, windowed
 from .quantile import exact_quantiles
 from .rates import any_of
 
@@ -273,7 +273,7 @@ def fill_between_points(pts: str = "pts", least: int = 4) -> Column:
 def full_tail_frames(df: DataFrame, pts: str = "pts", least: int = 4) -> DataFrame:
     """Only frames whose first two points and ``least`` in all are present, gaps filled."""
     ok = F.expr(f"{pts}[0] IS NOT NULL AND {pts}[1] IS NOT NULL AND size(filter({pts}, p -> p IS NOT NULL)) >= {least}")
-    return df.where(ok).withColumn(pts, fill_between_points(pts, least))
+    return computed(computed(df.where(ok), {"_filled": fill_between_points(pts, least)}), {pts: F.col("_filled")}).drop("_filled")
 
 
 def radius_gate(pts: str = "pts", r: float = 15, t1: float = 10, t2: float = 5, least: int = 4) -> Column:

@@ -59,3 +59,173 @@ def sine_error(df: DataFrame, value: str, fit: DataFrame, keys=("track_id",), am
     """Absolute difference of every row to its group's fitted sine."""
     model = amplitude * F.sin(F.col("b") * F.col("frame") + F.col("c")) + F.col("d")
     return df.join(fit, list(keys)).withColumn("sine_error", F.abs(F.col(value) - model))
+
+
+def vectors(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
+    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="skip").transform(df)
+
+
+class Components:
+    """Principal components of centred columns, signs fixed by the largest loading."""
+
+    def __init__(self, cols: list[str], means: list[float], loadings, ratios):
+        self.cols, self.means, self.loadings, self.ratios = cols, means, loadings, ratios
+
+    def transform(self, df: DataFrame, k: int | None = None, prefix: str = "pc") -> DataFrame:
+        """Scores of any table with the same columns, also of another subject."""
+        k = k or self.loadings.shape[1]
+        return df.withColumns({
+            f"{prefix}{j}": reduce(lambda a, b: a + b, [(F.col(c) - m) * float(self.loadings[i, j]) for i, (c, m) in enumerate(zip(self.cols, self.means))])
+            for j in range(k)})
+
+    def table(self, spark) -> DataFrame:
+        """component, ratio, cumulative, feature, loading, magnitude."""
+        rows, total = [], 0.0
+        for j in range(self.loadings.shape[1]):
+            total += float(self.ratios[j])
+            rows += [(j, float(self.ratios[j]), total, c, float(self.loadings[i, j]), abs(float(self.loadings[i, j]))) for i, c in enumerate(self.cols)]
+        return spark.createDataFrame(rows, "component int, ratio double, cumulative double, feature string, loading double, magnitude double")
+
+
+def fit_components(df: DataFrame, cols: list[str], k: int | None = None) -> Components:
+    import numpy as np
+
+    clean = df.na.drop("any", subset=cols)
+    means = list(clean.agg(*[F.avg(c).alias(c) for c in cols]).first())
+    centred = clean.select(*[(F.col(c) - m).alias(c) for c, m in zip(cols, means)])
+    model = PCA(k=k or len(cols), inputCol="features", outputCol="pcs").fit(vectors(centred, cols))
+    load = model.pc.toArray()
+    sign = np.sign(load[np.abs(load).argmax(axis=0), np.arange(load.shape[1])])
+    return Components(cols, means, load * sign, model.explainedVariance.toArray())
+
+
+def fit_kmeans(df: DataFrame, cols: list[str], k: int, restarts: int = 10, seed: int = 1, cost_only: bool = False):
+    """The cheapest of ``restarts`` fits; centres are sorted by their first coordinate when labelling."""
+    v = vectors(df.select(*cols), cols).persist()
+    fits = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(v) for i in range(restarts)]
+    v.unpersist()
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
+def label_clusters(df: DataFrame, cols: list[str], model, out: str = "cluster") -> DataFrame:
+    order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(model.clusterCenters()[i]))
+    rank = F.array(*[F.lit(order.index(i)) for i in range(len(order))])
+    p = model.transform(vectors(df, cols)).drop("features")
+    return p.withColumn(out, F.element_at(rank, F.col("prediction") + 1).cast("long")).drop("prediction")
+
+
+def silhouette(df: DataFrame, cols: list[str], cluster: str = "cluster") -> float:
+    """Mean silhouette on squared distances, which needs one pass; the plain distance would need every pair of rows."""
+    e = ClusteringEvaluator(featuresCol="features", predictionCol="_p")
+    return e.evaluate(vectors(df.withColumn("_p", F.col(cluster).cast("int")), cols))
+
+
+def curvedness(rings: DataFrame, scores: str, k: int, spark=None) -> tuple[DataFrame, object]:
+    """First component of the top-k scores of every outline and two clusters on it; ``outlier`` marks scores above 1."""
+    cols = [f"s{i}" for i in range(k)]
+    wide = rings.select(*[c for c in rings.columns if c != scores], *[F.col(scores)[i].alias(c) for i, c in enumerate(cols)])
+    comp = fit_components(wide, cols, 1)
+    scored = comp.transform(wide, 1).drop(*cols)
+    km = fit_kmeans(scored, ["pc0"], 2, restarts=3)
+    return label_clusters(scored, ["pc0"], km).withColumn("outlier", F.col("pc0") > 1), comp
+
+
+def spectral_clusters(df: DataFrame, cols: list[str], k: int, cells: int = 12, reach: float = 2.5, keys=("track_id", "frame")) -> DataFrame:
+    """Clusters by power iteration on the graph of occupied cells.
+
+    Rows are binned into a grid of at most ``cells`` steps per column; neighbouring occupied cells are linked with a weight
+    falling with their distance, and rows take the cluster of their cell. The graph grows with the number of cells, not rows.
+    """
+    from itertools import product
+
+    from pyspark.ml.clustering import PowerIterationClustering
+
+    span = df.agg(*[a for c in cols for a in (F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"))])
+    b = df.crossJoin(F.broadcast(span))  # one row
+    names = [f"_g{i}" for i in range(len(cols))]
+    b = b.withColumns({n: F.least(F.lit(cells - 1), F.floor(F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) * cells)).cast("int") for n, c in zip(names, cols)})
+    code = reduce(lambda a, n: a * cells + F.col(n), names, F.lit(0).cast("long"))
+    b = b.withColumn("_cell", code)
+    occupied = b.groupBy("_cell", *names).agg(F.count(F.lit(1)).alias("_n"))
+    r = int(reach)
+    steps = [s for s in product(range(-r, r + 1), repeat=len(cols)) if any(s) and sum(v * v for v in s) <= reach * reach]
+    off = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(s, names)], F.lit(float(2.718281828 ** (-sum(v * v for v in s) / 2))).alias("w")) for s in steps])
+    near = occupied.select(F.col("_cell").alias("src"), "_n", *[F.col(n).alias(f"{n}a") for n in names], F.explode(off).alias("o"))
+    near = near.select("src", F.col("_n").alias("_na"), F.col("o.w").alias("w"), *[(F.col(f"{n}a") + F.col(f"o.{n}")).alias(n) for n in names])
+    edges = near.join(occupied.select(F.col("_cell").alias("dst"), F.col("_n").alias("_nb"), *names), names)
+    edges = edges.where("src < dst").select("src", "dst", (F.col("w") * F.sqrt(F.col("_na") * F.col("_nb"))).alias("weight"))
+    pic = PowerIterationClustering(k=k, maxIter=20, initMode="degree", weightCol="weight")
+    assigned = pic.assignClusters(edges).select(F.col("id").alias("_cell"), F.col("cluster").cast("long").alias("cluster"))
+    # a cell without neighbours is its own remainder cluster
+    return b.join(assigned, "_cell", "left").select(*keys, F.coalesce("cluster", F.lit(k).cast("long")).alias("cluster"))
+
+
+def balanced(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """Class weights rows / (classes * class size)."""
+    from pyspark.sql import Window
+
+    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    every = Window.partitionBy(F.lit(0))  # one row per class
+    w = c.select(label, (F.sum("_n").over(every) / (F.count(F.lit(1)).over(every) * F.col("_n"))).alias(out))
+    return df.join(w, label)
+
+
+def logistic(df: DataFrame, cols: list[str], label: str, states: str | None = None, strength: float = 1e-3):
+    """L1 multinomial regression with balanced classes, optionally with one-hot states; returns (model, transform)."""
+    def prepare(t: DataFrame) -> DataFrame:
+        names = list(cols)
+        if states:
+            t = encoder.transform(t.withColumn("_state", F.col(states).cast("int")))
+            names.append("_onehot")
+        return vectors(t, names)
+    encoder = OneHotEncoder(inputCol="_state", outputCol="_onehot", dropLast=False).fit(df.withColumn("_state", F.col(states).cast("int"))) if states else None
+    train = balanced(prepare(df).withColumn("label", F.col(label).cast("double")), "label")
+    model = LogisticRegression(elasticNetParam=1.0, regParam=strength, weightCol="weight", family="multinomial", maxIter=50).fit(train)
+    return model, lambda t: model.transform(prepare(t)).withColumn("pred", F.col("prediction").cast("long")).drop("features", "rawPrediction", "prediction")
+
+
+def boosted_stumps(df: DataFrame, cols: list[str], label: str, positive_weight: float = 9.0, rounds: int = 20, seed: int = 1):
+    """Boosted depth-1 trees with heavier positives; returns a function that adds ``score``."""
+    t = vectors(df.withColumns({"label": F.col(label).cast("double"), "weight": F.when(F.col(label) == 1, positive_weight).otherwise(1.0)}), cols)
+    model = GBTClassifier(maxDepth=1, maxIter=rounds, weightCol="weight", seed=seed).fit(t)
+    return lambda d: model.transform(vectors(d, cols)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def cut_points(df: DataFrame, col: str, label: str, least: int = 2000, seed: int = 1) -> list[float]:
+    """Thresholds of a tree with at most three leaves of at least ``least`` rows on one feature."""
+    t = vectors(df.withColumn("label", F.col(label).cast("double")), [col])
+    tree = DecisionTreeClassifier(maxDepth=2, minInstancesPerNode=least, seed=seed).fit(t)
+    found = []
+
+    def visit(node, depth):
+        if node.numDescendants() == 0:
+            return
+        found.append((depth, -node.gain(), node.split().threshold()))
+        visit(node.leftChild(), depth + 1)
+        visit(node.rightChild(), depth + 1)
+    visit(tree._call_java("rootNode"), 0)
+    # three leaves: the root split and the better of the splits below it
+    return sorted(t for _, _, t in sorted(found)[:2])
+
+
+def subset_search(df: DataFrame, must: list[str], optional: list[str], manual: str, ks: list[int], repeats: int = 2) -> DataFrame:
+    """Best one-vs-rest F1 of clusters against the manual label for every feature subset, best subset first.
+
+    Every subset of ``optional`` is a bit mask; each fit is a distributed job.
+    """
+    from .evaluate import f1_per_state
+
+    rows = []
+    for mask in range(1 << len(optional)):
+        cols = must + [c for i, c in enumerate(optional) if mask >> i & 1]
+        scores = {}
+        for k in ks:
+            best = []
+            for rep in range(repeats):
+                km = fit_kmeans(df, cols, k, restarts=1, seed=1 + rep)
+                best.append(f1_per_state(label_clusters(df, cols, km), "cluster", manual).agg(F.max("f1")).first()[0] or 0.0)
+            scores[k] = sum(best) / len(best)
+        top = max(scores, key=lambda k: (scores[k], -k))
+        rows.append((mask, ",".join(cols), top, scores[top]))
+    out = df.sparkSession.createDataFrame(rows, "mask int, features string, k int, f1 double")
+    return out.orderBy(F.desc("f1"), "mask")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schema import FPS
@@ -95,27 +95,24 @@ def dilate(df: DataFrame, col: str, size: int = 10, out: str = "dilated", **kw)
 
 def smooth_quadratic(df: DataFrame, col: str, half: int = 10, out: str = "smooth", **kw) -> DataFrame:
     """Local least-squares parabola through the non-null rows within ``half`` frames, read at the row itself."""
-    def sums(w):
-        near = w.rowsBetween(-half, half)
-        present = F.when(F.col(col).isNotNull(), 1.0)
-        # frames relative to the track's own position keep the sums small: shift by the row's frame afterwards
-        return {"_near_t": F.collect_list(F.when(F.col(col).isNotNull(), F.struct(F.col("frame").alias("t"), F.col(col).alias("v")))).over(near),
-                "_n": F.sum(present).over(near)}
+    def collect(w):
+        point = F.when(F.col(col).isNotNull(), F.struct(F.col("frame").alias("t"), F.col(col).alias("v")))
+        return {"_near": F.collect_list(point).over(w.rowsBetween(-half, half))}  # at most 2 * half + 1 points
 
-    def solve(_w):
-        s = {p: F.expr(f"aggregate(_near_t, 0D, (a, p) -> a + pow(cast(p.t - frame as double), {p}))") for p in range(5)}
-        m = {p: F.expr(f"aggregate(_near_t, 0D, (a, p) -> a + p.v * pow(cast(p.t - frame as double), {p}))") for p in range(3)}
-        return {**{f"_s{p}": c for p, c in s.items()}, **{f"_m{p}": c for p, c in m.items()}}
+    def moments(_w):
+        power = lambda p: f"pow(cast(q.t - frame as double), {p})"
+        s = {f"_s{p}": F.expr(f"aggregate(_near, 0D, (a, q) -> a + {power(p)})") for p in range(5)}
+        return s | {f"_m{p}": F.expr(f"aggregate(_near, 0D, (a, q) -> a + q.v * {power(p)})") for p in range(3)}
 
-    def read(_w):
+    def solve(_w):
         s0, s1, s2, s3, s4 = (F.col(f"_s{p}") for p in range(5))
         m0, m1, m2 = (F.col(f"_m{p}") for p in range(3))
         # constant term of the normal equations by Cramer's rule
         det = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
         top = m0 * (s2 * s4 - s3 * s3) - s1 * (m1 * s4 - m2 * s3) + s2 * (m1 * s3 - m2 * s2)
-        return {out: F.when(F.col("_n") >= 3, F.try_divide(top, det))}
-    drop = ["_near_t", "_n", *[f"_s{p}" for p in range(5)], *[f"_m{p}" for p in range(3)]]
-    return windowed(df, sums, solve, read, before=half, after=half, **kw).drop(*drop)
+        return {out: F.when(F.size("_near") >= 3, F.try_divide(top, det))}
+    drop = ["_near", *[f"_s{p}" for p in range(5)], *[f"_m{p}" for p in range(3)]]
+    return windowed(df, collect, moments, solve, before=half, after=half, **kw).drop(*drop)
 
 
 def peri_event(df: DataFrame, events: DataFrame, reach: int = 200, margin: int = 1, keys=("track_id",)) -> DataFrame:
@@ -132,8 +129,4 @@ def repeat_columns(cols: DataFrame, hop: int = 50, keys=("track_id",), idx: str
     c = cols.join(last, list(keys))
     start = F.when(F.col(idx) == 0, 0).otherwise(F.col(idx) * hop - hop // 2)
     length = F.when((F.col(idx) == 0) | (F.col(idx) == F.col("_last")), hop // 2).otherwise(hop)
-    return c.select(*keys, F.explode(F.sequence(start, start + length - 1)).cast("long").alias("frame"), value)
-
-
-def rows_window(keys=("track_id",)):
-    return Window.partitionBy(*keys).orderBy("frame")
+    return c.select(*keys, F.explode(F.sequence(start, start + length - 1)).alias("frame"), value).withColumn("frame", F.col("frame").cast("long"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom as G
 from ..operators import clean, pairs, rates, series
-from ..operators.chunk import windowed
+from ..operators.chunk import computed, windowed
 from ..sources import bind
 from ..sources.bind import SQL_POSE, SQL_RINGS
 from ..sources.schema import PARTS, SPINE8, SPINE10
@@ -337,7 +337,7 @@ def _(spark, sf):
 def _holes(spark, sf, cut=0.62):
     p = bind.pose(spark, sf, SPINE8)
     p = p.withColumns({f"{q}_{a}": clean.null_if(F.col(f"{q}_l") < cut, f"{q}_{a}") for q in SPINE8[2:] for a in "xy"})
-    return p.withColumn("pts", clean.points(SPINE8))
+    return computed(p, {"pts": clean.points(SPINE8)})
 
 
 def _flat(df, n=8):
@@ -360,7 +360,7 @@ _XY8 = " ".join(f"x{i} y{i}" for i in range(8))
 
 @query("spine_gap_fill", "C15", _gap_sql(4, False), _XY8)
 def _(spark, sf):
-    return _flat(_holes(spark, sf).withColumn("pts", clean.fill_between_points("pts", 4)))
+    return _flat(computed(_holes(spark, sf), {"filled": clean.fill_between_points("pts", 4)}).withColumn("pts", F.col("filled")))
 
 
 @query("spine_gap_fill_full_frames", "C15 P19", _gap_sql(5, True), _XY8)
@@ -383,8 +383,8 @@ def _(spark, sf):
     for p in SPINE8:
         x, y = G.body_frame(*G.xy(p), G.xy("A_head"), G.xy("F_spine1"))
         pts.append(F.struct(x.alias("x"), y.alias("y")))
-    d = bind.pose(spark, sf, SPINE8).withColumn("pts", F.array(*pts))
-    return _flat(d.withColumn("pts", clean.radius_gate("pts", 100.0, 60.0, 50.0)))
+    d = computed(bind.pose(spark, sf, SPINE8), {"pts": F.array(*pts)})
+    return _flat(computed(d, {"kept": clean.radius_gate("pts", 100.0, 60.0, 50.0)}).withColumn("pts", F.col("kept")))
 
 
 # --- pairs ---------------------------------------------------------------------------------------------------------------

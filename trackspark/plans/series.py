@@ -183,10 +183,10 @@ def _(spark, sf):
     FROM gaps a JOIN gaps b ON a.track_id = b.track_id AND b.frame BETWEEN a.frame - 10 AND a.frame + 10 WHERE b.signal IS NOT NULL),
     s AS (SELECT track_id, frame, COUNT(*) AS s0, SUM(t) AS s1, SUM(t*t) AS s2, SUM(t*t*t) AS s3, SUM(t*t*t*t) AS s4,
                  SUM(v) AS m0, SUM(v*t) AS m1, SUM(v*t*t) AS m2 FROM p GROUP BY 1, 2)
-    SELECT track_id, frame, CASE WHEN s0 >= 3 THEN (m0*(s2*s4-s3*s3) - s1*(m1*s4-m2*s3) + s2*(m1*s3-m2*s2))
-        / NULLIF(s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2), 0) END AS smooth FROM s""", "smooth:5")
+    SELECT gaps.track_id, gaps.frame, CASE WHEN s0 >= 3 THEN (m0*(s2*s4-s3*s3) - s1*(m1*s4-m2*s3) + s2*(m1*s3-m2*s2))
+        / NULLIF(s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2), 0) END AS smooth FROM gaps LEFT JOIN s USING (track_id, frame)""", "smooth:5")
 def _(spark, sf):
-    return series.smooth_quadratic(bind.gap_tracks(spark, sf), "signal").where("_n > 0").select("track_id", "frame", "smooth")
+    return series.smooth_quadratic(bind.gap_tracks(spark, sf), "signal").select("track_id", "frame", "smooth")
 
 
 # --- projections, filters --------------------------------------------------------------------------------------------
