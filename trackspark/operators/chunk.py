@@ -85,21 +85,24 @@ def scan(df: DataFrame, cols: dict[str, tuple[str, Column]], keys=("track_id",),
     }
     totals = c.groupBy(*keys, "_chunk").agg(*[total[cols[n][0]](f"_v{i}").alias(f"_t{i}") for i, n in enumerate(names)])
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    past, future = by_chunk.rowsBetween(Window.unboundedPreceding, -1), by_chunk.rowsBetween(1, Window.unboundedFollowing)
+    # looking ahead is looking back in descending order: a frame that starts at the row and runs to the end is
+    # summed anew for every row
+    past = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(*keys).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = {
         "sum": lambda t: F.sum(t).over(past),
         "max": lambda t: F.max(t).over(past),
         "last": lambda t: F.last(t, True).over(past),
-        "next": lambda t: F.first(t, True).over(future),
+        "next": lambda t: F.last(t, True).over(future),
     }
     carry = totals.select(*keys, "_chunk", *[carried[cols[n][0]](f"_t{i}").alias(f"_c{i}") for i, n in enumerate(names)])
-    inside = chunk_window(keys, frame)
-    seen, ahead = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(0, Window.unboundedFollowing)
+    seen = chunk_window(keys, frame).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys, "_chunk").orderBy(F.col(frame).desc()).rowsBetween(Window.unboundedPreceding, 0)
     merged = {
         "sum": lambda v, p: F.coalesce(F.sum(v).over(seen), F.lit(0)) + F.coalesce(F.col(p), F.lit(0)),
         "max": lambda v, p: F.greatest(F.max(v).over(seen), F.col(p)),
         "last": lambda v, p: F.coalesce(F.last(v, True).over(seen), F.col(p)),
-        "next": lambda v, p: F.coalesce(F.first(v, True).over(ahead), F.col(p)),
+        "next": lambda v, p: F.coalesce(F.last(v, True).over(ahead), F.col(p)),
     }
     j = c.join(carry, [*keys, "_chunk"])
     j = j.withColumns({f"_o{i}": merged[cols[n][0]](f"_v{i}", f"_c{i}") for i, n in enumerate(names)})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunk import scan
@@ -24,52 +24,46 @@ def fill_both(df: DataFrame, cols: list[str], forward_first: bool = True, **kw)
     return out.withColumns({c: F.coalesce(*[F.col(p + c) for p in order]) for c in cols}).drop(*both)
 
 
-def fill_mean(df: DataFrame, cols: list[str], mean_after_fill: bool = False, keys=("track_id",), **kw) -> DataFrame:
-    """Forward, then the track's mean; the mean is taken before or after the forward fill."""
+def fill_mean(df: DataFrame, cols: list[str], late: list[str] = (), keys=("track_id",), **kw) -> DataFrame:
+    """Forward, then the track's mean: of the present values, for columns in ``late`` of the forward-filled ones."""
     filled = scan(df, {f"_f_{c}": ("last", F.col(c)) for c in cols}, keys=keys, **kw)
-    means = filled.groupBy(*keys).agg(*[F.avg(f"_f_{c}" if mean_after_fill else c).alias(f"_m_{c}") for c in cols])
+    means = filled.groupBy(*keys).agg(*[F.avg(f"_f_{c}" if c in late else c).alias(f"_m_{c}") for c in cols])
     out = filled.join(means, list(keys))
     return out.withColumns({c: F.coalesce(F.col(f"_f_{c}"), F.col(f"_m_{c}")) for c in cols}).drop(
         *[f"_f_{c}" for c in cols], *[f"_m_{c}" for c in cols])
 
 
 def _neighbours(df: DataFrame, col: str, **kw) -> DataFrame:
-    at = F.when(F.col(col).isNotNull(), F.col("frame"))
+    at = F.when(F.col(col).isNotNull(), F.col(kw.get("frame", "frame")))
     return scan(df, {"_pv": ("last", F.col(col)), "_pf": ("last", at), "_nv": ("next", F.col(col)), "_nf": ("next", at)}, **kw)
 
 
 def interpolate_linear(df: DataFrame, col: str, **kw) -> DataFrame:
     """Linear between neighbours; leading nulls stay, trailing nulls take the last value."""
     n = _neighbours(df, col, **kw)
-    step = (F.col("_nv") - F.col("_pv")) / (F.col("_nf") - F.col("_pf"))
-    value = F.when(F.col(col).isNotNull(), F.col(col)).when(F.col("_nv").isNull(), F.col("_pv")).otherwise(
-        F.col("_pv") + step * (F.col("frame") - F.col("_pf")))
-    # a present value is its own neighbour, keep the division off it
-    guarded = F.when(F.col(col).isNotNull() | F.col("_pv").isNull(), F.col(col)).otherwise(value)
-    return n.withColumn(col, guarded).drop("_pv", "_pf", "_nv", "_nf")
+    at = F.col(kw.get("frame", "frame"))
+    step = F.try_divide(F.col("_nv") - F.col("_pv"), F.col("_nf") - F.col("_pf"))
+    value = F.when(F.col("_nv").isNull(), F.col("_pv")).otherwise(F.col("_pv") + step * (at - F.col("_pf")))
+    return n.withColumn(col, F.when(F.col(col).isNotNull(), F.col(col)).otherwise(value)).drop("_pv", "_pf", "_nv", "_nf")
 
 
 def interpolate_nearest(df: DataFrame, col: str, **kw) -> DataFrame:
     """Inner gaps take the value of the nearest present frame, the earlier one on ties."""
     n = _neighbours(df, col, **kw)
     inner = F.col("_pv").isNotNull() & F.col("_nv").isNotNull()
-    near = F.when(F.col("frame") - F.col("_pf") <= F.col("_nf") - F.col("frame"), F.col("_pv")).otherwise(F.col("_nv"))
+    at = F.col(kw.get("frame", "frame"))
+    near = F.when(at - F.col("_pf") <= F.col("_nf") - at, F.col("_pv")).otherwise(F.col("_nv"))
     return n.withColumn(col, F.when(F.col(col).isNotNull(), F.col(col)).when(inner, near)).drop("_pv", "_pf", "_nv", "_nf")
 
 
-def bridge_tracks(df: DataFrame, order: dict[int, int], buffer: int = 100) -> DataFrame:
-    """Put tracks one after another on a common frame axis, ``buffer`` empty frames apart.
+def bridge_tracks(df: DataFrame, buffer: int = 100) -> DataFrame:
+    """All tracks one after another by id on a common frame ``axis``, ``buffer`` empty rows after each.
 
-    ``order`` maps track_id to its position. Interpolating the result per ``series`` bridges the buffers.
+    Interpolating the result with ``keys=("series",), frame="axis"`` bridges the buffers.
     """
-    spark = df.sparkSession
-    pos = spark.createDataFrame([(int(k), int(v)) for k, v in order.items()], "track_id long, pos long")
-    lengths = df.groupBy("track_id").agg((F.max("frame") + 1).alias("n")).join(pos, "track_id")
-    from pyspark.sql import Window
-
-    w = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per listed track, so the ordered sum is over len(order) rows
-    offsets = lengths.withColumn("_start", F.coalesce(F.sum(F.col("n") + buffer).over(w), F.lit(0)))
-    rows = df.join(offsets.select("track_id", "_start"), "track_id").withColumn("axis", F.col("_start") + F.col("frame")).drop("_start", "_chunk")
-    pads = offsets.select(F.explode(F.expr(f"sequence(_start + n, _start + n + {buffer} - 1)")).alias("axis"))
+    lengths = df.groupBy("track_id").agg((F.max("frame") + 1).alias("_n"))
+    before = Window.orderBy("track_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per track
+    starts = lengths.withColumn("_start", F.coalesce(F.sum(F.col("_n") + buffer).over(before), F.lit(0)))
+    rows = df.drop("_chunk").join(starts.select("track_id", "_start"), "track_id").withColumn("axis", F.col("_start") + F.col("frame")).drop("_start")
+    pads = starts.select(F.explode(F.expr(f"sequence(_start + _n, _start + _n + {buffer} - 1)")).alias("axis"))
     return rows.unionByName(pads, allowMissingColumns=True).withColumn("series", F.lit(0).cast("long"))

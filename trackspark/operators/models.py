@@ -208,10 +208,28 @@ def cut_points(df: DataFrame, col: str, label: str, least: int = 2000, seed: int
     return sorted(t for _, _, t in sorted(found)[:2])
 
 
-def subset_search(df: DataFrame, must: list[str], optional: list[str], manual: str, ks: list[int], repeats: int = 2) -> DataFrame:
-    """Best one-vs-rest F1 of clusters against the manual label for every feature subset, best subset first.
+def kmeans_labels(df: DataFrame, cols: list[str], k: int, repeat: int) -> DataFrame:
+    return label_clusters(df, cols, fit_kmeans(df, cols, k, restarts=1, seed=1 + repeat))
 
-    Every subset of ``optional`` is a bit mask; each fit is a distributed job.
+
+def hmm_labels(rounds: int = 20):
+    """Labeller for ``subset_search``: Gaussian states from a KMeans start."""
+    import numpy as np
+
+    from . import hmm
+
+    def run(df, cols, k, repeat):
+        km = fit_kmeans(df, cols, k, restarts=1, seed=1 + repeat)
+        start = hmm.gaussian_start(np.array(km.clusterCenters()), np.stack([np.eye(len(cols))] * k))
+        states = hmm.decode(df, cols, hmm.fit(df, cols, start, rounds=rounds))
+        return df.join(states.withColumnRenamed("state", "cluster"), ["track_id", "frame"])
+    return run
+
+
+def subset_search(df: DataFrame, must: list[str], optional: list[str], manual: str, ks: list[int], repeats: int = 2, labels=kmeans_labels) -> DataFrame:
+    """Best one-vs-rest F1 of a labelling against the manual label for every feature subset, best subset first.
+
+    Every subset of ``optional`` is a bit mask, every fit a distributed job; ``labels`` adds ``cluster`` to the rows.
     """
     from .evaluate import f1_per_state
 
@@ -220,10 +238,7 @@ def subset_search(df: DataFrame, must: list[str], optional: list[str], manual: s
         cols = must + [c for i, c in enumerate(optional) if mask >> i & 1]
         scores = {}
         for k in ks:
-            best = []
-            for rep in range(repeats):
-                km = fit_kmeans(df, cols, k, restarts=1, seed=1 + rep)
-                best.append(f1_per_state(label_clusters(df, cols, km), "cluster", manual).agg(F.max("f1")).first()[0] or 0.0)
+            best = [f1_per_state(labels(df, cols, k, rep), "cluster", manual).agg(F.max("f1")).first()[0] or 0.0 for rep in range(repeats)]
             scores[k] = sum(best) / len(best)
         top = max(scores, key=lambda k: (scores[k], -k))
         rows.append((mask, ",".join(cols), top, scores[top]))

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import scratch_dir
+from ..sources.tables import stored
 from .chunk import with_chunk, with_halo
 
 WARM_FRAMES = 256
@@ -78,16 +78,9 @@ def position_check(df: DataFrame, x: str, y: str, max_dist: float = 20, max_coun
         entry = (float(rows["want_x"].iloc[0]), float(rows["want_y"].iloc[0]), int(rows["want_c"].iloc[0]))
         return state_row(key, entry, walk(px, py, entry, max_dist, max_counter)[1])
 
-    spark, folder = df.sparkSession, scratch_dir(df.sparkSession)
-
-    def stored(table, step):
-        table.write.parquet(f"{folder}/{step}")
-        return spark.read.parquet(f"{folder}/{step}")
-
     warm = with_halo(points, WARM_FRAMES, 0, size=size)
-    states = stored(warm.groupBy(*keys, "_chunk").applyInPandas(guess, f"{types}, _chunk long, {_STATE}"), 0)
+    states = stored(warm.groupBy(*keys, "_chunk").applyInPandas(guess, f"{types}, _chunk long, {_STATE}"))
     order = Window.partitionBy(*keys).orderBy("_chunk")
-    step = 0
     while True:
         wanted = states.withColumns({f"want_{c}": F.lag(f"out_{c}").over(order) for c in "xyc"})
         differs = F.lit(False)
@@ -96,9 +89,8 @@ def position_check(df: DataFrame, x: str, y: str, max_dist: float = 20, max_coun
         wrong = wanted.where(F.col("want_c").isNotNull() & differs).select(*keys, "_chunk", "want_x", "want_y", "want_c")
         if wrong.isEmpty():
             break
-        step += 1
         again = points.join(wrong, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(rerun, f"{types}, _chunk long, {_STATE}")
-        states = stored(states.join(wrong.select(*keys, "_chunk"), [*keys, "_chunk"], "left_anti").unionByName(again), step)
+        states = stored(states.join(wrong.select(*keys, "_chunk"), [*keys, "_chunk"], "left_anti").unionByName(again))
 
     def mark(key, rows):
         rows, px, py = arrays(rows)

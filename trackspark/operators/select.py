@@ -59,3 +59,14 @@ def encode_labels(df: DataFrame, label: str, out: str = "code") -> DataFrame:
 def first_wins_max(value: str, order: str, payload: str) -> Column:
     """Aggregate: payload of the largest value, the smallest ``order`` on ties."""
     return F.max_by(payload, F.struct(F.col(value), -F.col(order)))
+
+
+def top_k(df: DataFrame, keys: tuple, value: str, tie: str, k: int) -> DataFrame:
+    """The k rows with the largest value per key (smallest ``tie`` first), with their rank.
+
+    Rows are thinned to k per key and slice of the tie column before the final ranking, so a hot key is ranked by many tasks.
+    """
+    part = F.pmod(F.hash(tie), F.lit(64))
+    order = [F.col(value).desc(), F.col(tie)]
+    thin = df.withColumn("_s", part).withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(*order))).where(F.col("_r") <= k)
+    return thin.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k).drop("_s", "_r")

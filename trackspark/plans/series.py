@@ -81,8 +81,7 @@ def _(spark, sf):
 def _(spark, sf):
     g = bind.gap_tracks(spark, sf)
     g = g.withColumn("mean_before", F.when(F.col("frame") >= 3, F.col("signal"))).withColumn("mean_after", F.col("mean_before"))
-    a = fill.fill_mean(g, ["mean_before"], mean_after_fill=False)
-    return fill.fill_mean(a, ["mean_after"], mean_after_fill=True).select("track_id", "frame", "mean_before", "mean_after")
+    return fill.fill_mean(g, ["mean_before", "mean_after"], late=["mean_after"]).select("track_id", "frame", "mean_before", "mean_after")
 
 
 NEIGHBOURS = f"""nb AS (SELECT track_id, frame, signal,

@@ -64,3 +64,10 @@ def scratch_dir(spark: SparkSession) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     return f"{base}/trackspark-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the scratch folder and read it back: ends a long plan and keeps its rows across lost executors."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
