@@ -85,7 +85,9 @@ def density_valleys(grid: DataFrame, keys=("loop_id",)) -> DataFrame:
 
 def valley_threshold(valleys: DataFrame) -> DataFrame:
     """Mean and exact median of the valley positions."""
+    from ..sources.tables import stored
     from .quantile import exact_quantiles
 
+    valleys = stored(valleys)
     mean = valleys.agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("valleys"))
     return mean.crossJoin(exact_quantiles(valleys, [], "x", {"median": 0.5}))  # two one-row tables

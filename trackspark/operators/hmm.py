@@ -123,87 +123,118 @@ def categorical_start(states: int, codes: int, sticky: float = 0.9) -> HMM:
 
 
 # --- recursions inside one chunk (numpy) -------------------------------------------------------------------------------
-def _scaled(model: HMM, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+# The rows of a chunk form about sqrt(n) blocks that advance together: the block products give the vectors at the block
+# borders, from which all blocks run their recursion side by side.
+def _steps(model: HMM, x: np.ndarray, first: bool, best: bool) -> tuple[np.ndarray, float]:
+    """(blocks, rows, K, K) step matrices, padded with neutral steps, and the log scale taken out of them.
+
+    The first row of a track has no transition into it.
+    """
+    k, n = model.states, len(x)
     lb = model.emission.log_prob(x)
-    top = lb.max(axis=1)
-    return np.exp(lb - top[:, None]), top
+    with np.errstate(divide="ignore"):
+        if best:
+            step = np.log(model.trans)[None] + lb[:, None, :]
+            neutral, log = np.where(np.eye(k) > 0, 0.0, -np.inf), 0.0
+            opening = neutral + lb[0][None, :]
+        else:
+            top = lb.max(axis=1)
+            b = np.exp(lb - top[:, None])
+            step, neutral, log = model.trans[None] * b[:, None, :], np.eye(k), top.sum()
+            opening = np.diag(b[0])
+    if first:
+        step[0] = opening
+    rows = int(np.ceil(np.sqrt(n)))
+    blocks = -(-n // rows)
+    pad = np.broadcast_to(neutral, (blocks * rows - n, k, k))
+    return np.concatenate([step, pad]).reshape(blocks, rows, k, k), log
 
 
-def chunk_product(model: HMM, x: np.ndarray, first: bool, best: bool) -> np.ndarray:
-    """Log of the K x K product over the rows of a chunk; ``best`` uses (max, +) instead of (+, x).
+def _times(a: np.ndarray, b: np.ndarray, best: bool) -> np.ndarray:
+    return (a[..., :, :, None] + b[..., None, :, :]).max(axis=-2) if best else a @ b
 
-    The first row of a track has no transition into it.
-    """
-    k = model.states
+
+def _left(v: np.ndarray, m: np.ndarray, best: bool) -> np.ndarray:
+    return (v[..., :, None] + m).max(axis=-2) if best else (v[..., None, :] @ m)[..., 0, :]
+
+
+def _right(m: np.ndarray, v: np.ndarray, best: bool) -> np.ndarray:
+    return (m + v[..., None, :]).max(axis=-1) if best else (m @ v[..., :, None])[..., 0]
+
+
+def _even(v: np.ndarray, best: bool, axes) -> tuple[np.ndarray, np.ndarray]:
+    """Take the largest entry out; returns the rest and its log."""
+    top = v.max(axis=axes, keepdims=True)
     if best:
-        with np.errstate(divide="ignore"):
-            la = np.log(model.trans)
-        lb = model.emission.log_prob(x)
-        m = np.where(np.eye(k) > 0, 0.0, -np.inf)
-        for t in range(len(x)):
-            m = (m if first and t == 0 else (m[:, :, None] + la[None]).max(axis=1)) + lb[t]
-        return m
-    b, top = _scaled(model, x)
-    m, log = np.eye(k), top.sum()
-    for t in range(len(x)):
-        m = (m if first and t == 0 else m @ model.trans) * b[t]
-        s = m.max()
-        m, log = m / s, log + np.log(s)
+        return v - top, np.squeeze(top, axes)
+    return v / top, np.log(np.squeeze(top, axes))
+
+
+def _block_products(steps: np.ndarray, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    m, log = _even(steps[:, 0], best, (1, 2))
+    for t in range(1, steps.shape[1]):
+        m, more = _even(_times(m, steps[:, t], best), best, (1, 2))
+        log = log + more
+    return m, log
+
+
+def chunk_product(model: HMM, x: np.ndarray, first: bool, best: bool) -> np.ndarray:
+    """Log of the K x K product over the rows of a chunk; ``best`` uses (max, +) instead of (+, x)."""
+    steps, scale = _steps(model, x, first, best)
+    blocks, logs = _block_products(steps, best)
+    m, log = blocks[0], logs.sum() + scale
+    for nxt in blocks[1:]:
+        m, more = _even(_times(m, nxt, best), best, (0, 1))
+        log = log + more
     with np.errstate(divide="ignore"):
-        return np.log(m) + log
+        return (m if best else np.log(m)) + log
+
+
+def _runs(steps: np.ndarray, enter: np.ndarray, leave: np.ndarray, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Forward vector after and backward vector after every row, each up to a factor (rows, K)."""
+    blocks, _ = _block_products(steps, best)
+    nb, rows, k, _ = steps.shape
+    ins, outs = np.empty((nb, k)), np.empty((nb, k))
+    v = _even(enter, best, 0)[0]
+    for i in range(nb):
+        ins[i] = v
+        v = _even(_left(v, blocks[i], best), best, 0)[0]
+    v = _even(leave, best, 0)[0]
+    for i in range(nb - 1, -1, -1):
+        outs[i] = v
+        v = _even(_right(blocks[i], v, best), best, 0)[0]
+    ahead, behind = np.empty((nb, rows, k)), np.empty((nb, rows, k))
+    v = ins
+    for t in range(rows):
+        v = _even(_left(v, steps[:, t], best), best, (1,))[0]
+        ahead[:, t] = v
+    v = outs
+    for t in range(rows - 1, -1, -1):
+        behind[:, t] = v
+        v = _even(_right(steps[:, t], v, best), best, (1,))[0]
+    return ahead.reshape(-1, k), behind.reshape(-1, k)
 
 
 def chunk_posterior(model: HMM, x: np.ndarray, first: bool, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """gamma (n, K) and summed xi (K, K) of a chunk from the scaled vectors entering it and following it."""
-    b, _ = _scaled(model, x)
-    n, k = b.shape
-    alpha, beta, xi = np.empty((n, k)), np.empty((n, k)), np.zeros((k, k))
-    prev = enter
-    for t in range(n):
-        a = (prev if first and t == 0 else prev @ model.trans) * b[t]
-        alpha[t] = prev = a / a.sum()
-    nxt = leave / leave.sum()
-    for t in range(n - 1, -1, -1):
-        beta[t] = nxt
-        v = model.trans @ (b[t] * nxt)
-        nxt = v / v.sum()
+    """gamma (n, K) and summed xi (K, K) of a chunk from the vectors entering it and following it."""
+    n = len(x)
+    steps, _ = _steps(model, x, first, False)
+    alpha, beta = (v[:n] for v in _runs(steps, enter, leave, False))
     gamma = alpha * beta
     gamma /= gamma.sum(axis=1, keepdims=True)
-    before = np.vstack([enter[None], alpha[:-1]])
     lo = 1 if first else 0
-    pair = before[lo:, :, None] * model.trans[None] * (b[lo:] * beta[lo:])[:, None, :]
-    if len(pair):
-        xi = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    before = np.vstack([enter[None], alpha[:-1]])[lo:]
+    pair = before[:, :, None] * steps.reshape(-1, *model.trans.shape)[lo:n] * beta[lo:, None, :]
+    xi = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0) if len(pair) else np.zeros_like(model.trans)
     return gamma, xi
 
 
 def chunk_best(model: HMM, x: np.ndarray, first: bool, enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
-    """Most likely states of a chunk from the max-plus vectors at its borders."""
-    with np.errstate(divide="ignore"):
-        la = np.log(model.trans)
-    lb = model.emission.log_prob(x)
+    """States of the best path through a chunk: at every row the state with the largest best-path score."""
     n = len(x)
-    future = np.empty_like(lb)
-    nxt = leave
-    for t in range(n - 1, -1, -1):
-        future[t] = nxt
-        nxt = (la + (lb[t] + nxt)[None]).max(axis=1)
-        nxt = nxt - nxt.max()
-    path = np.empty(n, dtype=np.int64)
-    score, came = enter, None
-    back = np.empty((n, model.states), dtype=np.int64)
-    for t in range(n):
-        if first and t == 0:
-            score, back[t] = enter + lb[t], np.arange(model.states)
-        else:
-            into = score[:, None] + la
-            back[t] = into.argmax(axis=0)
-            score = into.max(axis=0) + lb[t]
-        score = score - score.max()
-    path[-1] = (score + future[-1]).argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
+    steps, _ = _steps(model, x, first, True)
+    ahead, behind = _runs(steps, enter, leave, True)
+    return (ahead[:n] + behind[:n]).argmax(axis=1).astype(np.int64)
 
 
 # --- Spark passes --------------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluate, hmm, models, ring
 from ..operators.chunk import computed, windowed
 from ..sources import bind
+from ..sources.tables import stored
 from .registry import query
 
 COLS = ["signal", "l_discount", "l_tax"]
@@ -16,7 +17,8 @@ def features(spark, sf):
     """track_id, frame and three smoothed, scaled line features."""
     t = bind.line_tracks(spark, sf, "l_discount", "l_tax")
     t = windowed(t, lambda w: {c: F.avg(c).over(w.rowsBetween(-9, 0)) for c in COLS}, before=9)
-    return models.scale(t, models.fit_scaler(t, COLS), COLS).select("track_id", "frame", *COLS)
+    t = stored(t.select("track_id", "frame", *COLS))  # read by several fits
+    return models.scale(t, models.fit_scaler(t, COLS), COLS)
 
 
 def _manual(df):
@@ -44,12 +46,11 @@ def _(spark, sf):
 
 @query("silhouette", "M5 M4")
 def _(spark, sf):
-    f = features(spark, sf).persist()
+    f = features(spark, sf)
     rows = []
     for k in (2, 3, 4):
         km = models.fit_kmeans(f, COLS, k, restarts=1)
         rows.append((k, models.silhouette(models.label_clusters(f, COLS, km), COLS)))
-    f.unpersist()
     return spark.createDataFrame(rows, "k int, silhouette double")
 
 
@@ -99,13 +100,12 @@ def _(spark, sf):
 
 @query("information_criteria", "M14")
 def _(spark, sf):
-    f = features(spark, sf).persist()
+    f = features(spark, sf)
     n = f.count()
     rows = []
     for k in (2, 3):
         m = hmm.fit(f, COLS, _gaussian(f, k), rounds=2)
         rows.append((k, len(COLS), m.trace[-1], n))
-    f.unpersist()
     return evaluate.information_criteria(spark.createDataFrame(rows, "k int, d int, ll double, n long"))
 
 
@@ -144,7 +144,6 @@ def _(spark, sf):
 
 @query("subset_search", "E9 T1")
 def _(spark, sf):
-    f = _manual(features(spark, sf)).persist()
+    f = _manual(features(spark, sf))
     out = models.subset_search(f, ["signal"], ["l_discount", "l_tax"], "manual", [2, 3], repeats=1)
-    f.unpersist()
     return out
