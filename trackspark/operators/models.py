@@ -39,19 +39,19 @@ def sine_fit(df: DataFrame, value: str, keys=("track_id",), rates: list[float] |
     rows = df.where(v.isNotNull()).select(*keys, "frame", value, F.explode(F.array(*[F.lit(b) for b in rates])).alias("b"))
     s, c = F.sin(F.col("b") * t), F.cos(F.col("b") * t)
     m = rows.groupBy(*keys, "b").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(s).alias("S"), F.sum(c).alias("C"), F.sum(s * s).alias("SS"), F.sum(c * c).alias("CC"), F.sum(s * c).alias("SC"),
-        F.sum(v).alias("V"), F.sum(v * s).alias("VS"), F.sum(v * c).alias("VC"), F.sum(v * v).alias("VV"))
+        F.count(F.lit(1)).alias("n"), F.sum(s).alias("sum_S"), F.sum(c).alias("sum_C"), F.sum(s * s).alias("sum_SS"), F.sum(c * c).alias("sum_CC"), F.sum(s * c).alias("sum_SC"),
+        F.sum(v).alias("sum_V"), F.sum(v * s).alias("sum_VS"), F.sum(v * c).alias("sum_VC"), F.sum(v * v).alias("sum_VV"))
     x = lambda name: F.col(name)
     # centred normal equations in (a1, a2)
-    ss, cc, sc = x("SS") - x("S") * x("S") / x("n"), x("CC") - x("C") * x("C") / x("n"), x("SC") - x("S") * x("C") / x("n")
-    vs, vc = x("VS") - x("V") * x("S") / x("n"), x("VC") - x("V") * x("C") / x("n")
+    ss, cc, sc = x("sum_SS") - x("sum_S") * x("sum_S") / x("n"), x("sum_CC") - x("sum_C") * x("sum_C") / x("n"), x("sum_SC") - x("sum_S") * x("sum_C") / x("n")
+    vs, vc = x("sum_VS") - x("sum_V") * x("sum_S") / x("n"), x("sum_VC") - x("sum_V") * x("sum_C") / x("n")
     det = ss * cc - sc * sc
     m = m.withColumns({"a1": F.try_divide(vs * cc - vc * sc, det), "a2": F.try_divide(vc * ss - vs * sc, det)})
     m = m.withColumn("c", F.atan2("a2", "a1"))
     p, q = amplitude * F.cos("c"), amplitude * F.sin("c")  # amplitude * sin(bt + c) = p sin(bt) + q cos(bt)
-    m = m.withColumn("d", (x("V") - p * x("S") - q * x("C")) / x("n"))
+    m = m.withColumn("d", (x("sum_V") - p * x("sum_S") - q * x("sum_C")) / x("n"))
     d = F.col("d")
-    err = (x("VV") + p * p * x("SS") + q * q * x("CC") + d * d * x("n") + 2 * (p * q * x("SC") - p * x("VS") - q * x("VC") + d * (p * x("S") + q * x("C") - x("V")))) / x("n")
+    err = (x("sum_VV") + p * p * x("sum_SS") + q * q * x("sum_CC") + d * d * x("n") + 2 * (p * q * x("sum_SC") - p * x("sum_VS") - q * x("sum_VC") + d * (p * x("sum_S") + q * x("sum_C") - x("sum_V")))) / x("n")
     return m.withColumn("error", err).groupBy(*keys).agg(F.min_by(F.struct("b", "c", "d", "error"), F.struct("error", "b")).alias("f")).select(*keys, "f.*")
 
 

@@ -104,7 +104,7 @@ def spine_curves(df: DataFrame, parts: list[str], keys=("track_id", "frame"), sa
     null = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c))
     out = [F.array(*[null(f"{v}{i}") for i in range(n)]).alias(name) for v, name in (("c", "curvature"), ("t", "tangent"), ("s", "slope"), ("h", "heading"))]
     if samples:
-        out.append(F.expr("CASE WHEN NOT isnan(px[0]) THEN transform(px, (x, i) -> named_struct('x', x, 'y', py[i])) END").alias("path"))
+        out.append(F.expr("CASE WHEN px[0] IS NOT NULL AND NOT isnan(px[0]) THEN transform(px, (x, i) -> named_struct('x', x, 'y', py[i])) END").alias("path"))
     return r.select(*keys, *out)
 
 
