@@ -78,9 +78,8 @@ def first_steady_frame(candidates: DataFrame, valid: Column, need: int = 50, key
     return p.groupBy(*keys).agg(F.min("frame").alias("start_frame"))
 
 
-def repeat_codes(codes: DataFrame, idx: str = "idx", code: str = "code", duration: str = "duration", keys=()) -> DataFrame:
+def repeat_codes(codes: DataFrame, idx: str = "idx", code: str = "code", duration: str = "duration", keys=("track_id",)) -> DataFrame:
     """Each code repeated for its own number of frames, in idx order."""
-    w = Window.partitionBy(*keys).orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
-    c = codes.withColumn("_start", F.coalesce(F.sum(duration).over(w), F.lit(0)))
+    c = scan(codes, {"_end": ("sum", F.col(duration))}, keys=keys, frame=idx)
     return c.where(F.col(duration) > 0).select(
-        *keys, idx, code, F.explode(F.expr(f"sequence(_start, _start + {duration} - 1)")).alias("frame"))
+        *keys, idx, code, F.explode(F.expr(f"sequence(_end - {duration}, _end - 1)")).alias("frame"))

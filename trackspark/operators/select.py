@@ -35,9 +35,9 @@ def clock(df: DataFrame, fps: int = FPS) -> DataFrame:
 def split_tracks(df: DataFrame, share: float = 0.75, out: str = "part") -> DataFrame:
     """First ``share`` of the tracks by id are 'train', the rest 'test'."""
     # one row per track is ordered here, never one per frame
-    pos = df.select("track_id").distinct().select(
-        "track_id", F.percent_rank().over(Window.orderBy("track_id")).alias("_r"), F.row_number().over(Window.orderBy("track_id")).alias("_i"),
-        F.count(F.lit(1)).over(Window.orderBy("track_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"))
+    tracks = df.select("track_id").distinct()
+    total = tracks.agg(F.count(F.lit(1)).alias("_n"))
+    pos = tracks.withColumn("_i", F.row_number().over(Window.orderBy("track_id"))).crossJoin(F.broadcast(total))  # one row
     part = pos.select("track_id", F.when(F.col("_i") <= share * F.col("_n"), "train").otherwise("test").alias(out))
     return df.join(part, "track_id")
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.chunk import with_chunk
 from .schema import check_schema
 
 
@@ -43,7 +44,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", **options)
 
 
 def write_results(df: DataFrame, path: str, by=("track_id",), mode: str = "errorifexists", fmt: str = "parquet") -> None:
-    """One directory per track; rows are spread by (track, chunk) so a long track is written by several tasks."""
+    """One directory per key. Rows are first gathered by key and frame chunk, so a key gets few files and a long track
+    is still written by many tasks."""
+    if "frame" in df.columns:
+        df = with_chunk(df).repartition(*by, "_chunk").drop("_chunk")
     df.write.mode(mode).partitionBy(*by).format(fmt).save(path)
 
 
