@@ -118,3 +118,10 @@ def test_quantiles_with_one_value_dominating(spark):
     rows = spark.range(1001).select(F.lit(1).alias("k"), F.when(F.col("id") < 700, 5.0).otherwise(F.col("id") * 1.0).alias("v"))
     r = exact_quantiles(rows, ["k"], "v", {"a": 0.5, "b": 0.7, "c": 0.9995}).first()
     assert (r.a, r.b) == (5.0, 700.0) and abs(r.c - 999.5) < 1e-9
+
+
+def test_scratch_is_the_shared_folder(spark):
+    from trackspark.sources.tables import scratch_dir, stored
+
+    assert scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert stored(spark.range(5)).count() == 5

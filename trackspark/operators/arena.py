@@ -10,6 +10,7 @@ from .rates import any_of
 
 def zones(x: int, y: int, box: int, arm: int) -> list[tuple[str, int, int, int, int]]:
     """Named zones of a plus-shaped arena as (zone, x0, y0, x1, y1); earlier zones win shared borders."""
+    # Zone names and their order.
     return [
         ("Center", x, y, x + box, y + box),
         ("Closed_left", x - arm, y, x, y + box),

@@ -62,11 +62,16 @@ def concat_features(base: DataFrame, *tables: DataFrame, keys=("track_id", "fram
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where none is configured."""
+    """A new path in the cluster's shared folder; a local folder only in local mode without one."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.gettempdir()
     return f"{base}/trackspark-{uuid.uuid4().hex}"
 
 
