@@ -1,6 +1,10 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from . import exact_dedup
+from . import exact_dedup, near_dedup, repeats
 
-QUERIES = {"op4_exact_dedup": exact_dedup.op4_exact_dedup}
+QUERIES = {
+    "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op8_suffix_dedup": repeats.op8_suffix_dedup,
+}
 ORACLES = {"op4_exact_dedup": exact_dedup.SQL}
