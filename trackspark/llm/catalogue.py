@@ -1,10 +1,14 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from . import exact_dedup, near_dedup, repeats
+from . import decontaminate, exact_dedup, language, near_dedup, repeats, token_counts, token_files
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op7_token_files": token_files.op7_token_files,
     "op8_suffix_dedup": repeats.op8_suffix_dedup,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES = {"op4_exact_dedup": exact_dedup.SQL}

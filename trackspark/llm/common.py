@@ -106,21 +106,23 @@ _is_space[list(SPACES)] = True
 _word_hash = RangeHash(7, lower=True)
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (bytes between ASCII white space, A-Z lower-cased), and the number of words of each text."""
+def words(data: np.ndarray, at: np.ndarray, between: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word (bytes between ASCII white space, A-Z lower-cased), and the number of words of each text.
+    ``between``: another table of the bytes that separate words."""
+    apart = _is_space if between is None else between
     n, hashes, starts = len(data), [], []
     lo = 0
     while lo < n:
         hi = min(n, lo + PIECE)
         while hi < n:  # cut at a white space or a new text
-            blank = np.flatnonzero(_is_space[data[lo:hi]])
+            blank = np.flatnonzero(apart[data[lo:hi]])
             cut = max(lo + int(blank[-1]) + 1 if len(blank) else 0, int(at[np.searchsorted(at, hi, "right") - 1]))
             if cut > lo:
                 hi = cut
                 break
             hi = min(n, hi + PIECE)
         part = data[lo:hi]
-        inside = ~_is_space[part]
+        inside = ~apart[part]
         begin = inside.copy()
         begin[1:] &= ~inside[:-1]
         first = at[np.searchsorted(at, lo) : np.searchsorted(at, hi)] - lo
