@@ -1,14 +1,21 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact_dedup, language, near_dedup, repeats, token_counts, token_files
+from . import decontaminate, exact_dedup, language, line_windows, mixing, near_dedup, personal, repeats, token_counts, token_files
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_personal_data": personal.op3_personal_data,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_near_dedup": near_dedup.op5_near_dedup,
+    "op6_line_windows": line_windows.op6_line_windows,
     "op7_token_files": token_files.op7_token_files,
     "op8_suffix_dedup": repeats.op8_suffix_dedup,
+    "op9_mixing": mixing.op9_mixing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLES = {"op4_exact_dedup": exact_dedup.SQL}
+ORACLES = {
+    "op4_exact_dedup": exact_dedup.SQL,
+    "op6_line_windows": line_windows.SQL,
+    "op9_mixing": mixing.SQL,
+}
