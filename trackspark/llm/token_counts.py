@@ -110,10 +110,10 @@ def _long_counts(rows: DataFrame, name: str, size: int, overlap: int) -> DataFra
     chunks = rows.select("row", "text").mapInArrow(_cut(size, overlap), CHUNKS).repartition("row", "no")
     coded = chunks.mapInArrow(_encode(name, overlap), ENCODED)
     after = Window.partitionBy("row").orderBy("no")
-    seam = F.array_intersect("tail", F.col("next.head"))[0]
+    seam = F.get(F.array_intersect("tail", F.col("next.head")), F.lit(0))
     ends = (coded.withColumn("next", F.lead(F.struct("head", "head_before")).over(after)).withColumn("seam", seam)
-            .select("row", "last", F.when(F.col("last"), F.col("total")).otherwise(F.col("tail_before")[F.array_position("tail", F.col("seam")).cast("int") - 1]).alias("upto"),
-                    F.when(F.col("last"), F.lit(0)).otherwise(F.col("next.head_before")[F.array_position("next.head", F.col("seam")).cast("int") - 1]).alias("skipped")))
+            .select("row", "last", F.when(F.col("last"), F.col("total")).otherwise(F.get("tail_before", F.array_position("tail", F.col("seam")).cast("int") - 1)).alias("upto"),
+                    F.when(F.col("last"), F.lit(0)).otherwise(F.get(F.col("next.head_before"), F.array_position("next.head", F.col("seam")).cast("int") - 1)).alias("skipped")))
     # a seam adds the tokens before it in the left chunk and takes away those before it in the right one
     sums = stored(ends.groupBy("row").agg(F.sum("upto").alias("plus"), F.sum("skipped").alias("minus"), F.bool_or(F.col("upto").isNull()).alias("failed"))
                   .select("row", (F.col("plus") - F.col("minus")).alias("n_tokens"), "failed"))
