@@ -8,13 +8,14 @@ bin j. The least value of a bin is its coordinate, so a document stops at the fi
 2T rounds always fill all. Long documents end after one or two rounds, short ones still get every coordinate, and the share of
 equal coordinates concentrates around the similarity as with T independent permutations.
 
-Bands: 40 bands of 5 coordinates miss a pair at 0.75 with a chance of 2e-5. The lowest bits of all 256 coordinates bound the
-similarity of a candidate: pairs at 0.75 differ in 32 of 256 bits, with a standard deviation of 5.3; up to 62 are let through.
+Bands: 40 bands of 5 coordinates miss a pair at 0.75 with a chance of 2e-5.
 
-Links, without all pairs of a group: documents of equal sets are linked to the smallest id. Every other document is verified
-against the centre (smallest id) it shares most bands with, and components are formed. What remains are pairs of one bucket in
-different components; they are verified, all of them. No link between different components can be lost that way, and links
-within a component change nothing.
+Links, without rows for all pairs of a group: documents of equal sets are linked to the smallest id. Every other document is
+verified against the centre (smallest id of a bucket) it shares most bands with, and components are formed. What remains are pairs
+of one bucket in different components. Buckets of the same documents are looked at once; of a bucket's largest component only
+the other rows' partners matter. A bucket is cut into cells of a bounded number of shingles, rows against columns, and a cell counts
+the common shingles of all its pairs exactly and gives one link for each row and other component. No link between different
+components is lost that way, and links within a component change nothing.
 
 Repeated rows: links are between doc_ids; each row with an id is compared with its own set, and the id is linked when one of its
 rows is. Rows without doc_id are returned as unlinked and kept, since nothing could name them. Null and empty texts are unlinked.
@@ -35,9 +36,10 @@ from .graph import components
 
 WIDTH = 5
 NUM, DEN = 75, 100
-BINS, BANDS, BAND_ROWS = 256, 40, 5
-#: Most differing sketch bits of a candidate pair.
-MOST_BITS = 62
+BANDS, BAND_ROWS = 40, 5
+BINS = BANDS * BAND_ROWS
+#: Shingles of the rows, and of the columns, that one task compares at a time.
+CELL = 300_000
 _EMPTY = ~U(0)
 _place = constants(11, 16)
 _round = constants(12, 2 * BINS)
@@ -89,7 +91,7 @@ def sketches(x: np.ndarray, count: np.ndarray) -> np.ndarray:
     return bins.reshape(n, BINS)
 
 
-SKETCHED = "doc_id long, n long, set1 long, set2 long, bits array<long>, bands array<long>"
+SKETCHED = "doc_id long, n long, set1 long, set2 long, bands array<long>"
 
 
 def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +100,12 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sketches(x, count)
         edge = np.concatenate(([0], np.cumsum(count)))
         full = count > 0
-        band = (s[full, : BANDS * BAND_ROWS] * _band).reshape(-1, BANDS, BAND_ROWS).sum(axis=2)
+        band = (s[full] * _band).reshape(-1, BANDS, BAND_ROWS).sum(axis=2)
         band = mix(band + np.arange(BANDS, dtype=U) * U(0x9E3779B97F4A7C15))
-        bit = np.packbits((s & U(1)).astype(np.uint8), axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays([
             part.column("doc_id"), pa.array(count), *(pa.array(sums_per(mix(x ^ k), edge).view(np.int64)) for k in _set),
-            lists(bit.ravel(), np.full(len(count), BINS // 64)), lists(band.ravel().view(np.int64), np.where(full, BANDS, 0)),
-        ], names=["doc_id", "n", "set1", "set2", "bits", "bands"])
+            lists(band.ravel().view(np.int64), np.where(full, BANDS, 0)),
+        ], names=["doc_id", "n", "set1", "set2", "bands"])
 
 
 def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +136,46 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return full.mapInArrow(_confirmed, "a long, b long")
 
 
-def _close(x: str, y: str):
-    """Whether sizes and sketch bits of two rows allow a link."""
-    bits = reduce(lambda p, q: p + q, (F.bit_count(F.col(f"{x}_bits")[i].bitwiseXOR(F.col(f"{y}_bits")[i])) for i in range(BINS // 64)))
-    lo, hi = F.least(f"{x}_n", f"{y}_n"), F.greatest(f"{x}_n", f"{y}_n")
-    return (DEN * lo >= NUM * hi) & (bits <= MOST_BITS)
+def _across(cell: pa.Table) -> pa.Table:
+    """Links of the rows (left) of a cell to its columns (right) in other components, one for each component."""
+    x, count = shingles(*utf8(cell.column("text")))
+    cell, count = cell.filter(pa.array(count > 0)), count[count > 0]
+    d, part, left, right = (cell.column(c).to_numpy() for c in ("d", "p", "left", "right"))
+    known, number = np.unique(x, return_inverse=True)
+    edge = np.concatenate(([0], np.cumsum(count)))
+    mark, a, b = np.zeros(len(known), np.int32), [], []
+    for i in np.flatnonzero(left).tolist():
+        mine = number[edge[i] : edge[i + 1]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[number], edge[:-1])
+        mark[mine] = 0
+        ok = np.flatnonzero(right & (part != part[i]) & (DEN * both >= NUM * (count + count[i] - both)))
+        if len(ok):
+            other = ok[np.unique(part[ok], return_index=True)[1]]
+            a += [d[i]] * len(other)
+            b += d[other].tolist()
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _between(shared: DataFrame, part: DataFrame, texts: DataFrame) -> DataFrame:
+    """All links between documents of one bucket in different components."""
+    placed = shared.join(part.select(F.col("a").alias("d"), F.col("b").alias("p")), "d", "left").withColumn("p", F.coalesce("p", "d"))
+    code = F.xxhash64("d")
+    parts = placed.groupBy("band", "p").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size"), F.bit_xor(code).alias("x"), F.sum(F.shiftright(F.xxhash64(code), 20)).alias("y"))
+    order = F.struct("m", -F.col("p"))
+    buckets = (parts.groupBy("band").agg(F.max_by("p", order).alias("main"), F.max_by("size", order).alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts"),
+                                         F.sum("m").alias("m"), F.bit_xor("x").alias("x"), F.sum("y").alias("y")).where("parts > 1"))
+    # the same documents in several bands are one bucket
+    buckets = (buckets.groupBy("m", "x", "y").agg(F.min_by(F.struct("band", "main", "size", "most"), "band").alias("u"))
+               .select("u.band", "u.main", (F.floor((F.col("u.size") - F.col("u.most")) / CELL) + 1).cast("int").alias("rows"), (F.floor(F.col("u.size") / CELL) + 1).cast("int").alias("columns")))
+    of = placed.join(buckets, "band").withColumns({"i": F.pmod(code, "rows").cast("int"), "j": F.pmod(F.shiftright(code, 32), "columns").cast("int")})
+    column = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda k: F.struct(k.alias("r"), F.col("j").alias("c")))
+    row = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda k: F.struct(F.col("i").alias("r"), k.alias("c")))
+    cells = F.when(F.col("p") == F.col("main"), column).otherwise(F.array_union(column, row))
+    spread = (of.select("band", "d", "p", "i", "j", "main", F.inline(cells))
+              .select("band", "r", "c", "d", "p", ((F.col("p") != F.col("main")) & (F.col("i") == F.col("r"))).alias("left"), (F.col("j") == F.col("c")).alias("right")))
+    full = spread.join(texts.select(F.col("doc_id").alias("d"), "text"), "d")
+    return full.groupBy("band", "r", "c").applyInArrow(_across, "a long, b long")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -147,34 +183,20 @@ def near_groups(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     rows = stored(docs.mapInArrow(_sketched, SKETCHED))
     named = rows.where("doc_id is not null and n > 0")
-    equal = named.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("doc_id"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    equal = named.groupBy("n", "set1", "set2").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     same = (named.select("doc_id", "n", "set1", "set2").join(equal.where("copies > 1").select("n", "set1", "set2", F.col("doc_id").alias("b")), ["n", "set1", "set2"])
             .where("doc_id != b").select(F.col("doc_id").alias("a"), "b"))
     # one row per set and band; buckets of one set are dropped
-    banded = equal.select(F.col("doc_id").alias("d"), "n", "bits", F.explode("bands").alias("band"))
-    centre = banded.groupBy("band").agg(F.min_by(F.struct("d", "n", "bits"), "d").alias("c"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = stored(banded.join(centre.select("band", "c"), "band"))
+    banded = equal.select(F.col("doc_id").alias("d"), "n", F.explode("bands").alias("band"))
+    centre = banded.groupBy("band").agg(F.min("d").alias("centre"), F.max("d").alias("last")).where("centre != last").drop("last")
+    shared = stored(banded.join(centre, "band"))
 
-    star = (shared.where("d != c.d").select(F.col("d"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits"), F.col("c.d").alias("b"), F.col("c.n").alias("y_n"), F.col("c.bits").alias("y_bits"))
-            .where(_close("x", "y")).groupBy(F.col("d").alias("a"), "b").agg(F.count(F.lit(1)).alias("shared")))
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
+    star = shared.where("d != centre").groupBy(F.col("d").alias("a"), F.col("centre").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
+    best = star.groupBy("a").agg(F.max_by("b", F.struct("bands", -F.col("b"))).alias("b"))
     texts = stored(docs.join(shared.select(F.col("d").alias("doc_id")).distinct(), "doc_id"))
     links = stored(same.unionByName(_verified(best, texts)))
     part = components(links)
-
-    # what is left: rows of one bucket in different components
-    placed = (shared.select("d", "n", "bits", "band").join(part.select(F.col("a").alias("d"), F.col("b").alias("p")), "d", "left")
-              .withColumn("p", F.coalesce("p", "d")))
-    # of a bucket's largest component only the other rows' partners are looked at
-    main = (placed.groupBy("band", "p").agg(F.count(F.lit(1)).alias("m")).groupBy("band")
-            .agg(F.max_by("p", F.struct("m", -F.col("p"))).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts"))
-    mixed = stored(placed.join(main, "band"))
-    left = mixed.where("p != main").select("band", F.col("d").alias("a"), F.col("p").alias("p1"), F.col("n").alias("x_n"), F.col("bits").alias("x_bits"))
-    right = mixed.select(F.col("band").alias("band2"), F.col("d").alias("b"), F.col("p").alias("p2"), "main", F.col("n").alias("y_n"), F.col("bits").alias("y_bits"))
-    pair = (left.band == right.band2) & (F.col("p1") != F.col("p2")) & ((F.col("p2") == F.col("main")) | (F.col("a") < F.col("b")))
-    rest = (left.join(right, pair & _close("x", "y")).select("a", "b").distinct()
-            .join(best.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").join(best, ["a", "b"], "left_anti"))
-    more = stored(_verified(stored(rest), texts))
+    more = stored(_between(shared.select("d", "n", "band"), part, texts))
     part = components(part.unionByName(more))
     return (rows.select("doc_id", F.col("n").alias("n_shingles")).join(part.select(F.col("a").alias("doc_id"), "b"), "doc_id", "left")
             .select("doc_id", "n_shingles", F.coalesce("b", "doc_id").alias("component_id"), F.col("b").isNull().alias("kept")))
