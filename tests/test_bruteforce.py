@@ -67,6 +67,17 @@ def test_stream_position_check(spark, tmp_path, walkers):
     assert [v is not None for v in column(got, "x")] == want
 
 
+def test_stream_position_check_in_any_order(spark, tmp_path, walkers):
+    """Files that bring later frames first change nothing."""
+    from trackspark.streaming import live
+
+    for step in (2, 0, 3, 1):
+        table(spark, walkers).where(F.expr(f"frame div 100 = {step}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = live.read_stream(spark, str(tmp_path / "in"), table(spark, walkers).schema, files_per_batch=1)
+    want = [ok for _, x, y in walkers for ok in plain_check(x, y, 20, 7)]
+    assert [v is not None for v in column(live.run_available(live.position_check(stream, max_dist=20)), "x")] == want
+
+
 def plain_spline(p):
     """Not-a-knot cubic by one dense system in monomial coefficients per segment."""
     u = np.concatenate([[0], np.cumsum(np.hypot(*np.diff(p, axis=0).T))])
@@ -241,7 +252,50 @@ def test_hmm_against_enumeration():
         want = np.array([[sum(w for w, p in zip(weight, paths) if p[i] == k) for k in range(3)] for i in range(7)])
         assert np.allclose(gamma, want)
         assert np.allclose(xi, [[sum(w * sum(p[i] == a and p[i + 1] == b for i in range(6)) for w, p in zip(weight, paths)) for b in range(3)] for a in range(3)])
-        assert tuple(hmm.chunk_best(m, x, True, np.log(m.start), np.zeros(3))) == paths[score.argmax()]
+        assert tuple(hmm.chunk_best(m, x, True, np.log(m.start), None)) == paths[score.argmax()]
+        assert np.isclose(hmm.track_posterior(m, x)[2], total)
+
+
+@pytest.mark.parametrize("size", [3, 100])
+def test_hmm_path_does_not_splice_ties(spark, size):
+    """Two equal emissions and a forced alternation: both best paths are possible, a mixture of them is not."""
+    m = hmm.HMM(np.array([0.5, 0.5]), np.array([[0.0, 1.0], [1.0, 0.0]]), hmm.CategoricalEmission(np.array([[1.0], [1.0]])))
+    df = spark.createDataFrame([(1, i, 0.0) for i in range(20)], "track_id long, frame long, code double")
+    got = column(hmm.decode(df, ["code"], m, size=size), "state")
+    assert got in ([0, 1] * 10, [1, 0] * 10)
+
+
+def test_fits_together_are_fits_alone(spark):
+    x = np.where(np.repeat([0, 1, 0], 70)[:, None] == 0, [0.0, 0.0], [4.0, 3.0]) + RNG.normal(size=(210, 2))
+    df = spark.createDataFrame([(t, i, float(a), float(b)) for t in range(3) for i, (a, b) in enumerate(x[t * 30:])], "track_id long, frame long, a double, b double")
+    jobs = [(["a", "b"], hmm.gaussian_start(np.array([[1.0, 1.0], [3.0, 2.0]]), np.stack([np.eye(2)] * 2))), (["b"], hmm.gaussian_start(np.array([[0.0], [2.0]]), np.ones((2, 1, 1))))]
+    both = hmm.fit_many(df, ["a", "b"], jobs, rounds=60)
+    for (cols, start), got in zip(jobs, both):
+        alone = hmm.fit(df, cols, start, rounds=60)
+        assert np.allclose(alone.trace, got.trace) and np.allclose(alone.trans, got.trans)
+        # the last value of the trace belongs to the parameters returned
+        assert np.isclose(hmm.log_likelihood(df, cols, got).agg(F.sum("ll")).first()[0], got.trace[-1])
+        counted = {(r.state): r.size for r in hmm.state_counts(df.withColumn("y", F.lit(1)), ["a", "b"], [(cols, got)], "y").collect()}
+        decoded = column(hmm.decode(df, cols, got), "state")
+        assert counted == {k: decoded.count(k) for k in range(2) if k in counted or decoded.count(k)} | {k: 0 for k in counted if not decoded.count(k)}
+
+
+def test_mixture_likelihood_rises(spark):
+    x = np.concatenate([RNG.normal(-4, 1, 80), RNG.normal(0, 1, 80), RNG.normal(6, 1, 80)])
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(x)], "track_id long, frame long, a double")
+    m = hmm.fit(df, ["a"], hmm.mixture_start(np.array([[-1.0], [5.0]]), np.full((2, 1, 1), 4.0)), rounds=40)
+    assert all(b >= a - 1e-6 for a, b in zip(m.trace, m.trace[1:])) and len(m.trace) > 3
+    assert sorted(np.round(m.emission.means.ravel()))[0] == -4
+
+
+def test_spectral_clusters_are_k(spark):
+    """An outlier does not squeeze the others; k clusters come out for every k and separate blobs are found."""
+    pts = [(0, i, float(a), float(b)) for i, (a, b) in enumerate(np.concatenate([RNG.normal(c, 0.15, (60, 2)) for c in ((0, 0), (3, 0), (0, 3))]))] + [(1, 0, 50.0, 50.0)]
+    df = spark.createDataFrame(pts, "track_id long, frame long, a double, b double")
+    out = models.spectral_clusters(df, ["a", "b"], [2, 3, 4, 5]).toPandas()
+    assert [out[f"cluster_{k}"].nunique() for k in (2, 3, 4, 5)] == [2, 3, 4, 5]
+    blobs = out[out.track_id == 0].sort_values("frame").cluster_4.to_numpy().reshape(3, 60)
+    assert all(len(set(b)) == 1 for b in blobs) and len({b[0] for b in blobs}) == 3
 
 
 def test_hmm_over_chunks(spark, monkeypatch):
@@ -253,6 +307,7 @@ def test_hmm_over_chunks(spark, monkeypatch):
     start = hmm.gaussian_start(np.array([[1.0, 1.0], [3.0, 2.0]]), np.stack([np.eye(2)] * 2))
     whole = hmm.fit(df, ["a", "b"], start, rounds=4, tol=-1)
     chunked = hmm.fit(df, ["a", "b"], start, rounds=4, tol=-1, size=16)
+    assert len(whole.trace) == 5
     assert np.allclose(whole.trace, chunked.trace) and np.allclose(whole.trans, chunked.trans)
     assert all(b >= a - 1e-6 for a, b in zip(whole.trace, whole.trace[1:]))
     best = hmm.decode(df.where("track_id = 0"), ["a", "b"], chunked, size=16)
@@ -277,6 +332,21 @@ def test_sine_fit(spark):
     rows = [(1, i, float(30 * np.sin(0.05 * i + 1) + 70)) for i in range(500)]
     df = spark.createDataFrame(rows, "track_id long, frame long, signal double")
     f = models.sine_fit(df, "signal").first()
-    assert abs(f.b - 0.05) < 1e-9 and abs(f.d - 70) < 1e-6 and f.error < 1e-6
+    assert abs(f.b - 0.05) < 1e-6 and abs(f.d - 70) < 1e-3 and f.error < 1e-5
     e = models.sine_error(df, "signal", models.sine_fit(df, "signal")).agg(F.max("sine_error")).first()[0]
-    assert e < 1e-4
+    assert e < 1e-2
+
+
+def test_sine_fit_is_the_least_error(spark):
+    """Noise and an amplitude of 12 under the fixed 30: no worse than a dense search, and b lies between the candidates."""
+    i = np.arange(400)
+    v = 12 * np.sin(0.0123 * i + 0.7) + 5 + RNG.normal(0, 4, 400)
+    df = spark.createDataFrame([(1, int(k), float(x)) for k, x in zip(i, v)], "track_id long, frame long, signal double")
+    f = models.sine_fit(df, "signal").first()
+    best = np.inf
+    for b in np.arange(0.001, 0.2, 0.0005):
+        for c in np.arange(-np.pi, np.pi, 0.05):
+            r = v - 30 * np.sin(b * i + c)
+            best = min(best, ((r - r.mean()) ** 2).mean())
+    assert f.error <= best + 1e-6
+    assert np.isclose(f.error, ((v - 30 * np.sin(f.b * i + f.c) - f.d) ** 2).mean())

@@ -2,8 +2,9 @@
 
 A track is cut into frame chunks. Per chunk the product of the K x K transition-times-emission matrices is formed; the
 products of a track, one small matrix per chunk, are combined into the vectors entering and leaving every chunk; with
-these the chunk runs its own forward-backward (or max-plus) recursion. No task sees a whole track, and only sums of fixed
-size (K states, d features) reach the driver between rounds.
+these the chunk runs its own forward-backward (or max-plus) recursion. No task sees more than a chunk, and only sums of fixed
+size (K states, d features) reach the driver between rounds. Tracks that fit one chunk need no combining: each round is one pass over
+their chunks. Several models are fitted in the same passes.
 """
 
 from __future__ import annotations
@@ -92,11 +93,53 @@ class CategoricalEmission:
         return CategoricalEmission(self.table[order])
 
 
+class MixtureEmission:
+    """A mixture of full-covariance Gaussians per state: weights (K, G), means (K, G, d), covs (K, G, d, d)."""
+
+    def __init__(self, weights: np.ndarray, means: np.ndarray, covs: np.ndarray, ridge: float = 1e-3):
+        self.weights, self.means, self.covs, self.ridge = np.asarray(weights, float), np.asarray(means, float), np.asarray(covs, float), ridge
+
+    @property
+    def states(self) -> int:
+        return len(self.means)
+
+    def _parts(self) -> GaussianEmission:
+        d = self.means.shape[-1]
+        return GaussianEmission(self.means.reshape(-1, d), self.covs.reshape(-1, d, d), ridge=self.ridge)
+
+    def _logs(self, x: np.ndarray) -> np.ndarray:
+        k, g = self.weights.shape
+        return self._parts().log_prob(x).reshape(len(x), k, g) + np.log(np.maximum(self.weights, 1e-300))
+
+    def log_prob(self, x: np.ndarray) -> np.ndarray:
+        logs = self._logs(x)
+        top = logs.max(axis=2)
+        return top + np.log(np.exp(logs - top[:, :, None]).sum(axis=2))
+
+    def sums(self, x: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+        logs = self._logs(x)
+        share = np.exp(logs - logs.max(axis=2, keepdims=True))
+        share *= (gamma / share.sum(axis=2))[:, :, None]
+        return self._parts().sums(x, share.reshape(len(x), -1))
+
+    def updated(self, s: np.ndarray) -> MixtureEmission:
+        k, g, d = self.means.shape
+        w = np.maximum(s[: k * g].reshape(k, g), 1e-12)
+        parts = self._parts().updated(s)
+        return MixtureEmission(w / w.sum(axis=1, keepdims=True), parts.means.reshape(k, g, d), parts.covs.reshape(k, g, d, d), self.ridge)
+
+    def centers(self) -> np.ndarray:
+        return (self.weights[:, :, None] * self.means).sum(axis=1)
+
+    def reordered(self, order) -> MixtureEmission:
+        return MixtureEmission(self.weights[order], self.means[order], self.covs[order], self.ridge)
+
+
 @dataclass
 class HMM:
     start: np.ndarray
     trans: np.ndarray
-    emission: GaussianEmission | CategoricalEmission
+    emission: GaussianEmission | CategoricalEmission | MixtureEmission
     trace: list[float] = field(default_factory=list)
 
     @property
@@ -115,6 +158,16 @@ def gaussian_start(means, covs, sticky: float = 0.9, diagonal: bool = False, rid
     return HMM(np.full(k, 1 / k), trans / trans.sum(axis=1, keepdims=True), GaussianEmission(means, covs, diagonal, ridge))
 
 
+def mixture_start(means, covs, parts: int = 2, spread: float = 0.5, sticky: float = 0.9) -> HMM:
+    """Components side by side around each state's mean, ``spread`` deviations apart."""
+    base = gaussian_start(means, covs, sticky)
+    k, d = np.shape(means)
+    shift = (np.arange(parts) - (parts - 1) / 2) * spread
+    deviation = np.sqrt(np.array([np.diag(c) for c in covs]))
+    m = np.asarray(means, float)[:, None, :] + shift[None, :, None] * deviation[:, None, :]
+    return HMM(base.start, base.trans, MixtureEmission(np.full((k, parts), 1 / parts), m, np.repeat(np.asarray(covs, float)[:, None], parts, axis=1)))
+
+
 def categorical_start(states: int, codes: int, sticky: float = 0.9) -> HMM:
     """Deterministic, slightly uneven emission tables."""
     t = 1 + 0.5 * np.cos(np.arange(states)[:, None] * (np.arange(codes)[None, :] + 1))
@@ -190,51 +243,87 @@ def chunk_product(model: HMM, x: np.ndarray, first: bool, best: bool) -> np.ndar
         return (m if best else np.log(m)) + log
 
 
-def _runs(steps: np.ndarray, enter: np.ndarray, leave: np.ndarray, best: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Forward vector after and backward vector after every row, each up to a factor (rows, K)."""
-    blocks, _ = _block_products(steps, best)
+def _runs(steps: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Forward vector after and backward vector after every row, each up to a factor (rows, K); log of the chunk's total."""
+    blocks, logs = _block_products(steps, False)
     nb, rows, k, _ = steps.shape
     ins, outs = np.empty((nb, k)), np.empty((nb, k))
-    v = _even(enter, best, 0)[0]
+    v, total = _even(enter, False, 0)
+    total = total + logs.sum()
     for i in range(nb):
         ins[i] = v
-        v = _even(_left(v, blocks[i], best), best, 0)[0]
-    v = _even(leave, best, 0)[0]
+        v, more = _even(_left(v, blocks[i], False), False, 0)
+        total = total + more
+    total = total + np.log(v.sum())
+    v = _even(leave, False, 0)[0]
     for i in range(nb - 1, -1, -1):
         outs[i] = v
-        v = _even(_right(blocks[i], v, best), best, 0)[0]
+        v = _even(_right(blocks[i], v, False), False, 0)[0]
     ahead, behind = np.empty((nb, rows, k)), np.empty((nb, rows, k))
     v = ins
     for t in range(rows):
-        v = _even(_left(v, steps[:, t], best), best, (1,))[0]
+        v = _even(_left(v, steps[:, t], False), False, (1,))[0]
         ahead[:, t] = v
     v = outs
     for t in range(rows - 1, -1, -1):
         behind[:, t] = v
-        v = _even(_right(steps[:, t], v, best), best, (1,))[0]
-    return ahead.reshape(-1, k), behind.reshape(-1, k)
+        v = _even(_right(steps[:, t], v, False), False, (1,))[0]
+    return ahead.reshape(-1, k), behind.reshape(-1, k), float(total)
 
 
-def chunk_posterior(model: HMM, x: np.ndarray, first: bool, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """gamma (n, K) and summed xi (K, K) of a chunk from the vectors entering it and following it."""
+def _posterior(model: HMM, x: np.ndarray, first: bool, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     n = len(x)
-    steps, _ = _steps(model, x, first, False)
-    alpha, beta = (v[:n] for v in _runs(steps, enter, leave, False))
+    steps, scale = _steps(model, x, first, False)
+    alpha, beta, total = _runs(steps, enter, leave)
+    alpha, beta = alpha[:n], beta[:n]
     gamma = alpha * beta
     gamma /= gamma.sum(axis=1, keepdims=True)
     lo = 1 if first else 0
     before = np.vstack([enter[None], alpha[:-1]])[lo:]
     pair = before[:, :, None] * steps.reshape(-1, *model.trans.shape)[lo:n] * beta[lo:, None, :]
     xi = (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0) if len(pair) else np.zeros_like(model.trans)
-    return gamma, xi
+    return gamma, xi, total + float(scale)
+
+
+def chunk_posterior(model: HMM, x: np.ndarray, first: bool, enter: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """gamma (n, K) and summed xi (K, K) of a chunk from the vectors entering it and following it."""
+    return _posterior(model, x, first, enter, leave)[:2]
+
+
+def track_posterior(model: HMM, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """gamma, summed xi and log-likelihood of a whole track."""
+    return _posterior(model, x, True, model.start, np.ones(model.states))
+
 
+def chunk_best(model: HMM, x: np.ndarray, first: bool, enter: np.ndarray, end: int | None) -> np.ndarray:
+    """States of one best path through a chunk that ends in state ``end`` (None: the best one).
 
-def chunk_best(model: HMM, x: np.ndarray, first: bool, enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
-    """States of the best path through a chunk: at every row the state with the largest best-path score."""
+    Every step back follows the pointer of the state chosen after it, so ties never splice two paths.
+    """
     n = len(x)
     steps, _ = _steps(model, x, first, True)
-    ahead, behind = _runs(steps, enter, leave, True)
-    return (ahead[:n] + behind[:n]).argmax(axis=1).astype(np.int64)
+    blocks, _ = _block_products(steps, True)
+    nb, rows, k, _ = steps.shape
+    ins, v = [], enter
+    for b in range(nb):
+        ins.append(v)
+        v = _left(v, blocks[b], True)
+    begins, ends = np.empty(nb, int), np.empty(nb, int)
+    state = int(v.argmax()) if end is None else end
+    for b in range(nb - 1, -1, -1):
+        ends[b] = state
+        begins[b] = state = int((ins[b] + blocks[b][:, state]).argmax())
+    v = np.full((nb, k), -np.inf)
+    v[np.arange(nb), begins] = 0.0
+    back = np.empty((nb, rows, k), int)
+    for t in range(rows):
+        through = v[:, :, None] + steps[:, t]
+        back[:, t], v = through.argmax(axis=1), through.max(axis=1)
+    out, state = np.empty((nb, rows), np.int64), ends
+    for t in range(rows - 1, -1, -1):
+        out[:, t] = state
+        state = back[np.arange(nb), t, state]
+    return out.reshape(-1)[:n]
 
 
 # --- Spark passes --------------------------------------------------------------------------------------------------------
@@ -247,13 +336,21 @@ def _values(rows: pd.DataFrame, cols) -> np.ndarray:
 
 
 def chunk_rows(df: DataFrame, cols: list[str], keys=("track_id",), size: int | None = None) -> DataFrame:
-    """Observations by chunk, rows with a missing feature left out, chunk 0 being the first of its track."""
+    """Observations by chunk, rows with a missing feature left out: _opens marks the first chunk of a track, _whole its only one."""
     c = with_chunk(df, size=size).na.drop("any", subset=cols)
-    first = c.groupBy(*keys).agg(F.min("_chunk").alias("_first"))
-    c = c.join(first, list(keys)).select(*keys, "frame", "_chunk", (F.col("_chunk") == F.col("_first")).alias("_opens"), *cols)
+    span = c.groupBy(*keys).agg(F.min("_chunk").alias("_first"), F.max("_chunk").alias("_last"))
+    c = c.join(span, list(keys)).select(*keys, "frame", "_chunk", (F.col("_chunk") == F.col("_first")).alias("_opens"), (F.col("_first") == F.col("_last")).alias("_whole"), *cols)
     return c.repartition(*keys, "_chunk")
 
 
+def packed(obs: DataFrame, cols: list[str], keys) -> DataFrame:
+    """One row per track that fits one chunk: frames and values (row after row) in frame order."""
+    rows = F.array_sort(F.collect_list(F.struct("frame", *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(cols)])))
+    p = obs.where("_whole").groupBy(*keys, "_chunk").agg(rows.alias("_rows")).drop("_chunk")
+    values = F.flatten(F.transform("_rows", lambda r: F.array(*[r[f"_x{i}"] for i in range(len(cols))])))
+    return p.select(*keys, F.transform("_rows", lambda r: r["frame"]).alias("frames"), values.alias("x"))
+
+
 def _products(obs: DataFrame, cols, model: HMM, keys, best: bool) -> DataFrame:
     def run(key, rows):
         rows = rows.sort_values("frame")
@@ -276,6 +373,10 @@ def _apply(v: np.ndarray, m: np.ndarray, best: bool, left: bool) -> np.ndarray:
     return (_multiply(v[None, :], m, best)[0] if left else _multiply(m, v[:, None], best)[:, 0])
 
 
+def _mark(state: int, k: int) -> np.ndarray:
+    return np.where(np.arange(k) == state, 1.0, 0.0)
+
+
 def _borders(products: DataFrame, model: HMM, keys, best: bool) -> DataFrame:
     """keys, _chunk, enter, leave (log vectors) and ll, the total of the track.
 
@@ -296,11 +397,15 @@ def _borders(products: DataFrame, model: HMM, keys, best: bool) -> DataFrame:
         return pd.DataFrame({**dict(zip([*keys, "_group"], [[v] for v in key])), "m": [total.ravel()]})
 
     def walked(ms, enter, leave):
+        """Vectors entering and leaving each matrix; for best paths what leaves marks the one state of the path."""
         ins, outs = [enter], [leave]
         for m in ms[:-1]:
             ins.append(_apply(ins[-1], m, best, True))
-        for m in ms[:0:-1]:
-            outs.append(_apply(outs[-1], m, best, False))
+        for i in range(len(ms) - 1, 0, -1):
+            if best:
+                outs.append(_mark(int((ins[i] + ms[i][:, int(outs[-1].argmax())]).argmax()), k))
+            else:
+                outs.append(_apply(outs[-1], ms[i], best, False))
         return ins, outs[::-1]
 
     def over_groups(key, rows):
@@ -308,6 +413,8 @@ def _borders(products: DataFrame, model: HMM, keys, best: bool) -> DataFrame:
         ms = [np.asarray(m).reshape(k, k) for m in rows["m"]]
         ins, outs = walked(ms, start, np.zeros(k))
         end = _apply(ins[-1], ms[-1], best, True)
+        if best:
+            outs = walked(ms, start, _mark(int(end.argmax()), k))[1]
         ll = end.max() + (0.0 if best else np.log(np.exp(end - end.max()).sum()))
         return pd.DataFrame({**{c: [v] * len(rows) for c, v in zip(keys, key)}, "_group": rows["_group"].to_numpy(), "g_in": ins, "g_out": outs, "ll": ll})
 
@@ -316,7 +423,7 @@ def _borders(products: DataFrame, model: HMM, keys, best: bool) -> DataFrame:
         ms = [np.asarray(m).reshape(k, k) for m in rows["m"]]
         ins, outs = walked(ms, np.asarray(rows["g_in"].iloc[0]), np.asarray(rows["g_out"].iloc[0]))
         # only the proportions matter inside a chunk
-        ins, outs = [v - v.max() for v in ins], [v - v.max() for v in outs]
+        ins, outs = [v - v.max() for v in ins], outs if best else [v - v.max() for v in outs]
         return pd.DataFrame({**{c: [v] * len(rows) for c, v in zip(keys, key)}, "_chunk": rows["_chunk"].to_numpy(), "enter": ins, "leave": outs, "ll": rows["ll"].to_numpy()})
 
     folded = grouped.groupBy(*keys, "_group").applyInPandas(fold, f"{types}, _group long, m array<double>")
@@ -329,43 +436,128 @@ def _with_borders(obs, products, model, keys, best):
     return obs.join(_borders(products, model, keys, best), [*keys, "_chunk"])
 
 
-def log_likelihood(obs: DataFrame, cols, model: HMM, keys=("track_id",)) -> float:
-    b = _borders(_products(obs, cols, model, keys, False), model, keys, False)
-    return b.select(*keys, "ll").distinct().agg(F.sum("ll")).first()[0]
+def _head(model: HMM, first: bool, ll: float, gamma: np.ndarray, xi: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.concatenate([[ll], gamma[0] if first else np.zeros(model.states), xi.ravel(), model.emission.sums(x, gamma)])
 
 
-def fit(df: DataFrame, cols: list[str], model: HMM, rounds: int = 50, tol: float = 1e-2, keys=("track_id",), fix_start: bool = False,
-        size: int | None = None) -> HMM:
-    """Expectation maximisation; stops after ``rounds`` or when the log-likelihood gains less than ``tol``."""
+def _expected(obs, whole, chunked: bool, cols, models, used, keys) -> list[np.ndarray]:
+    """Sums of one expectation pass for each model; ``used`` has the numbers of its columns."""
+    def over_tracks(batches):
+        totals = [0.0] * len(models)
+        for rows in batches:
+            for x in rows["x"]:
+                x = np.asarray(x).reshape(-1, len(cols))
+                for m, (model, at) in enumerate(zip(models, used)):
+                    own = x[:, at]
+                    gamma, xi, ll = track_posterior(model, own)
+                    totals[m] = totals[m] + _head(model, True, ll, gamma, xi, own)
+        found = [m for m, t in enumerate(totals) if not np.isscalar(t)]
+        yield pd.DataFrame({"m": pd.Series(found, dtype="int32"), "s": pd.Series([totals[m] for m in found], dtype="object")})
+
+    parts = whole.select("x").mapInPandas(over_tracks, "m int, s array<double>")
+    if chunked:
+        many = obs.where("not _whole")
+        for m, (model, at) in enumerate(zip(models, used)):
+            own = [cols[i] for i in at]
+
+            def run(key, rows, m=m, model=model, own=own):
+                return _chunk_sums(rows, m, model, own)
+            sums = _with_borders(many, _products(many, own, model, keys, False), model, keys, False)
+            parts = parts.unionByName(sums.groupBy(*keys, "_chunk").applyInPandas(_two(run), "m int, s array<double>"))
+    # a fixed number of positions per model, whatever the data
+    total = parts.select("m", F.posexplode("s").alias("i", "v")).groupBy("m", "i").agg(F.sum("v").alias("v")).collect()
+    out = []
+    for m in range(len(models)):
+        out.append(np.array([v for _, v in sorted((r["i"], r["v"]) for r in total if r["m"] == m)]))
+    return out
+
+
+def _two(run):
+    return lambda key, rows: run(key, rows)
+
+
+def _chunk_sums(rows: pd.DataFrame, m: int, model: HMM, cols) -> pd.DataFrame:
+    rows = rows.sort_values("frame")
+    x, first = _values(rows, cols), bool(rows["_opens"].iloc[0])
+    gamma, xi = chunk_posterior(model, x, first, np.exp(rows["enter"].iloc[0]), np.exp(rows["leave"].iloc[0]))
+    return pd.DataFrame({"m": pd.Series([m], dtype="int32"), "s": [_head(model, first, rows["ll"].iloc[0] if first else 0.0, gamma, xi, x)]})
+
+
+def fit_many(df: DataFrame, cols: list[str], jobs: list[tuple[list[str], HMM]], rounds: int = 100, tol: float = 1e-2, keys=("track_id",),
+             fix_start: bool = False, size: int | None = None) -> list[HMM]:
+    """Expectation maximisation of several models, each on its own columns, in common passes over the rows.
+
+    A model stops when its log-likelihood gains less than ``tol`` or after ``rounds`` updates. The last value of its trace belongs to the
+    parameters returned. Rows with a null in any of ``cols`` are left out for all.
+    """
     obs = chunk_rows(df, cols, keys, size).persist()
-    k = model.states
-
-    def expect(model):
-        def run(key, rows):
-            rows = rows.sort_values("frame")
-            x, first = _values(rows, cols), bool(rows["_opens"].iloc[0])
-            gamma, xi = chunk_posterior(model, x, first, np.exp(rows["enter"].iloc[0]), np.exp(rows["leave"].iloc[0]))
-            ll = rows["ll"].iloc[0] if first else 0.0
-            s = np.concatenate([[ll], gamma[0] if first else np.zeros(k), xi.ravel(), model.emission.sums(x, gamma)])
-            return pd.DataFrame({"s": [s]})
-        sums = _with_borders(obs, _products(obs, cols, model, keys, False), model, keys, False).groupBy(*keys, "_chunk").applyInPandas(run, "s array<double>")
-        # a fixed number of positions, whatever the data
-        total = sums.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-        return np.array([v for _, v in sorted((r["i"], r["v"]) for r in total)])
-
-    trace = []
-    for _ in range(rounds):
-        s = expect(model)
-        trace.append(float(s[0]))
-        if len(trace) > 1 and trace[-1] - trace[-2] < tol:
+    whole, chunked = packed(obs, cols, keys).persist(), not obs.where("not _whole").isEmpty()
+    models, used = [m for _, m in jobs], [[cols.index(c) for c in own] for own, _ in jobs]
+    traces: list[list[float]] = [[] for _ in jobs]
+    live = list(range(len(jobs)))
+    for r in range(rounds + 1):
+        sums = _expected(obs, whole, chunked, cols, [models[m] for m in live], [used[m] for m in live], keys)
+        still = []
+        for m, s in zip(live, sums):
+            if not len(s):
+                continue  # no rows at all
+            traces[m].append(float(s[0]))
+            if r == rounds or (len(traces[m]) > 1 and traces[m][-1] - traces[m][-2] < tol):
+                continue
+            k = models[m].states
+            xi = np.maximum(s[1 + k:1 + k + k * k].reshape(k, k), 1e-12)
+            start = models[m].start if fix_start else s[1:1 + k] / s[1:1 + k].sum()
+            models[m] = HMM(start, xi / xi.sum(axis=1, keepdims=True), models[m].emission.updated(s[1 + k + k * k:]))
+            still.append(m)
+        live = still
+        if not live:
             break
-        first, xi = s[1:1 + k], s[1 + k:1 + k + k * k].reshape(k, k)
-        xi = np.maximum(xi, 1e-12)
-        start = model.start if fix_start else first / first.sum()
-        model = HMM(start, xi / xi.sum(axis=1, keepdims=True), model.emission.updated(s[1 + k + k * k:]))
+    whole.unpersist()
     obs.unpersist()
-    model.trace = trace
-    return model
+    for m, t in zip(models, traces):
+        m.trace = t
+    return models
+
+
+def fit(df: DataFrame, cols: list[str], model: HMM, rounds: int = 100, tol: float = 1e-2, keys=("track_id",), fix_start: bool = False,
+        size: int | None = None) -> HMM:
+    """``fit_many`` of one model."""
+    return fit_many(df, cols, [(cols, model)], rounds, tol, keys, fix_start, size)[0]
+
+
+def log_likelihood(df: DataFrame, cols: list[str], model: HMM, keys=("track_id",), size: int | None = None) -> DataFrame:
+    """keys, ll: log-likelihood of every track."""
+    obs = chunk_rows(df, cols, keys, size)
+    b = _borders(_products(obs, cols, model, keys, False), model, keys, False)
+    return b.select(*keys, "ll").distinct()
+
+
+def state_counts(df: DataFrame, cols: list[str], jobs: list[tuple[list[str], HMM]], label: str, keys=("track_id",), size: int | None = None) -> DataFrame:
+    """m (number of the model), state, size (frames on the best path) and tp (of them with label 1) for several models."""
+    obs = chunk_rows(df, [*cols, label], keys, size)
+    whole, used = packed(obs, [*cols, label], keys), [[cols.index(c) for c in own] for own, _ in jobs]
+
+    def run(batches):
+        totals = {}
+        for rows in batches:
+            for x in rows["x"]:
+                x = np.asarray(x).reshape(-1, len(cols) + 1)
+                for m, ((_, model), at) in enumerate(zip(jobs, used)):
+                    with np.errstate(divide="ignore"):
+                        path = chunk_best(model, x[:, at], True, np.log(model.start), None)
+                    for state in range(model.states):
+                        on = path == state
+                        n, tp = totals.get((m, state), (0, 0.0))
+                        totals[m, state] = n + int(on.sum()), tp + float(x[on, -1].sum())
+        yield pd.DataFrame([(m, s, n, tp) for (m, s), (n, tp) in totals.items()], columns=["m", "state", "size", "tp"]).astype({"m": "int32", "state": "int64", "size": "int64", "tp": "float64"})
+
+    parts = whole.select("x").mapInPandas(run, "m int, state long, size long, tp double")
+    many = df.join(obs.where("not _whole").select(*keys).distinct(), list(keys), "left_semi")
+    if not obs.where("not _whole").isEmpty():
+        for m, (own, model) in enumerate(jobs):
+            states = decode(many, own, model, keys=keys, size=size).join(many.select(*keys, "frame", label), [*keys, "frame"])
+            parts = parts.unionByName(states.groupBy(F.lit(m).alias("m"), "state").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col(label).cast("double")).alias("tp")))
+    return parts.groupBy("m", "state").agg(F.sum("size").alias("size"), F.sum("tp").alias("tp"))
 
 
 def decode(df: DataFrame, cols: list[str], model: HMM, how: str = "best", keys=("track_id",), size: int | None = None) -> DataFrame:
@@ -381,7 +573,7 @@ def decode(df: DataFrame, cols: list[str], model: HMM, how: str = "best", keys=(
         enter, leave = np.asarray(rows["enter"].iloc[0]), np.asarray(rows["leave"].iloc[0])
         head = {**{c: [v] * len(rows) for c, v in zip(keys, key)}, "frame": rows["frame"].to_numpy()}
         if best:
-            return pd.DataFrame({**head, "state": chunk_best(model, x, first, enter, leave)})
+            return pd.DataFrame({**head, "state": chunk_best(model, x, first, enter, int(leave.argmax()))})
         gamma, _ = chunk_posterior(model, x, first, np.exp(enter), np.exp(leave))
         if how == "posterior":
             return pd.DataFrame({**head, "state": gamma.argmax(axis=1).astype(np.int64)})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression
@@ -12,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunk import computed
+
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> DataFrame:
     """One row with the mean and population deviation of every column."""
@@ -28,31 +32,72 @@ def unscale(df: DataFrame, scaler: DataFrame, cols: list[str]) -> DataFrame:
     return out.withColumns({c: F.col(c) * F.col(f"_s_{c}") + F.col(f"_a_{c}") for c in cols}).drop(*scaler.columns)
 
 
-def sine_fit(df: DataFrame, value: str, keys=("track_id",), rates: list[float] | None = None, amplitude: float = 30.0) -> DataFrame:
+def sine_fit(df: DataFrame, value: str, keys=("track_id",), rates: list[float] | None = None, amplitude: float = 30.0, rounds: int = 6) -> DataFrame:
     """Best b, c, d of amplitude * sin(b * frame + c) + d per group, with its mean squared error.
 
-    For every candidate b the free harmonic a1 sin + a2 cos + d is fitted from sums; c is its phase, d the offset left
-    by the fixed-amplitude sine, and the b with the smallest error wins.
+    For every candidate b the sums of sine, cosine and value give the error as a function of c alone, since the best d follows;
+    its least value over c is found on a grid and refined. The best b then starts ``rounds`` damped Gauss-Newton steps in b, c
+    and d together, each one aggregate of the rows; a step that does not lower the error is halved.
     """
     rates = rates or [i / 200 for i in range(1, 41)]
     v, t = F.col(value), F.col("frame")
-    rows = df.where(v.isNotNull()).select(*keys, "frame", value, F.explode(F.array(*[F.lit(b) for b in rates])).alias("b"))
+    rows = df.where(v.isNotNull()).select(*keys, "frame", value)
+    # the copies per rate only feed partial sums; they are not shuffled
+    tried = rows.withColumn("b", F.explode(F.array(*[F.lit(b) for b in rates])))
     s, c = F.sin(F.col("b") * t), F.cos(F.col("b") * t)
-    m = rows.groupBy(*keys, "b").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(s).alias("sum_S"), F.sum(c).alias("sum_C"), F.sum(s * s).alias("sum_SS"), F.sum(c * c).alias("sum_CC"), F.sum(s * c).alias("sum_SC"),
-        F.sum(v).alias("sum_V"), F.sum(v * s).alias("sum_VS"), F.sum(v * c).alias("sum_VC"), F.sum(v * v).alias("sum_VV"))
+    m = tried.groupBy(*keys, "b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(s).alias("S"), F.sum(c).alias("C"), F.sum(s * s).alias("SS"), F.sum(c * c).alias("CC"), F.sum(s * c).alias("SC"),
+        F.sum(v).alias("V"), F.sum(v * s).alias("VS"), F.sum(v * c).alias("VC"), F.sum(v * v).alias("VV"))
     x = lambda name: F.col(name)
-    # centred normal equations in (a1, a2)
-    ss, cc, sc = x("sum_SS") - x("sum_S") * x("sum_S") / x("n"), x("sum_CC") - x("sum_C") * x("sum_C") / x("n"), x("sum_SC") - x("sum_S") * x("sum_C") / x("n")
-    vs, vc = x("sum_VS") - x("sum_V") * x("sum_S") / x("n"), x("sum_VC") - x("sum_V") * x("sum_C") / x("n")
-    det = ss * cc - sc * sc
-    m = m.withColumns({"a1": F.try_divide(vs * cc - vc * sc, det), "a2": F.try_divide(vc * ss - vs * sc, det)})
-    m = m.withColumn("c", F.atan2("a2", "a1"))
-    p, q = amplitude * F.cos("c"), amplitude * F.sin("c")  # amplitude * sin(bt + c) = p sin(bt) + q cos(bt)
-    m = m.withColumn("d", (x("sum_V") - p * x("sum_S") - q * x("sum_C")) / x("n"))
-    d = F.col("d")
-    err = (x("sum_VV") + p * p * x("sum_SS") + q * q * x("sum_CC") + d * d * x("n") + 2 * (p * q * x("sum_SC") - p * x("sum_VS") - q * x("sum_VC") + d * (p * x("sum_S") + q * x("sum_C") - x("sum_V")))) / x("n")
-    return m.withColumn("error", err).groupBy(*keys).agg(F.min_by(F.struct("b", "c", "d", "error"), F.struct("error", "b")).alias("f")).select(*keys, "f.*")
+    centred = {p.lower(): x(p) - x(p[0]) * x(p[1]) / x("n") for p in ("SS", "CC", "SC", "VS", "VC", "VV")}
+    m = m.withColumns(centred)
+
+    def error(phase):
+        p, q = amplitude * F.cos(phase), amplitude * F.sin(phase)  # amplitude * sin(bt + c) = p sin(bt) + q cos(bt)
+        return (x("vv") + p * p * x("ss") + q * q * x("cc") + 2 * p * q * x("sc") - 2 * p * x("vs") - 2 * q * x("vc")) / x("n")
+
+    def least(at, step: float, steps: int):
+        return F.array_min(F.transform(F.sequence(F.lit(-steps), F.lit(steps)), lambda i: F.struct(error(at + i * step).alias("error"), (at + i * step).alias("c"))))
+    m = computed(m, {"_c": least(F.lit(0.0), math.pi / 90, 90)})
+    for step in (math.pi / 900, math.pi / 9000, math.pi / 90000):
+        m = computed(m, {"_c": least(F.col("_c")["c"], step, 10)})
+    p, q = amplitude * F.cos(F.col("_c")["c"]), amplitude * F.sin(F.col("_c")["c"])
+    m = m.select(*keys, "b", F.col("_c")["c"].alias("c"), ((x("V") - p * x("S") - q * x("C")) / x("n")).alias("d"), F.col("_c")["error"].alias("error"))
+    best = m.groupBy(*keys).agg(F.min_by(F.struct("b", "c", "d", "error"), F.struct("error", "b")).alias("f")).select(*keys, "f.*")
+    return _sine_steps(rows, value, best, keys, amplitude, rounds)
+
+
+def _sine_steps(rows: DataFrame, value: str, fit: DataFrame, keys, amplitude: float, rounds: int) -> DataFrame:
+    """Damped Gauss-Newton on b, c, d: the error of the step tried and the sums for the next one come from the same pass."""
+    from ..sources.tables import discard, stored
+
+    state = fit.select(*keys, "b", "c", "d", "error", *[F.col(k).alias(f"n{k}") for k in "bcd"])
+    for r in range(rounds + 1):
+        j = rows.join(state, list(keys))
+        at = F.col("nb") * F.col("frame") + F.col("nc")
+        rest = F.col(value) - amplitude * F.sin(at) - F.col("nd")
+        gc = amplitude * F.cos(at)
+        gb = gc * F.col("frame")
+        held = [F.max(k).alias(k) for k in ("b", "c", "d", "error", "nb", "nc", "nd")]
+        sums = j.groupBy(*keys).agg(*held, F.count(F.lit(1)).alias("n"), F.avg(rest * rest).alias("tried"),
+                                    F.sum(gb * gb).alias("bb"), F.sum(gc * gc).alias("cc"), F.sum(gb * gc).alias("bc"), F.sum(gb).alias("sb"), F.sum(gc).alias("sc"),
+                                    F.sum(gb * rest).alias("rb"), F.sum(gc * rest).alias("rc"), F.sum(rest).alias("rd"))
+        better = F.col("tried") < F.col("error")
+        kept = {k: F.when(better, F.col(f"n{k}")).otherwise(F.col(k)) for k in "bcd"}
+        n = F.col("n")
+        # normal equations with d eliminated
+        bb, cc, bc = F.col("bb") - F.col("sb") ** 2 / n, F.col("cc") - F.col("sc") ** 2 / n, F.col("bc") - F.col("sb") * F.col("sc") / n
+        rb, rc = F.col("rb") - F.col("sb") * F.col("rd") / n, F.col("rc") - F.col("sc") * F.col("rd") / n
+        det = bb * cc - bc * bc
+        db, dc = F.try_divide(rb * cc - rc * bc, det), F.try_divide(rc * bb - rb * bc, det)
+        dd = (F.col("rd") - F.col("sb") * db - F.col("sc") * dc) / n
+        half = {k: (F.col(k) + F.col(f"n{k}")) / 2 for k in "bcd"}
+        first = F.lit(r == 0) | better
+        step = {"b": db, "c": dc, "d": dd}
+        nxt = [F.coalesce(F.when(first, F.col(f"n{k}") + step[k]).otherwise(half[k]), F.col(k)).alias(f"n{k}") for k in "bcd"]
+        before, state = state, stored(sums.select(*keys, *[e.alias(k) for k, e in kept.items()], F.least("tried", "error").alias("error"), *nxt))
+        discard(before)
+    return state.select(*keys, "b", "c", "d", "error")
 
 
 def sine_error(df: DataFrame, value: str, fit: DataFrame, keys=("track_id",), amplitude: float = 30.0) -> DataFrame:
@@ -99,10 +144,11 @@ def fit_components(df: DataFrame, cols: list[str], k: int | None = None) -> Comp
     return Components(cols, means, load * sign, model.explainedVariance.toArray())
 
 
-def fit_kmeans(df: DataFrame, cols: list[str], k: int, restarts: int = 10, seed: int = 1, cost_only: bool = False):
-    """The cheapest of ``restarts`` fits; centres are sorted by their first coordinate when labelling."""
+def fit_kmeans(df: DataFrame, cols: list[str], k: int, restarts: int = 10, seed: int = 1):
+    """The cheapest of ``restarts`` fits, which run side by side; centres are sorted by their first coordinate when labelling."""
     v = vectors(df.select(*cols), cols).persist()
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(v) for i in range(restarts)]
+    with ThreadPoolExecutor(4) as pool:
+        fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", maxIter=100).fit(v), range(restarts)))
     v.unpersist()
     return min(fits, key=lambda m: m.summary.trainingCost)
 
@@ -126,38 +172,70 @@ def curvedness(rings: DataFrame, scores: str, k: int, spark=None) -> tuple[DataF
     wide = rings.select(*[c for c in rings.columns if c != scores], *[F.col(scores)[i].alias(c) for i, c in enumerate(cols)])
     comp = fit_components(wide, cols, 1)
     scored = comp.transform(wide, 1).drop(*cols)
-    km = fit_kmeans(scored, ["pc0"], 2, restarts=3)
+    km = fit_kmeans(scored, ["pc0"], 2)
     return label_clusters(scored, ["pc0"], km).withColumn("outlier", F.col("pc0") > 1), comp
 
 
-def spectral_clusters(df: DataFrame, cols: list[str], k: int, cells: int = 12, reach: float = 2.5, keys=("track_id", "frame")) -> DataFrame:
-    """Clusters by power iteration on the graph of occupied cells.
+def spectral_cells(df: DataFrame, cols: list[str], cells: int = 300, seed: int = 1) -> tuple[DataFrame, list]:
+    """Rows with ``_cell``, the nearest of at most ``cells`` KMeans centres, and per cell its number, rows and means. An outlier
+    gets a cell of its own instead of squeezing the others."""
+    v = vectors(df.na.drop("any", subset=cols), cols).persist()
+    celled = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="_cell").fit(v).transform(v).drop("features")
+    found = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols]).orderBy("_cell").collect()
+    v.unpersist()
+    return celled, found
+
+
+def spectral_clusters(df: DataFrame, cols: list[str], ks: list[int], cells: int = 300, gamma: float = 1.0, keys=("track_id", "frame")) -> DataFrame:
+    """keys and one column ``cluster_k`` for each of ``ks``: normalised-cut clusters of the rows with the affinity exp(-gamma d^2).
 
-    Rows are binned into a grid of at most ``cells`` steps per column; neighbouring occupied cells are linked with a weight
-    falling with their distance, and rows take the cluster of their cell. The graph grows with the number of cells, not rows.
+    Rows are first gathered in at most ``cells`` fine cells. Rows of one cell stand at its mean, so the graph of all rows has the
+    spectrum of the graph of cells weighted by their rows; this small matrix is solved on the driver. Every cell takes the nearest of k centres in the space
+    of the first k eigenvectors, so there are exactly k clusters as long as there are k cells.
     """
-    from itertools import product
-
-    from pyspark.ml.clustering import PowerIterationClustering
-
-    span = df.agg(*[a for c in cols for a in (F.min(c).alias(f"_lo_{c}"), F.max(c).alias(f"_hi_{c}"))])
-    b = df.crossJoin(F.broadcast(span))  # one row
-    names = [f"_g{i}" for i in range(len(cols))]
-    b = b.withColumns({n: F.least(F.lit(cells - 1), F.floor(F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) * cells)).cast("int") for n, c in zip(names, cols)})
-    code = reduce(lambda a, n: a * cells + F.col(n), names, F.lit(0).cast("long"))
-    b = b.withColumn("_cell", code)
-    occupied = b.groupBy("_cell", *names).agg(F.count(F.lit(1)).alias("_n"))
-    r = int(reach)
-    steps = [s for s in product(range(-r, r + 1), repeat=len(cols)) if any(s) and sum(v * v for v in s) <= reach * reach]
-    off = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(s, names)], F.lit(float(2.718281828 ** (-sum(v * v for v in s) / 2))).alias("w")) for s in steps])
-    near = occupied.select(F.col("_cell").alias("src"), "_n", *[F.col(n).alias(f"{n}a") for n in names], F.explode(off).alias("o"))
-    near = near.select("src", F.col("_n").alias("_na"), F.col("o.w").alias("w"), *[(F.col(f"{n}a") + F.col(f"o.{n}")).alias(n) for n in names])
-    edges = near.join(occupied.select(F.col("_cell").alias("dst"), F.col("_n").alias("_nb"), *names), names)
-    edges = edges.where("src < dst").select("src", "dst", (F.col("w") * F.sqrt(F.col("_na") * F.col("_nb"))).alias("weight"))
-    pic = PowerIterationClustering(k=k, maxIter=20, initMode="degree", weightCol="weight")
-    assigned = pic.assignClusters(edges).select(F.col("id").alias("_cell"), F.col("cluster").cast("long").alias("cluster"))
-    # a cell without neighbours is its own remainder cluster
-    return b.join(assigned, "_cell", "left").select(*keys, F.coalesce("cluster", F.lit(k).cast("long")).alias("cluster"))
+    import numpy as np
+
+    celled, found = spectral_cells(df, cols, cells)
+    x = np.array([[r[c] for c in cols] for r in found])
+    n = np.array([r["_n"] for r in found], float)
+    a = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(axis=2))
+    degree = a @ n
+    scale = np.sqrt(n / degree)
+    _, vec = np.linalg.eigh(scale[:, None] * a * scale[None])
+    # eigenvectors of the full graph, one value per row of a cell
+    space = vec[:, ::-1] / np.sqrt(n * degree)[:, None]
+    # only the direction matters, so a cell of few rows weighs its vector no more than others
+    labels = {k: _weighted_clusters(space[:, :k] / np.linalg.norm(space[:, :k], axis=1, keepdims=True), n, k) for k in ks}
+    out = df.sparkSession.createDataFrame([(r["_cell"], *[int(labels[k][i]) for k in ks]) for i, r in enumerate(found)], "_cell int, " + ", ".join(f"cluster_{k} int" for k in ks))
+    return celled.join(F.broadcast(out), "_cell").select(*keys, *[f"cluster_{k}" for k in ks])  # one row per cell
+
+
+def _weighted_clusters(x, n, k: int, restarts: int = 10):
+    """Weighted k-means of a few points; an emptied cluster takes the point farthest from its centre."""
+    import numpy as np
+
+    best = None
+    for seed in range(restarts):
+        rng = np.random.default_rng(seed)
+        centres = x[[int(rng.choice(len(x), p=n / n.sum()))]]
+        while len(centres) < min(k, len(x)):
+            far = n * ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
+            centres = np.vstack([centres, x[int(rng.choice(len(x), p=far / far.sum())) if far.sum() > 0 else len(centres)]])
+        for _ in range(100):
+            d = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
+            label = d.argmin(axis=1)
+            for j in range(len(centres)):
+                if not (label == j).any():
+                    label[(n * d[np.arange(len(x)), label]).argmax()] = j
+            moved = np.array([np.average(x[label == j], axis=0, weights=n[label == j]) for j in range(len(centres))])
+            if np.allclose(moved, centres):
+                break
+            centres = moved
+        cost = float((n * ((x - centres[label]) ** 2).sum(axis=1)).sum())
+        if best is None or cost < best[0]:
+            best = cost, label
+    order = {j: i for i, j in enumerate(dict.fromkeys(best[1].tolist()))}  # numbered by the first cell
+    return [order[j] for j in best[1].tolist()]
 
 
 def balanced(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
@@ -184,17 +262,17 @@ def logistic(df: DataFrame, cols: list[str], label: str, states: str | None = No
     return model, lambda t: model.transform(prepare(t)).withColumn("pred", F.col("prediction").cast("long")).drop("features", "rawPrediction", "prediction")
 
 
-def boosted_stumps(df: DataFrame, cols: list[str], label: str, positive_weight: float = 9.0, rounds: int = 20, seed: int = 1):
-    """Boosted depth-1 trees with heavier positives; returns a function that adds ``score``."""
+def boosted_stumps(df: DataFrame, cols: list[str], label: str, positive_weight: float = 9.0, rounds: int = 100, bins: int = 256, seed: int = 1):
+    """Boosted depth-1 trees with heavier positives and ``bins`` candidate cuts per column; returns a function that adds ``score``."""
     t = vectors(df.withColumns({"label": F.col(label).cast("double"), "weight": F.when(F.col(label) == 1, positive_weight).otherwise(1.0)}), cols)
-    model = GBTClassifier(maxDepth=1, maxIter=rounds, weightCol="weight", seed=seed).fit(t)
+    model = GBTClassifier(maxDepth=1, maxIter=rounds, maxBins=bins, weightCol="weight", seed=seed).fit(t)
     return lambda d: model.transform(vectors(d, cols)).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def cut_points(df: DataFrame, col: str, label: str, least: int = 2000, seed: int = 1) -> list[float]:
-    """Thresholds of a tree with at most three leaves of at least ``least`` rows on one feature."""
+def cut_points(df: DataFrame, col: str, label: str, least: int = 2000, bins: int = 4096, seed: int = 1) -> list[float]:
+    """Thresholds of a tree with at most three leaves of at least ``least`` rows on one feature; cuts are tried at ``bins`` quantiles."""
     t = vectors(df.withColumn("label", F.col(label).cast("double")), [col])
-    tree = DecisionTreeClassifier(maxDepth=2, minInstancesPerNode=least, seed=seed).fit(t)
+    tree = DecisionTreeClassifier(maxDepth=2, maxBins=bins, minInstancesPerNode=least, seed=seed).fit(t)
     found = []
 
     def visit(node, depth):
@@ -208,39 +286,43 @@ def cut_points(df: DataFrame, col: str, label: str, least: int = 2000, seed: int
     return sorted(t for _, _, t in sorted(found)[:2])
 
 
-def kmeans_labels(df: DataFrame, cols: list[str], k: int, repeat: int) -> DataFrame:
-    return label_clusters(df, cols, fit_kmeans(df, cols, k, restarts=1, seed=1 + repeat))
-
-
-def hmm_labels(rounds: int = 20):
-    """Labeller for ``subset_search``: Gaussian states from a KMeans start."""
+def gaussian_starts(df: DataFrame, jobs: list[tuple[list[str], int]], seed: int = 1, diagonal: bool = False) -> list:
+    """Start of a Gaussian model for each (columns, states): KMeans centres, unit covariances. Fits run side by side."""
     import numpy as np
 
     from . import hmm
 
-    def run(df, cols, k, repeat):
-        km = fit_kmeans(df, cols, k, restarts=1, seed=1 + repeat)
-        start = hmm.gaussian_start(np.array(km.clusterCenters()), np.stack([np.eye(len(cols))] * k))
-        states = hmm.decode(df, cols, hmm.fit(df, cols, start, rounds=rounds))
-        return df.join(states.withColumnRenamed("state", "cluster"), ["track_id", "frame"])
-    return run
+    def start(job):
+        i, (cols, k) = job
+        m = KMeans(k=k, seed=seed + i, featuresCol="features").fit(vectors(df.select(*cols), cols))
+        centres = np.array(m.clusterCenters())
+        while len(centres) < k:  # fewer different rows than states
+            centres = np.vstack([centres, centres[-1] + 0.1])
+        return hmm.gaussian_start(centres, np.stack([np.eye(len(cols))] * k), diagonal=diagonal)
+    with ThreadPoolExecutor(4) as pool:
+        return list(pool.map(start, enumerate(jobs)))
 
 
-def subset_search(df: DataFrame, must: list[str], optional: list[str], manual: str, ks: list[int], repeats: int = 2, labels=kmeans_labels) -> DataFrame:
-    """Best one-vs-rest F1 of a labelling against the manual label for every feature subset, best subset first.
+def subset_search(df: DataFrame, must: list[str], optional: list[str], manual: str, ks=None, repeats: int = 2, rounds: int = 100) -> DataFrame:
+    """Mean best one-vs-rest F1 of the states of Gaussian sequence models against the manual label, for every feature subset, at its
+    best number of states, best subset first.
 
-    Every subset of ``optional`` is a bit mask, every fit a distributed job; ``labels`` adds ``cluster`` to the rows.
+    Every subset of ``optional`` is a bit mask; for its l features, states run over ``ks`` or 3 + l // 2 .. 5 + l, each fitted ``repeats`` times
+    from another start. All models are fitted in common passes (``hmm.fit_many``), and their states are counted in one pass.
     """
-    from .evaluate import f1_per_state
+    from . import hmm
 
-    rows = []
+    every = must + optional
+    plan = []
     for mask in range(1 << len(optional)):
         cols = must + [c for i, c in enumerate(optional) if mask >> i & 1]
-        scores = {}
-        for k in ks:
-            best = [f1_per_state(labels(df, cols, k, rep), "cluster", manual).agg(F.max("f1")).first()[0] or 0.0 for rep in range(repeats)]
-            scores[k] = sum(best) / len(best)
-        top = max(scores, key=lambda k: (scores[k], -k))
-        rows.append((mask, ",".join(cols), top, scores[top]))
-    out = df.sparkSession.createDataFrame(rows, "mask int, features string, k int, f1 double")
-    return out.orderBy(F.desc("f1"), "mask")
+        plan += [(mask, cols, k, r) for k in (ks or range(3 + len(cols) // 2, 6 + len(cols))) for r in range(repeats)]
+    starts = gaussian_starts(df, [(cols, k) for _, cols, k, _ in plan])
+    fitted = hmm.fit_many(df, every, [(cols, m) for (_, cols, _, _), m in zip(plan, starts)], rounds)
+    counts = hmm.state_counts(df, every, [(cols, m) for (_, cols, _, _), m in zip(plan, fitted)], manual)
+    # F1 of a state: 2 tp / (rows of the state + positives)
+    totals = counts.groupBy("m").agg(F.sum("tp").alias("positives"))
+    f1 = counts.join(totals, "m").groupBy("m").agg(F.max(F.try_divide(2 * F.col("tp"), F.col("size") + F.col("positives"))).alias("f1"))
+    named = df.sparkSession.createDataFrame([(i, mask, ",".join(cols), k) for i, (mask, cols, k, _) in enumerate(plan)], "m int, mask int, features string, k int")
+    mean = named.join(f1, "m").groupBy("mask", "features", "k").agg(F.avg(F.coalesce("f1", F.lit(0.0))).alias("f1"))
+    return mean.groupBy("mask", "features").agg(F.max_by(F.struct("k", "f1"), F.struct("f1", -F.col("k"))).alias("b")).select("mask", "features", "b.k", "b.f1").orderBy(F.desc("f1"), "mask")
