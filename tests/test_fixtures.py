@@ -125,3 +125,74 @@ def test_scratch_is_the_shared_folder(spark):
 
     assert scratch_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
     assert stored(spark.range(5)).count() == 5
+
+
+def test_quantiles_of_a_heavy_tail(spark):
+    """One huge value over continuous ones: bins are counted again until a task orders few rows, and the result is exact."""
+    import numpy as np
+    from trackspark.operators import quantile
+
+    x = np.concatenate([np.random.default_rng(3).random(5000), [1e12, -1e9], np.full(3000, 0.25)])
+    df = spark.createDataFrame([(1, float(v)) for v in x], "k long, v double")
+    qs = {"a": 0.01, "b": 0.37, "c": 0.5, "d": 0.999}
+    for keys in (["k"], []):
+        r = quantile.exact_quantiles(df, keys, "v", qs, bins=16, ordered=50).first()
+        assert all(abs(r[n] - np.quantile(x, q)) < 1e-12 for n, q in qs.items())
+
+
+def test_roc_of_a_heavy_tail(spark):
+    rows = [(float(i) if i else 1e12, i % 3 == 0) for i in range(2000)]
+    df = spark.createDataFrame([(s, int(y)) for s, y in rows], "score double, y int")
+    got = evaluate.roc_points(df, "score", "y").orderBy("score").collect()
+    assert all((r.tp, r.fp) == (sum(y for s, y in rows if s >= r.score), sum(not y for s, y in rows if s >= r.score)) for r in got[::97])
+
+
+def test_chunks_of_another_size_are_made_anew(spark):
+    from trackspark.operators.chunk import with_chunk
+
+    a = with_chunk(series(spark, range(100)), size=10)
+    assert with_chunk(a, size=10) is a
+    assert [r[0] for r in with_chunk(a, size=50).groupBy("_chunk").count().orderBy("_chunk").collect()] == [0, 1]
+    back = fill.fill_forward(with_chunk(series(spark, [1, None, None, 4, None]), size=2), ["signal"], size=4)
+    assert column(back, "signal") == [1, 1, 1, 4, 4]
+
+
+def test_flat_peaks_count():
+    import numpy as np
+    from trackspark.operators.spectral import _local_peaks
+
+    m = np.array([[0, 1, 1, 0, 2, 2, 2, 1, 3, 3], [0, 0, 1, 0, 0, 1, 2, 2, 3, 0]], float)
+    assert [np.flatnonzero(r).tolist() for r in _local_peaks(m)] == [[1, 5], [2, 8]]
+
+
+def test_executors_get_the_package(tmp_path):
+    """From another folder, without the repository on the workers' path."""
+    import os
+    import subprocess
+    import sys
+    import textwrap
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = textwrap.dedent(f"""
+        import sys, tempfile
+        sys.path.insert(0, {root!r})
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false")
+                 .config("spark.checkpoint.dir", tempfile.mkdtemp()).getOrCreate())
+        from __spark_entry__ import queries
+        for name in ("freq_score", "hmm_path"):
+            print("ROWS", queries()[name](spark, "/root/testdata/sf0.001").count())
+    """)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.count("ROWS 6000") == 2, out.stderr[-2000:]
+
+
+def test_stored_tables_can_be_discarded(spark):
+    import os
+    from trackspark.sources.tables import discard, stored
+
+    t = stored(spark.range(5))
+    assert t.count() == 5 and os.path.isdir(t._scratch)
+    discard(t)
+    assert not os.path.exists(t._scratch)

@@ -60,7 +60,3 @@ def frequency_weight(f, form: str) -> Column:
     if form == "square":
         return F.when((f > 1.5) & (f < 5), f * f).otherwise(0.0)
     return F.when((f <= 2) | (f > 10), 0.0).when(f > 5, 5.0).otherwise(f)
-
-
-def amplitude_scale(peak, full: float = 3.0) -> Column:
-    return F.pow(F.least(F.lit(1.0), col(peak) / full), 2)

@@ -31,10 +31,16 @@ def chunk_size(size: int | None = None) -> int:
     return size or CHUNK_FRAMES
 
 
+def _marked(chunk: Column, frame: str, size: int | None) -> Column:
+    """The column, noting in its metadata what it was made from."""
+    return chunk.alias("_chunk", metadata={"frame": frame, "size": chunk_size(size)})
+
+
 def with_chunk(df: DataFrame, frame: str = "frame", size: int | None = None) -> DataFrame:
-    if "_chunk" in df.columns:
+    """Add ``_chunk``; one that was made from the same frame column and size is kept."""
+    if "_chunk" in df.columns and df.schema["_chunk"].metadata == {"frame": frame, "size": chunk_size(size)}:
         return df
-    return df.withColumn("_chunk", F.expr(f"`{frame}` div {chunk_size(size)}"))
+    return df.drop("_chunk").select("*", _marked(F.expr(f"`{frame}` div {chunk_size(size)}"), frame, size))
 
 
 def with_halo(df: DataFrame, before: int = 0, after: int = 0, frame: str = "frame", size: int | None = None) -> DataFrame:
@@ -42,9 +48,8 @@ def with_halo(df: DataFrame, before: int = 0, after: int = 0, frame: str = "fram
     n = chunk_size(size)
     lo = F.expr(f"greatest((`{frame}` - {after}) div {n}, 0L)")
     hi = F.expr(f"(`{frame}` + {before}) div {n}")
-    return df.drop("_chunk").withColumn("_chunk", F.explode(F.sequence(lo, hi))).withColumn(
-        "_own", F.expr(f"`{frame}` div {n} = _chunk")
-    )
+    spread = df.drop("_chunk").withColumn("_chunk", F.explode(F.sequence(lo, hi)))
+    return spread.select(*[c for c in spread.columns if c != "_chunk"], _marked(F.col("_chunk"), frame, size), F.expr(f"`{frame}` div {n} = _chunk").alias("_own"))
 
 
 def own_rows(df: DataFrame) -> DataFrame:

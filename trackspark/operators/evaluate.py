@@ -136,22 +136,23 @@ def class_scores(df: DataFrame, label: str, pred: str) -> DataFrame:
                     F.try_divide(2 * F.col("hit"), F.col("predicted") + F.col("actual")).alias("f1"))
 
 
-def roc_points(df: DataFrame, score: str, label: str, bins: int = 1024) -> DataFrame:
+def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
     """score, pos, neg, tp, fp, tpr, fpr for the rule "at least this score", one row per distinct score.
 
-    Running sums are taken inside ranges of scores and carried from range to range, so no task sees all scores.
+    Spark deals the distinct scores into ranges of about equal numbers; running sums are taken inside a range and carried from
+    range to range, so no task sees all scores, however they are distributed.
     """
+    from ..sources.tables import stored
+
     d = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
-    span = d.agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"), F.sum("pos").alias("_all_pos"), F.sum("neg").alias("_all_neg"))
-    d = d.crossJoin(F.broadcast(span))  # one row of totals
-    width = F.col("_hi") - F.col("_lo")
-    d = d.withColumn("_bin", F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("score") - F.col("_lo")) / width * bins))).otherwise(0).cast("int"))
-    above = Window.orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over at most ``bins`` rows
-    carry = d.groupBy("_bin").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q")).select(
-        "_bin", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_q").over(above), F.lit(0)).alias("_q"))
+    d = stored(d.repartitionByRange("score").withColumn("_bin", F.spark_partition_id()))
+    above = Window.orderBy(F.col("_bin").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    bins = d.groupBy("_bin").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_q"))
+    carry = bins.select("_bin", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_p"), F.coalesce(F.sum("_q").over(above), F.lit(0)).alias("_q"))
     inside = Window.partitionBy("_bin").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
     d = d.join(carry, "_bin").withColumns({"tp": F.col("_p") + F.sum("pos").over(inside), "fp": F.col("_q") + F.sum("neg").over(inside)})
-    return d.withColumns({"tpr": F.try_divide("tp", "_all_pos"), "fpr": F.try_divide("fp", "_all_neg")}).drop("_bin", "_lo", "_hi", "_p", "_q")
+    d = d.crossJoin(F.broadcast(bins.agg(F.sum("_p").alias("_all_pos"), F.sum("_q").alias("_all_neg"))))  # one row of totals
+    return d.withColumns({"tpr": F.try_divide("tp", "_all_pos"), "fpr": F.try_divide("fp", "_all_neg")}).drop("_bin", "_p", "_q")
 
 
 def auc(points: DataFrame) -> DataFrame:

@@ -30,24 +30,29 @@ def bout_rows(frames: DataFrame, bouts: DataFrame, closed: bool = True, extra=("
     return bout_frames(bouts, closed, extra).join(frames, ["track_id", "frame"])
 
 
+def run_ends(df: DataFrame, value: str, keys=("track_id",), size: int | None = None) -> DataFrame:
+    """Every row with ``start`` and ``stop`` (inclusive) of its run of equal values.
+
+    A row that differs from the one before starts a run; the latest start and the next end are running values, so one exchange by
+    chunk serves all of it.
+    """
+    def edges(w):
+        prev, after = F.lag(value).over(w), F.lead(value).over(w)
+        first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
+        return {"_starts": first | ~prev.eqNullSafe(F.col(value)), "_ends": last | ~after.eqNullSafe(F.col(value))}
+    marks = windowed(df, edges, before=1, after=1, keys=keys, size=size)
+    at = F.col("frame")
+    return scan(marks, {"start": ("last", F.when(F.col("_starts"), at)), "stop": ("next", F.when(F.col("_ends"), at))}, keys=keys, size=size)
+
+
 def runs(df: DataFrame, value: str, keys=("track_id",), size: int | None = None) -> DataFrame:
     """Maximal runs of equal values: keys, value, start, stop (inclusive), length."""
-    def edges(w):
-        prev = F.lag(value).over(w)
-        first = F.lag(F.lit(1)).over(w).isNull()
-        return {"_start": first | ~prev.eqNullSafe(F.col(value)), "_last": F.lead(F.lit(1)).over(w).isNull()}
-    marks = windowed(df.select(*keys, "frame", value), edges, before=1, after=1, keys=keys, size=size).where("_start OR _last")
-    later = Window.partitionBy(*keys, "_chunk").orderBy("frame")
-    step = F.when(F.col("_start"), F.struct(F.col("frame").alias("f"), F.lit(False).alias("end"))).otherwise(
-        F.struct(F.col("frame").alias("f"), F.lit(True).alias("end")))
-    marks = marks.withColumn("_mark", step)
-    heads = marks.groupBy(*keys, "_chunk").agg(F.min_by("_mark", "frame").alias("_h"))
-    ahead = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(1, 1)
-    heads = heads.select(*keys, "_chunk", F.first("_h").over(ahead).alias("_next_chunk"))
-    m = marks.join(heads, [*keys, "_chunk"]).withColumn("_next", F.coalesce(F.lead("_mark").over(later), F.col("_next_chunk")))
-    stop = F.when(F.col("_last"), F.col("frame")).when(F.col("_next.end"), F.col("_next.f")).otherwise(F.col("_next.f") - 1)
-    return (m.where("_start").withColumn("stop", stop)
-            .select(*keys, value, F.col("frame").alias("start"), "stop", (F.col("stop") - F.col("frame") + 1).alias("length")))
+    r = run_ends(df.select(*keys, "frame", value), value, keys, size).where("_starts")
+    return r.select(*keys, value, "start", "stop", (F.col("stop") - F.col("start") + 1).alias("length"))
+
+
+def _wide(width, least: int) -> Column:
+    return (F.col("stop") > F.col("start") + least) & (F.col("stop") - F.col("start") > width)
 
 
 def wide_bouts(df: DataFrame, binary: str, width=30, least: int = 10, keys=("track_id",), carry=(), **kw) -> DataFrame:
@@ -56,12 +61,14 @@ def wide_bouts(df: DataFrame, binary: str, width=30, least: int = 10, keys=("tra
     ``width`` may be a column; columns named in ``carry`` are constant per key and kept for it.
     """
     r = runs(df, binary, keys=(*keys, *carry), **kw).where(F.col(binary) == 1)
-    return r.where((F.col("stop") > F.col("start") + least) & (F.col("stop") - F.col("start") > width)).select(*keys, "start", "stop")
+    return r.where(_wide(width, least)).select(*keys, "start", "stop")
 
 
 def width_filter(df: DataFrame, binary: str, width=30, least: int = 10, out: str = "kept", keys=("track_id",), carry=(), **kw) -> DataFrame:
-    """Keep only wide runs of 1; the last frame of a kept run becomes 0."""
-    return label_frames(df, wide_bouts(df, binary, width, least, keys, carry, **kw), out, keys=keys)
+    """Keep only wide runs of 1; the last frame of a kept run becomes 0. Rows are neither expanded nor joined."""
+    r = run_ends(df, binary, keys, **kw)
+    kept = (F.col(binary) == 1) & _wide(width, least) & (F.col("frame") < F.col("stop"))
+    return r.withColumn(out, F.when(kept, 1).otherwise(0).cast("long")).drop("_starts", "_ends", "start", "stop")
 
 
 def run_positions(df: DataFrame, valid: Column, start_at: int = 1, keys=("track_id",), **kw) -> DataFrame:

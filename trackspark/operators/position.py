@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import stored
+from ..sources.tables import discard, stored
 from .chunk import with_chunk, with_halo
 
 WARM_FRAMES = 256
@@ -90,7 +90,8 @@ def position_check(df: DataFrame, x: str, y: str, max_dist: float = 20, max_coun
         if wrong.isEmpty():
             break
         again = points.join(wrong, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(rerun, f"{types}, _chunk long, {_STATE}")
-        states = stored(states.join(wrong.select(*keys, "_chunk"), [*keys, "_chunk"], "left_anti").unionByName(again))
+        before, states = states, stored(states.join(wrong.select(*keys, "_chunk"), [*keys, "_chunk"], "left_anti").unionByName(again))
+        discard(before)
 
     def mark(key, rows):
         rows, px, py = arrays(rows)

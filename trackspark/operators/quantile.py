@@ -5,31 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a bin that one task may order.
+ORDERED = 200_000
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], bins: int = 1024) -> DataFrame:
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], bins: int = 1024, ordered: int | None = None) -> DataFrame:
     """keys + one column per quantile (linear interpolation between order statistics).
 
-    Values are counted in ``bins`` equal bins per group; only the bins that hold the wanted ranks are then ordered,
-    after equal values have been merged into counts.
+    Values are counted in ``bins`` equal bins between the least and greatest of a group; only bins that hold a wanted rank matter.
+    Where one of these holds more than ``ordered`` rows of different values (an outlier or a heavy tail squeezes the others), it is
+    counted again in bins between its own least and greatest value, and so on. The bins left are ordered, equal values merged.
     """
+    from ..sources.tables import discard, stored
+
     v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    span = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    width = F.col("_hi") - F.col("_lo")
-    binned = v.join(span, keys) if keys else v.crossJoin(F.broadcast(span))  # without keys the span is one row
-    bin_no = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width * bins))).otherwise(0)
-    binned = binned.withColumn("_bin", bin_no.cast("int"))
-    w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
-    counts = counts.withColumn("_upto", F.sum("_c").over(w)).withColumn("_below", F.col("_upto") - F.col("_c"))
+    span = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_c"))
+    wanted = span.select(*keys, "_lo", "_hi", "_c", F.col("_c").alias("_n"), F.lit(0).cast("long").alias("_below"))
     ranks = [f(F.lit(q) * (F.col("_n") - 1)) for q in qs.values() for f in (F.floor, F.ceil)]
-    needed = None
-    for r in ranks:
-        hit = (r >= F.col("_below")) & (r < F.col("_upto"))
-        needed = hit if needed is None else needed | hit
-    wanted = counts.where(needed).select(*keys, "_bin", "_below", F.col("_n").alias("_rows"))
-    values = binned.join(wanted, [*keys, "_bin"]).groupBy(*keys, "_bin", "_v").agg(
-        F.count(F.lit(1)).alias("_c"), F.max("_below").alias("_below"), F.max("_rows").alias("_n"))
-    wv = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def inside(bounds: DataFrame) -> DataFrame:
+        j = v.join(bounds, keys) if keys else v.crossJoin(F.broadcast(bounds))  # without keys at most two rows per quantile
+        return j.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+
+    for _ in range(64):
+        width = F.col("_hi") - F.col("_lo")
+        bin_no = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width * bins))).otherwise(0).cast("int")
+        counts = inside(wanted).groupBy(*keys, "_below", F.col("_c").alias("_all"), bin_no.alias("_bin")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.max("_n").alias("_n"))
+        ahead = Window.partitionBy(*keys, "_below", "_all").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counts.withColumn("_from", F.col("_below") + F.coalesce(F.sum("_c").over(ahead), F.lit(0)))
+        needed = F.lit(False)
+        for r in ranks:
+            needed = needed | ((r >= F.col("_from")) & (r < F.col("_from") + F.col("_c")))
+        before, wanted = wanted, stored(placed.where(needed).select(*keys, "_lo", "_hi", "_c", "_n", F.col("_from").alias("_below")))
+        discard(before)
+        if wanted.where((F.col("_c") > (ordered or ORDERED)) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+            break
+    values = inside(wanted).groupBy(*keys, "_below", "_v").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n"))
+    wv = Window.partitionBy(*keys, "_below").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = values.withColumn("_upto", F.col("_below") + F.sum("_c").over(wv)).withColumn("_from", F.col("_upto") - F.col("_c"))
 
     def at(rank):

@@ -108,3 +108,10 @@ def null_report(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def run_shares(runs: DataFrame, state: str, width: int) -> DataFrame:
+    """Share of each state's runs by length class of ``width`` frames (state, bin, share)."""
+    n = runs.groupBy(state, F.floor(F.col("length") / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    total = n.groupBy(state).agg(F.sum("n").alias("total"))
+    return n.join(total, state).select(state, "bin", (F.col("n") / F.col("total")).alias("share"))

@@ -56,11 +56,6 @@ def encode_labels(df: DataFrame, label: str, out: str = "code") -> DataFrame:
     return df.join(codes, label)
 
 
-def first_wins_max(value: str, order: str, payload: str) -> Column:
-    """Aggregate: payload of the largest value, the smallest ``order`` on ties."""
-    return F.max_by(payload, F.struct(F.col(value), -F.col(order)))
-
-
 def top_k(df: DataFrame, keys: tuple, value: str, tie: str, k: int) -> DataFrame:
     """The k rows with the largest value per key (smallest ``tie`` first), with their rank.
 

@@ -9,17 +9,6 @@ from ..sources.schema import FPS
 from .chunk import windowed
 
 
-def lag_diff(df: DataFrame, col: str, out: str = "diff", **kw) -> DataFrame:
-    return windowed(df, lambda w: {out: F.col(col) - F.lag(col).over(w)}, before=1, **kw)
-
-
-def diff_prepended(df: DataFrame, col: str, out: str = "diff", **kw) -> DataFrame:
-    """Difference whose first value is 0."""
-    first = lambda w: F.lag(F.lit(1)).over(w).isNull()
-    return windowed(df, lambda w: {out: F.when(first(w), F.col(col) - F.col(col)).otherwise(F.col(col) - F.lag(col).over(w))},
-                    before=1, **kw)
-
-
 def forward_diff(df: DataFrame, col: str, out: str = "diff", **kw) -> DataFrame:
     return windowed(df, lambda w: {out: F.lead(col).over(w) - F.col(col)}, after=1, **kw)
 

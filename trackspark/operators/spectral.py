@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schema import FPS
-from .chunk import chunk_size, with_halo
+from .chunk import chunk_size, scan, with_halo
 
 # rows per numpy batch: bounds the window matrix of one chunk
 BATCH = 4096
@@ -28,16 +28,26 @@ def _segments(values: np.ndarray, first: int, centers: np.ndarray, n: int) -> np
     return v[at[:, None] + np.arange(n)[None, :]]
 
 
+def _local_peaks(m: np.ndarray) -> np.ndarray:
+    """Inner points above both sides; the middle of a flat top counts, its earlier one when even."""
+    out = np.zeros(m.shape, dtype=bool)
+    start, rising = np.zeros(len(m), dtype=int), np.zeros(len(m), dtype=bool)
+    for j in range(1, m.shape[1]):
+        up, down = m[:, j] > m[:, j - 1], m[:, j] < m[:, j - 1]
+        top = np.flatnonzero(down & rising)
+        out[top, (start[top] + j - 1) // 2] = True
+        start[up] = j
+        rising = up | (rising & ~down)
+    return out
+
+
 def peak_scores(mags: np.ndarray, freqs: np.ndarray, full: float = 3.0, height: float = 0.2, distance: int = 3) -> np.ndarray:
     """Per row: the highest weighted local peak of the bins from the third on, times the amplitude scale; 0 without a peak."""
     low = mags[:, 2:]
     top = low.max(axis=1, keepdims=True)
     scaled = np.divide(low, top, out=np.zeros_like(low), where=top > 0)
     weight = np.where(freqs > 10, 0.0, np.where(freqs > 5, 5.0, np.where(freqs <= 2, 0.0, freqs)))[2:]
-    left = np.full_like(scaled, np.inf)
-    right = np.full_like(scaled, np.inf)
-    left[:, 1:], right[:, :-1] = scaled[:, :-1], scaled[:, 1:]
-    open_ = (scaled > left) & (scaled > right) & (scaled >= height)
+    open_ = _local_peaks(scaled) & (scaled >= height)
     kept = np.zeros_like(open_)
     # the highest open peak wins and closes its neighbours, until none is open
     while open_.any():
@@ -62,16 +72,27 @@ def mean_scores(mags: np.ndarray, freqs: np.ndarray, full: float = 4.0) -> np.nd
     return score * np.minimum(1.0, mags[:, band].max(axis=1) / full) ** 2
 
 
+def _dense(frames: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Values placed by frame from the first to the last; a missing frame repeats the one before it."""
+    at = frames - frames[0]
+    last = np.zeros(at[-1] + 1, dtype=int)
+    last[at] = np.arange(len(at))
+    return values[np.maximum.accumulate(last)]
+
+
 def _spectrum(df: DataFrame, value: str, nperseg: int, hop: int, padded: bool, outputs: dict, schema: str, fps: float,
-              keys: tuple, detrend: bool, size: int | None) -> DataFrame:
+              keys: tuple, detrend: bool, size: int | None, every: bool = False) -> DataFrame:
+    """Rows per segment; with ``every`` (hop 1) one row per own frame, null where no whole segment fits.
+
+    A null repeats the value before it, as does a missing frame; before a track's first value there is silence (0).
+    """
     half, chunk = nperseg // 2, chunk_size(size)
     window, freqs = _hann(nperseg), np.fft.rfftfreq(nperseg, 1 / fps)
     key_list = list(keys)
 
     def per_chunk(key, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        rows = rows.sort_values("frame")
         frames = rows["frame"].to_numpy()
-        values = rows[value].to_numpy(dtype=float, na_value=0.0)
+        values = _dense(frames, rows[value].to_numpy(dtype=float, na_value=0.0))
         lo, hi = int(key[-1]) * chunk, (int(key[-1]) + 1) * chunk
         first, last = int(frames[0]), int(frames[-1])
         if padded:
@@ -87,17 +108,20 @@ def _spectrum(df: DataFrame, value: str, nperseg: int, hop: int, padded: bool, o
             if detrend:
                 seg = seg - seg.mean(axis=1, keepdims=True)
             mags = np.abs(np.fft.rfft(seg * window, axis=1))
-            out = {k: np.full(len(c), v) for k, v in zip(key_list, key)} | {"frame": c}
-            yield pd.DataFrame(out | {name: list(fn(mags)) if name == "mags" else fn(mags) for name, fn in outputs.items()})
+            yield pd.DataFrame({"frame": c} | {name: list(fn(mags)) if name == "mags" else fn(mags) for name, fn in outputs.items()})
 
-    h = with_halo(df.select(*keys, "frame", value), nperseg, nperseg + hop, size=size).drop("_own")
+    filled = scan(df.select(*keys, "frame", value), {value: ("last", F.col(value))}, keys=keys, size=size)
+    h = with_halo(filled.select(*keys, "frame", value), nperseg, nperseg + hop, size=size)
     parts = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
-    # applyInPandas with a generator-free function: join the batches of one bounded chunk
+    # the batches of one bounded chunk
     def run(key, rows):
+        rows = rows.sort_values("frame")
         got = list(per_chunk(key, rows))
-        names = [*key_list, "frame", *outputs]
-        return pd.concat(got) if got else pd.DataFrame(columns=names)
+        out = pd.concat(got) if got else pd.DataFrame({"frame": [], **{n: [] for n in outputs}}, dtype=object)
+        if every:
+            out = rows.loc[rows["_own"], ["frame"]].merge(out, on="frame", how="left")
+        return out.assign(**dict(zip(key_list, key)))[[*key_list, "frame", *outputs]]
     return h.groupBy(*keys, "_chunk").applyInPandas(run, f"{parts}, frame long, {schema}")
 
 
@@ -117,9 +141,9 @@ def frequency_scores(df: DataFrame, value: str, nperseg: int = 70, fps: float =
     w, freqs = _hann(nperseg).sum(), np.fft.rfftfreq(nperseg, 1 / fps)
     scored = _spectrum(df, value, nperseg, 1, False, {
         "peak_score": lambda m: peak_scores(m / w, freqs), "mean_score": lambda m: mean_scores(m / w, freqs)},
-        "peak_score double, mean_score double", fps, tuple(keys), False, size)
-    scored = scored.withColumn("mean_score", F.nanvl("mean_score", F.lit(None).cast("double")))
-    return df.select(*keys, "frame").join(scored, [*keys, "frame"], "left")
+        "peak_score double, mean_score double", fps, tuple(keys), False, size, every=True)
+    null = F.lit(None).cast("double")
+    return scored.withColumns({c: F.nanvl(c, null) for c in ("peak_score", "mean_score")})
 
 
 def block_scores(df: DataFrame, value: str, nperseg: int = 100, hop: int = 50, fps: float = FPS, keys=("track_id",), size: int | None = None) -> DataFrame:

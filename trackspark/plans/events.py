@@ -53,6 +53,12 @@ def _(spark, sf):
         F.avg("length").alias("mean_length"), F.count(F.lit(1)).alias("runs"), F.max("length").alias("longest"))
 
 
+@query("state_run_shares", "A23", f"""WITH {SQL_RUNS}, b AS (SELECT state, CAST(FLOOR(length / 5) AS BIGINT) AS bin, COUNT(*) AS n FROM runs GROUP BY 1, 2)
+    SELECT state, bin, n / CAST(SUM(n) OVER (PARTITION BY state) AS DOUBLE) AS share FROM b""", "share")
+def _(spark, sf):
+    return rates.run_shares(intervals.runs(states(spark, sf), "state"), "state", 5)
+
+
 _KEPT = """, wide AS (SELECT track_id, start, stop FROM runs WHERE state = 1 AND stop > start + 10 AND stop - start > 12)
     SELECT s.track_id, s.frame, CAST(MAX(CASE WHEN w.start IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS kept
     FROM st s LEFT JOIN wide w ON s.track_id = w.track_id AND s.frame >= w.start AND s.frame < w.stop GROUP BY 1, 2"""
@@ -161,12 +167,12 @@ def _(spark, sf):
     return evaluate.f1_per_state(_classes(spark, sf).withColumnRenamed("pred", "state"), "state", "manual")
 
 
-@query("best_state_transfer", "E5 T2 P20", f"""WITH {SQL_CLASS}, z AS (SELECT *, frame < 500 AS tr FROM c), s AS (SELECT tr, pred AS state, SUM(manual) AS tp, COUNT(*) AS size FROM z GROUP BY 1, 2), p AS (SELECT tr, SUM(manual) AS pos FROM z GROUP BY 1),
+@query("best_state_transfer", "E5 T2 P20", f"""WITH {SQL_CLASS}, z AS (SELECT *, frame % 4 < 3 AS tr FROM c), s AS (SELECT tr, pred AS state, SUM(manual) AS tp, COUNT(*) AS size FROM z GROUP BY 1, 2), p AS (SELECT tr, SUM(manual) AS pos FROM z GROUP BY 1),
     f AS (SELECT tr, state, 2.0 * tp / NULLIF(size + pos, 0) AS f1 FROM s JOIN p USING (tr)), b AS (SELECT state, f1 AS train_f1 FROM f WHERE tr ORDER BY f1 DESC, state LIMIT 1)
     SELECT b.state, train_f1, f.f1 AS test_f1 FROM b LEFT JOIN f ON f.state = b.state AND NOT f.tr""", "train_f1 test_f1")
 def _(spark, sf):
     c = _classes(spark, sf).withColumnRenamed("pred", "state")
-    return evaluate.best_state(c.where("frame < 500"), c.where("frame >= 500"), "state", "manual")
+    return evaluate.best_state(c.where("frame % 4 < 3"), c.where("frame % 4 = 3"), "state", "manual")
 
 
 @query("confusion_prf", "E6 P26", f"""WITH {SQL_CLASS}, k AS (SELECT UNNEST([0, 1, 2]) AS class), n AS (SELECT k.class, SUM(CASE WHEN pred = class AND class3 = class THEN 1 ELSE 0 END) AS hit,
@@ -260,6 +266,16 @@ def _(spark, sf):
     return c.groupBy("track_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("control").alias("total"), F.min("control").alias("low"), F.max("control").alias("high"))
 
 
+@query("negative_control_scored", "E4 E1", f"""WITH {SQL_EVENTS}, g AS (SELECT UNNEST([10.0::DOUBLE, 30.0, 60.0]) AS low), h AS (SELECT UNNEST([90.0::DOUBLE, 200.0]) AS high)
+    SELECT low, high, COUNT(CASE WHEN signal > low AND signal < high THEN 1 END) AS positives, COUNT(*) AS rows FROM tracks, g, h GROUP BY 1, 2""")
+def _(spark, sf):
+    """The sweep on shuffled values: what it calls positive is as much as on the true ones, only elsewhere."""
+    d = evaluate.shuffled(intervals.label_frames(bind.event_tracks(spark, sf), bind.bouts(spark, sf)).select("track_id", "frame", "signal", "manual"), "signal")
+    d = windowed(d, lambda w: {"last": F.lead(F.lit(1)).over(w).isNull()}, after=1)
+    s = evaluate.sweep_band(d, "control", "manual", "last", [10.0, 30.0, 60.0], [90.0, 200.0])
+    return s.select("low", "high", (F.col("tp") + F.col("fp")).alias("positives"), (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("rows"))
+
+
 @query("manual_per_state", "A18", f"""WITH {SQL_DENSE} SELECT CASE WHEN signal < 20 THEN 0 WHEN signal < 60 THEN 1 ELSE 2 END AS state, CASE WHEN frame < 40 THEN 'train' ELSE 'test' END AS part,
     CAST(SUM(manual) AS BIGINT) AS bouts, CAST(SUM(CASE WHEN signal > 100 THEN 1 ELSE 0 END) AS BIGINT) AS flares FROM dense GROUP BY 1, 2""")
 def _(spark, sf):
@@ -314,6 +330,16 @@ def _(spark, sf):
     return z.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("rows"), F.avg("l_extendedprice").alias("mean"), F.stddev_pop("l_extendedprice").alias("sd"), F.max("l_extendedprice").alias("top"))
 
 
+@query("zscore_inverse", "M1", "SELECT l_linenumber, COUNT(*) AS rows, SUM(l_extendedprice) AS total, MAX(l_extendedprice) AS top FROM lineitem GROUP BY 1", "total:2 top:5")
+def _(spark, sf):
+    from ..operators.models import fit_scaler, scale, unscale
+
+    li = _line_rows(spark, sf, "l_linenumber", "l_extendedprice")
+    fit = fit_scaler(li.where("l_linenumber <= 4"), ["l_extendedprice"])
+    back = unscale(scale(li, fit, ["l_extendedprice"]), fit, ["l_extendedprice"])
+    return back.groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("rows"), F.sum("l_extendedprice").alias("total"), F.max("l_extendedprice").alias("top"))
+
+
 # --- densities ---------------------------------------------------------------------------------------------------------
 @query("joint_hist", "A10", f"WITH {SQL_EVENTS}, p AS (SELECT signal, LAG(signal) {over()} AS prev FROM tracks) SELECT CAST(FLOOR(signal / 20) AS BIGINT) AS bx, CAST(FLOOR(prev / 20) AS BIGINT) AS by, COUNT(*) AS n FROM p WHERE prev IS NOT NULL GROUP BY 1, 2")
 def _(spark, sf):
@@ -344,35 +370,42 @@ def _(spark, sf):
     return quantile.exact_quantiles(bind.table(spark, sf, "lineitem").select("l_suppkey", "l_extendedprice"), ["l_suppkey"], "l_extendedprice", {"q10": 0.1, "q50": 0.5, "q975": 0.975})
 
 
-GRID = [float(g) for g in range(0, 200, 5)]
+def _grid(df, value: str, step: float = 5.0) -> list[float]:
+    """Multiples of ``step`` that cover all values."""
+    lo, hi = df.agg(F.floor(F.min(value) / step), F.ceil(F.max(value) / step)).first()
+    return [i * step for i in range(lo, hi + 1)] if lo is not None else []
 
 
 def _kde_sql(src, key):
-    return f"""st AS (SELECT {key}, POWER(COUNT(*), -0.2) * STDDEV_SAMP(value) AS h, COUNT(*) AS n FROM {src} GROUP BY 1),
-    gr AS (SELECT CAST(i AS BIGINT) AS g, CAST(i * 5 AS DOUBLE) AS x FROM (SELECT UNNEST(generate_series(0, 39)) AS i) q),
-    kde AS (SELECT s.{key}, g, x, SUM(EXP(-0.5 * POWER((x - value) / h, 2))) / (MAX(n) * MAX(h) * SQRT(2 * PI())) AS density FROM {src} s JOIN st USING ({key}), gr WHERE h > 0 GROUP BY 1, 2, 3)"""
+    return f"""st AS (SELECT {key}, POWER(COUNT(*), -0.2) * STDDEV_SAMP(value) AS h, COUNT(*) AS n FROM {src} GROUP BY {key}),
+    ends AS (SELECT CAST(FLOOR(MIN(value) / 5) AS BIGINT) AS lo, CAST(CEIL(MAX(value) / 5) AS BIGINT) AS hi FROM {src}),
+    gr AS (SELECT i - lo AS g, CAST(i * 5 AS DOUBLE) AS x FROM (SELECT lo, UNNEST(generate_series(lo, hi)) AS i FROM ends) q),
+    kde AS (SELECT {key}, g, x, SUM(EXP(-0.5 * POWER((x - value) / h, 2))) / (MAX(n) * MAX(h) * SQRT(2 * PI())) AS density FROM {src} s JOIN st USING ({key}), gr WHERE h > 0 GROUP BY {key}, g, x)"""
 
 
 @query("kde_grid", "A13", f"WITH e AS (SELECT event_type, value FROM events), {_kde_sql('e', 'event_type')} SELECT * FROM kde", "density:9")
 def _(spark, sf):
-    return density.kde_grid(bind.table(spark, sf, "events").select("event_type", "value"), "value", GRID, ("event_type",))
+    e = bind.table(spark, sf, "events").select("event_type", "value")
+    return density.kde_grid(e, "value", _grid(e, "value"), ("event_type",))
 
 
 @query("kde_conditional", "A12 P9", f"WITH {SQL_EVENTS}, p AS (SELECT track_id % 5 AS fish, signal AS value, LAG(signal) {over()} AS prev FROM tracks), e AS (SELECT fish, value FROM p WHERE prev BETWEEN 20 AND 90), {_kde_sql('e', 'fish')} SELECT * FROM kde", "density:9")
 def _(spark, sf):
     t = windowed(bind.event_tracks(spark, sf), lambda w: {"prev": F.lag("signal").over(w)}, before=1).where(F.col("prev").between(20, 90))
-    return density.kde_grid(t.select(F.expr("track_id % 5").alias("fish"), "signal"), "signal", GRID, ("fish",))
+    t = t.select(F.expr("track_id % 5").alias("fish"), "signal")
+    return density.kde_grid(t, "signal", _grid(t, "signal"), ("fish",))
 
 
-_VALLEY = """, ex AS (SELECT *, LAG(density) OVER w AS a, LEAD(density) OVER w AS b FROM kde WINDOW w AS (PARTITION BY loop_id ORDER BY g)),
-    pk AS (SELECT loop_id, COUNT(*) AS n, MAX(x) AS last, ARG_MAX(x, density) AS top FROM ex WHERE density > a AND density > b GROUP BY 1),
-    va AS (SELECT e.loop_id, e.x FROM ex e JOIN pk p ON e.loop_id = p.loop_id WHERE n = 2 AND density < a AND density < b AND e.x < last AND e.x > top)"""
+_VALLEY = """, ex AS (SELECT *, LAG(density) OVER w AS a, LEAD(density) OVER w AS b FROM kde WINDOW w AS (PARTITION BY track_id, loop ORDER BY g)),
+    pk AS (SELECT track_id, loop, COUNT(*) AS n, MAX(x) AS last, ARG_MAX(x, density) AS top FROM ex WHERE density > a AND density > b GROUP BY 1, 2),
+    va AS (SELECT e.track_id, e.loop, e.x FROM ex e JOIN pk p ON e.track_id = p.track_id AND e.loop = p.loop WHERE n = 2 AND density < a AND density < b AND e.x < last AND e.x > top)"""
 
 
-@query("kde_valley", "E10", f"WITH {SQL_EVENTS}, e AS (SELECT track_id * 10 + frame // 20 AS loop_id, signal AS value FROM tracks), {_kde_sql('e', 'loop_id')}{_VALLEY} SELECT AVG(x) AS mean, COUNT(*) AS valleys, MEDIAN(x) AS median FROM va", "mean median")
+@query("kde_valley", "E10", f"WITH {SQL_EVENTS}, e AS (SELECT track_id, frame // 20 AS loop, signal AS value FROM tracks), {_kde_sql('e', 'track_id, loop')}{_VALLEY} SELECT AVG(x) AS mean, COUNT(*) AS valleys, MEDIAN(x) AS median FROM va", "mean median")
 def _(spark, sf):
-    t = bind.event_tracks(spark, sf).select(F.expr("track_id * 10 + frame div 20").alias("loop_id"), "signal")
-    return density.valley_threshold(density.density_valleys(density.kde_grid(t, "signal", GRID, ("loop_id",))))
+    t = bind.event_tracks(spark, sf).select("track_id", F.expr("frame div 20").alias("loop"), "signal")
+    keys = ("track_id", "loop")
+    return density.valley_threshold(density.density_valleys(density.kde_grid(t, "signal", _grid(t, "signal"), keys), keys))
 
 
 @query("density_sorted", "A13 T4 T1", f"""WITH h AS (SELECT CAST(FLOOR(l_quantity / 5) AS BIGINT) AS bx, CAST(FLOOR(l_extendedprice / 10000) AS BIGINT) AS by, COUNT(*) AS n FROM lineitem GROUP BY 1, 2),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
-from ..operators import clean, pairs, rates, series
+from ..operators import clean, evaluate, pairs, rates, series
 from ..operators.chunk import computed, windowed
 from ..sources import bind
 from ..sources.bind import SQL_POSE, SQL_RINGS
@@ -191,6 +191,55 @@ def _(spark, sf):
     return clean.skeleton_filter(bind.pose(spark, sf, clean.CORE_PARTS), 300, 300, 40, 250, 300).select("track_id", "frame", *_clean_cols(clean.CORE_PARTS))
 
 
+_RULES = (300.0, 300.0, 40.0, 250.0, 300.0)
+_SWEEP = {"p0": [20.0, 45.0], "p1": [90.0, 150.0]}
+
+
+def _trace_sql(width: bool) -> str:
+    """The cleaned head angle scored by every band, with a width rule on top or without."""
+    grid = "g0 AS (SELECT UNNEST([20.0::DOUBLE, 45.0]) AS p0), g1 AS (SELECT UNNEST([90.0::DOUBLE, 150.0]) AS p1)"
+    hr, hl, rl = dist(H, R), dist(H, L), dist(R, L)
+    ang = f"an AS (SELECT track_id, frame, {side('hr', 'hl', 'rl')} AS angle, CASE WHEN frame % 7 < 3 THEN 1 ELSE 0 END AS manual, LEAD(1) {over()} IS NULL AS last FROM (SELECT track_id, frame, {hr} AS hr, {hl} AS hl, {rl} AS rl FROM cleaned) d)"
+    band = "bn AS (SELECT p0, p1, track_id, frame, manual, last, CASE WHEN angle > p0 AND angle < p1 THEN 1 ELSE 0 END AS b FROM an, g0, g1)"
+    rule = """n AS (SELECT *, CASE WHEN b = LAG(b) OVER (PARTITION BY p0, p1, track_id ORDER BY frame) THEN 0 ELSE 1 END AS new FROM bn),
+    g AS (SELECT *, SUM(new) OVER (PARTITION BY p0, p1, track_id ORDER BY frame) AS g FROM n),
+    e AS (SELECT *, MIN(frame) OVER (PARTITION BY p0, p1, track_id, g) AS start, MAX(frame) OVER (PARTITION BY p0, p1, track_id, g) AS stop FROM g),
+    sc AS (SELECT p0, p1, manual, last, CASE WHEN b = 1 AND stop > start + 10 AND stop - start > 1 AND frame < stop THEN 1 ELSE 0 END AS auto FROM e)""" if width else "sc AS (SELECT p0, p1, manual, last, b AS auto FROM bn)"
+    base = _c2_sql(*_RULES)
+    at = base.rindex(" SELECT track_id, frame,")
+    return f"""{base[:at]}, cleaned AS ({base[at + 1:]}), {ang}, {grid}, {band}, {rule}
+    SELECT p0, p1, CAST(SUM(CASE WHEN NOT last THEN auto*manual ELSE 0 END) AS BIGINT) AS tp, CAST(SUM(auto) - SUM(CASE WHEN NOT last THEN auto*manual ELSE 0 END) AS BIGINT) AS fp, COUNT(*) AS rows FROM sc GROUP BY 1, 2"""
+
+
+def _trace_sweep(spark, sf, width):
+    p = bind.pose(spark, sf, clean.CORE_PARTS).withColumn("manual", F.when(F.col("frame") % 7 < 3, 1).otherwise(0))
+    p = windowed(p, lambda w: {"last": F.lead(F.lit(1)).over(w).isNull()}, after=1).drop("_chunk")
+    first = 3 if width else 2
+    lists = {**_SWEEP, **({"p2": [1.0]} if width else {}), **{f"p{first + i}": [v] for i, v in enumerate(_RULES)}}
+    out = evaluate.sweep(p, lists, evaluate.skeleton_scorer(G.operculum_angle(), width), "manual", "last")
+    return out.select("p0", "p1", "tp", "fp", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("rows"))
+
+
+@query("trace_sweep", "E2 C2", _trace_sql(False))
+def _(spark, sf):
+    return _trace_sweep(spark, sf, False)
+
+
+@query("trace_width_sweep", "E2 C2 W23", _trace_sql(True))
+def _(spark, sf):
+    return _trace_sweep(spark, sf, True)
+
+
+@query("drop_then_fill", "P11 W8", f"""WITH {SQL_POSE}, k AS (SELECT track_id, frame, CASE WHEN F_spine1_x > 180 THEN F_spine1_x END AS s, CASE WHEN A_head_x > 230 THEN A_head_x END AS h FROM pose)
+    SELECT track_id, frame, s, LAST_VALUE(h IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY frame) AS h FROM k WHERE s IS NOT NULL""", "s h")
+def _(spark, sf):
+    from ..operators import fill
+
+    p = bind.pose(spark, sf, ["A_head", "F_spine1"])
+    k = p.select("track_id", "frame", F.when(F.col("F_spine1_x") > 180, F.col("F_spine1_x")).alias("s"), F.when(F.col("A_head_x") > 230, F.col("A_head_x")).alias("h"))
+    return fill.fill_forward(k.where("s is not null"), ["h"]).select("track_id", "frame", "s", "h")
+
+
 SQL_MID = f"""{SQL_POSE}, mids AS (SELECT *, (F_spine1_x+G_spine2_x)/2 AS mid_spine1_spine2_x, (F_spine1_y+G_spine2_y)/2 AS mid_spine1_spine2_y,
     LEAST(F_spine1_l, G_spine2_l) AS mid_spine1_spine2_l, (G_spine2_x+H_spine3_x)/2 AS mid_spine2_spine3_x, (G_spine2_y+H_spine3_y)/2 AS mid_spine2_spine3_y,
     LEAST(G_spine2_l, H_spine3_l) AS mid_spine2_spine3_l FROM pose)"""

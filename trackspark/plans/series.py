@@ -329,7 +329,7 @@ def _(spark, sf):
 @query("discretise_labels", "P16 P17", f"""WITH {SQL_LINES}, d AS (SELECT track_id, frame,
     CASE WHEN signal > 25 THEN 'open' ELSE 'closed' END || ',' || CASE WHEN l_tax * 1000 < 30 THEN 'ori:0' WHEN l_tax * 1000 < 70 THEN 'ori:1' ELSE 'ori:2' END
       || ',' || CASE WHEN l_discount * 50 <= 2 THEN 'low' WHEN l_discount * 50 <= 2.5 THEN 'mid' ELSE 'high' END AS label,
-    CASE WHEN frame < 400 THEN 'train' ELSE 'test' END AS part FROM lines),
+    CASE WHEN track_id % 4 < 3 THEN 'train' ELSE 'test' END AS part FROM lines),
     v AS (SELECT label, COUNT(*) AS n FROM d WHERE part = 'train' GROUP BY 1), t AS (SELECT AVG(n) AS cut FROM v),
     k AS (SELECT d.part, CASE WHEN v.n > t.cut THEN d.label ELSE 'OTHER' END AS label FROM d LEFT JOIN v USING (label), t)
     SELECT part, label, COUNT(*) AS rows FROM k GROUP BY 1, 2""")
@@ -340,7 +340,7 @@ def _(spark, sf):
     d = t.select("track_id", "frame", F.concat_ws(
         ",", L.cut_above("signal", [25], ["closed", "open"]), L.cut(F.col("l_tax") * 1000, [30, 70], ["ori:0", "ori:1", "ori:2"]),
         L.cut_above(F.col("l_discount") * 50, [2, 2.5], ["low", "mid", "high"])).alias("label"),
-        F.when(F.col("frame") < 400, "train").otherwise("test").alias("part"))
+        F.when(F.col("track_id") % 4 < 3, "train").otherwise("test").alias("part"))
     return collapse_rare(d, "label", F.col("part") == "train").groupBy("part", "label").agg(F.count(F.lit(1)).alias("rows"))
 
 

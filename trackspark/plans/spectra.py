@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import intervals, series, spectral
 from ..operators.chunk import windowed
 from ..sources import bind
 from ..sources.bind import SQL_BOUTS, SQL_LINES
+from ..sources.tables import stored
 from .registry import query
 
 
@@ -38,11 +41,40 @@ def _(spark, sf):
     return spectral.frequency_scores(bind.line_tracks(spark, sf), "signal").select("track_id", "frame", "mean_score")
 
 
-@query("freq_score_peak", "Q3 F21 F22")
+def _sql_peaks(rounds: int = 12) -> str:
+    """Peaks in the order of their height; each closes the peaks less than three bins away."""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"k{i} AS (SELECT track_id, frame, ARG_MAX(k, v) AS k, MAX(v) AS v FROM o{i} GROUP BY 1, 2)")
+        steps.append(f"o{i + 1} AS (SELECT o.track_id, o.frame, o.k, o.v FROM o{i} o JOIN k{i} b ON b.track_id = o.track_id AND b.frame = o.frame WHERE ABS(o.k - b.k) >= 3)")
+    return ", ".join(steps) + ", kept AS (" + " UNION ALL ".join(f"SELECT * FROM k{i}" for i in range(rounds)) + ")"
+
+
+@query("freq_score_peak", "Q3 F21 F22", f"""WITH {SQL_STFT}, lo AS (SELECT track_id, frame, k, mag / NULLIF(MAX(mag) OVER (PARTITION BY track_id, frame), 0) AS v FROM sp WHERE k >= 2),
+    nb AS (SELECT *, LAG(v) OVER (PARTITION BY track_id, frame ORDER BY k) AS a, LEAD(v) OVER (PARTITION BY track_id, frame ORDER BY k) AS b FROM lo),
+    o0 AS (SELECT track_id, frame, k, v FROM nb WHERE v > a AND v > b AND v >= 0.2), {_sql_peaks()},
+    am AS (SELECT track_id, frame, POWER(LEAST(1.0, MAX(CASE WHEN k > 3.5 AND k < 17.5 THEN mag END) / 3), 2) AS amp FROM sp GROUP BY 1, 2),
+    ps AS (SELECT track_id, frame, MAX(CASE WHEN k*40.0/70 > 10 OR k*40.0/70 <= 2 THEN 0 WHEN k*40.0/70 > 5 THEN 5 ELSE k*40.0/70 END * v) AS best FROM kept GROUP BY 1, 2)
+    SELECT l.track_id, l.frame, CASE WHEN am.amp IS NOT NULL THEN COALESCE(best, 0) * amp END AS peak_score FROM lines l LEFT JOIN am USING (track_id, frame) LEFT JOIN ps USING (track_id, frame)""", "peak_score")
 def _(spark, sf):
     return spectral.frequency_scores(bind.line_tracks(spark, sf), "signal").select("track_id", "frame", "peak_score")
 
 
+# a signal with nulls and missing frames: every null or missing frame repeats the value before it
+SQL_HOLES = SQL_STFT.replace("pr AS (SELECT l.track_id, l.frame - o.o + 35 AS frame, o.o AS o, l.signal FROM lines l", """seen AS (SELECT track_id, frame, CASE WHEN l_extendedprice % 7 >= 1 THEN signal END AS signal FROM lines WHERE frame = 0 OR frame % 11 <> 5),
+    held AS (SELECT l.track_id, l.frame, COALESCE(LAST_VALUE(s.signal IGNORE NULLS) OVER (PARTITION BY l.track_id ORDER BY l.frame), 0) AS signal FROM lines l LEFT JOIN seen s ON s.track_id = l.track_id AND s.frame = l.frame),
+    n2 AS (SELECT track_id, MAX(frame) + 1 AS n FROM seen GROUP BY 1), pr AS (SELECT l.track_id, l.frame - o.o + 35 AS frame, o.o AS o, l.signal FROM held l""").replace("ok AS (SELECT pr.* FROM pr JOIN n USING (track_id) WHERE frame >= 35 AND frame <= n.n - 35)", "ok AS (SELECT pr.* FROM pr JOIN n2 USING (track_id) WHERE frame >= 35 AND frame <= n2.n - 35)")
+
+
+@query("freq_score_gaps", "Q4 Q1 W8", f"""WITH {SQL_HOLES}, sc AS (SELECT track_id, frame, SUM(CASE WHEN k > 3.5 AND k < 17.5 THEN k*40.0/70*mag ELSE 0 END) / NULLIF(SUM(CASE WHEN k >= 2 THEN mag ELSE 0 END), 0)
+    * POWER(LEAST(1.0, MAX(CASE WHEN k > 3.5 AND k < 17.5 THEN mag END) / 4), 2) AS mean_score FROM sp GROUP BY 1, 2)
+    SELECT l.track_id, l.frame, mean_score FROM seen l LEFT JOIN sc USING (track_id, frame)""", "mean_score")
+def _(spark, sf):
+    t = bind.line_tracks(spark, sf, "l_extendedprice").where("frame = 0 OR frame % 11 <> 5")
+    t = t.select("track_id", "frame", F.when(F.col("l_extendedprice") % 7 >= 1, F.col("signal")).alias("signal"))
+    return spectral.frequency_scores(t, "signal").select("track_id", "frame", "mean_score")
+
+
 # padded blocks of 100 rows every 50
 SQL_BLOCK = f"""{SQL_LINES}, {_coef(100, 51, '50.0')}, n AS (SELECT track_id, COUNT(*) AS n FROM lines GROUP BY 1),
     pr AS (SELECT l.track_id, x.c AS col, l.frame - x.c * 50 + 50 AS o, l.signal FROM lines l, LATERAL (SELECT UNNEST([l.frame // 50, l.frame // 50 + 1]) AS c) x),
@@ -81,10 +113,26 @@ def _(spark, sf):
     return spectral.bout_dft_scores(rows, "signal")
 
 
-@query("sine_fit", "M19 F20", None)
-def _(spark, sf):
-    from ..operators.models import sine_fit
+SQL_SINE = f"{SQL_LINES}, le AS (SELECT DISTINCT track_id, frame // 400 AS period FROM lines)"
+
 
+def _sine(spark, sf):
     t = windowed(bind.line_tracks(spark, sf), lambda w: {"signal": F.avg("signal").over(w.rowsBetween(-3, 0))}, before=3)
-    t = t.withColumn("period", F.expr("frame div 400"))
-    return sine_fit(t, "signal", keys=("track_id", "period"))
+    return t.withColumn("period", F.expr("frame div 400")).select("track_id", "period", "frame", "signal")
+
+
+@query("sine_fit", "M19 F20", f"WITH {SQL_SINE} SELECT track_id, period, TRUE AS no_worse, TRUE AS own_error, TRUE AS far_from_mean FROM le")
+def _(spark, sf):
+    """Whether the fit is no worse than the best of a grid (searched by other means here), its error that of its values, its
+    differences centred."""
+    from ..operators.models import sine_error, sine_fit
+
+    t = stored(_sine(spark, sf))
+    fit = stored(sine_fit(t, "signal", keys=("track_id", "period")))
+    value = sine_error(t, "signal", fit, keys=("track_id", "period"))
+    own = value.groupBy("track_id", "period").agg(F.avg(F.col("sine_error") ** 2).alias("own"), F.max("error").alias("error"))
+    grid = t.withColumn("c", F.explode(F.array(*[F.lit(math.pi * c / 12) for c in range(-11, 13)])))
+    grid = grid.groupBy("track_id", "period", "c").agg(*[F.var_pop(F.col("signal") - 30 * F.sin(b / 200 * F.col("frame") + F.col("c"))).alias(f"e{b}") for b in range(1, 41, 2)])
+    least = grid.groupBy("track_id", "period").agg(F.least(*[F.min(f"e{b}") for b in range(1, 41, 2)]).alias("least"))
+    return own.join(least, ["track_id", "period"]).select("track_id", "period", (F.col("error") <= F.col("least") + 1e-6).alias("no_worse"),
+                                                          (F.abs(F.col("own") - F.col("error")) < 1e-6).alias("own_error"), (F.col("error") >= 0).alias("far_from_mean"))

@@ -54,7 +54,15 @@ def _(spark, sf):
     return spine.spine_curves(_holed(spark, sf), SPINE8, samples=100).where("path is not null").select("track_id", "frame", "path")
 
 
-@query("position_check", "C12")
+SQL_CHECKED = f"""WITH RECURSIVE {SQL_POSE}, p AS MATERIALIZED (SELECT track_id, frame, A_head_x AS x, A_head_y AS y FROM pose),
+    w AS ( SELECT track_id, frame, x, y, x IS NOT NULL AND y IS NOT NULL AS ok, x AS lx, y AS ly, CASE WHEN x IS NULL OR y IS NULL THEN 1 ELSE 0 END AS rejects FROM p WHERE frame = 0
+      UNION ALL SELECT n.track_id, n.frame, n.x, n.y, n.ok, CASE WHEN n.ok THEN n.x ELSE n.lx END, CASE WHEN n.ok THEN n.y ELSE n.ly END, CASE WHEN n.ok THEN 0 ELSE n.rejects + 1 END
+        FROM (SELECT p.track_id, p.frame, p.x, p.y, w.lx, w.ly, w.rejects, p.x IS NOT NULL AND p.y IS NOT NULL
+            AND (w.lx IS NULL OR w.rejects > 7 OR SQRT((p.x-w.lx)*(p.x-w.lx) + (p.y-w.ly)*(p.y-w.ly)) <= 150) AS ok FROM w JOIN p ON p.track_id = w.track_id AND p.frame = w.frame + 1) n)
+    SELECT track_id, frame, CASE WHEN ok THEN x END AS x, CASE WHEN ok THEN y END AS y FROM w"""
+
+
+@query("position_check", "C12", SQL_CHECKED)
 def _(spark, sf):
     p = bind.pose(spark, sf, ["A_head"]).select("track_id", "frame", F.col("A_head_x").alias("x"), F.col("A_head_y").alias("y"))
     return position.position_check(p, "x", "y", 150, 7).select("track_id", "frame", "x", "y")

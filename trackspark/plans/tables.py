@@ -73,6 +73,15 @@ def _(spark, sf):
 _AX = "OVER (ORDER BY axis ROWS BETWEEN"
 
 
+@query("feature_concat_outer", "J2", f"""WITH {SQL_EVENTS}, a AS (SELECT track_id, frame, signal AS a FROM tracks WHERE frame % 3 <> 0), b AS (SELECT track_id, frame, signal * 2 AS b FROM tracks WHERE frame % 2 = 0)
+    SELECT COALESCE(a.track_id, b.track_id) AS track_id, COALESCE(a.frame, b.frame) AS frame, a.a, b.b FROM a FULL JOIN b ON a.track_id = b.track_id AND a.frame = b.frame""")
+def _(spark, sf):
+    t = bind.event_tracks(spark, sf)
+    a = t.where("frame % 3 <> 0").select("track_id", "frame", F.col("signal").alias("a"))
+    b = t.where("frame % 2 = 0").select("track_id", "frame", (F.col("signal") * 2).alias("b"))
+    return tables.concat_features(a, b, how="outer").select("track_id", "frame", "a", "b")
+
+
 @query("interp_bridged", "W12 U1", f"""WITH {SQL_GAPS}, n AS (SELECT track_id, MAX(frame) + 1 AS n FROM gaps GROUP BY 1), s AS (SELECT track_id, n, CAST(COALESCE(SUM(n + 100) OVER (ORDER BY track_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s0 FROM n),
     a AS (SELECT g.track_id, g.frame, s0 + g.frame AS axis, g.signal FROM gaps g JOIN s USING (track_id) UNION ALL SELECT NULL, NULL, s0 + n + k, NULL FROM s, (SELECT UNNEST(generate_series(0, 99)) AS k) k),
     b AS (SELECT *, LAST_VALUE(signal IGNORE NULLS) {_AX} UNBOUNDED PRECEDING AND CURRENT ROW) AS pv, FIRST_VALUE(signal IGNORE NULLS) {_AX} CURRENT ROW AND UNBOUNDED FOLLOWING) AS nv,

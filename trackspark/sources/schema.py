@@ -34,10 +34,6 @@ SIGNAL = T.StructType([
 ])
 
 
-def pose_columns(parts=PARTS) -> list[str]:
-    return [f"{p}_{c}" for p in parts for c in ("x", "y", "l")]
-
-
 def check_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Fail early when a table lacks a declared column or types differ."""
     have = {f.name: f.dataType for f in df.schema}

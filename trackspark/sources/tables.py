@@ -43,9 +43,12 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", **options)
     df.write.mode(mode).options(header=True, **options).csv(path)
 
 
-def write_results(df: DataFrame, path: str, by=("track_id",), mode: str = "errorifexists", fmt: str = "parquet") -> None:
-    """One directory per key. Rows are first gathered by key and frame chunk, so a key gets few files and a long track
-    is still written by many tasks."""
+def write_results(df: DataFrame, path: str, by=("track_id",), mode: str = "errorifexists", fmt: str = "parquet", folders: int = 4096) -> None:
+    """One directory per key, or per hash class of the keys (``folder``) where there are more than ``folders`` of them, so that millions of
+    tracks do not make millions of small files; the keys then stay columns. Rows are first gathered by directory and frame
+    chunk, so a directory gets few files and a long track is still written by many tasks."""
+    if df.select(*by).distinct().limit(folders + 1).count() > folders:
+        df, by = df.withColumn("folder", F.pmod(F.xxhash64(*by), F.lit(folders))), ("folder",)
     if "frame" in df.columns:
         df = with_chunk(df).repartition(*by, "_chunk").drop("_chunk")
     df.write.mode(mode).partitionBy(*by).format(fmt).save(path)
@@ -62,7 +65,8 @@ def concat_features(base: DataFrame, *tables: DataFrame, keys=("track_id", "fram
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the cluster's shared folder; a local folder only in local mode without one."""
+    """A new path in the folder that executors share (spark.checkpoint.dir). In local mode, where all is one machine, a temporary
+    folder serves where none is set; a cluster must name one."""
     import tempfile
     import uuid
 
@@ -75,8 +79,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base}/trackspark-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write a table to the scratch folder and read it back: ends a long plan and keeps its rows across lost executors."""
-    path = scratch_dir(df.sparkSession)
+    """Write a table to the scratch folder and read it back: ends a long plan and keeps its rows across lost executors.
+
+    The files go when the application ends, or before by ``discard``.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            fs, at = _file_system(t.sparkSession, path)
+            fs.delete(at, True)

@@ -18,6 +18,21 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+class Feed:
+    """A folder as a stream that can be closed: ``close`` delivers one last row whose event time lies ahead of all others, which
+    moves the watermark past every open window. The row itself stays in its own, never finished window."""
+
+    def __init__(self, spark: SparkSession, path: str, schema, files_per_batch: int = 100):
+        self.spark, self.schema, self.end = spark, schema, scratch_dir(spark)
+        spark.createDataFrame([], schema).write.parquet(self.end)
+        self.rows = read_stream(spark, path, schema, files_per_batch).unionByName(read_stream(spark, self.end, schema))
+
+    def close(self, time: str = "ts") -> None:
+        last = self.spark.range(1).select(*[
+            (F.lit("9000-01-01").cast("timestamp") if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema])
+        last.write.mode("append").parquet(self.end)
+
+
 def loop_rates(stream: DataFrame, binary: Column, length: str = "27 seconds", late: str = "10 seconds", keys=("track_id",)) -> DataFrame:
     """Mean of ``binary`` per track and tumbling loop, emitted once the watermark has passed the loop."""
     w = stream.withWatermark("ts", late).groupBy(*keys, F.window("ts", length))
@@ -43,28 +58,45 @@ def joined_pairs(left: DataFrame, right: DataFrame, on: list[str], apart: str =
     return a.join(b, cond).drop(*[f"_{c}" for c in on])
 
 
+_POINT = np.dtype([("frame", "<i8"), ("x", "<f8"), ("y", "<f8")])
+
+
 def position_check(stream: DataFrame, x: str = "x", y: str = "y", max_dist: float = 20, max_counter: int = 7) -> DataFrame:
-    """Online position check; state per track: last accepted point and rejects in a row.
+    """Online position check; state per track: last accepted point, rejects in a row, next frame and the points that came early.
 
-    Frames of a track must arrive in order of batches; inside a batch they are ordered here.
+    Frames of a track are numbered from 0 without gaps. They may arrive in any order: a point waits in the state until all
+    frames before it are there, so the result does not depend on how files fall into batches.
     """
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("frame")
-        entry = state.get if state.exists else (float("nan"), float("nan"), 0)
-        px, py = rows[x].to_numpy(float, na_value=np.nan), rows[y].to_numpy(float, na_value=np.nan)
-        ok, leave = walk(px, py, (entry[0], entry[1], entry[2]), max_dist, max_counter)
-        state.update(leave)
-        yield pd.DataFrame({"track_id": rows["track_id"].to_numpy(), "frame": rows["frame"].to_numpy(), "x": np.where(ok, px, np.nan), "y": np.where(ok, py, np.nan)})
+        lx, ly, rejects, due, early = state.get if state.exists else (float("nan"), float("nan"), 0, 0, b"")
+        rows = pd.concat(list(batches))
+        new = np.empty(len(rows), _POINT)
+        for name, c in (("frame", "frame"), ("x", x), ("y", y)):
+            new[name] = rows[c].to_numpy(float, na_value=np.nan) if name != "frame" else rows[c].to_numpy()
+        points = np.concatenate([np.frombuffer(bytes(early), _POINT), new])
+        points = points[np.argsort(points["frame"], kind="stable")]
+        ready = int((points["frame"] == due + np.arange(len(points))).argmin()) if not (points["frame"] == due + np.arange(len(points))).all() else len(points)
+        go, wait = points[:ready], points[ready:]
+        ok, leave = walk(go["x"].copy(), go["y"].copy(), (lx, ly, rejects), max_dist, max_counter)
+        state.update((*leave, due + ready, wait.tobytes()))
+        yield pd.DataFrame({"track_id": np.full(ready, key[0]), "frame": go["frame"].copy(), "x": np.where(ok, go["x"], np.nan), "y": np.where(ok, go["y"], np.nan)})
 
     out = stream.groupBy("track_id").applyInPandasWithState(
-        step, "track_id long, frame long, x double, y double", "lx double, ly double, rejects long", "append", GroupStateTimeout.NoTimeout)
+        step, "track_id long, frame long, x double, y double", "lx double, ly double, rejects long, due long, early binary", "append", GroupStateTimeout.NoTimeout)
     return out.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("x", "y")})
 
 
-def run_available(stream: DataFrame) -> DataFrame:
-    """Drain what the source holds into a Parquet table of the scratch folder and read that table."""
+def run_available(stream: DataFrame, feed: Feed | None = None) -> DataFrame:
+    """Drain what the source holds into a Parquet table of the scratch folder and read that table. With a ``feed`` the source is then
+    closed and drained again from the same progress, so windows that were still open come out too."""
     spark = stream.sparkSession
     base = scratch_dir(spark)
-    q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
-    q.awaitTermination()
+
+    def drain() -> None:
+        q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
+        q.awaitTermination()
+    drain()
+    if feed is not None:
+        feed.close()
+        drain()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
