@@ -165,9 +165,19 @@ def _(spark, sf):
     return ring.anchors_by_runs(c, "runs", "size(pts)", 3).select("track_id", "frame", "in1", "out1", "in2", "out2")
 
 
-@query("ring_anchors_cooldown", "R13")
+_FLIP = "v <> flag AND (since > 3 OR (f0 AND flag))"
+
+
+@query("ring_anchors_cooldown", "R13", f"""WITH RECURSIVE {SQL_FLAG.replace("QUANTILE_CONT(d, 0.4)", "QUANTILE_CONT(d, 0.5)").replace("d > thr AS far", "d < thr AS v")}, p AS MATERIALIZED (SELECT track_id, frame, pt, v FROM fl),
+    w AS ( SELECT track_id, frame, CAST(-1 AS BIGINT) AS pt, v AS f0, v AS flag, 4 AS since, CAST(-1 AS BIGINT) AS in1, CAST(-1 AS BIGINT) AS in2, CAST(-1 AS BIGINT) AS o1, CAST(-1 AS BIGINT) AS ol, 0 AS n FROM p WHERE pt = 0
+      UNION ALL SELECT track_id, frame, pos, f0, CASE WHEN {_FLIP} THEN v ELSE flag END, CASE WHEN {_FLIP} THEN 0 ELSE since + 1 END,
+        CASE WHEN {_FLIP} AND v AND in1 < 0 THEN pos ELSE in1 END, CASE WHEN {_FLIP} AND v AND in1 >= 0 AND in2 < 0 THEN pos ELSE in2 END,
+        CASE WHEN {_FLIP} AND NOT v AND n = 0 THEN pos ELSE o1 END, CASE WHEN {_FLIP} AND NOT v AND n > 0 THEN pos ELSE ol END, CASE WHEN {_FLIP} AND NOT v THEN n + 1 ELSE n END
+        FROM (SELECT w.*, p.pt AS pos, p.v FROM w JOIN p ON p.frame = w.frame AND p.track_id = w.track_id AND p.pt = w.pt + 1) j)
+    SELECT track_id, frame, in1, CASE WHEN f0 THEN ol ELSE o1 END AS out1, in2, CASE WHEN f0 THEN o1 ELSE ol END AS out2 FROM w WHERE pt = {N} - 1""")
 def _(spark, sf):
-    return ring.anchors_by_cooldown(_flags(spark, sf, 0.5), "near", 3).select("track_id", "frame", "in1", "out1", "in2", "out2")
+    a = ring.anchors_by_cooldown(_flags(spark, sf, 0.5), "near", 3)
+    return a.select("track_id", "frame", *[F.col(c).cast("long").alias(c) for c in ("in1", "out1", "in2", "out2")])
 
 
 @query("ring_ends", "R14")

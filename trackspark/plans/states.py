@@ -29,12 +29,30 @@ def _manual(df):
     return df.withColumn("manual", F.when(F.col("signal") > 0.8, 1).otherwise(0))
 
 
-@query("pca_loadings", "M2")
+def _sql_components(where: str = "TRUE") -> str:
+    """Eigenvalues l1 >= l2 >= l3 and unit eigenvectors of the covariance of the three features, in closed form."""
+    means = ", ".join(f"AVG({c}) OVER w AS {c}" for c in COLS)
+    z = ", ".join(f"({c} - AVG({c}) OVER ()) / STDDEV_POP({c}) OVER () AS {x}" for c, x in zip(COLS, "xyz"))
+    cov = ", ".join(f"COVAR_POP({a}, {b}) AS {n}" for n, a, b in (("a", "x", "x"), ("b", "y", "y"), ("c", "z", "z"), ("d", "x", "y"), ("e", "x", "z"), ("f", "y", "z")))
+    vectors = " UNION ALL ".join(f"""SELECT {i} AS component, l{i + 1} / (l1+l2+l3) AS ratio, {' + '.join(f'l{j + 1}' for j in range(i + 1))} AS upto, l1+l2+l3 AS total,
+        d*f - e*(b-l{i + 1}) AS v0, e*d - (a-l{i + 1})*f AS v1, (a-l{i + 1})*(b-l{i + 1}) - d*d AS v2 FROM ev""" for i in range(3))
+    return f"""{SQL_LINES}, sm AS (SELECT track_id, frame, {means} FROM lines WINDOW w AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+    sc AS (SELECT track_id, frame, {z} FROM sm), mu AS (SELECT AVG(x) AS mx, AVG(y) AS my, AVG(z) AS mz FROM sc WHERE {where}), cv AS (SELECT {cov} FROM sc WHERE {where}),
+    q0 AS (SELECT *, (a+b+c)/3 AS q FROM cv), q1 AS (SELECT *, SQRT(((a-q)*(a-q) + (b-q)*(b-q) + (c-q)*(c-q) + 2*(d*d+e*e+f*f)) / 6) AS p FROM q0),
+    q2 AS (SELECT *, ACOS(LEAST(1, GREATEST(-1, ((a-q)*((b-q)*(c-q)-f*f) - d*(d*(c-q)-f*e) + e*(d*f-(b-q)*e)) / (2*p*p*p)))) / 3 AS g FROM q1),
+    ev AS (SELECT *, q + 2*p*COS(g) AS l1, q + 2*p*COS(g + 2*PI()/3) AS l3, 3*q - (q + 2*p*COS(g)) - (q + 2*p*COS(g + 2*PI()/3)) AS l2 FROM q2),
+    vs AS ({vectors}), nv AS (SELECT component, ratio, upto / total AS cumulative, SQRT(v0*v0+v1*v1+v2*v2) * SIGN(CASE WHEN ABS(v0) >= ABS(v1) AND ABS(v0) >= ABS(v2) THEN v0 WHEN ABS(v1) >= ABS(v2) THEN v1 ELSE v2 END) AS n, v0, v1, v2 FROM vs)"""
+
+
+@query("pca_loadings", "M2", f"WITH {_sql_components()} " + " UNION ALL ".join(
+    f"SELECT component, ratio, cumulative, '{c}' AS feature, v{i}/n AS loading, ABS(v{i}/n) AS magnitude FROM nv" for i, c in enumerate(COLS)), "ratio cumulative loading:4 magnitude:4")
 def _(spark, sf):
     return models.fit_components(features(spark, sf), COLS).table(spark)
 
 
-@query("pca_transfer", "M3 M2 P12")
+@query("pca_transfer", "M3 M2 P12", f"""WITH {_sql_components('track_id % 2 = 0')} SELECT track_id, frame, {', '.join(
+    f"((x-mx)*(SELECT v0/n FROM nv WHERE component = {k}) + (y-my)*(SELECT v1/n FROM nv WHERE component = {k}) + (z-mz)*(SELECT v2/n FROM nv WHERE component = {k})) AS pc{k}" for k in (0, 1))}
+    FROM sc, mu WHERE track_id % 2 = 1""", "pc0:4 pc1:4")
 def _(spark, sf):
     f = features(spark, sf)
     comp = models.fit_components(f.where("track_id % 2 = 0"), COLS)
