@@ -36,7 +36,7 @@ def _whole(name: str):
         for part in grouped(batches):
             data, at = utf8(part.column("text"))
             raw = data.tobytes()
-            split = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            split = [tok.keys(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             edge = np.cumsum([0, *map(len, split)])
             n = sums_per(tok.lengths(tok.numbered([w for x in split for w in x])), edge)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
@@ -84,7 +84,7 @@ def _encode(name: str, overlap: int):
             out = []
             for row, no, start, last, raw in zip(*(part.column(c).to_pylist() for c in ("row", "no", "start", "last", "chunk")), strict=True):
                 words = raw.split()
-                number = tok.numbered(words)
+                number = tok.numbered([w.decode("utf-8", "replace") for w in words])
                 length = tok.lengths(number)
                 before = np.concatenate(([0], np.cumsum(length)))
                 blank = _space[np.frombuffer(raw, np.uint8)]

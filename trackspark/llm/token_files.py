@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, grouped, lists, scratch_dir, stored, utf8
+from .common import documents, grouped, lists, scratch_dir, stored, sums_per, utf8
 from .rans import Table, decode, encode
 from .tokens import WORD_BPE, encoder
 
@@ -45,15 +45,18 @@ def _ids(raw: bytes, n: int) -> np.ndarray:
 def _tokenised(name: str, end: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, no = encoder(name), TaskContext.get().partitionId(), 0
-        docs, lengths, ids, held = [], [], [], 0
+        docs, lengths, ids, held, last = [], [], [], 0, np.array([end], np.uint32)
         for b in grouped(batches):
             data, at = utf8(b.column("text"))
             raw = data.tobytes()
-            for doc_id, lo, hi in zip(b.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                flat = tok.flat(tok.numbered(raw[lo:hi].split()))
+            keys = [tok.keys(raw[lo:hi]) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            number = tok.numbered([k for x in keys for k in x])
+            count = sums_per(tok.lengths(number), np.cumsum([0, *map(len, keys)]))
+            each = np.split(tok.flat(number), np.cumsum(count)[:-1])
+            for doc_id, flat in zip(b.column("doc_id").to_pylist(), each, strict=True):
                 docs.append(doc_id)
                 lengths.append(len(flat) + 1)
-                ids += [flat, np.array([end], np.uint32)]
+                ids += [flat, last]
                 held += lengths[-1]
                 if held >= BLOCK_IDS:
                     yield _block(part, no, docs, lengths, ids)

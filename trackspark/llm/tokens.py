@@ -1,4 +1,4 @@
-"""Encoding with a tokenizer whose pre-tokens never cross white space, each different word once.
+"""Encoding with a tokenizer whose pre-tokens never cross white space, each different part once.
 
 ``word_bpe_49k.json`` replaces white space by one space, splits at a pattern that never matches white space, and neither its
 normal form nor its lower case looks across it. So ids of a text are the ids of its words (bytes between ASCII white space, which
@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import unicodedata
 from array import array
 
 import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
-#: Words a worker remembers; beyond it starts anew. Only speed depends on it.
+#: Parts that a worker remembers before it forgets those not used of late. Only speed depends on it.
 REMEMBERED = 400_000
 
 
@@ -30,20 +32,54 @@ def assert_independent(path: str) -> None:
         raise ValueError("an added token reaches beyond a word")
 
 
-class _Numbers(dict):
-    """Word to its number; a new word gets the next one and waits to be encoded."""
+class _Memo(dict):
+    """Key to a number, and per number its ids in one flat array. ``old`` is the memo before: what is still used moves over, what is not
+    used again is forgotten with it, so frequent keys stay however many rare ones pass."""
 
-    def __init__(self):
+    def __init__(self, encode, old: "_Memo | None" = None):
         super().__init__()
-        self.waiting: list[bytes] = []
+        self.encode, self.old = encode, old
+        self.ids, self.starts = array("I"), array("q", [0])
+        if old is not None:
+            old.old = None
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self)
-        self.waiting.append(word)
-        return k
+    def __missing__(self, key: bytes | str) -> int:
+        old = self.old
+        if old is not None and (k := old.get(key)) is not None:
+            self.ids.extend(old.ids[old.starts[k] : old.starts[k + 1]])
+        else:
+            self.ids.extend(self.encode(key))
+        self.starts.append(len(self.ids))
+        self[key] = n = len(self)
+        return n
+
+    def renewed(self) -> "_Memo":
+        return _Memo(self.encode, self) if len(self) > REMEMBERED else self
+
+
+def _by_class(name: str) -> bytes:
+    """Latin-1 characters of a general category, escaped for a character class."""
+    return b"".join(b"\\x%02x" % c for c in range(256) if unicodedata.category(chr(c))[0] == name)
+
+
+#: The tokenizer's split pattern on lower-cased Latin-1 text, and that lower case: both keep to one byte a character.
+_SPACE = rb"\x09-\x0d\x20\x85\xa0"
+_PARTS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[%(L)s]+|[%(N)s]|[^%(S)s%(L)s%(N)s]+" % {b"L": _by_class("L"), b"N": _by_class("N"), b"S": _SPACE})
+_LOWER = bytes(ord(chr(c).lower()) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 256 else c for c in range(256))
+
+
+def _byte_letters() -> dict[int, int]:
+    """The rule of byte-level vocabularies: printable bytes stand for themselves, the others for the characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
 
 
 class WordEncoder:
+    """Ids of texts by parts. A Latin-1 text without the beginning of an added token is its own normal form but for the lower case,
+    so its parts are the matches of the split pattern, merged by the library's model; a part is merged once and remembered.
+    The words of any other text are encoded by the library as they are, and remembered too."""
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -52,34 +88,41 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self._reset()
-
-    def _reset(self) -> None:
-        self.numbers, self.ids, self.starts = _Numbers(), array("I"), array("q", [0])
-
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        """Number of each word, for ``lengths`` and ``flat``, until the next call."""
-        if len(self.numbers) > REMEMBERED:
-            self._reset()
-        out = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
-        if new := self.numbers.waiting:
-            for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False):
-                self.ids.extend(e.ids)
-                self.starts.append(len(self.ids))
-            self.numbers.waiting = []
-        return out
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.memo = _Memo(self._encode)
+
+    def _encode(self, key: bytes | str) -> list[int]:
+        if isinstance(key, str):
+            return self.tokenizer.encode(key, add_special_tokens=False).ids
+        return [t.id for t in self.model.tokenize(key.decode("latin-1").encode().decode("latin-1").translate(self.letters))]
+
+    @staticmethod
+    def keys(raw: bytes) -> list[bytes] | list[str]:
+        """The parts of a text (bytes), or its words (str) where parts cannot be told."""
+        try:
+            if b"<|" not in raw:
+                return _PARTS.findall(raw.decode().encode("latin-1").translate(_LOWER))
+        except UnicodeError:
+            pass
+        return [w.decode("utf-8", "replace") for w in raw.split()]
+
+    def numbered(self, keys: list) -> np.ndarray:
+        """Number of each key, for ``lengths`` and ``flat``, until the next call."""
+        self.memo = self.memo.renewed()
+        return np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
 
     def lengths(self, numbers: np.ndarray) -> np.ndarray:
-        starts = np.frombuffer(self.starts, np.int64)
+        starts = np.frombuffer(self.memo.starts, np.int64)
         return starts[numbers + 1] - starts[numbers]
 
     def flat(self, numbers: np.ndarray) -> np.ndarray:
-        """Ids of the words, one after the other."""
+        """Ids of the keys, one after the other."""
         n = self.lengths(numbers)
-        first = np.frombuffer(self.starts, np.int64)[numbers]
+        if not n.sum():
+            return np.zeros(0, np.uint32)
         end = np.cumsum(n)
-        at = np.repeat(first - end + n, n) + np.arange(end[-1] if len(end) else 0)
-        return np.frombuffer(self.ids, np.uint32)[at] if len(at) else np.zeros(0, np.uint32)
+        at = np.repeat(np.frombuffer(self.memo.starts, np.int64)[numbers] - end + n, n) + np.arange(end[-1])
+        return np.frombuffer(self.memo.ids, np.uint32)[at]
 
 
 _encoders: dict[str, WordEncoder] = {}
