@@ -28,7 +28,8 @@ def with_topic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds ``_topic``; of several labels of an id the greatest count."""
     named = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("_quality"), F.max("toxic").alias("_toxic"))
     topic = F.when(F.col("_toxic") == 1, "toxic").when(F.col("_quality") == 1, "high").when(F.col("_quality") == 0, "low").otherwise("none")
-    return docs.join(named, F.col("doc_id") == F.col("_id"), "left").withColumn("_topic", topic).drop("_id", "_quality", "_toxic")
+    # labels grow with the documents, so they are never broadcast
+    return docs.join(named.hint("merge"), F.col("doc_id") == F.col("_id"), "left").withColumn("_topic", topic).drop("_id", "_quality", "_toxic")
 
 
 def rake(cells: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, rate: float = RATE) -> DataFrame:
@@ -58,7 +59,8 @@ def draw(doc_id: Column) -> Column:
 
 def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, source, lang) with _topic, _tokens, _weight (raked tokens of the document), _probability and _kept."""
-    rows = with_topic(docs, labels).withColumn("_tokens", F.expr(f"cast(regexp_count(coalesce(text, ''), '{_WORDS}') as long)"))
+    # tokens are counted before the join, so that texts are shuffled only where the caller asks for them
+    rows = with_topic(docs.withColumn("_tokens", F.expr(f"cast(regexp_count(coalesce(text, ''), '{_WORDS}') as long)")), labels)
     sums = rows.groupBy("source", "lang", F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens"))
     cells = rake(stored(sums)).select(*[F.col(s).alias(f"_cell_{s}") for s in SIDES], F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0).alias("_factor"))
     same = rows.source.eqNullSafe(F.col("_cell_source")) & rows.lang.eqNullSafe(F.col("_cell_lang")) & (F.col("_topic") == F.col("_cell_topic"))
