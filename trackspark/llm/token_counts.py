@@ -36,9 +36,8 @@ def _whole(name: str):
         for part in grouped(batches):
             data, at = utf8(part.column("text"))
             raw = data.tobytes()
-            split = [tok.keys(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            edge = np.cumsum([0, *map(len, split)])
-            n = sums_per(tok.lengths(tok.numbered([w for x in split for w in x])), edge)
+            number, parts = tok.numbered_texts([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            n = sums_per(tok.lengths(number), np.concatenate(([0], np.cumsum(parts))))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(at)), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run

@@ -49,9 +49,8 @@ def _tokenised(name: str, end: int):
         for b in grouped(batches):
             data, at = utf8(b.column("text"))
             raw = data.tobytes()
-            keys = [tok.keys(raw[lo:hi]) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            number = tok.numbered([k for x in keys for k in x])
-            count = sums_per(tok.lengths(number), np.cumsum([0, *map(len, keys)]))
+            number, parts = tok.numbered_texts([raw[lo:hi] for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+            count = sums_per(tok.lengths(number), np.concatenate(([0], np.cumsum(parts))))
             each = np.split(tok.flat(number), np.cumsum(count)[:-1])
             for doc_id, flat in zip(b.column("doc_id").to_pylist(), each, strict=True):
                 docs.append(doc_id)

@@ -16,6 +16,8 @@ from array import array
 
 import numpy as np
 
+from .common import RangeHash
+
 WORD_BPE = "word_bpe_49k.json"
 #: Parts that a worker remembers before it forgets those not used of late. Only speed depends on it.
 REMEMBERED = 400_000
@@ -67,6 +69,12 @@ _SPACE = rb"\x09-\x0d\x20\x85\xa0"
 _PARTS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[%(L)s]+|[%(N)s]|[^%(S)s%(L)s%(N)s]+" % {b"L": _by_class("L"), b"N": _by_class("N"), b"S": _SPACE})
 _LOWER = bytes(ord(chr(c).lower()) if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 256 else c for c in range(256))
 
+#: Space, letter, number, other.
+_CLASS = np.array([0 if re.match(b"[" + _SPACE + b"]", bytes([c])) else {"L": 1, "N": 2}.get(unicodedata.category(chr(c))[0], 3) for c in range(256)], np.uint8)
+#: Longest text that is cut together with others.
+_TOGETHER = 4 << 20
+_part_hash = RangeHash(41)
+
 
 def _byte_letters() -> dict[int, int]:
     """The rule of byte-level vocabularies: printable bytes stand for themselves, the others for the characters from 256 on."""
@@ -106,6 +114,40 @@ class WordEncoder:
             pass
         return [w.decode("utf-8", "replace") for w in raw.split()]
 
+    def numbered_texts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the parts of all texts, one text after the other, for ``lengths`` and ``flat`` until the next call; and the number
+        of parts of each text.
+
+        Most texts (Latin-1, no apostrophe, which the pattern treats apart) are cut at changes of the character class, all at once;
+        each different part of them is looked up once.
+        """
+        self.memo = self.memo.renewed()
+        plain, at, found = [], [], [None] * len(texts)
+        for i, raw in enumerate(texts):
+            try:
+                if len(raw) > _TOGETHER or b"<|" in raw or b"'" in raw:
+                    raise UnicodeError
+                plain.append(raw.decode().encode("latin-1"))
+                at.append(i)
+            except UnicodeError:
+                keys = self.keys(raw)
+                found[i] = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
+        if plain:
+            text = b" ".join(plain).translate(_LOWER)
+            data = np.frombuffer(text, np.uint8)
+            kind = _CLASS[data]
+            edge = np.flatnonzero(np.concatenate(([True], (kind[1:] != kind[:-1]) | (kind[1:] == 2), [True]))) if len(data) else np.zeros(1, np.int64)
+            start, end = edge[:-1], edge[1:]
+            part = kind[start] != 0
+            start, end = start[part], end[part]
+            _, first, inverse = np.unique(_part_hash.load(data).ranges(start, end), return_index=True, return_inverse=True)
+            keys = [text[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+            number = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))[inverse]
+            begin = np.cumsum([0, *(len(p) + 1 for p in plain)])
+            for i, x in zip(at, np.split(number, np.searchsorted(start, begin[1:-1])), strict=True):
+                found[i] = x
+        return (np.concatenate(found) if found else np.zeros(0, np.int64)), np.array([len(x) for x in found], np.int64)
+
     def numbered(self, keys: list) -> np.ndarray:
         """Number of each key, for ``lengths`` and ``flat``, until the next call."""
         self.memo = self.memo.renewed()
