@@ -96,6 +96,21 @@ def test_gibberish_is_rejected(spark):
     assert got.where("doc_id >= 1000000000 and rejected").count() == 5
 
 
+def test_every_gram_counts(spark, monkeypatch):
+    """A model beyond the bound of one table scores as that table does, and still has a language whose grams are all rare."""
+    r = random.Random(5)
+    rare = [" ".join("".join(r.choice("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(5)) for _ in range(12)) for _ in range(60)]
+    docs = docs_of(spark).select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(10**9 + i, t, "rare") for i, t in enumerate(rare)], "doc_id long, text string, lang string"))
+    known = {x.doc_id: x for x in language.identify(docs).collect()}
+    monkeypatch.setattr(language, "GRAMS", 2000)
+    got = language.identify(docs).collect()
+    assert len(got) == len(known) and all(x.lang_pred == "rare" and not x.rejected for x in got if x.doc_id >= 10**9)
+    for x in got:
+        y = known[x.doc_id]
+        assert (x.lang_pred, x.rejected) == (y.lang_pred, y.rejected)
+        assert (x.score, x.cross_entropy) == pytest.approx((y.score, y.cross_entropy), rel=1e-4)
+
+
 # -- tokens
 
 @pytest.fixture(scope="module")

@@ -5,11 +5,11 @@ has a model of order 4 over these symbols, estimated by interpolated Kneser-Ney:
 left neighbours below, one discount per order from its counts of one and two. The language of the lowest cross-entropy per symbol
 wins (ties: the first in the alphabet).
 
-Counting: tasks count packed 4-grams, Spark sums them per language; every fitting text counts, however many there are. A model
-holds at most ``GRAMS`` different 4-grams of all languages together, the most frequent ones: the least count that stays follows from
-the counts of counts, and every gram of that count or more stays. So the tables that reach the driver and the workers are bounded.
-They are sorted arrays of 64-bit hashes (a bijection of the packed symbols, so no two grams collide), one per order, each with a matrix
-of log-probabilities for all languages. A gram that no language has falls back by its context's weight.
+Counting: tasks count packed 4-grams, Spark sums them per language; every fitting text counts and every gram stays, however many there
+are. Up to ``GRAMS`` rows of language and 4-gram, the model is computed on the driver: sorted arrays of 64-bit hashes (a bijection of
+the packed symbols, so no two grams collide), one per order, each with a matrix of log-probabilities for all languages. A gram that no
+language has falls back by its context's weight. Beyond, Spark computes the same tables, and they are broadcast in blocks of sorted
+keys: a worker holds some texts and looks their grams up in one block after the other, so memory is bounded by the block.
 
 Calibration: one in five of the fitting texts is not counted. On these the sharpness of the score (softmax of the cross-entropies,
 times the sharpness) minimises the log-loss, and mean and deviation of the winning cross-entropy are taken per language and doubling
@@ -29,9 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U, documents, grouped, lists, mix, stored, utf8
+from ..sources.tables import discard
+from .common import PIECE, U, documents, grouped, lists, mix, stored, utf8
 
 ORDER, GRAMS = 4, 1_000_000
+#: Log-probabilities of a block of a large model, and how many of all blocks a worker keeps loaded.
+VALUES, KEPT = 1 << 23, 1 << 24
 DEVIATIONS, SLACK = 8.0, 1.0
 UNKNOWN = "und"
 SHARPNESS = [0.5, 1.0, 2.0, 4.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0]
@@ -104,10 +107,16 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
+def _discount(one: int, two: int) -> float:
+    return min(one / (one + 2 * two) if one else 0.5, 0.9)
+
+
 class Model:
     """Log-probabilities of all languages. ``orders[k]`` has, for grams of k + 1 symbols, the sorted hashes and their matrix;
     ``weights[k]`` the sorted hashes of contexts of k symbols and the log-weight of the order below."""
 
+    piece = PIECE
+
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
         n_langs = len(self.langs)
@@ -132,9 +141,7 @@ class Model:
                 low = below[np.searchsorted(below_keys, keys & U((1 << 16 * k) - 1))]
             of_key = np.searchsorted(contexts, keys >> U(16)) if k else np.zeros(len(keys), np.int64)
             for j, (g, n) in enumerate(own[k]):
-                one, two = (n == 1).sum(), (n == 2).sum()
-                discount = one / (one + 2 * two) if one else 0.5
-                discount = min(discount, 0.9)
+                discount = _discount((n == 1).sum(), (n == 2).sum())
                 at = np.searchsorted(contexts, g >> U(16)) if k else np.zeros(len(g), np.int64)
                 total = np.bincount(at, n, len(contexts))
                 kinds = np.bincount(at, minlength=len(contexts))
@@ -185,12 +192,141 @@ class Model:
         return sums / np.maximum(n, 1)[:, None], n
 
 
+def _packed(size: int):
+    """Sorted rows (key, value) as blocks of at most ``size`` rows: bytes of all keys and of all values."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out():
+            keys = np.concatenate([b.column("key").to_numpy() for b in held])
+            values = np.concatenate([b.column("value").flatten().to_numpy() for b in held])
+            return pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["keys", "values"])
+
+        for batch in batches:
+            while batch.num_rows:
+                part = batch.slice(0, size - sum(b.num_rows for b in held))
+                held.append(part)
+                batch = batch.slice(part.num_rows)
+                if sum(b.num_rows for b in held) == size:
+                    yield out()
+                    held = []
+        if held:
+            yield out()
+
+    return run
+
+
+class WideModel:
+    """The tables of ``Model`` computed by Spark and broadcast in blocks of sorted signed keys, the packed symbols themselves.
+    ``orders[k]`` and ``weights[k]`` list their blocks: first and last key, and the broadcast keys and log-probabilities."""
+
+    piece = 4 * PIECE
+
+    def __init__(self, counts: DataFrame):
+        self.langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+        each = range(len(self.langs))
+        n, low, total = F.col("n"), F.col("low"), F.col("total")
+        suffix = [None, *(F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1)) for k in range(1, ORDER))]
+        context = F.shiftrightunsigned("gram", 16)
+        own = [counts.groupBy("gram").agg(F.array(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).cast("double") for x in self.langs]).alias("n"))]
+        own[0] = stored(own[0])
+        for k in range(ORDER - 1, 0, -1):
+            own.insert(0, stored(own[0].groupBy(suffix[k].alias("gram")).agg(F.array(*[F.sum(F.when(n[j] > 0, 1.0).otherwise(0.0)) for j in each]).alias("n"))))
+        n_symbols = own[0].count()
+        self.rare = float(-np.log(n_symbols + 1.0))
+        self.orders, self.weights, self.n_values, scratch = [], [], 0, [*own]
+        for k, table in enumerate(own):
+            found = table.agg(*[F.sum((n[j] == c).cast("long")).alias(f"{c}_{j}") for j in each for c in (1, 2)]).first()
+            discount = [_discount(found[f"1_{j}"], found[f"2_{j}"]) for j in each]
+            sums = table.groupBy(context.alias("context")).agg(F.array(*[F.sum(n[j]) for j in each]).alias("total"), F.array(*[F.sum((n[j] > 0).cast("double")) for j in each]).alias("kinds"))
+            gamma = F.array(*[F.when(total[j] > 0, discount[j] * F.col("kinds")[j] / total[j]).otherwise(1.0) for j in each])
+            contexts = stored(sums.select("context", "total", gamma.alias("gamma")))
+            rows = table.join(contexts, context == F.col("context"))
+            rows = rows.join(prob.select(F.col("gram").alias("below"), F.col("p").alias("low")), suffix[k] == F.col("below")) if k else rows.withColumn("low", F.array(*[F.lit(1.0 / (n_symbols + 1)) for _ in each]))
+            p = F.array(*[F.when(total[j] > 0, F.greatest(n[j] - discount[j], F.lit(0.0)) / total[j]).otherwise(0.0) + F.col("gamma")[j] * low[j] for j in each])
+            prob = stored(rows.select("gram", p.alias("p")))
+            scratch += [contexts, prob]
+            self.orders.append(self._blocks(prob, "gram", "p"))
+            self.weights.append(self._blocks(contexts, "context", "gamma"))
+        discard(*scratch)
+
+    def _blocks(self, table: DataFrame, key: str, value: str) -> list:
+        rows, size = table.count(), max(1, min(GRAMS, VALUES // len(self.langs)))
+        self.n_values += rows * len(self.langs)
+        logs = F.transform(value, lambda x: F.log(F.greatest(x, F.lit(1e-300))).cast("float"))
+        dealt = table.select(F.col(key).alias("key"), logs.alias("value")).repartitionByRange(-(-rows // size), "key").sortWithinPartitions("key")
+        out, held, context = [], [], table.sparkSession.sparkContext
+
+        def put():
+            keys, values = (np.concatenate(x) for x in zip(*held, strict=True))
+            out.append((keys[0], keys[-1], context.broadcast((keys, values))))
+
+        for r in dealt.mapInArrow(_packed(size), "keys binary, values binary").toLocalIterator():
+            new = np.frombuffer(r["keys"], np.int64), np.frombuffer(r["values"], np.float32).reshape(-1, len(self.langs))
+            if held and sum(len(x) for x, _ in held) + len(new[0]) > size:
+                put()
+                held = []
+            held.append(new)
+        put()
+        return out
+
+    @property
+    def value(self) -> "WideModel":
+        return self
+
+    def _add(self, out: np.ndarray, rows: np.ndarray, keys: np.ndarray, blocks: list) -> np.ndarray:
+        """Adds to ``rows`` of ``out`` what the blocks have for their keys; and which of them they have."""
+        keys, found = keys.view(np.int64), np.zeros(len(keys), bool)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        for first, last, block in blocks:
+            lo, hi = np.searchsorted(ordered, first, "left"), np.searchsorted(ordered, last, "right")
+            if lo == hi:
+                continue
+            table, values = block.value
+            if self.n_values > KEPT:
+                block.__dict__.pop("_value", None)  # it is loaded again from the worker's disk
+            at = np.searchsorted(table, ordered[lo:hi])
+            hit = table[at] == ordered[lo:hi]
+            mine = order[lo:hi][hit]
+            found[mine] = True
+            out[rows[mine]] += values[at[hit]]
+        return found
+
+    def logs(self, g: np.ndarray) -> np.ndarray:
+        """Log-probability of the last symbol of each different gram of four symbols, one column per language."""
+        out, left = np.zeros((len(g), len(self.langs)), np.float32), np.arange(len(g))
+        for k in range(ORDER - 1, -1, -1):
+            keys = g[left] & U((1 << 16 * (k + 1)) - 1)
+            found = self._add(out, left, keys, self.orders[k])
+            left, keys = left[~found], keys[~found]
+            self._add(out, left, keys >> U(16), self.weights[k])
+        out[left] += self.rare
+        return out
+
+    def cross_entropies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As of ``Model``; each different gram is looked up once."""
+        s, at = symbols(column)
+        g, edge = grams(s, at)
+        n = np.diff(edge)
+        keys, where = np.unique(g, return_inverse=True)
+        owner = np.repeat(np.arange(len(n)), n)
+        sums, step = np.zeros((len(n), len(self.langs))), max(1, (1 << 22) // max(1, len(self.langs)))
+        for lo in range(0, len(keys), step):
+            logs = self.logs(keys[lo : lo + step])
+            mine = np.flatnonzero((where >= lo) & (where < lo + step))
+            for j in range(len(self.langs)):
+                sums[:, j] -= np.bincount(owner[mine], logs[where[mine] - lo, j], len(n))
+        return sums / np.maximum(n, 1)[:, None], n
+
+
 def _scored(model, without: str | None = "text"):
     """Adds to each row, less the column ``without``: the cross-entropies of all languages and the number of symbols."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for part in grouped(batches):
+        for part in grouped(batches, limit=m.piece):
             h, n = m.cross_entropies(part.column("text"))
             keep = [c for c in part.schema.names if c != without]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists(h.ravel(), np.full(len(n), h.shape[1])), pa.array(n)], names=[*keep, "_entropies", "_symbols"])
@@ -202,21 +338,14 @@ def third(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def fit(docs: DataFrame) -> Model:
-    """Model of the rows whose lang is not null (columns text and lang). No text is left out."""
+def fit(docs: DataFrame) -> Model | WideModel:
+    """Model of the rows whose lang is not null (columns text and lang). No text and no gram is left out."""
     rows = docs.where("lang is not null and text is not null").select("text", "lang")
     counts = rows.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = stored(counts)
-    # the least count so that all grams of this count or more are at most GRAMS
-    least, held = 1, 0
-    size = counts.count()
-    if size > GRAMS:
-        for r in counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).toLocalIterator():
-            held += r["count"]
-            if held > GRAMS:
-                least = r["n"] + 1
-                break
-    table = counts.where(F.col("n") >= least).toArrow()
+    if counts.count() > GRAMS:
+        return WideModel(counts)
+    table = counts.toArrow()
     langs = table.column("lang").to_numpy(zero_copy_only=False)
     g, n = table.column("gram").to_numpy().view(U), table.column("n").to_numpy()
     return Model({lang: (g[langs == lang], n[langs == lang]) for lang in sorted(set(langs.tolist()))})
@@ -236,7 +365,7 @@ def identify(docs: DataFrame, without: str | None = "text") -> DataFrame:
     plain = [f"`{c}`" for c in names if c != without]
     if not model.langs:
         return docs.select(*plain, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    shared = spark.sparkContext.broadcast(model)
+    shared = model if isinstance(model, WideModel) else spark.sparkContext.broadcast(model)
     best = F.array_min("_entropies")
     n_langs = len(model.langs)
     langs = F.array(*[F.lit(x) for x in model.langs])
