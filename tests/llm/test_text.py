@@ -356,6 +356,30 @@ def test_raking_meets_targets(spark):
     assert (out.weight <= out.tokens / mixing.RATE + 1e-6).all()
 
 
+def test_raking_goes_on_until_it_converges(spark, monkeypatch):
+    """One source holds a third of the tokens of every other; some values cannot reach their target."""
+    r = random.Random(4)
+    made = [(f"s{i}", f"l{j}", f"t{k}", int(r.uniform(1, 3) * (30, 300, 3000)[k] * 2 ** (i / 2))) for i in range(8) for j in range(4) for k in range(3)]
+    made = [(s, x, t, n - n // 3) for s, x, t, n in made] + [("hot", f"l{j}", f"t{k}", sum(n // 3 for _, x, t, n in made if (x, t) == (f"l{j}", f"t{k}"))) for j in range(4) for k in range(3)]
+    cells = spark.createDataFrame(made, "source string, lang string, topic string, tokens long")
+    total, missed, wanted = sum(n for *_, n in made), {}, {}
+    for s in mixing.SIDES:
+        held = cells.groupBy(s).agg(F.sum("tokens").alias("n")).toPandas().set_index(s).n.astype(float)
+        power, most, low, top = held**mixing.TEMPER, held / mixing.RATE, 0.0, 1e9
+        for _ in range(200):  # by bisection
+            mid = (low + top) / 2
+            low, top = (mid, top) if np.minimum(most, power * mid).sum() < total else (low, mid)
+        wanted[s] = np.minimum(most, power * low)
+    for name, raked in (("rounds", mixing.rake), ("fully", mixing.rake_fully), ("dealt", mixing.rake_fully)):
+        if name == "dealt":
+            monkeypatch.setattr(mixing, "FEW", 0)
+            monkeypatch.setattr(mixing, "TOLERANCE", 1e-3)
+        out = raked(cells).toPandas()
+        assert (out.weight <= out.tokens / mixing.RATE * (1 + 1e-9)).all()
+        missed[name] = max((out.groupby(s).weight.sum() / wanted[s] - 1).abs().max() for s in mixing.SIDES)
+    assert missed["rounds"] > 0.01 and missed["fully"] < 1e-3 and missed["dealt"] < 1e-2
+
+
 def test_mixing_awkward(spark, awkward, nothing):
     labels = spark.createDataFrame([(6, 1, 0), (6, 0, 1), (None, 1, 1), (7, 0, 0), (5, None, None)], "doc_id long, quality int, toxic int")
     got = mixing.mixed(awkward.select("doc_id", "text", "source", "lang"), labels).collect()

@@ -2,9 +2,13 @@
 
 Documents are counted in cells (source, lang, topic) with their tokens (words between ASCII white space). The weights of the cells start
 as their tokens and are raked: in turn for source, language and topic, the weights of each value are scaled to the value's target, and
-no weight may pass the cell's tokens / ``RATE``. Targets are the token shares to the power ``TEMPER``, so rare values gain. After
-``ROUNDS`` rounds a document is sampled with the probability RATE x weight / tokens of its cell, by a hash of its id: the sample has
-RATE of all tokens in the target mix, as far as the bound allows.
+no weight may pass the cell's tokens / ``RATE``. Targets are the token shares to the power ``TEMPER``, so rare values gain. Then a
+document is sampled with the probability RATE x weight / tokens of its cell, by a hash of its id: the sample has RATE of all tokens
+in the target mix, as far as the bound allows.
+
+``rake`` stops after ``ROUNDS`` rounds, as the SQL of op9_mixing does, converged or not. ``sample``, the pipeline's stage, uses
+``rake_fully``: a value whose target is beyond all its tokens / RATE gets these, the values below their bound share what it leaves in
+proportion to their targets, and rounds go on until none of the last ones changed a probability by ``TOLERANCE``.
 
 ``labels`` gives the topic: toxic, high or low quality, or none. The tables that are raked have one row per cell; documents are only
 counted (partially before the shuffle) and joined with their cell, by broadcast if Spark finds the cells small, else by a join whose
@@ -14,6 +18,8 @@ probability RATE. Rows of one id share their fate; rows without id are drawn as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +27,8 @@ from .common import stored
 
 SIDES = ("source", "lang", "topic")
 ROUNDS, TEMPER, RATE = 10, 0.6, 0.6
+#: Up to FEW cells are raked as arrays of one row, MANY rounds a query; more are dealt out, ROUNDS rounds a query.
+TOLERANCE, FEW, MANY = 1e-6, 10_000, 200
 _WORDS = r"[^\\x20\\x09-\\x0D]+"
 
 
@@ -32,37 +40,128 @@ def with_topic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(named.hint("merge"), F.col("doc_id") == F.col("_id"), "left").withColumn("_topic", topic).drop("_id", "_quality", "_toxic")
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, rate: float = RATE) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight``."""
+def _start(cells: DataFrame, temper: float, rate: float, reachable: bool) -> DataFrame:
+    """Cells with their targets and first weights."""
     out = cells.select(*SIDES, "tokens", F.col("tokens").cast("double").alias("weight"))
     total = cells.agg(F.sum("tokens").alias("total"))  # one row
     for s in SIDES:
-        power = cells.groupBy(F.col(s).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("power"))
-        target = power.crossJoin(power.agg(F.sum("power").alias("powers"))).crossJoin(total)
-        target = target.select("value", (F.col("total") * F.col("power") / F.col("powers")).alias(f"target_{s}"))
+        power = cells.groupBy(F.col(s).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("power"), (F.sum("tokens") / F.lit(rate)).alias("most"))
+        if reachable:
+            target = power.select("value", F.least("most", F.col("power") * F.lit(_scale(power, rate))).alias(f"target_{s}"))
+        else:
+            target = power.crossJoin(power.agg(F.sum("power").alias("powers"))).crossJoin(total)
+            target = target.select("value", (F.col("total") * F.col("power") / F.col("powers")).alias(f"target_{s}"))
         out = out.join(target, F.col(s).eqNullSafe(F.col("value"))).drop("value")
-    cells = stored(out)
+    return stored(out)
+
+
+def _scale(power: DataFrame, rate: float) -> float:
+    """The factor by which powers, each up to its value's ``most``, sum to all tokens."""
+    scale = 0.0
+    while True:
+        full = F.col("power") * F.lit(scale) >= F.col("most")
+        r = power.agg((F.sum("most") * rate).alias("total"), F.sum(F.when(full, F.col("most")).otherwise(0.0)).alias("full"), F.sum(F.when(full, 0.0).otherwise(F.col("power"))).alias("free")).first()
+        new = (r["total"] - r["full"]) / r["free"] if r["free"] else 0.0
+        if new <= scale * (1 + 1e-12):
+            return scale
+        scale = new
+
+
+def _round(cells: DataFrame, rate: float) -> DataFrame:
+    for s in SIDES:
+        held = F.sum("weight").over(Window.partitionBy(s))
+        scaled = F.least(F.col("weight") * F.col(f"target_{s}") / held, F.col("tokens") / F.lit(rate))
+        cells = cells.withColumn("weight", F.when(held > 0, scaled).otherwise(F.col("weight")))
+    return cells
+
+
+def rake(cells: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, rate: float = RATE) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with ``weight``, after so many rounds."""
+    cells = _start(cells, temper, rate, False)
     for r in range(rounds):
-        for s in SIDES:
-            held = F.sum("weight").over(Window.partitionBy(s))
-            scaled = F.least(F.col("weight") * F.col(f"target_{s}") / held, F.col("tokens") / F.lit(rate))
-            cells = cells.withColumn("weight", F.when(held > 0, scaled).otherwise(F.col("weight")))
+        cells = _round(cells, rate)
         if r % 2:
             cells = stored(cells)
     return cells
 
 
+def rake_fully(cells: DataFrame, temper: float = TEMPER, rate: float = RATE) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with converged ``weight``, to targets within reach."""
+    cells = _start(cells, temper, rate, True)
+    if cells.count() <= FEW:
+        return _raked_as_arrays(cells, rate)
+    while True:
+        for _ in range(ROUNDS):
+            cells = _round(cells.withColumn("before", F.col("weight")), rate)
+        cells = stored(cells)
+        change = cells.where("tokens > 0").agg(F.max(F.abs(F.col("weight") - F.col("before")) / F.col("tokens") * rate)).first()[0]
+        if not change or change < TOLERANCE:
+            return cells.drop("before")
+
+
+def _raked_as_arrays(cells: DataFrame, rate: float) -> DataFrame:
+    """The same rounds on one row of arrays, one entry a cell; ``code`` numbers the values of a side, ``members`` has the cells of each."""
+    one = cells.agg(F.array_sort(F.collect_list(F.struct(*cells.columns))).alias("cells")).where(F.size("cells") > 0)
+
+    def value(s: str) -> Column:
+        return F.transform("cells", lambda c: F.struct(c[s].alias("value")))
+
+    def code(s: str) -> Column:
+        return F.transform(f"of_{s}", lambda v: (F.array_position(f"values_{s}", v) - 1).cast("int"))
+
+    def members(s: str) -> Column:
+        return F.transform(f"values_{s}", lambda _, v: F.filter("at", lambda i: F.get(F.col(f"code_{s}"), i) == v))
+
+    one = one.select("cells", F.col("cells.weight").alias("weight"), F.sequence(F.lit(0), F.size("cells") - 1).alias("at"), *[value(s).alias(f"of_{s}") for s in SIDES])
+    one = one.select("*", *[F.array_distinct(f"of_{s}").alias(f"values_{s}") for s in SIDES])
+    one = one.select("cells", "weight", "at", *[F.col(f"values_{s}") for s in SIDES], *[code(s).alias(f"code_{s}") for s in SIDES])
+    one = one.select("cells", "weight", "at", *[f"code_{s}" for s in SIDES], *[members(s).alias(f"members_{s}") for s in SIDES])
+    one = stored(one)
+
+    def turn(weight: Column, s: str) -> Column:
+        held = F.transform(f"members_{s}", lambda m: F.aggregate(m, F.lit(0.0), lambda a, i: a + F.get(weight, i)))
+
+        def scaled(h: Column, i: Column) -> Column:
+            cell, mine, total = F.get(F.col("cells"), i), F.get(weight, i), F.get(h, F.get(F.col(f"code_{s}"), i))
+            return F.when(total > 0, F.least(mine * cell[f"target_{s}"] / total, cell["tokens"] / F.lit(rate))).otherwise(mine)
+
+        # the outer transform holds the sums, so that they are taken once
+        return F.get(F.transform(F.array(held), lambda h: F.transform("at", lambda i: scaled(h, i))), F.lit(0))
+
+    def held_once(weight: Column, s: str) -> Column:
+        return F.get(F.transform(F.array(weight), lambda w: turn(w, s)), F.lit(0))
+
+    def step(weight: Column, _: Column) -> Column:
+        for s in SIDES:
+            weight = held_once(weight, s)
+        return weight
+
+    def rounds(n: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.col("weight"), step)
+
+    while True:
+        before = stored(one.withColumn("weight", rounds(MANY)))
+        one = stored(before.withColumn("before", F.col("weight")).withColumn("weight", rounds(1)))
+        moved = F.transform("at", lambda i: F.when(F.get("cells", i)["tokens"] > 0, F.abs(F.get("weight", i) - F.get("before", i)) / F.get("cells", i)["tokens"] * rate))
+        change = one.agg(F.max(F.array_max(moved))).first()[0]
+        if not change or change < TOLERANCE:
+            break
+        one = one.drop("before")
+    each = one.select(F.explode(F.arrays_zip("cells", "weight")).alias("x"))
+    return each.select(*[F.col(f"x.cells.{c}").alias(c) for c in cells.columns if c != "weight"], F.col("x.weight").alias("weight"))
+
+
 def draw(doc_id: Column) -> Column:
     """A number in [0, 1) from the id."""
     return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, raked: Callable[[DataFrame], DataFrame] = rake) -> DataFrame:
     """``docs`` (doc_id, text, source, lang) with _topic, _tokens, _weight (raked tokens of the document), _probability and _kept."""
     # tokens are counted before the join, so that texts are shuffled only where the caller asks for them
     rows = with_topic(docs.withColumn("_tokens", F.expr(f"cast(regexp_count(coalesce(text, ''), '{_WORDS}') as long)")), labels)
     sums = rows.groupBy("source", "lang", F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens"))
-    cells = rake(stored(sums)).select(*[F.col(s).alias(f"_cell_{s}") for s in SIDES], F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0).alias("_factor"))
+    cells = raked(stored(sums)).select(*[F.col(s).alias(f"_cell_{s}") for s in SIDES], F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0).alias("_factor"))
     same = rows.source.eqNullSafe(F.col("_cell_source")) & rows.lang.eqNullSafe(F.col("_cell_lang")) & (F.col("_topic") == F.col("_cell_topic"))
     out = rows.join(cells, same)
     chance = F.col("_factor") * RATE
@@ -73,7 +172,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The sampled documents, all their columns as they were. Other columns than doc_id, text, source and lang may have any name."""
     inner = {c: c if c in ("doc_id", "text", "source", "lang") else f"column{i}" for i, c in enumerate(docs.columns)}
     work = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in inner.items()])
-    return mixed(work, labels).where("_kept").select(*[F.col(x).alias(c) for c, x in inner.items()])
+    return mixed(work, labels, rake_fully).where("_kept").select(*[F.col(x).alias(c) for c, x in inner.items()])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
