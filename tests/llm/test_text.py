@@ -343,6 +343,15 @@ def test_decontamination(spark, awkward, block, monkeypatch):
     assert decontaminate.clean(df, bench_of(spark, [])).count() == df.count()
 
 
+def test_decontamination_of_scripts_without_spaces(spark):
+    items = ["我们今天下午去公园散步，然后回家吃饭。", "วันนี้อากาศดีมากเราไปเดินเล่นกัน", "Il a dit : « bonjour à tous les amis » — puis rien"]
+    texts = ["前面还有别的话。" + items[0].replace("，", "、\u3000") + "后面也有很多别的话", "ก่อนหน้า" + items[1] + "abc", "x " + items[2].replace("—", "…").replace("«", "“").replace(" »", "”"), "我们昨天下午在公园散了步", "abc " + items[0][:12]]
+    got = decontaminate.with_matches(frame(spark, [(i, t, None, None) for i, t in enumerate(texts)]), bench_of(spark, items), "found")
+    assert [[m["item"] for m in r.found] for r in got.orderBy("doc_id").collect()] == [[0], [1], [2], [], [0]]
+    w, at = decontaminate.tokens(pa.array(["a日本b、c", "日", "", "é日", "été’s \U00020000x"], pa.string()))
+    assert np.diff(at).tolist() == [5, 1, 0, 2, 4] and w[1] == w[5] == w[7]
+
+
 # -- mixture
 
 def test_raking_meets_targets(spark):

@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts are lower-cased and split into tokens: runs of ASCII letters, digits and bytes beyond ASCII, so layout, punctuation and case do
-not hide a passage. A document and a benchmark item that share a seed (``LEAST`` tokens in a row) are compared: the longest common
+Texts are lower-cased and split into tokens: runs of letters, marks and digits, so layout, punctuation, symbols and case do not hide a
+passage. Each code point of a script that is written without spaces (``ALONE``) is a token of its own. A document and a benchmark item that share a seed (``LEAST`` tokens in a row) are compared: the longest common
 run of unmarked tokens is searched by running Karp-Rabin hashes, marked in both, and so on until none of ``LEAST`` tokens is left.
 The tiles do not overlap and may stand in any order, so a reordered passage is covered as well as a plain one. A document is
 contaminated when tiles cover at least ``SHARE`` of an item's tokens.
@@ -13,6 +13,7 @@ are clean. Each input row is judged by its own text, so repeated rows get equal
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,13 +26,40 @@ from .common import U, constants, documents, grouped, mix, utf8, words
 
 LEAST, SHARE = 5, 0.5
 BLOCK = 4 << 20
+#: Tai scripts, Tibetan, Myanmar, Khmer, Balinese, Javanese, kana, bopomofo, Chinese characters, Yi.
+ALONE = [(0xE00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3038, 0x303C),
+         (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF),
+         (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x3FFFF)]
 _place = constants(31, LEAST)
+_kinds = None
 _apart = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b >= 128) for b in range(256)])
 
 
+def _spaced(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with blanks for what separates tokens beyond ASCII, and a blank on either side of what stands alone."""
+    global _kinds
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(lead) == len(data):  # only ASCII
+        return data, at
+    if _kinds is None:
+        _kinds = np.zeros(0x110000, np.uint8)
+        for lo, hi in ALONE:
+            _kinds[lo : hi + 1] = 2
+        _kinds[[c for c in range(0x80, 0x110000) if unicodedata.category(chr(c))[0] in "PSZ"]] = 1
+        _kinds[0x80:0xA0] = _kinds[[0x200B, 0x2060, 0xFEFF]] = 1
+    kinds = _kinds[np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)]
+    if not kinds.any():
+        return data, at
+    data = np.where(np.repeat(kinds == 1, np.diff(np.append(lead, len(data)))), np.uint8(32), data)
+    alone = kinds == 2
+    alone[1:] |= alone[:-1].copy()
+    before = lead[alone]
+    return np.insert(data, before, np.uint8(32)), at + np.searchsorted(before, at)
+
+
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens and where each text's begin."""
-    w, count = words(*utf8(pc.utf8_lower(pc.fill_null(column, ""))), between=_apart)
+    w, count = words(*_spaced(*utf8(pc.utf8_lower(pc.fill_null(column, "")))), between=_apart)
     return w, np.concatenate(([0], np.cumsum(count)))
 
 
