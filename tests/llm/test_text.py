@@ -28,6 +28,14 @@ def test_symbols_and_grams():
     assert ["".join(chr(int(x) >> 16 * k & 0xFFFF) for k in (3, 2, 1, 0)) for x in g[:3]] == ["   h", "  hé", " hé "]
 
 
+def test_emoji_are_no_letters(spark):
+    s, at = language.symbols(pa.array(["\U0001f600\U0001f680", "a\U0001f600b", "\U00010330\U00020000 \uffff"], pa.string()))
+    assert ["".join(map(chr, s[a:b])) for a, b in zip(at[:-1], at[1:], strict=True)] == [" ", " a b ", " \uffff\uffff "]
+    docs = docs_of(spark).select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(10**9, "\U0001f600\U0001f680 \U0001f600", "en")], "doc_id long, text string, lang string"))
+    got = language.identify(docs).where("doc_id = 1000000000").first()
+    assert (got.lang_pred, got.score, got.rejected) == ("und", 0.0, True)
+
+
 def kneser_ney(text_grams, gram, order=4):
     """Interpolated Kneser-Ney by its definition, for one language."""
     counts = {}

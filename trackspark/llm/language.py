@@ -51,8 +51,11 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     at = lead[at]
+    beyond = np.flatnonzero(codes > 0xFFFF)
+    different, which = np.unique(codes[beyond], return_inverse=True)
     codes = np.minimum(codes, 0xFFFF).astype(np.uint16)  # letters beyond the basic plane share one symbol
-    letter = _letters[codes] | (codes == 0xFFFF)
+    letter = _letters[codes]
+    letter[beyond] = np.array([chr(c).isalpha() for c in different.tolist()], bool)[which]
     codes = np.where(letter, codes, np.uint16(BLANK))
     # a blank at each text's end, then only the first of each run of blanks, then one at each start
     ends = at[1:]
