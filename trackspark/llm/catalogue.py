@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact_dedup, language, line_windows, mixing, near_dedup, personal, repeats, token_counts, token_files
+from . import decontaminate, exact_dedup, language, line_windows, mixing, near_dedup, personal, repeats, search, token_counts, token_files
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -13,9 +13,11 @@ QUERIES = {
     "op8_suffix_dedup": repeats.op8_suffix_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_ranked_search": search.op11_ranked_search,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op6_line_windows": line_windows.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_ranked_search": search.SQL,
 }
