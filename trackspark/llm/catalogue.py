@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from . import decontaminate, exact_dedup, language, line_windows, mixing, near_dedup, personal, repeats, search, token_counts, token_files
+from . import decontaminate, divergence, exact_dedup, language, line_windows, mixing, near_dedup, personal, repeats, search, token_counts, token_files
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -14,10 +14,12 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_ranked_search": search.op11_ranked_search,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op6_line_windows": line_windows.SQL,
     "op9_mixing": mixing.SQL,
     "op11_ranked_search": search.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
