@@ -1,6 +1,6 @@
 """Queries of the corpus operators and the SQL of those that SQL can express."""
 
-from . import decontaminate, divergence, exact_dedup, language, line_windows, mixing, near_dedup, personal, repeats, search, token_counts, token_files
+from . import decontaminate, divergence, exact_dedup, fingerprints, language, line_windows, mixing, near_dedup, personal, repeats, search, token_counts, token_files
 
 QUERIES = {
     "op1_language_id": language.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_ranked_search": search.op11_ranked_search,
+    "op12_fingerprints": fingerprints.op12_fingerprints,
     "op13_source_divergence": divergence.op13_source_divergence,
 }
 ORACLES = {
