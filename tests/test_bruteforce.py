@@ -7,7 +7,7 @@ import pytest
 from conftest import column
 from pyspark.sql import functions as F
 
-from trackspark.operators import hmm, models, position, ring, spectral, spine
+from trackspark.operators import graph, hmm, models, position, ring, spectral, spine
 
 RNG = np.random.default_rng(5)
 
@@ -292,7 +292,7 @@ def test_spectral_clusters_are_k(spark):
     """An outlier does not squeeze the others; k clusters come out for every k and separate blobs are found."""
     pts = [(0, i, float(a), float(b)) for i, (a, b) in enumerate(np.concatenate([RNG.normal(c, 0.15, (60, 2)) for c in ((0, 0), (3, 0), (0, 3))]))] + [(1, 0, 50.0, 50.0)]
     df = spark.createDataFrame(pts, "track_id long, frame long, a double, b double")
-    out = models.spectral_clusters(df, ["a", "b"], [2, 3, 4, 5]).toPandas()
+    out = graph.spectral_clusters(df, ["a", "b"], [2, 3, 4, 5]).toPandas()
     assert [out[f"cluster_{k}"].nunique() for k in (2, 3, 4, 5)] == [2, 3, 4, 5]
     blobs = out[out.track_id == 0].sort_values("frame").cluster_4.to_numpy().reshape(3, 60)
     assert all(len(set(b)) == 1 for b in blobs) and len({b[0] for b in blobs}) == 3

@@ -144,11 +144,12 @@ def fit_components(df: DataFrame, cols: list[str], k: int | None = None) -> Comp
     return Components(cols, means, load * sign, model.explainedVariance.toArray())
 
 
-def fit_kmeans(df: DataFrame, cols: list[str], k: int, restarts: int = 10, seed: int = 1):
+def fit_kmeans(df: DataFrame, cols: list[str], k: int, restarts: int = 10, seed: int = 1, weight: str | None = None):
     """The cheapest of ``restarts`` fits, which run side by side; centres are sorted by their first coordinate when labelling."""
-    v = vectors(df.select(*cols), cols).persist()
+    v = vectors(df.select(*cols, *([weight] if weight else [])), cols).persist()
+    more = {"weightCol": weight} if weight else {}
     with ThreadPoolExecutor(4) as pool:
-        fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", maxIter=100).fit(v), range(restarts)))
+        fits = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, featuresCol="features", maxIter=100, **more).fit(v), range(restarts)))
     v.unpersist()
     return min(fits, key=lambda m: m.summary.trainingCost)
 
@@ -176,68 +177,6 @@ def curvedness(rings: DataFrame, scores: str, k: int, spark=None) -> tuple[DataF
     return label_clusters(scored, ["pc0"], km).withColumn("outlier", F.col("pc0") > 1), comp
 
 
-def spectral_cells(df: DataFrame, cols: list[str], cells: int = 300, seed: int = 1) -> tuple[DataFrame, list]:
-    """Rows with ``_cell``, the nearest of at most ``cells`` KMeans centres, and per cell its number, rows and means. An outlier
-    gets a cell of its own instead of squeezing the others."""
-    v = vectors(df.na.drop("any", subset=cols), cols).persist()
-    celled = KMeans(k=cells, seed=seed, featuresCol="features", predictionCol="_cell").fit(v).transform(v).drop("features")
-    found = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in cols]).orderBy("_cell").collect()
-    v.unpersist()
-    return celled, found
-
-
-def spectral_clusters(df: DataFrame, cols: list[str], ks: list[int], cells: int = 300, gamma: float = 1.0, keys=("track_id", "frame")) -> DataFrame:
-    """keys and one column ``cluster_k`` for each of ``ks``: normalised-cut clusters of the rows with the affinity exp(-gamma d^2).
-
-    Rows are first gathered in at most ``cells`` fine cells. Rows of one cell stand at its mean, so the graph of all rows has the
-    spectrum of the graph of cells weighted by their rows; this small matrix is solved on the driver. Every cell takes the nearest of k centres in the space
-    of the first k eigenvectors, so there are exactly k clusters as long as there are k cells.
-    """
-    import numpy as np
-
-    celled, found = spectral_cells(df, cols, cells)
-    x = np.array([[r[c] for c in cols] for r in found])
-    n = np.array([r["_n"] for r in found], float)
-    a = np.exp(-gamma * ((x[:, None] - x[None]) ** 2).sum(axis=2))
-    degree = a @ n
-    scale = np.sqrt(n / degree)
-    _, vec = np.linalg.eigh(scale[:, None] * a * scale[None])
-    # eigenvectors of the full graph, one value per row of a cell
-    space = vec[:, ::-1] / np.sqrt(n * degree)[:, None]
-    # only the direction matters, so a cell of few rows weighs its vector no more than others
-    labels = {k: _weighted_clusters(space[:, :k] / np.linalg.norm(space[:, :k], axis=1, keepdims=True), n, k) for k in ks}
-    out = df.sparkSession.createDataFrame([(r["_cell"], *[int(labels[k][i]) for k in ks]) for i, r in enumerate(found)], "_cell int, " + ", ".join(f"cluster_{k} int" for k in ks))
-    return celled.join(F.broadcast(out), "_cell").select(*keys, *[f"cluster_{k}" for k in ks])  # one row per cell
-
-
-def _weighted_clusters(x, n, k: int, restarts: int = 10):
-    """Weighted k-means of a few points; an emptied cluster takes the point farthest from its centre."""
-    import numpy as np
-
-    best = None
-    for seed in range(restarts):
-        rng = np.random.default_rng(seed)
-        centres = x[[int(rng.choice(len(x), p=n / n.sum()))]]
-        while len(centres) < min(k, len(x)):
-            far = n * ((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1)
-            centres = np.vstack([centres, x[int(rng.choice(len(x), p=far / far.sum())) if far.sum() > 0 else len(centres)]])
-        for _ in range(100):
-            d = ((x[:, None] - centres[None]) ** 2).sum(axis=2)
-            label = d.argmin(axis=1)
-            for j in range(len(centres)):
-                if not (label == j).any():
-                    label[(n * d[np.arange(len(x)), label]).argmax()] = j
-            moved = np.array([np.average(x[label == j], axis=0, weights=n[label == j]) for j in range(len(centres))])
-            if np.allclose(moved, centres):
-                break
-            centres = moved
-        cost = float((n * ((x - centres[label]) ** 2).sum(axis=1)).sum())
-        if best is None or cost < best[0]:
-            best = cost, label
-    order = {j: i for i, j in enumerate(dict.fromkeys(best[1].tolist()))}  # numbered by the first cell
-    return [order[j] for j in best[1].tolist()]
-
-
 def balanced(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Class weights rows / (classes * class size)."""
     from pyspark.sql import Window

@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, hmm, models, ring
+from ..operators import evaluate, graph, hmm, models, ring
 from ..operators.chunk import computed, windowed
 from ..sources import bind
 from ..sources.bind import SQL_LINES
@@ -91,7 +91,7 @@ def _(spark, sf):
     """Every 20th frame; best one-vs-rest Rand index against the manual label for each k."""
     f = stored(_manual(features(spark, sf)).where("frame % 20 = 0"))
     ks = list(range(2, 9))
-    c = stored(models.spectral_clusters(f, COLS, ks).join(f.select("track_id", "frame", "manual"), ["track_id", "frame"]))
+    c = stored(graph.spectral_clusters(f, COLS, ks).join(f.select("track_id", "frame", "manual"), ["track_id", "frame"]))
     long = c.select("manual", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"cluster_{k}").alias("cluster")) for k in ks])))
     named = long.select("k", "cluster").distinct().withColumnRenamed("cluster", "z")
     each = long.join(named, "k").select("k", "z", "manual", F.when(F.col("cluster") == F.col("z"), 1).otherwise(0).alias("on"))
