@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import label as L
-from ..operators import density, evaluate, intervals, quantile, rates, series
+from ..operators import density, evaluate, intervals, quantile, rates, series, sweeps
 from ..operators.chunk import windowed
 from ..sources import bind
 from ..sources.bind import SQL_BOUTS, SQL_EVENTS, SQL_LINES, SQL_SCORES
@@ -150,7 +150,28 @@ _WG = {"p0": [10.0, 20.0, 30.0], "p1": [90.0, 200.0], "p2": [4.0, 11.0]}
 def _(spark, sf):
     d = intervals.label_frames(bind.event_tracks(spark, sf), bind.bouts(spark, sf))
     d = windowed(d, lambda w: {"last": F.lead(F.lit(1)).over(w).isNull()}, after=1).drop("_chunk")
-    return evaluate.sweep(d, _WG, evaluate.width_scorer("signal"), "manual", "last").select("param_id", "p0", "p1", "p2", "tp", "fp")
+    return sweeps.width_sweep(d, _WG, "signal", "manual", "last").select("param_id", "p0", "p1", "p2", "tp", "fp")
+
+
+# the grid of 100 lower by 10 upper thresholds that sweeps of one angle use
+_GRID = {"p0": [0.5 * v for v in range(100)], "p1": [40.0 + 25 * v for v in range(10)], "p2": [11.0]}
+
+
+@query("width_sweep_grid", "E2 W23 D12", f"""WITH {SQL_DENSE}, m AS (SELECT *, LEAD(1) {over()} IS NULL AS last FROM dense),
+    grid AS (SELECT i + 100 * j AS param_id, i * CAST(0.5 AS DOUBLE) AS p0, CAST(40 + 25 * j AS DOUBLE) AS p1 FROM (SELECT UNNEST(generate_series(0, 99)) AS i) a, (SELECT UNNEST(generate_series(0, 9)) AS j) b),
+    s AS (SELECT param_id, p0, p1, track_id, frame, manual, last, CASE WHEN signal > p0 AND signal < p1 THEN 1 ELSE 0 END AS b FROM grid, m),
+    i AS (SELECT *, frame - ROW_NUMBER() OVER (PARTITION BY param_id, track_id ORDER BY frame) AS g FROM s WHERE b = 1),
+    e AS (SELECT *, MAX(frame) OVER (PARTITION BY param_id, track_id, g) AS stop, MIN(frame) OVER (PARTITION BY param_id, track_id, g) AS start FROM i),
+    k AS (SELECT param_id, COUNT(*) AS pos, CAST(SUM(CASE WHEN last THEN 0 ELSE manual END) AS BIGINT) AS tp, CAST(SUM(CASE WHEN last THEN 0 ELSE 1 - manual END) AS BIGINT) AS no FROM e WHERE stop > start + 10 AND stop - start > 11 AND frame < stop GROUP BY 1),
+    t AS (SELECT COUNT(*) AS n, CAST(SUM(CASE WHEN last THEN 0 ELSE 1 - manual END) AS BIGINT) AS off FROM m),
+    c AS (SELECT grid.param_id, p0, p1, COALESCE(tp, 0) AS tp, COALESCE(pos - tp, 0) AS fp, off - COALESCE(no, 0) AS tn, n, COALESCE(pos, 0) AS pos FROM grid LEFT JOIN k ON k.param_id = grid.param_id, t),
+    f AS (SELECT param_id, p0, p1, tp, fp, tn, n - pos - tn AS fn FROM c)
+    SELECT CAST(param_id AS BIGINT) AS param_id, p0, p1, tp, fp, tn, fn, tp / NULLIF(CAST(tp + fn AS DOUBLE), 0) + tn / NULLIF(CAST(tn + fp AS DOUBLE), 0) - 1 AS youden FROM f""", "youden")
+def _(spark, sf):
+    d = intervals.label_frames(bind.event_tracks(spark, sf), bind.bouts(spark, sf))
+    d = windowed(d, lambda w: {"last": F.lead(F.lit(1)).over(w).isNull()}, after=1).drop("_chunk")
+    out = sweeps.width_sweep(d, _GRID, "signal", "manual", "last")
+    return out.select(F.col("param_id").cast("long").alias("param_id"), "p0", "p1", "tp", "fp", "tn", "fn", "youden")
 
 
 # --- scores of labelings ----------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
-from ..operators import clean, evaluate, pairs, rates, series
+from ..operators import clean, sweeps, pairs, rates, series
 from ..operators.chunk import computed, windowed
 from ..sources import bind
 from ..sources.bind import SQL_POSE, SQL_RINGS
@@ -216,7 +216,7 @@ def _trace_sweep(spark, sf, width):
     p = windowed(p, lambda w: {"last": F.lead(F.lit(1)).over(w).isNull()}, after=1).drop("_chunk")
     first = 3 if width else 2
     lists = {**_SWEEP, **({"p2": [1.0]} if width else {}), **{f"p{first + i}": [v] for i, v in enumerate(_RULES)}}
-    out = evaluate.sweep(p, lists, evaluate.skeleton_scorer(G.operculum_angle(), width), "manual", "last")
+    out = sweeps.trace_sweep(p, lists, G.operculum_angle(), "manual", "last", width)
     return out.select("p0", "p1", "tp", "fp", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("rows"))
 
 
