@@ -15,19 +15,46 @@ def bout_frames(bouts: DataFrame, closed: bool = False, extra=(), keys=("track_i
         *keys, *extra, F.explode(F.sequence(F.col("start"), last)).alias("frame"))
 
 
-def label_frames(frames: DataFrame, bouts: DataFrame, out: str = "manual", crop0: int = 0, drop_last: int = 0, keys=("track_id",)) -> DataFrame:
+def bounds(bouts: DataFrame, closed: bool = False, keys=("track_id",), out: str = "_delta") -> DataFrame:
+    """keys, frame and how many more bouts cover this frame than the one before; two rows a bout, whatever its length."""
+    stop = F.col("stop") + 1 if closed else F.col("stop")
+    ends = F.array(F.struct(F.col("start").cast("long").alias("frame"), F.lit(1).cast("long").alias("_d")), F.struct(stop.cast("long").alias("frame"), F.lit(-1).cast("long").alias("_d")))
+    return bouts.where(stop > F.col("start")).select(*keys, F.inline(ends)).groupBy(*keys, "frame").agg(F.sum("_d").alias(out)).where(F.col(out) != 0)
+
+
+def cover(frames: DataFrame, bouts: DataFrame, out: str = "covering", closed: bool = False, keys=("track_id",), size: int | None = None) -> DataFrame:
+    """``frames`` with the number of bouts that cover each: a running sum of the bouts' bounds, also of those between or beyond the frames."""
+    have = frames.drop("_chunk").withColumn("_have", F.lit(True))
+    both = have.join(bounds(bouts, closed, keys), [*keys, "frame"], "full")
+    return scan(both, {out: ("sum", F.coalesce("_delta", F.lit(0)))}, keys=keys, size=size).where("_have").drop("_have", "_delta")
+
+
+def label_frames(frames: DataFrame, bouts: DataFrame, out: str = "manual", crop0: int = 0, drop_last: int = 0, keys=("track_id",), closed: bool = False, size: int | None = None) -> DataFrame:
     """Dense 0/1 per frame: inside any bout. Frames before ``crop0`` and the last ``drop_last`` are removed."""
-    inside = bout_frames(bouts, keys=keys).distinct().withColumn("_in", F.lit(1).cast("long"))
-    out_df = frames.join(inside, [*keys, "frame"], "left").withColumn(out, F.coalesce("_in", F.lit(0).cast("long"))).drop("_in")
+    out_df = cover(frames, bouts, "_n", closed, keys, size)
+    out_df = out_df.withColumn(out, F.when(F.col("_n") > 0, 1).otherwise(0).cast("long")).drop("_n")
+    if "_chunk" not in frames.columns:
+        out_df = out_df.drop("_chunk")
     if drop_last:
         out_df = windowed(out_df, lambda w: {"_keep": F.lead(F.lit(1), drop_last).over(w).isNotNull()}, after=drop_last, keys=keys)
         out_df = out_df.where("_keep").drop("_keep")
     return out_df.where(F.col("frame") >= crop0) if crop0 else out_df
 
 
-def bout_rows(frames: DataFrame, bouts: DataFrame, closed: bool = True, extra=("start",)) -> DataFrame:
-    """Rows of each bout, keeping the bout's columns."""
-    return bout_frames(bouts, closed, extra).join(frames, ["track_id", "frame"])
+#: Frames of a bin in which bouts and frames are compared.
+BIN = 256
+
+
+def bout_rows(frames: DataFrame, bouts: DataFrame, closed: bool = True, extra=("start",), bin_frames: int | None = None) -> DataFrame:
+    """Rows of each bout, keeping the bout's columns: a join by bins of frames, so a bout makes a row per bin and not per frame."""
+    n = bin_frames or BIN
+    last = F.col("stop") if closed else F.col("stop") - 1
+    binned = bouts.where(last >= F.col("start")).select(
+        F.col("track_id").alias("_t"), *[F.col(c).alias(f"_e_{c}") for c in extra], F.col("start").alias("_a"), last.alias("_z"),
+        F.explode(F.sequence(F.floor(F.col("start") / n), F.floor(last / n))).alias("_b"))
+    rows = frames.withColumn("_bin", F.floor(F.col("frame") / n))
+    on = (F.col("track_id") == F.col("_t")) & (F.col("_bin") == F.col("_b")) & F.col("frame").between(F.col("_a"), F.col("_z"))
+    return rows.join(binned, on).select(*frames.columns, *[F.col(f"_e_{c}").alias(c) for c in extra])
 
 
 def run_ends(df: DataFrame, value: str, keys=("track_id",), size: int | None = None) -> DataFrame:
