@@ -391,30 +391,27 @@ def _(spark, sf):
     return quantile.exact_quantiles(bind.table(spark, sf, "lineitem").select("l_suppkey", "l_extendedprice"), ["l_suppkey"], "l_extendedprice", {"q10": 0.1, "q50": 0.5, "q975": 0.975})
 
 
-def _grid(df, value: str, step: float = 5.0) -> list[float]:
-    """Multiples of ``step`` that cover all values."""
-    lo, hi = df.agg(F.floor(F.min(value) / step), F.ceil(F.max(value) / step)).first()
-    return [i * step for i in range(lo, hi + 1)] if lo is not None else []
-
-
 def _kde_sql(src, key):
+    """Densities at the multiples of 5 within 8.5 bandwidths (and two steps) of the bin of a value of the group."""
     return f"""st AS (SELECT {key}, POWER(COUNT(*), -0.2) * STDDEV_SAMP(value) AS h, COUNT(*) AS n FROM {src} GROUP BY {key}),
-    ends AS (SELECT CAST(FLOOR(MIN(value) / 5) AS BIGINT) AS lo, CAST(CEIL(MAX(value) / 5) AS BIGINT) AS hi FROM {src}),
-    gr AS (SELECT i - lo AS g, CAST(i * 5 AS DOUBLE) AS x FROM (SELECT lo, UNNEST(generate_series(lo, hi)) AS i FROM ends) q),
-    kde AS (SELECT {key}, g, x, SUM(EXP(-0.5 * POWER((x - value) / h, 2))) / (MAX(n) * MAX(h) * SQRT(2 * PI())) AS density FROM {src} s JOIN st USING ({key}), gr WHERE h > 0 GROUP BY {key}, g, x)"""
+    ends AS (SELECT CAST(FLOOR(MIN(value) / 5) AS BIGINT) AS lo FROM {src}),
+    bins AS (SELECT DISTINCT {key}, CAST(FLOOR(value / 5) AS BIGINT) AS b, CAST(CEIL(8.5 * h / 5) AS BIGINT) + 2 AS r FROM {src} JOIN st USING ({key}) WHERE h > 0),
+    gr AS (SELECT DISTINCT {key}, UNNEST(generate_series(b - r, b + r)) AS i FROM bins),
+    kde AS (SELECT {key}, i - MAX(lo) AS g, CAST(i * 5 AS DOUBLE) AS x, SUM(EXP(-0.5 * POWER((i * 5 - value) / h, 2))) / (MAX(n) * MAX(h) * SQRT(2 * PI())) AS density
+      FROM {src} s JOIN st USING ({key}) JOIN gr USING ({key}), ends GROUP BY {key}, i)"""
 
 
 @query("kde_grid", "A13", f"WITH e AS (SELECT event_type, value FROM events), {_kde_sql('e', 'event_type')} SELECT * FROM kde", "density:9")
 def _(spark, sf):
     e = bind.table(spark, sf, "events").select("event_type", "value")
-    return density.kde_grid(e, "value", _grid(e, "value"), ("event_type",))
+    return density.kde_grid(e, "value", 5.0, ("event_type",))
 
 
 @query("kde_conditional", "A12 P9", f"WITH {SQL_EVENTS}, p AS (SELECT track_id % 5 AS fish, signal AS value, LAG(signal) {over()} AS prev FROM tracks), e AS (SELECT fish, value FROM p WHERE prev BETWEEN 20 AND 90), {_kde_sql('e', 'fish')} SELECT * FROM kde", "density:9")
 def _(spark, sf):
     t = windowed(bind.event_tracks(spark, sf), lambda w: {"prev": F.lag("signal").over(w)}, before=1).where(F.col("prev").between(20, 90))
     t = t.select(F.expr("track_id % 5").alias("fish"), "signal")
-    return density.kde_grid(t, "signal", _grid(t, "signal"), ("fish",))
+    return density.kde_grid(t, "signal", 5.0, ("fish",))
 
 
 _VALLEY = """, ex AS (SELECT *, LAG(density) OVER w AS a, LEAD(density) OVER w AS b FROM kde WINDOW w AS (PARTITION BY track_id, loop ORDER BY g)),
@@ -426,7 +423,7 @@ _VALLEY = """, ex AS (SELECT *, LAG(density) OVER w AS a, LEAD(density) OVER w A
 def _(spark, sf):
     t = bind.event_tracks(spark, sf).select("track_id", F.expr("frame div 20").alias("loop"), "signal")
     keys = ("track_id", "loop")
-    return density.valley_threshold(density.density_valleys(density.kde_grid(t, "signal", _grid(t, "signal"), keys), keys))
+    return density.valley_threshold(density.density_valleys(density.kde_grid(t, "signal", 5.0, keys), keys))
 
 
 @query("density_sorted", "A13 T4 T1", f"""WITH h AS (SELECT CAST(FLOOR(l_quantity / 5) AS BIGINT) AS bx, CAST(FLOOR(l_extendedprice / 10000) AS BIGINT) AS by, COUNT(*) AS n FROM lineitem GROUP BY 1, 2),
@@ -438,6 +435,19 @@ def _(spark, sf):
     return d.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"), F.avg("density").alias("mean"), F.max("density").alias("top")).orderBy(F.desc("mean"))
 
 
+@query("density_points", "A13 T4", """WITH p AS (SELECT event_type, value AS x, value * 0.3 + EXTRACT(minute FROM ts) + EXTRACT(second FROM ts) / 60.0 AS y FROM events WHERE user_id % 5 = 0),
+    m AS (SELECT event_type, COUNT(*) AS n, AVG(x) AS mx, AVG(y) AS my, VAR_SAMP(x) AS vx, VAR_SAMP(y) AS vy, COVAR_SAMP(x, y) AS c FROM p GROUP BY 1),
+    s AS (SELECT event_type, n, vx * POWER(n, -1.0/3) AS a, vy * POWER(n, -1.0/3) AS b, c * POWER(n, -1.0/3) AS c FROM m),
+    d AS (SELECT p.event_type, p.x, p.y, SUM(EXP(-0.5 * (b * POWER(p.x - q.x, 2) - 2 * c * (p.x - q.x) * (p.y - q.y) + a * POWER(p.y - q.y, 2)) / (a * b - c * c))) / (MAX(n) * 2 * PI() * SQRT(MAX(a * b - c * c))) AS density
+      FROM p JOIN p q ON p.event_type = q.event_type JOIN s ON s.event_type = p.event_type GROUP BY p.event_type, p.x, p.y)
+    SELECT event_type, COUNT(*) AS points, AVG(density) * 1e6 AS mean, MIN(density) * 1e6 AS least, MAX(density) * 1e6 AS most, ARG_MAX(x, density) AS top FROM d GROUP BY 1""", "mean:5 least:5 most:5 top")
+def _(spark, sf):
+    e = bind.table(spark, sf, "events").where("user_id % 5 = 0")
+    p = e.select("event_type", F.col("value").alias("x"), (F.col("value") * 0.3 + F.minute("ts") + F.second("ts") / 60).alias("y"))
+    d = density.point_density(p, "x", "y", ("event_type",)).dropDuplicates(["event_type", "x", "y"])
+    return d.groupBy("event_type").agg(F.count(F.lit(1)).alias("points"), (F.avg("density") * 1e6).alias("mean"), (F.min("density") * 1e6).alias("least"), (F.max("density") * 1e6).alias("most"), F.max_by("x", "density").alias("top"))
+
+
 @query("background_model", "A28 S7", """WITH p AS (SELECT label, CAST(UNNEST(generate_series(0, 63)) AS BIGINT) AS px, embedding FROM embeddings), v AS (SELECT label, px, CAST(embedding[CAST(px + 1 AS INT)] AS DOUBLE) AS v FROM p)
     SELECT label, px, AVG(v) AS mean, MEDIAN(v) AS median FROM v GROUP BY 1, 2""", "mean median")
 def _(spark, sf):
