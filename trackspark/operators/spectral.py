@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.schema import FPS
 from .chunk import chunk_size, scan, with_halo
@@ -167,17 +169,116 @@ def welch(df: DataFrame, value: str, nperseg: int = 64, fps: float = FPS, keys=(
     return p.groupBy(*keys, "bin").agg((F.avg(F.col("mag") * F.col("mag")) * F.lit(scale) * F.max(twice)).alias("power"))
 
 
-def bout_dft_scores(rows: DataFrame, value: str, keys=("track_id", "start"), fps: float = FPS) -> DataFrame:
-    """One DFT per bout: sum over bins 1..(n-1)/2 of mag / sum(mag) * f^2 in (1.5, 5).
+#: Values that a task transforms at a time. Longer bouts are transformed by several.
+BLOCK = 1 << 18
 
-    Rows carry ``pos`` and ``n`` (position in and length of the bout). Bins are parallel groups of sums, so a long bout
-    is spread over the cluster.
+
+def _plan(n: int, block: int) -> tuple[int, int, int, int]:
+    """Length of a transform that holds a chirp convolution of n values as rows x columns, and columns and rows of a block."""
+    bits = (2 * n - 2).bit_length()
+    rows, columns = 1 << bits // 2, 1 << bits - bits // 2
+    return rows, columns, min(columns, max(1, block // rows)), min(rows, max(1, block // columns))
+
+
+def _turns(k: np.ndarray, n: int) -> np.ndarray:
+    """exp(2 pi i k / n) for whole k, reduced exactly."""
+    return np.exp(2j * np.pi / n * (k % n))
+
+
+def _complex(column: pa.ChunkedArray, i: int) -> np.ndarray:
+    return np.ascontiguousarray(column[i].values.to_numpy(zero_copy_only=False)).view(np.complex128)
+
+
+def bout_magnitudes(rows: DataFrame, value: str, keys=("track_id", "start"), block: int | None = None) -> DataFrame:
+    """keys, n, k, mag: magnitudes of the discrete Fourier transform of whole bouts at k = 1 .. (n - 1) // 2, for any length. Rows carry ``pos`` and
+    ``n`` (position in and length of the bout); a null value counts as 0.
+
+    A bout of up to ``BLOCK`` values is transformed by one task. A longer one is a convolution with a chirp (Bluestein), so that any length,
+    also a prime one, becomes transforms of a power of two; these go in steps over a matrix: columns, twiddle factors, rows,
+    product with the chirp's transform, rows back, twiddle factors, columns back. Tasks hold blocks of columns or rows, and blocks cross over in
+    two exchanges, so the work is n log n and no task holds a bout.
     """
+    from .sweeps import _groups
+
+    keys, block = list(keys), block or BLOCK
+    slim = rows.select(*keys, F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"))
+    kept = [slim.schema[k] for k in keys]
+    out = T.StructType([*kept, *[T.StructField(c, t) for c, t in (("n", T.LongType()), ("k", T.LongType()), ("mag", T.DoubleType()))]])
+
+    def spread(t: pa.Table, count: int) -> dict[str, pa.Array]:
+        """The key columns of the table's first row, ``count`` times."""
+        return {k: t.column(k).take(pa.array(np.zeros(count, np.int64))).combine_chunks() for k in (*keys, "n")}
+
+    def whole(batches):
+        for t, group in _groups(batches, keys):
+            v, n = t.column("v").to_numpy(), t.column("n").to_numpy()
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            mags = [np.abs(np.fft.rfft(x))[1 : (len(x) - 1) // 2 + 1] for x in np.split(v, first[1:])]
+            size = np.array([len(m) for m in mags])
+            at = np.repeat(first, size)
+            k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + 1
+            named = [t.column(c).take(pa.array(at)).combine_chunks() for c in keys]
+            yield pa.RecordBatch.from_arrays([*[pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c for c in named], pa.array(n[at]), pa.array(k), pa.array(np.concatenate(mags))], [f.name for f in out])
+
+    short = slim.where(F.col("n") <= block).repartition(*keys).sortWithinPartitions(*keys, "pos").mapInArrow(whole, out)
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        flat = [np.ascontiguousarray(p).ravel().view(np.float64) for p in parts]
+        return pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *(len(f) for f in flat)])), pa.array(np.concatenate(flat))).cast(pa.list_(pa.float64()))
+
+    def columns_first(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        n, here = key[-2].as_py(), key[-1].as_py()
+        r, c, w, k = _plan(n, block)
+        pos = t.column("pos").to_numpy()
+        x = np.zeros((r, w), np.complex128)
+        x[pos // c, pos % c - here * w] = t.column("v").to_numpy() * _turns(-pos * pos, 2 * n)
+        at = np.arange(r)[:, None] * c + here * w + np.arange(w)
+        back = np.minimum(at, r * c - at)
+        chirp = np.where(back < n, _turns(back * back, 2 * n), 0)
+        turn = _turns(-(np.arange(r)[:, None] * (here * w + np.arange(w))), r * c)
+        x, chirp = np.fft.fft(x, axis=0) * turn, np.fft.fft(chirp, axis=0) * turn
+        to = np.arange(r // k)
+        return pa.table({**spread(t, len(to)), "_to": pa.array(to.astype(np.int64)), "_from": pa.array(np.full(len(to), here, np.int64)),
+                         "x": lists([x[i * k : (i + 1) * k] for i in to]), "h": lists([chirp[i * k : (i + 1) * k] for i in to])})
+
+    def rows_there_and_back(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        n, here = key[-2].as_py(), key[-1].as_py()
+        r, c, w, k = _plan(n, block)
+        x, h = (np.empty((k, c), np.complex128) for _ in range(2))
+        for i, j in enumerate(t.column("_from").to_pylist()):
+            x[:, j * w : (j + 1) * w], h[:, j * w : (j + 1) * w] = (_complex(t.column(name), i).reshape(k, w) for name in ("x", "h"))
+        y = np.fft.ifft(np.fft.fft(x, axis=1) * np.fft.fft(h, axis=1), axis=1)
+        y *= _turns((here * k + np.arange(k))[:, None] * np.arange(c), r * c)
+        to = np.arange(c // w)
+        return pa.table({**spread(t, len(to)), "_to": pa.array(to.astype(np.int64)), "_from": pa.array(np.full(len(to), here, np.int64)), "x": lists([y[:, i * w : (i + 1) * w] for i in to])})
+
+    def columns_last(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        n, here = key[-2].as_py(), key[-1].as_py()
+        r, c, w, k = _plan(n, block)
+        y = np.empty((r, w), np.complex128)
+        for i, j in enumerate(t.column("_from").to_pylist()):
+            y[j * k : (j + 1) * k] = _complex(t.column("x"), i).reshape(k, w)
+        # the last chirp turns values only, magnitudes stay
+        mag = np.abs(np.fft.ifft(y, axis=0)).ravel()
+        at = (np.arange(r)[:, None] * c + here * w + np.arange(w)).ravel()
+        own = (at >= 1) & (at <= (n - 1) // 2)
+        return pa.table({**spread(t, int(own.sum())), "k": pa.array(at[own]), "mag": pa.array(mag[own])})
+
+    bits = F.length(F.bin(2 * F.col("n") - 2))
+    c = F.expr("shiftleft(1L, cast(_bits - _bits div 2 as int))")
+    r = F.expr("shiftleft(1L, cast(_bits div 2 as int))")
+    long = slim.where(F.col("n") > block).withColumn("_bits", bits).withColumns({"_c": c, "_r": r})
+    long = long.withColumn("_to", F.expr(f"(pos % _c) div least(_c, greatest(1L, {block}L div _r))")).select(*keys, "n", "_to", "pos", "v")
+    cross = T.StructType([*kept, T.StructField("n", T.LongType()), T.StructField("_to", T.LongType()), T.StructField("_from", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    both = T.StructType([*cross.fields, T.StructField("h", T.ArrayType(T.DoubleType()))])
+    for step, schema in ((columns_first, both), (rows_there_and_back, cross), (columns_last, out)):
+        long = long.groupBy(*keys, "n", "_to").applyInArrow(step, schema)
+    return short.unionByName(long)
+
+
+def bout_dft_scores(rows: DataFrame, value: str, keys=("track_id", "start"), fps: float = FPS, block: int | None = None) -> DataFrame:
+    """One DFT per bout: sum over bins 1..(n-1)/2 of mag / sum(mag) * f^2 in (1.5, 5). Rows carry ``pos`` and ``n``, see ``bout_magnitudes``."""
     from ..functions.label import frequency_weight
 
-    half = F.expr("cast((n - 1) div 2 as int)")
-    e = rows.where(half >= 1).select(*keys, "n", "pos", value, F.explode(F.sequence(F.lit(1), half)).alias("k"))
-    arg = F.lit(2 * np.pi) * F.expr("cast((k * pos) % n as double)") / F.col("n")
-    g = e.groupBy(*keys, "n", "k").agg(F.sum(F.col(value) * F.cos(arg)).alias("re"), F.sum(F.col(value) * F.sin(arg)).alias("im"))
-    g = g.withColumns({"mag": F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")), "f": F.col("k") * F.lit(float(fps)) / F.col("n")})
+    g = bout_magnitudes(rows, value, keys, block).withColumn("f", F.col("k") * F.lit(float(fps)) / F.col("n"))
     return g.groupBy(*keys, "n").agg(F.try_divide(F.sum(F.col("mag") * frequency_weight("f", "square")), F.sum("mag")).alias("score"))
