@@ -339,7 +339,9 @@ def test_decontamination(spark, awkward, block, monkeypatch):
         205: (" ".join(w[4] + w[5]), [4, 5]),
         206: (" ".join(x for i in range(0, 30, 4) for x in [*w[6][i : i + 4], "gap"]), []),  # runs too short
         207: (" ".join([items[7]] * 50), [7]),
-        208: ("only four words here", []),
+        208: ("Only four, words HERE", [12]),
+        209: ("only four other words here", []),
+        210: ("before only four words here and after only four words here", [12]),
     }
     df = awkward.unionByName(frame(spark, [(d, t, None, None) for d, (t, _) in cases.items()]))
     bench = bench_of(spark, items)
@@ -351,6 +353,33 @@ def test_decontamination(spark, awkward, block, monkeypatch):
     assert decontaminate.clean(df, bench_of(spark, [])).count() == df.count()
 
 
+def test_decontamination_is_brute_force(spark):
+    """Every document against every item, without seeds: tiles of all tokens, whole items below the shortest tile."""
+    docs = docs_of(spark).where("doc_id % 2 = 0")
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect()]
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    some = re.findall(r"\w+", items[3])
+    items += [" ".join(some[:n]) for n in (1, 2, 3, 4, 5, 6)] + ["zzz none of this", "the", items[0]]
+    got = {r.doc_id: {m["item"]: m["coverage"] for m in r.found} for r in decontaminate.with_matches(docs, bench_of(spark, items), "found").collect()}
+
+    def split(t):
+        return decontaminate.tokens(pa.array([t], pa.string()))[0]
+
+    bench = [split(t) for t in items]
+    for d, text in texts.items():
+        w, want = split(text), {}
+        for i, b in enumerate(bench):
+            if len(b) < decontaminate.LEAST:
+                cover = float(any((w[p : p + len(b)] == b).all() for p in range(len(w) - len(b) + 1)))
+            else:
+                common = np.isin(b, w).sum() >= decontaminate.SHARE * len(b)  # no tile without common tokens
+                cover = sum(t[2] for t in decontaminate.tile(b, w)) / len(b) if common else 0.0
+            if cover >= decontaminate.SHARE:
+                want[i] = cover
+        assert got[d] == pytest.approx(want), d
+    assert sum(map(bool, got.values())) > 3
+
+
 def test_decontamination_of_scripts_without_spaces(spark):
     items = ["我们今天下午去公园散步，然后回家吃饭。", "วันนี้อากาศดีมากเราไปเดินเล่นกัน", "Il a dit : « bonjour à tous les amis » — puis rien"]
     texts = ["前面还有别的话。" + items[0].replace("，", "、\u3000") + "后面也有很多别的话", "ก่อนหน้า" + items[1] + "abc", "x " + items[2].replace("—", "…").replace("«", "“").replace(" »", "”"), "我们昨天下午在公园散了步", "abc " + items[0][:12]]

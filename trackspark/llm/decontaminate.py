@@ -4,10 +4,11 @@ Texts are lower-cased and split into tokens: runs of letters, marks and digits,
 passage. Each code point of a script that is written without spaces (``ALONE``) is a token of its own. A document and a benchmark item that share a seed (``LEAST`` tokens in a row) are compared: the longest common
 run of unmarked tokens is searched by running Karp-Rabin hashes, marked in both, and so on until none of ``LEAST`` tokens is left.
 The tiles do not overlap and may stand in any order, so a reordered passage is covered as well as a plain one. A document is
-contaminated when tiles cover at least ``SHARE`` of an item's tokens.
+contaminated when tiles cover at least ``SHARE`` of an item's tokens. An item of fewer than ``LEAST`` tokens is found where all of them stand
+in a row, so its one tile covers it wholly.
 
 The benchmark is a query set: it is read in blocks of at most ``BLOCK`` bytes, each block goes to all workers and meets all documents
-within one scan, without a shuffle or join. Items of fewer than ``LEAST`` tokens are never found. Null, empty and token-free texts
+within one scan, without a shuffle or join. Null, empty and token-free texts
 are clean. Each input row is judged by its own text, so repeated rows get equal results.
 """
 
@@ -63,17 +64,17 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return w, np.concatenate(([0], np.cumsum(count)))
 
 
-def _seeds(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the LEAST tokens from each position, and whether they lie in one text."""
-    n = len(w) - LEAST + 1
+def _seeds(w: np.ndarray, at: np.ndarray, size: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the ``size`` tokens from each position, and whether they lie in one text."""
+    n = len(w) - size + 1
     if n <= 0:
         return np.zeros(0, U), np.zeros(0, bool)
     h = _place[0] * w[:n]
-    for j in range(1, LEAST):
+    for j in range(1, size):
         h = h + _place[j] * w[j : n + j]
     ok = np.ones(n, bool)
-    for edge in at[1:-1]:
-        ok[max(0, edge - LEAST + 1) : edge] = False
+    for edge in at[1:-1] if size > 1 else ():
+        ok[max(0, edge - size + 1) : edge] = False
     return mix(h), ok
 
 
@@ -162,6 +163,31 @@ class Benchmark:
         self.seed, self.place = seed[place][order], place[order]
         self.item = np.searchsorted(at, self.place, "right") - 1
         self.ids, self.w, self.at = ids, w, at
+        # items below LEAST tokens by their number: hashes of the whole items in order, and the items
+        self.short = {}
+        for n in range(1, LEAST):
+            items = np.flatnonzero(np.diff(at) == n)
+            if len(items):
+                whole = _seeds(w, at, n)[0][at[items]]
+                order = np.argsort(whole, kind="stable")
+                self.short[n] = whole[order], items[order]
+
+    def short_matches(self, w: np.ndarray, at: np.ndarray) -> dict[int, list[dict]]:
+        """Short items that stand in texts as they are: by text, in the order of items, each at its first place."""
+        found: dict[tuple[int, int], int] = {}
+        for n, (whole, items) in self.short.items():
+            seed, ok = _seeds(w, at, n)
+            first, last = np.searchsorted(whole, seed, "left"), np.searchsorted(whole, seed, "right")
+            for p in np.flatnonzero(ok & (last > first)).tolist():
+                text = int(np.searchsorted(at, p, "right")) - 1
+                for item in items[first[p] : last[p]].tolist():
+                    if (text, item) not in found and (w[p : p + n] == self.w[self.at[item] : self.at[item] + n]).all():
+                        found[text, item] = p - int(at[text])
+        out: dict[int, list[dict]] = {}
+        for (text, item), p in sorted(found.items()):
+            n = int(self.at[item + 1] - self.at[item])
+            out.setdefault(text, []).append({"item": self.ids[item], "coverage": 1.0, "tiles": [{"item_at": 0, "text_at": p, "length": n}]})
+        return out
 
 
 MATCH = pa.list_(pa.struct([("item", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.list_(pa.struct([("item_at", pa.int32()), ("text_at", pa.int32()), ("length", pa.int32())])))]))
@@ -215,6 +241,8 @@ def _compare(block, name: str, fresh: bool):
                 for a, b in zip(edge[:-1], edge[1:], strict=True):
                     d = int(doc[a])
                     out[d] = out[d] + _matches(w, int(at[d]), bench, hit[a:b], first[a:b], last[a:b])
+            for d, more in bench.short_matches(w, at).items() if bench.short else ():
+                out[d] = out[d] + more
             columns = {c: part.column(c) for c in part.schema.names if c != name}
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(out, MATCH)], names=[*columns, name])
 
