@@ -6,9 +6,9 @@ no weight may pass the cell's tokens / ``RATE``. Targets are the token shares to
 document is sampled with the probability RATE x weight / tokens of its cell, by a hash of its id: the sample has RATE of all tokens
 in the target mix, as far as the bound allows.
 
-``rake`` stops after ``ROUNDS`` rounds, as the SQL of op9_mixing does, converged or not. ``sample``, the pipeline's stage, uses
-``rake_fully``: a value whose target is beyond all its tokens / RATE gets these, the values below their bound share what it leaves in
-proportion to their targets, and rounds go on until none of the last ones changed a probability by ``TOLERANCE``.
+Raking converges (``rake_fully``): a value whose target is beyond all its tokens / RATE gets these, the values below their bound share what
+it leaves in proportion to their targets, and rounds go on until none of the last ones changed a probability by ``TOLERANCE``. The SQL of
+op9_mixing takes ``SQL_ROUNDS`` rounds, several times what the given tables need. ``rake`` is the plain form of a fixed number of rounds.
 
 ``labels`` gives the topic: toxic, high or low quality, or none. The tables that are raked have one row per cell; documents are only
 counted (partially before the shuffle) and joined with their cell, by broadcast if Spark finds the cells small, else by a join whose
@@ -27,8 +27,9 @@ from .common import stored
 
 SIDES = ("source", "lang", "topic")
 ROUNDS, TEMPER, RATE = 10, 0.6, 0.6
+SQL_ROUNDS = 1500
 #: Up to FEW cells are raked as arrays of one row, MANY rounds a query; more are dealt out, ROUNDS rounds a query.
-TOLERANCE, FEW, MANY = 1e-6, 10_000, 200
+TOLERANCE, FEW, MANY = 1e-11, 10_000, 200
 _WORDS = r"[^\\x20\\x09-\\x0D]+"
 
 
@@ -156,10 +157,13 @@ def draw(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, raked: Callable[[DataFrame], DataFrame] = rake) -> DataFrame:
-    """``docs`` (doc_id, text, source, lang) with _topic, _tokens, _weight (raked tokens of the document), _probability and _kept."""
+def mixed(docs: DataFrame, labels: DataFrame, raked: Callable[[DataFrame], DataFrame] = rake_fully, texts: bool = True) -> DataFrame:
+    """``docs`` (doc_id, text, source, lang) with _topic, _tokens, _weight (raked tokens of the document), _probability and _kept. Without ``texts``
+    the counts are stored instead of being taken once for the cells and once for the documents."""
     # tokens are counted before the join, so that texts are shuffled only where the caller asks for them
     rows = with_topic(docs.withColumn("_tokens", F.expr(f"cast(regexp_count(coalesce(text, ''), '{_WORDS}') as long)")), labels)
+    if not texts:
+        rows = stored(rows.drop("text"))
     sums = rows.groupBy("source", "lang", F.col("_topic").alias("topic")).agg(F.sum("_tokens").alias("tokens"))
     cells = raked(stored(sums)).select(*[F.col(s).alias(f"_cell_{s}") for s in SIDES], F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0).alias("_factor"))
     same = rows.source.eqNullSafe(F.col("_cell_source")) & rows.lang.eqNullSafe(F.col("_cell_lang")) & (F.col("_topic") == F.col("_cell_topic"))
@@ -172,36 +176,36 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The sampled documents, all their columns as they were. Other columns than doc_id, text, source and lang may have any name."""
     inner = {c: c if c in ("doc_id", "text", "source", "lang") else f"column{i}" for i, c in enumerate(docs.columns)}
     work = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in inner.items()])
-    return mixed(work, labels, rake_fully).where("_kept").select(*[F.col(x).alias(c) for c, x in inner.items()])
+    return mixed(work, labels).where("_kept").select(*[F.col(x).alias(c) for c, x in inner.items()])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_weight", 6).alias("weight"),
-                      F.round("_probability", 6).alias("probability"), F.col("_kept").alias("kept"))
+    out = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"), spark.read.parquet(f"{sf_dir}/labels.parquet"), texts=False)
+    return out.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("_weight", 2).alias("weight"),
+                      F.round("_probability", 4).alias("probability"), F.col("_kept").alias("kept"))
 
 
 def _sql() -> str:
-    steps, now = [], "r0"
-    for r in range(ROUNDS):
-        for s in SIDES:
-            new = f"r{r + 1}_{s}"
-            steps.append(f"{new} AS (SELECT * REPLACE (least(weight * target_{s} / sum(weight) OVER (PARTITION BY {s}), tokens / {RATE}) AS weight) FROM {now})")
-            now = new
-    targets = ",\n".join(f"t_{s} AS (SELECT {s}, power(sum(tokens), {TEMPER}) AS p FROM cells GROUP BY {s})" for s in SIDES)
-    share = ", ".join(f"total * t_{s}.p / (SELECT sum(p) FROM t_{s}) AS target_{s}" for s in SIDES)
+    # the scale of a side's targets: values in the order of the scale that fills them, the first one that its own scale does not fill
+    targets = ",\n".join(f"""c_{s} AS (SELECT {s}, power(sum(tokens), {TEMPER}) AS p, sum(tokens) / {RATE} AS most FROM cells GROUP BY {s}),
+o_{s} AS (SELECT *, most / p AS r, sum(most) OVER w - most AS filled, sum(p) OVER () - sum(p) OVER w + p AS free FROM c_{s} WHERE p > 0 WINDOW w AS (ORDER BY most / p, {s} ROWS UNBOUNDED PRECEDING)),
+f_{s} AS (SELECT (total - filled) / free AS scale FROM o_{s}, whole WHERE (total - filled) / free <= r ORDER BY r, {s} LIMIT 1),
+t_{s} AS (SELECT {s}, least(most, p * scale) AS target_{s} FROM c_{s}, f_{s})""" for s in SIDES)
     joins = " ".join(f"JOIN t_{s} ON cells.{s} IS NOT DISTINCT FROM t_{s}.{s}" for s in SIDES)
+    now = f"(SELECT * FROM raked WHERE round < {SQL_ROUNDS})"
+    for s in SIDES:
+        now = f"(SELECT * REPLACE (least(weight * target_{s} / sum(weight) OVER (PARTITION BY {s}), tokens / {RATE}) AS weight) FROM {now})"
     return f"""
-WITH named AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
-docs AS (SELECT d.doc_id, d.source, d.lang, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' ELSE 'none' END AS topic,
+WITH RECURSIVE named AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+docs AS MATERIALIZED (SELECT d.doc_id, d.source, d.lang, CASE WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'high' WHEN quality = 0 THEN 'low' ELSE 'none' END AS topic,
   len(regexp_extract_all(coalesce(d.text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents d LEFT JOIN named ON d.doc_id = named.doc_id),
-cells AS (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY source, lang, topic),
-{targets},
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY source, lang, topic),
 whole AS (SELECT sum(tokens) AS total FROM cells),
-r0 AS (SELECT cells.source, cells.lang, cells.topic, tokens, {share}, tokens::DOUBLE AS weight FROM cells {joins} CROSS JOIN whole),
-{', '.join(steps)},
-p AS (SELECT docs.*, weight / tokens AS factor FROM docs JOIN {now} c ON docs.source IS NOT DISTINCT FROM c.source AND docs.lang IS NOT DISTINCT FROM c.lang AND docs.topic = c.topic)
-SELECT doc_id, source, lang, topic, n_tokens, round(n_tokens * factor, 6) AS weight, round(factor * {RATE}, 6) AS probability,
+{targets},
+start AS MATERIALIZED (SELECT 0 AS round, cells.source, cells.lang, cells.topic, tokens, {", ".join(f"target_{s}" for s in SIDES)}, tokens::DOUBLE AS weight FROM cells {joins}),
+raked AS (SELECT * FROM start UNION ALL SELECT * REPLACE (round + 1 AS round) FROM {now}),
+p AS (SELECT docs.*, CASE WHEN tokens > 0 THEN weight / tokens ELSE 1.0 END AS factor FROM docs JOIN raked c ON c.round = {SQL_ROUNDS} AND docs.source IS NOT DISTINCT FROM c.source AND docs.lang IS NOT DISTINCT FROM c.lang AND docs.topic = c.topic)
+SELECT doc_id, source, lang, topic, n_tokens, round(n_tokens * factor, 2) AS weight, round(factor * {RATE}, 4) AS probability,
   ('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0 < factor * {RATE} AS kept FROM p
 """
 
