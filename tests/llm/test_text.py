@@ -85,6 +85,17 @@ def test_language_accuracy_and_ids(spark):
     assert got.where("rejected").count() == 0
 
 
+def test_language_of_the_calibration_part_is_learned(spark):
+    """All labels of one language lie in the texts that calibrate: it is still learned, and found in the others."""
+    code = language.third(F.col("doc_id"))
+    learnable, held = code % 3 != 1, F.floor(code / 3) % 5 == 0
+    docs = docs_of(spark, "/root/testdata/sf0.01").select("doc_id", "text", "lang")
+    less = docs.withColumn("lang", F.when((F.col("lang") == "fr") & learnable & ~held, None).otherwise(F.col("lang")))
+    assert less.where(learnable & (F.col("lang") == "fr") & held).count() > 5
+    got = language.identify(less).select("doc_id", "lang_pred").join(docs.select("doc_id", F.col("lang").alias("truth")), "doc_id").where("truth = 'fr'")
+    assert got.where("lang_pred = 'fr'").count() > 0.9 * got.count()
+
+
 def test_language_awkward(awkward, nothing, spark):
     got = [(r.doc_id, r.lang_pred, r.score, r.rejected) for r in language.identify(awkward).collect()]
     assert len(got) == awkward.count()

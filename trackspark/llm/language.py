@@ -362,25 +362,31 @@ def identify(docs: DataFrame, without: str | None = "text") -> DataFrame:
     code = third(F.col("doc_id"))
     fitting = docs.where((code % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     calibrating = F.floor(code / 3) % 5 == 0
+    # one text in five calibrates a model of the others; the texts are then judged by a model of all of them
     model = fit(fitting.where(~calibrating))
     if not model.langs:
         model = fit(fitting)
     plain = [f"`{c}`" for c in names if c != without]
     if not model.langs:
         return docs.select(*plain, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
-    shared = model if isinstance(model, WideModel) else spark.sparkContext.broadcast(model)
     best = F.array_min("_entropies")
-    n_langs = len(model.langs)
-    langs = F.array(*[F.lit(x) for x in model.langs])
-    pred = langs[F.array_position("_entropies", best).cast("int") - 1]
     size = F.floor(F.log2(F.greatest("_symbols", F.lit(1)).cast("double"))).cast("int")
 
+    def sent(m: Model | WideModel):
+        return m if isinstance(m, WideModel) else spark.sparkContext.broadcast(m)
+
+    def named(m: Model | WideModel) -> tuple[Column, Column]:
+        """The languages of a model, and the best one."""
+        langs = F.array(*[F.lit(x) for x in m.langs])
+        return langs, langs[F.array_position("_entropies", best).cast("int") - 1]
+
     def share(sharp) -> Column:
         """Softmax of the best language."""
         return F.lit(1.0) / F.aggregate("_entropies", F.lit(0.0), lambda a, x: a + F.exp(-(x - best) * sharp))
 
     # calibration: a few sums per language and length
-    tried = (fitting.where(calibrating).select("text", "lang").mapInArrow(_scored(shared), "lang string, _entropies array<double>, _symbols long")
+    langs, pred = named(model)
+    tried = (fitting.where(calibrating).select("text", "lang").mapInArrow(_scored(sent(model)), "lang string, _entropies array<double>, _symbols long")
              .where("_symbols > 1").withColumns({"pred": pred, "size": size}))
     right = F.coalesce(F.get(F.col("_entropies"), F.array_position(langs, F.col("lang")).cast("int") - 1), best + 10)
     losses = [F.sum((right - best) * s - F.log(share(F.lit(s)))).alias(f"loss{i}") for i, s in enumerate(SHARPNESS)]
@@ -393,7 +399,9 @@ def identify(docs: DataFrame, without: str | None = "text") -> DataFrame:
         where = F.when((F.col("lang_pred") == lang) & (F.col("_size") == bits) if bits is not None else F.col("lang_pred") == lang, F.lit(value)).otherwise(where)
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != without] + ["_entropies array<double>", "_symbols long"])
     known = F.col("_symbols") > 1
-    out = docs.mapInArrow(_scored(shared, without), ddl)
+    model = fit(fitting)
+    pred = named(model)[1]
+    out = docs.mapInArrow(_scored(sent(model), without), ddl)
     return out.withColumns({"lang_pred": F.when(known, pred).otherwise(UNKNOWN), "score": F.when(known, share(F.lit(sharp))).otherwise(0.0),
                             "cross_entropy": F.when(known, best), "_size": size}).withColumn(
         "rejected", ~known | F.coalesce(F.col("cross_entropy") > where, F.lit(False))).select(*plain, "lang_pred", "score", "cross_entropy", "rejected")
