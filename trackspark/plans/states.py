@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, graph, hmm, models, ring
+from ..operators import evaluate, graph, hmm, models, ring, silhouette
 from ..operators.chunk import computed, windowed
 from ..sources import bind
 from ..sources.bind import SQL_LINES
@@ -86,6 +86,20 @@ def _(spark, sf):
     return spark.createDataFrame([(models.silhouette(t, ["signal", "tax"]),)], "silhouette double")
 
 
+@query("silhouette_plain", "M5", """WITH o AS (SELECT CASE WHEN o_totalprice < 90000 THEN 0 WHEN date_diff('day', DATE '1998-04-15', CAST(o_orderdate AS DATE)) < 0 THEN 1 ELSE 2 END AS cluster,
+        CAST(o_totalprice AS DOUBLE) / 1000 AS a, CAST(date_diff('day', DATE '1998-04-15', CAST(o_orderdate AS DATE)) AS DOUBLE) / 10 AS b FROM orders),
+    p AS (SELECT cluster, a, b, CAST(COUNT(*) AS DOUBLE) AS n FROM o GROUP BY 1, 2, 3), size AS (SELECT cluster, SUM(n) AS size FROM p GROUP BY 1),
+    d AS (SELECT p.cluster, p.a, p.b, p.n, q.cluster AS to_cluster, SUM(q.n * SQRT((p.a-q.a)*(p.a-q.a) + (p.b-q.b)*(p.b-q.b))) AS s FROM p, p q GROUP BY 1, 2, 3, 4, 5),
+    m AS (SELECT d.cluster, a, b, n, MAX(CASE WHEN d.cluster = to_cluster THEN s / (size - 1) END) AS own, MIN(CASE WHEN d.cluster <> to_cluster THEN s / size END) AS other
+        FROM d JOIN size ON to_cluster = size.cluster GROUP BY 1, 2, 3, 4)
+    SELECT cluster, CAST(SUM(n) AS BIGINT) AS rows, SUM(n * (other - own) / GREATEST(other, own)) / SUM(n) AS silhouette FROM m GROUP BY 1""", "silhouette")
+def _(spark, sf):
+    day = F.datediff("o_orderdate", F.lit("1998-04-15").cast("date"))
+    o = bind.table(spark, sf, "orders").select((F.col("o_totalprice").cast("double") / 1000).alias("price"), (day.cast("double") / 10).alias("day"))
+    o = o.withColumn("cluster", F.when(F.col("price") < 90, 0).when(F.col("day") < 0, 1).otherwise(2))
+    return silhouette.mean_silhouette(silhouette.plain_silhouette(o, ["price", "day"]), ["cluster"])
+
+
 @query("spectral_clusters", "M6 E8 P4")
 def _(spark, sf):
     """Every 20th frame; best one-vs-rest Rand index against the manual label for each k."""
