@@ -73,34 +73,53 @@ def windowed(df: DataFrame, *stages, before: int = 0, after: int = 0, keys=("tra
     return own_rows(out)
 
 
-def scan(df: DataFrame, cols: dict[str, tuple[str, Column]], keys=("track_id",), frame: str = "frame",
-         size: int | None = None) -> DataFrame:
-    """Running values over whole tracks: ``{out: (kind, expr)}`` with kind sum | max | last | next.
+def _earlier(totals: DataFrame, kinds: list[str], keys, at: str, block: int | None = None) -> DataFrame:
+    """keys, ``at`` and, as ``_c0`` .., the totals ``_t0`` .. of all rows before (kind next: after) each value of ``at``.
 
-    sum, max and last (latest non-null) look back and include the row; next is the first non-null at or after it.
+    With ``block``, rows are taken together by ``block`` values of ``at`` first, so that one task sees the blocks and not all rows.
     """
-    c = with_chunk(df, frame, size)
-    names = list(cols)
-    c = c.withColumns({f"_v{i}": cols[n][1] for i, n in enumerate(names)})
-    total = {
-        "sum": lambda v: F.sum(v),
-        "max": lambda v: F.max(v),
-        "last": lambda v: F.max_by(v, F.when(F.col(v).isNotNull(), F.col(frame))),
-        "next": lambda v: F.min_by(v, F.when(F.col(v).isNotNull(), F.col(frame))),
-    }
-    totals = c.groupBy(*keys, "_chunk").agg(*[total[cols[n][0]](f"_v{i}").alias(f"_t{i}") for i, n in enumerate(names)])
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
+    if block:
+        totals = totals.withColumn("_block", F.expr(f"`{at}` div {block}"))
+        whole = totals.groupBy(*keys, "_block").agg(*[_TOTAL[k](f"_t{i}", at).alias(f"_t{i}") for i, k in enumerate(kinds)])
+        outer = _earlier(whole, kinds, keys, "_block").withColumnsRenamed({f"_c{i}": f"_b{i}" for i in range(len(kinds))})
+        both = _earlier(totals, kinds, [*keys, "_block"], at).join(outer, [*keys, "_block"])
+        merge = {"sum": lambda c, b: F.coalesce(c + b, c, b), "max": F.greatest, "last": F.coalesce, "next": F.coalesce}
+        return both.select(*keys, at, *[merge[k](F.col(f"_c{i}"), F.col(f"_b{i}")).alias(f"_c{i}") for i, k in enumerate(kinds)])
+    past = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
     # looking ahead is looking back in descending order: a frame that starts at the row and runs to the end is
     # summed anew for every row
-    past = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    future = Window.partitionBy(*keys).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    future = Window.partitionBy(*keys).orderBy(F.col(at).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = {
         "sum": lambda t: F.sum(t).over(past),
         "max": lambda t: F.max(t).over(past),
         "last": lambda t: F.last(t, True).over(past),
         "next": lambda t: F.last(t, True).over(future),
     }
-    carry = totals.select(*keys, "_chunk", *[carried[cols[n][0]](f"_t{i}").alias(f"_c{i}") for i, n in enumerate(names)])
+    return totals.select(*keys, at, *[carried[k](f"_t{i}").alias(f"_c{i}") for i, k in enumerate(kinds)])
+
+
+#: Total of a group of rows by kind of running value.
+_TOTAL = {
+    "sum": lambda v, at: F.sum(v),
+    "max": lambda v, at: F.max(v),
+    "last": lambda v, at: F.max_by(v, F.when(F.col(v).isNotNull(), F.col(at))),
+    "next": lambda v, at: F.min_by(v, F.when(F.col(v).isNotNull(), F.col(at))),
+}
+
+
+def scan(df: DataFrame, cols: dict[str, tuple[str, Column]], keys=("track_id",), frame: str = "frame",
+         size: int | None = None, block: int | None = None) -> DataFrame:
+    """Running values over whole tracks: ``{out: (kind, expr)}`` with kind sum | max | last | next.
+
+    sum, max and last (latest non-null) look back and include the row; next is the first non-null at or after it. ``block`` is for a
+    single series over all data: its chunk totals are combined by blocks of so many chunks before the blocks are.
+    """
+    c = with_chunk(df, frame, size)
+    names = list(cols)
+    c = c.withColumns({f"_v{i}": cols[n][1] for i, n in enumerate(names)})
+    kinds = [cols[n][0] for n in names]
+    totals = c.groupBy(*keys, "_chunk").agg(*[_TOTAL[k](f"_v{i}", frame).alias(f"_t{i}") for i, k in enumerate(kinds)])
+    carry = _earlier(totals, kinds, keys, "_chunk", block)
     seen = chunk_window(keys, frame).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys, "_chunk").orderBy(F.col(frame).desc()).rowsBetween(Window.unboundedPreceding, 0)
     merged = {
@@ -115,6 +134,21 @@ def scan(df: DataFrame, cols: dict[str, tuple[str, Column]], keys=("track_id",),
     return j.drop(*[f"_{p}{i}" for p in "vco" for i in range(len(names))])
 
 
+def running_total(df: DataFrame, order: list[str], value: Column, out: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows before each row in ``order`` (no two rows alike in it), without one task over all rows.
+
+    Rows are dealt by ranges of the order and stored, since a second deal might cut elsewhere; only one total per range is ordered at once.
+    """
+    from ..sources.tables import stored
+
+    dealt = stored(df.withColumn("_v", value).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("_range").agg(F.sum("_v").alias("_t0"))  # as many rows as shuffle partitions
+    before = _earlier(ranges.withColumn("_all", F.lit(0)), ["sum"], ["_all"], "_range").drop("_all")
+    summed = dealt.withColumn("_s", F.sum("_v").over(inside)).join(before, "_range")
+    return summed.withColumn(out, F.coalesce("_s", F.lit(0)) + F.coalesce("_c0", F.lit(0))).drop("_v", "_s", "_c0", "_range")
+
+
 def number_frames(df: DataFrame, key: str, order_by: list[str], buckets: dict[str, Column]) -> DataFrame:
     """Dense 0-based ``frame`` per key in ``order_by`` order.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk import scan
+from .chunk import running_total, scan
 
 
 def fill_forward(df: DataFrame, cols: list[str], **kw) -> DataFrame:
@@ -59,11 +59,15 @@ def interpolate_nearest(df: DataFrame, col: str, **kw) -> DataFrame:
 def bridge_tracks(df: DataFrame, buffer: int = 100) -> DataFrame:
     """All tracks one after another by id on a common frame ``axis``, ``buffer`` empty rows after each.
 
-    Interpolating the result with ``keys=("series",), frame="axis"`` bridges the buffers.
+    ``interpolate_bridged`` fills the gaps of the result over the buffers.
     """
     lengths = df.groupBy("track_id").agg((F.max("frame") + 1).alias("_n"))
-    before = Window.orderBy("track_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per track
-    starts = lengths.withColumn("_start", F.coalesce(F.sum(F.col("_n") + buffer).over(before), F.lit(0)))
+    starts = running_total(lengths, ["track_id"], F.col("_n") + buffer, "_start")
     rows = df.drop("_chunk").join(starts.select("track_id", "_start"), "track_id").withColumn("axis", F.col("_start") + F.col("frame")).drop("_start")
     pads = starts.select(F.explode(F.expr(f"sequence(_start + _n, _start + _n + {buffer} - 1)")).alias("axis"))
     return rows.unionByName(pads, allowMissingColumns=True).withColumn("series", F.lit(0).cast("long"))
+
+
+def interpolate_bridged(bridged: DataFrame, col: str, block: int = 4096, **kw) -> DataFrame:
+    """``interpolate_linear`` along the axis of ``bridge_tracks``: one series over all tracks, scanned by rows, chunks and blocks of chunks."""
+    return interpolate_linear(bridged, col, keys=("series",), frame="axis", block=block, **kw)

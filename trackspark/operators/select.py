@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schema import FPS
+from .chunk import running_total
 
 
 def frame_range(df: DataFrame, start: int, stop: int | None = None) -> DataFrame:
@@ -34,25 +35,25 @@ def clock(df: DataFrame, fps: int = FPS) -> DataFrame:
 
 def split_tracks(df: DataFrame, share: float = 0.75, out: str = "part") -> DataFrame:
     """First ``share`` of the tracks by id are 'train', the rest 'test'."""
-    # one row per track is ordered here, never one per frame
     tracks = df.select("track_id").distinct()
     total = tracks.agg(F.count(F.lit(1)).alias("_n"))
-    pos = tracks.withColumn("_i", F.row_number().over(Window.orderBy("track_id"))).crossJoin(F.broadcast(total))  # one row
-    part = pos.select("track_id", F.when(F.col("_i") <= share * F.col("_n"), "train").otherwise("test").alias(out))
+    pos = running_total(tracks, ["track_id"], F.lit(1), "_i").crossJoin(F.broadcast(total))  # one row
+    part = pos.select("track_id", F.when(F.col("_i") + 1 <= share * F.col("_n"), "train").otherwise("test").alias(out))
     return df.join(part, "track_id")
 
 
 def collapse_rare(df: DataFrame, label: str, fit_on: Column, least: float | None = None, other: str = "OTHER") -> DataFrame:
     """Labels seen at most ``least`` times in the fitting rows become ``other`` (default: the mean count)."""
     counts = df.where(fit_on).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    cut = F.lit(least) if least is not None else F.avg("_n").over(Window.partitionBy(F.lit(0)))
-    vocab = counts.withColumn("_cut", cut).where(F.col("_n") > F.col("_cut")).select(label, F.lit(True).alias("_popular"))
+    cut = counts.agg((F.lit(least) if least is not None else F.avg("_n")).alias("_cut"))
+    popular = counts.crossJoin(F.broadcast(cut)).where(F.col("_n") > F.col("_cut"))  # one row
+    vocab = popular.select(label, F.lit(True).alias("_popular"))
     return df.join(vocab, label, "left").withColumn(label, F.when(F.col("_popular"), F.col(label)).otherwise(other)).drop("_popular")
 
 
 def encode_labels(df: DataFrame, label: str, out: str = "code") -> DataFrame:
-    """Alphabetical integer codes; the ordering runs over the distinct labels."""
-    codes = df.select(label).distinct().withColumn(out, (F.dense_rank().over(Window.orderBy(label)) - 1).cast("long"))
+    """Alphabetical integer codes of the distinct labels."""
+    codes = running_total(df.select(label).distinct(), [label], F.lit(1), out).withColumn(out, F.col(out).cast("long"))
     return df.join(codes, label)
 
 

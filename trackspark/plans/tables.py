@@ -89,7 +89,7 @@ def _(spark, sf):
     SELECT axis, track_id, frame, CASE WHEN signal IS NOT NULL THEN signal WHEN nv IS NULL THEN pv ELSE pv + (nv - pv) / (nf - pf) * (axis - pf) END AS signal FROM b""", "signal")
 def _(spark, sf):
     b = fill.bridge_tracks(bind.gap_tracks(spark, sf))
-    return fill.interpolate_linear(b, "signal", keys=("series",), frame="axis").select("axis", "track_id", "frame", "signal")
+    return fill.interpolate_bridged(b, "signal").select("axis", "track_id", "frame", "signal")
 
 
 @query("label_union", "U2 U4", "SELECT quality AS label, COUNT(*) AS rows FROM labels GROUP BY 1 UNION ALL SELECT 10 + toxic, COUNT(*) FROM labels GROUP BY 1")
