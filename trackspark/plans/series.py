@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import label as L
-from ..operators import fill, rates, series
+from ..operators import fill, rates, series, smooth
 from ..operators.chunk import scan, windowed
 from ..sources import bind
 from ..sources.bind import SQL_EVENTS, SQL_GAPS, SQL_LINES
@@ -188,6 +188,36 @@ def _(spark, sf):
     return series.smooth_quadratic(bind.gap_tracks(spark, sf), "signal").select("track_id", "frame", "smooth")
 
 
+#: Smoothing by a band factorisation that walks from point to point, instead of the library's cyclic reduction.
+SQL_SPLINE = f"""WITH RECURSIVE {SQL_GAPS}, pts AS (SELECT track_id, frame, CAST(signal AS DOUBLE) AS y, ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY frame) AS i FROM gaps WHERE signal IS NOT NULL),
+    dd AS (SELECT *, 1.0 / (frame - LAG(frame) OVER w) AS q0, 1.0 / (LEAD(frame) OVER w - frame) AS q2, LAG(y) OVER w AS y0, LEAD(y) OVER w AS y2 FROM pts WINDOW w AS (PARTITION BY track_id ORDER BY i)),
+    qq AS (SELECT track_id, i, q0, -q0 - q2 AS q1, q2, q0*y0 - (q0 + q2)*y + q2*y2 AS f FROM dd WHERE q0 IS NOT NULL AND q2 IS NOT NULL),
+    ee AS (SELECT track_id, i, f, (1/q0 + 1/q2) / 3 + 100 * (q0*q0 + q1*q1 + q2*q2) AS a, COALESCE(1/q2 / 6 + 100 * (q1 * LEAD(q0) OVER w + q2 * LEAD(q1) OVER w), 0) AS b, COALESCE(100 * q2 * LEAD(q0, 2) OVER w, 0) AS c
+        FROM qq WINDOW w AS (PARTITION BY track_id ORDER BY i)),
+    down(track_id, i, d, l, m, z, dp, lp, mp, zp) AS (SELECT track_id, i, a, b / a, c / a, f, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM ee WHERE i = 2
+        UNION ALL SELECT ee.track_id, ee.i, ee.a - d*l*l - dp*mp*mp AS nd, (ee.b - d*l*m) / nd, ee.c / nd, ee.f - l*z - mp*zp, d, l, m, z FROM down JOIN ee ON ee.track_id = down.track_id AND ee.i = down.i + 1),
+    solved AS (SELECT track_id, i, z / d AS v, l, m, MAX(i) OVER (PARTITION BY track_id) AS n FROM down),
+    up(track_id, i, x, xn) AS (SELECT track_id, i, v, CAST(0 AS DOUBLE) FROM solved WHERE i = n
+        UNION ALL SELECT s.track_id, s.i, s.v - s.l * x - s.m * xn, x FROM up JOIN solved s ON s.track_id = up.track_id AND s.i = up.i - 1),
+    bent AS (SELECT track_id, i + k - 1 AS i, SUM(x * CASE k WHEN 0 THEN q0 WHEN 1 THEN q1 ELSE q2 END) AS off FROM up JOIN qq USING (track_id, i), (SELECT UNNEST([0, 1, 2]) AS k) GROUP BY 1, 2),
+    curve AS (SELECT pts.track_id, pts.frame, y - 100 * COALESCE(off, 0) AS g, COALESCE(x, 0) AS s FROM pts LEFT JOIN bent USING (track_id, i) LEFT JOIN up USING (track_id, i)),
+    near AS (SELECT gaps.track_id, gaps.frame, g, LAST_VALUE(CASE WHEN g IS NOT NULL THEN gaps.frame END IGNORE NULLS) OVER p AS ta, LAST_VALUE(g IGNORE NULLS) OVER p AS ga, LAST_VALUE(s IGNORE NULLS) OVER p AS sa,
+        FIRST_VALUE(CASE WHEN g IS NOT NULL THEN gaps.frame END IGNORE NULLS) OVER n AS tb, FIRST_VALUE(g IGNORE NULLS) OVER n AS gb, FIRST_VALUE(s IGNORE NULLS) OVER n AS sb FROM gaps LEFT JOIN curve USING (track_id, frame)
+        WINDOW p AS (PARTITION BY gaps.track_id ORDER BY gaps.frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY gaps.track_id ORDER BY gaps.frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+    SELECT track_id, frame, CASE WHEN g IS NOT NULL THEN g WHEN tb > ta THEN ((tb-frame)*ga + (frame-ta)*gb) / (tb-ta)
+        - (frame-ta)*(tb-frame) / 6.0 * ((1 + (frame-ta) / CAST(tb-ta AS DOUBLE)) * sb + (1 + (tb-frame) / CAST(tb-ta AS DOUBLE)) * sa) END AS smooth FROM near"""
+
+
+@query("smoothing_spline", "W27", SQL_SPLINE, "smooth")
+def _(spark, sf):
+    return smooth.smoothing_spline(bind.gap_tracks(spark, sf), "signal", penalty=100.0).select("track_id", "frame", "smooth")
+
+
+@query("smoothing_spline_target", "W27")
+def _(spark, sf):
+    return smooth.smoothing_spline(bind.gap_tracks(spark, sf), "signal", residual=400.0).select("track_id", "frame", "smooth")
+
+
 # --- projections, filters --------------------------------------------------------------------------------------------
 @query("frame_slice", "P1 P2 P3", f"""WITH {SQL_LINES} SELECT track_id, frame, frame - 40 AS new_frame,
     CAST(frame / 40.0 AS DOUBLE) AS second, signal FROM lines WHERE frame >= 40 AND frame < 40 + 40 * 5""", "second")
