@@ -116,7 +116,7 @@ def distance_sums(df: DataFrame, cols: list[str], cluster: str = "cluster", size
     k = len(labels)
     size = size or max(BOX_POINTS, -(-points.count() // BOXES))
     code = F.coalesce(*[F.when(F.col(cluster) == F.lit(v), F.lit(i)) for i, v in enumerate(labels)]).alias("_c")
-    placed, cut = boxed(points.select("id", cluster, code, *[F.col(c).cast("double").alias(c) for c in cols], "n"), cols, size)
+    placed, _ = boxed(points.select("id", cluster, code, *[F.col(c).cast("double").alias(c) for c in cols], "n"), cols, size)
     # one row per box, and there are at most BOXES
     edges = placed.groupBy("box").agg(F.array(*[F.min(c) for c in cols]), F.array(*[F.max(c) for c in cols])).collect()
     bounds = {r[0]: (np.array(r[1]), np.array(r[2])) for r in edges}
