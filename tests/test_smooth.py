@@ -32,7 +32,7 @@ def tracks(spark, **values):
     return spark.createDataFrame(rows, "track_id long, frame long, signal double")
 
 
-TRACKS = {"t1": wave(400, 1, [(0, 3), (60, 110), (395, 400)]), "t2": wave(35, 2, [(4, 5)]), "t3": wave(97, 3, []), "t4": [1.0, None, 3.0], "t5": [None, 2.0], "t6": [None] * 5}
+TRACKS = {"t1": wave(400, 1, [(0, 3), (60, 110), (395, 400)]), "t2": wave(35, 2, [(4, 5)]), "t3": wave(97, 3, []), "t4": [1.0, None, 3.0], "t5": [None, 2.0], "t6": [None] * 5, "t7": wave(48, 7, []), "t8": wave(33, 8, [])}
 
 
 def lines(df):
@@ -43,7 +43,7 @@ def lines(df):
 @pytest.mark.parametrize("size", [None, 16])
 def test_fixed_penalty(spark, size):
     got = lines(smooth.smoothing_spline(tracks(spark, **TRACKS), "signal", penalty=500.0, size=size))
-    for k in (1, 2, 3):
+    for k in (1, 2, 3, 7, 8):  # 7 fills its chunks, 8 leaves one point for its last
         v = np.array([np.nan if x is None else x for x in TRACKS[f"t{k}"]])
         at = np.flatnonzero(~np.isnan(v))
         g, _ = dense(at.astype(float), v[at], 500.0)

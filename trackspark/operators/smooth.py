@@ -200,7 +200,8 @@ def smoothing_spline(df: DataFrame, col: str, residual: float | None = None, pen
     curve = points.where(F.col("_n") <= n).groupBy(*names).applyInArrow(short, result)
     long = points.where(F.col("_n") > n)
     if not long.isEmpty():
-        pieces = stored(with_halo(long, 2, 2, "_i", n))
+        # the last rows of a track whose points fill its chunks have no chunk to be copied to
+        pieces = stored(with_halo(long, 2, 2, "_i", n).where(F.expr(f"_chunk <= (_n - 1) div {n}")))
         curve = curve.unionByName(_long_curve(pieces, counts.where(F.col("_n") > n), names, types, arrays, keyed, goal, fixed))
     fitted = df.withColumn("_t", F.col(frame).cast("long")).join(curve, [*names, "_t"], "left").drop("_t", "_chunk")
     here = F.when(F.col("_g").isNotNull(), F.struct(F.col(frame).alias("t"), F.col("_g").alias("g"), F.col("_s").alias("s")))
