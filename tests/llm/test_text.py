@@ -115,6 +115,37 @@ def test_gibberish_is_rejected(spark):
     assert got.where("doc_id >= 1000000000 and rejected").count() == 5
 
 
+def test_width_is_the_quantile():
+    """The limit leaves the stated share of the calibrating texts beyond it, and is wide where they are too few."""
+    for n in (998, 999, 1500, 20_000):
+        z = np.random.default_rng(n).standard_t(4, n)
+        steps, counts = np.unique(np.ceil(np.minimum(z, language.FARTHEST) / language.STEP).astype(int), return_counts=True)
+        limit, slack = language._width(dict(zip(steps.tolist(), counts.tolist(), strict=True)))
+        if n < 999:
+            assert (limit, slack) == (language.DEVIATIONS, language.SLACK)
+        else:
+            assert slack == 0 and (z > limit).mean() <= language.FALSE_REJECTS
+            exact = np.sort(z)[int(np.ceil((n + 1) * (1 - language.FALSE_REJECTS))) - 1]
+            assert exact <= limit < exact + language.STEP + 1e-9
+    assert language._width({}) == (language.DEVIATIONS, language.SLACK)
+
+
+def test_rejection_rate(spark):
+    """Held-out texts are rejected about as seldom as stated; texts of shuffled letters, of a language unknown to the model
+    and of mixed signs are rejected."""
+    docs = docs_of(spark, "/root/testdata/sf0.1").select("doc_id", "text", "lang")
+    r = random.Random(3)
+    some = [x.text for x in docs.where("lang = 'en' and length(text) > 400").orderBy("doc_id").limit(40).collect()]
+    shuffled = ["".join(r.sample(t[:400], 400)).replace(" ", "") for t in some]
+    vowels = [" ".join("".join(r.choice(s) for s in ("ptkshmnl", "aiu", "q", "aāī", "xzwj")) for _ in range(60)) for _ in range(40)]
+    odd = spark.createDataFrame([(10**9 + i, t, None) for i, t in enumerate(shuffled + vowels)], "doc_id long, text string, lang string")
+    got = language.identify(docs.unionByName(odd)).withColumn("held", language.third(F.col("doc_id")) % 3 == 1).collect()
+    held = [x for x in got if x.held and x.doc_id < 10**9]
+    assert len(held) > 3000 and sum(x.rejected for x in held) <= 5 * language.FALSE_REJECTS * len(held)
+    strange = [x for x in got if x.doc_id >= 10**9]
+    assert len(strange) == 80 and all(x.rejected for x in strange)
+
+
 def test_every_gram_counts(spark, monkeypatch):
     """A model beyond the bound of one table scores as that table does, and still has a language whose grams are all rare."""
     r = random.Random(5)

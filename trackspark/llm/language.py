@@ -13,7 +13,9 @@ keys: a worker holds some texts and looks their grams up in one block after the
 
 Calibration: one in five of the fitting texts is not counted. On these the sharpness of the score (softmax of the cross-entropies,
 times the sharpness) minimises the log-loss, and mean and deviation of the winning cross-entropy are taken per language and doubling
-of length. A text is rejected when it has no letter, or its cross-entropy is above that mean by ``DEVIATIONS`` deviations and ``SLACK``.
+of length. A text is rejected when it has no letter, or its cross-entropy is above that mean by more deviations than all but a share
+``FALSE_REJECTS`` of the calibrating texts are. A quantile that far out takes 1 / ``FALSE_REJECTS`` such texts; from fewer the limit is
+``DEVIATIONS`` deviations and ``SLACK`` above the mean.
 
 Which texts may be learned from, and which of them calibrate, follows from crc32 of the id; an id never reaches a prediction.
 Null texts and texts without letters get ``und`` and score 0. Without any labelled text all are ``und``.
@@ -35,7 +37,11 @@ from .common import PIECE, U, documents, grouped, lists, mix, stored, utf8
 ORDER, GRAMS = 4, 1_000_000
 #: Log-probabilities of a block of a large model, and how many of all blocks a worker keeps loaded.
 VALUES, KEPT = 1 << 23, 1 << 24
+#: Share of the calibrating texts that may be rejected, and the wide limit while too few of them are there to tell.
+FALSE_REJECTS = 0.001
 DEVIATIONS, SLACK = 8.0, 1.0
+#: Deviations are counted in steps of STEP up to FARTHEST; a deviation is at least LEAST_DEVIATION nats.
+STEP, FARTHEST, LEAST_DEVIATION = 0.05, 200.0, 0.01
 UNKNOWN = "und"
 SHARPNESS = [0.5, 1.0, 2.0, 4.0, 8.0, 12.0, 16.0, 24.0, 32.0, 48.0]
 BLANK = 32
@@ -387,16 +393,19 @@ def identify(docs: DataFrame, without: str | None = "text") -> DataFrame:
     # calibration: a few sums per language and length
     langs, pred = named(model)
     tried = (fitting.where(calibrating).select("text", "lang").mapInArrow(_scored(sent(model)), "lang string, _entropies array<double>, _symbols long")
-             .where("_symbols > 1").withColumns({"pred": pred, "size": size}))
+             .where("_symbols > 1").withColumns({"pred": pred, "size": size, "best": best}))
+    tried = stored(tried)
     right = F.coalesce(F.get(F.col("_entropies"), F.array_position(langs, F.col("lang")).cast("int") - 1), best + 10)
     losses = [F.sum((right - best) * s - F.log(share(F.lit(s)))).alias(f"loss{i}") for i, s in enumerate(SHARPNESS)]
-    rows = tried.withColumn("best", best).groupBy("pred", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("best").alias("s"), F.sum(F.col("best") ** 2).alias("q"), *losses).collect()
+    rows = tried.groupBy("pred", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("best").alias("s"), F.sum(F.col("best") ** 2).alias("q"), *losses).collect()
     loss = [sum(r[f"loss{i}"] or 0 for r in rows) for i in range(len(SHARPNESS))]
     sharp = SHARPNESS[int(np.argmin(loss))] if rows else 8.0
-    limit = _limits(rows)
-    where = F.lit(None).cast("double")
-    for (lang, bits), value in limit.items():
-        where = F.when((F.col("lang_pred") == lang) & (F.col("_size") == bits) if bits is not None else F.col("lang_pred") == lang, F.lit(value)).otherwise(where)
+    usual = _usual(rows)
+    away = _by_length(F.col("pred"), F.col("size"), {k: (F.col("best") - mean) / deviation for k, (mean, deviation) in usual.items()})
+    steps = tried.groupBy(F.ceil(F.least(away, F.lit(FARTHEST)) / STEP).alias("step")).agg(F.count(F.lit(1)).alias("n")).collect() if rows else []
+    deviations, slack = _width({r["step"]: r["n"] for r in steps})
+    where = _by_length(F.col("lang_pred"), F.col("_size"), {k: F.lit(mean + deviations * deviation + slack) for k, (mean, deviation) in usual.items()})
+    discard(tried)
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != without] + ["_entropies array<double>", "_symbols long"])
     known = F.col("_symbols") > 1
     model = fit(fitting)
@@ -407,11 +416,19 @@ def identify(docs: DataFrame, without: str | None = "text") -> DataFrame:
         "rejected", ~known | F.coalesce(F.col("cross_entropy") > where, F.lit(False))).select(*plain, "lang_pred", "score", "cross_entropy", "rejected")
 
 
-def _limits(rows) -> dict:
-    """Greatest cross-entropy that is accepted, by language and doubling of length; lengths seen too rarely take the language's."""
-    def at(n: int, s: float, q: float) -> float:
+def _by_length(lang: Column, size: Column, values: dict) -> Column:
+    """The value of a language and doubling of length, or else of the language."""
+    out = F.lit(None).cast("double")
+    for (name, bits), value in values.items():
+        out = F.when((lang == name) & (size == bits) if bits is not None else lang == name, value).otherwise(out)
+    return out
+
+
+def _usual(rows) -> dict:
+    """Mean and deviation of the cross-entropy by language and doubling of length; lengths seen too rarely take the language's."""
+    def at(n: int, s: float, q: float) -> tuple[float, float]:
         mean = s / n
-        return mean + DEVIATIONS * float(np.sqrt(max(0.0, q / n - mean * mean))) + SLACK
+        return mean, max(LEAST_DEVIATION, float(np.sqrt(max(0.0, q / n - mean * mean))))
 
     out: dict = {}
     for lang in sorted({r["pred"] for r in rows}):
@@ -423,6 +440,18 @@ def _limits(rows) -> dict:
     return out
 
 
+def _width(steps: dict[int, int]) -> tuple[float, float]:
+    """Deviations and slack of the limit, from the number of calibrating texts per step of deviations (upper ends). With the texts in
+    ascending order it is the place ceil((n + 1) * (1 - FALSE_REJECTS)), if there is one: a new text of the same kind
+    lies beyond it with at most that probability."""
+    n = sum(steps.values())
+    place = int(np.ceil((n + 1) * (1 - FALSE_REJECTS)))
+    if place > n:
+        return DEVIATIONS, SLACK
+    order = sorted(steps)
+    return order[int(np.searchsorted(np.cumsum([steps[k] for k in order]), place))] * STEP, 0.0
+
+
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows that are not rejected, all their columns as they were. Other columns than doc_id, text and lang may have any name."""
     inner = {c: c if c in ("doc_id", "text", "lang") else f"column{i}" for i, c in enumerate(docs.columns)}
