@@ -11,7 +11,7 @@ WINDOWED = """band_rate_per_loop jump_null_ffill fill_backward fill_both fill_me
 opening_speed local_max_pm20 rolling_mean3 shift40 crossing_down crossing_up dilate10 smooth_signal smoothing_spline turning_angles speed_lag10
 jump_origin_filter skeleton_filter spine_filter_full low_likelihood_filter mutual_gaze pair_features manual_dense run_length
 width_filter width_sweep confusion_counts transitions steady_start freq_score block_score welch_power interp_bridged
-negative_control""".split()
+negative_control head_inside""".split()
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geom as G
 from ..functions import label as L
-from ..operators import arena, intervals, ring
+from ..operators import arena, intervals, position, ring
 from ..operators.chunk import computed
 from ..sources import bind
 from ..sources.bind import SQL_POSE, SQL_RINGS
@@ -210,6 +210,23 @@ def _(spark, sf):
     return ring.keep_inside(d, [f"k{i}" for i in range(4)]).drop("pts")
 
 
+SQL_HEAD = f"""WITH RECURSIVE {SQL_PTS}, hd AS (SELECT CAST(e.label AS BIGINT) AS track_id, ROW_NUMBER() OVER (PARTITION BY e.label ORDER BY e.vec_id) - 1 AS frame,
+      CASE WHEN e.vec_id % 11 <> 0 THEN px END AS x, CASE WHEN e.vec_id % 11 <> 0 THEN py END AS y, e.vec_id % 11 <> 0 AND (inside OR edge <= 5) AS fits FROM io JOIN embeddings e ON e.vec_id = io.frame WHERE p = 16),
+    w AS (SELECT track_id, frame, x, y, fits AS ok, x AS lx, y AS ly, CASE WHEN fits THEN 0 ELSE 1 END AS rejects FROM hd WHERE frame = 0
+      UNION ALL SELECT n.track_id, n.frame, n.x, n.y, n.ok, CASE WHEN n.ok THEN n.x ELSE n.lx END, CASE WHEN n.ok THEN n.y ELSE n.ly END, CASE WHEN n.ok THEN 0 ELSE n.rejects + 1 END
+        FROM (SELECT hd.track_id, hd.frame, hd.x, hd.y, COALESCE(w.lx, hd.x) AS lx, COALESCE(w.ly, hd.y) AS ly, w.rejects, hd.fits AND (w.rejects > 7
+            OR SQRT((hd.x-COALESCE(w.lx, hd.x))*(hd.x-COALESCE(w.lx, hd.x)) + (hd.y-COALESCE(w.ly, hd.y))*(hd.y-COALESCE(w.ly, hd.y))) <= 60) AS ok FROM w JOIN hd ON hd.track_id = w.track_id AND hd.frame = w.frame + 1) n)
+    SELECT track_id, frame, CASE WHEN ok THEN x END AS k_x, CASE WHEN ok THEN y END AS k_y FROM w"""
+
+
+@query("head_inside", "C13 C12", SQL_HEAD, "k_x k_y")
+def _(spark, sf):
+    e = bind.numbered_vectors(spark, sf).select("track_id", "frame", "vec_id", *[
+        F.when(F.col("vec_id") % 11 != 0, F.lit(250.0) + F.lit(1000.0) * F.element_at("embedding", 33 + j).cast("double")).alias(f"k_{c}") for j, c in enumerate("xy")])
+    d = e.join(bind.rings(spark, sf).select(F.col("frame").alias("vec_id"), "pts"), "vec_id")
+    return position.head_check(d, "k", max_dist=60).select("track_id", "frame", "k_x", "k_y")
+
+
 # --- blobs and arenas -------------------------------------------------------------------------------------------------
 BLOB_PARTS = PARTS[:7]
 SQL_BLOBS = SQL_POSE + ", blobs AS (" + " UNION ALL ".join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geom as G
-from ..operators import clean, position, spine
+from ..operators import clean, position, spine, tail
 from ..operators.chunk import computed
 from ..sources import bind
 from ..sources.bind import SQL_POSE
@@ -49,6 +49,39 @@ def _(spark, sf):
     return c.select("track_id", "frame", spine.tail_slopes(c).alias("slope"), spine.pack("slope").alias("packed"))
 
 
+# The closed curve's second derivatives m by 60 Jacobi steps; the system is dominated by its diagonal, a step halves the error.
+_RING = range(7)
+_D = {f"{a}{i}": f"({a}{(i + 1) % 7}-{a}{i})/h{i}" for a in "xy" for i in _RING}
+SQL_CLOSED = f"""WITH RECURSIVE {SQL_POSE}, rot AS (SELECT track_id, frame, {", ".join(
+    f"((A_head_x-F_spine1_x)*({p}_x-F_spine1_x)+(A_head_y-F_spine1_y)*({p}_y-F_spine1_y))/n AS x{i}, ((A_head_x-F_spine1_x)*({p}_y-F_spine1_y)-(A_head_y-F_spine1_y)*({p}_x-F_spine1_x))/n AS y{i}"
+    for i, p in enumerate(SPINE8[:-1]))} FROM (SELECT *, SQRT((A_head_x-F_spine1_x)*(A_head_x-F_spine1_x)+(A_head_y-F_spine1_y)*(A_head_y-F_spine1_y)) AS n FROM pose) q),
+    st AS (SELECT *, {", ".join(f"SQRT((x{(i + 1) % 7}-x{i})*(x{(i + 1) % 7}-x{i})+(y{(i + 1) % 7}-y{i})*(y{(i + 1) % 7}-y{i})) AS l{i}" for i in _RING)} FROM rot),
+    hs AS (SELECT * EXCLUDE ({", ".join(f"l{i}" for i in _RING)}), {", ".join(f"l{i}/({'+'.join(f'l{j}' for j in _RING)}) AS h{i}" for i in _RING)} FROM st),
+    jac AS (SELECT 0 AS step, *, {", ".join(f"CAST(0 AS DOUBLE) AS m{a}{i}" for a in "xy" for i in _RING)} FROM hs
+      UNION ALL SELECT step + 1, track_id, frame, {", ".join(f"x{i}, y{i}" for i in _RING)}, {", ".join(f"h{i}" for i in _RING)},
+        {", ".join(f"(6*({_D[f'{a}{i}']}-{_D[f'{a}{(i - 1) % 7}']})-h{(i - 1) % 7}*m{a}{(i - 1) % 7}-h{i}*m{a}{(i + 1) % 7})/(2*(h{(i - 1) % 7}+h{i}))" for a in "xy" for i in _RING)} FROM jac WHERE step < 60),
+    tan AS (SELECT track_id, frame, {", ".join(f"{_D[f'{a}{i}']}-h{i}*(2*m{a}{i}+m{a}{(i + 1) % 7})/6 AS d{a}{i}" for a in "xy" for i in _RING)} FROM jac WHERE step = 60)
+    SELECT track_id, frame, {", ".join(f"dx{i % 7}/SQRT(dx{i % 7}*dx{i % 7}+dy{i % 7}*dy{i % 7}) AS c{i}, dx{i % 7}/dy{i % 7} AS s{i}" for i in range(8))} FROM tan"""
+
+
+def _rotated(spark, sf):
+    p = bind.pose(spark, sf, SPINE8)
+    return p.select("track_id", "frame", *[c.alias(f"{q}_{a}") for q in SPINE8 for c, a in zip(G.body_frame(*G.xy(q), G.xy("A_head"), G.xy("F_spine1")), "xy")])
+
+
+@query("tail_slopes_closed", "V3", SQL_CLOSED, " ".join(f"c{i} s{i}:4" for i in range(8)))
+def _(spark, sf):
+    d = tail.tail_profile(_rotated(spark, sf), SPINE8, closed=True)
+    cos = [F.col("dx")[i] / F.sqrt(F.col("dx")[i] * F.col("dx")[i] + F.col("dy")[i] * F.col("dy")[i]) for i in range(8)]
+    return d.select("track_id", "frame", *[cos[i].alias(f"c{i}") for i in range(8)], *[F.col("inverse")[i].alias(f"s{i}") for i in range(8)])
+
+
+@query("tail_crossings", "V3")
+def _(spark, sf):
+    d = tail.tail_profile(_rotated(spark, sf), SPINE8, levels=(-200.0, -100.0, -50.0, 0.0, 50.0, 100.0))
+    return d.select("track_id", "frame", "at", "y", "slope_at", "inverse_at", "inverse")
+
+
 @query("spine_path", "V4")
 def _(spark, sf):
     return spine.spine_curves(_holed(spark, sf), SPINE8, samples=100).where("path is not null").select("track_id", "frame", "path")
