@@ -285,6 +285,30 @@ def _(spark, sf):
     return evaluate.information_criteria(ll).select("track_id", "ll", (F.col("aic") - 2 * F.col("params") + 10).alias("aic"))
 
 
+def _sql_criteria(passes: str, params: int) -> str:
+    return (f"WITH RECURSIVE {passes}, c AS (SELECT track_id, COUNT(*) AS n FROM obs GROUP BY 1) "
+            f"SELECT track_id, n, {params} AS params, ll, 2 * {params} - 2 * ll AS aic, {params} * LN(n) - 2 * ll AS bic FROM lls JOIN c USING (track_id)")
+
+
+def _criteria(tracks, model, features):
+    """Per track: frames, free parameters, log-likelihood and criteria of a two-state model with full covariances."""
+    n = tracks.groupBy("track_id").agg(F.count(F.lit(1)).alias("n"))
+    ll = hmm.log_likelihood(tracks, features, model).select("track_id", "ll", F.lit(2).alias("k"), F.lit(len(features)).alias("d")).join(n, "track_id")
+    return evaluate.information_criteria(ll).select("track_id", "n", F.col("params").cast("int").alias("params"), "ll", "aic", "bic")
+
+
+# 1 start, 2 transitions, 2 means, 2 variances
+@query("model_criteria", "M14 M8", _sql_criteria(_ONE, 7), "ll aic bic")
+def _(spark, sf):
+    return _criteria(*_one(spark, sf), ["signal"])
+
+
+# 1 start, 2 transitions, 4 means, 3 entries of each of 2 covariances
+@query("model_criteria_two_features", "M14 M7", _sql_criteria(_TWO, 13), "ll aic bic")
+def _(spark, sf):
+    return _criteria(*_two(spark, sf, False), ["signal", "tax"])
+
+
 @query("hmm_smooth", "M13", f"WITH RECURSIVE {_ONE} SELECT track_id, frame, g0 * 15 + g1 * 35 AS smooth, CASE WHEN g1 > g0 THEN 1 ELSE 0 END AS state FROM post", "smooth")
 def _(spark, sf):
     t, m = _one(spark, sf)
