@@ -121,6 +121,17 @@ def _sine(spark, sf):
     return t.withColumn("period", F.expr("frame div 400")).select("track_id", "period", "frame", "signal")
 
 
+@query("sine_value", "F20", f"""WITH {SQL_LINES}, sm AS (SELECT track_id, frame // 400 AS period, frame, AVG(signal) OVER (PARTITION BY track_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS signal FROM lines)
+    SELECT track_id, period, frame, ABS(signal - (30 * SIN((1 + track_id % 5) / 20.0::DOUBLE * frame + (period + 1) / 2.0::DOUBLE) + 25)) AS sine_error FROM sm""", "sine_error")
+def _(spark, sf):
+    """Distance to the sine of given parameters, which differ by track and period."""
+    from ..operators.models import sine_error
+
+    t = _sine(spark, sf)
+    given = t.select("track_id", "period").distinct().withColumns({"b": (F.col("track_id") % 5 + 1) / 20, "c": (F.col("period") + 1) / 2, "d": F.lit(25.0)})
+    return sine_error(t, "signal", given, keys=("track_id", "period")).select("track_id", "period", "frame", "sine_error")
+
+
 @query("sine_fit", "M19 F20", f"WITH {SQL_SINE} SELECT track_id, period, TRUE AS no_worse, TRUE AS own_error, TRUE AS far_from_mean FROM le")
 def _(spark, sf):
     """Whether the fit is no worse than the best of a grid (searched by other means here), its error that of its values, its
