@@ -320,6 +320,19 @@ def test_field_adds_other_spellings(field):
         assert found(clean) == []
 
 
+def test_regions_share_no_character(field):
+    """Digits far apart in one long word make one region, and long runs of digits are read once."""
+    word = ("a" * 13 + "1") * 300
+    assert list(personal.widened(word, personal.regions(word))) == [(0, len(word))]
+    text = f"call (017) 555-7713 {word[:140]}.{word[:140]} (017) 555-7714 or 1.2.3.4-{word[:28]}"
+    cut = list(personal.widened(text, personal.regions(text)))
+    assert all(b <= c for (_, b), (c, _) in zip(cut, cut[1:]))
+    found = list(field.entities(text))
+    assert len(found) == len(set(found)) and ("(017) 555-7713", 3) in [(text[a:b], y) for a, b, y in found]
+    digits = "1" * 200_000
+    assert personal.base_spans(f"{digits} 1.2.3.4 {digits}.1") == [(200_001, 200_008, 1)]
+
+
 def test_personal_data(spark, awkward, nothing, field):
     df = awkward.unionByName(frame(spark, [(50, "a@b.cd +1 (017) 555-7713 1.2.3.4 4111 1111 1111 1111 é", None, None)]))
     got = personal.personal_data(df, field).collect()
