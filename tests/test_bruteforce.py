@@ -256,6 +256,43 @@ def test_hmm_against_enumeration():
         assert np.isclose(hmm.track_posterior(m, x)[2], total)
 
 
+@pytest.mark.parametrize("emission", ["full", "mixture", "codes"])
+def test_tracks_side_by_side_are_tracks_alone(emission):
+    """Tracks of many lengths in one batch give the sums, likelihoods and paths of one track after the other, a track of one frame too."""
+    lengths = np.array([1, 40, 7, 40, 23, 2, 1, 31, 40, 12, 9, 38, 5, 17, 40, 3, 28, 33, 1])
+    starts = np.cumsum(lengths) - lengths
+    x = RNG.normal(size=(2, lengths.sum())) * 2 if emission != "codes" else RNG.integers(0, 4, (1, lengths.sum())).astype(float)
+    means, covs = np.array([[0.0, 0], [2, 1], [-1, 2]]), np.stack([np.eye(2)] * 3)
+    m = hmm.gaussian_start(means, covs, sticky=0.5) if emission == "full" else hmm.mixture_start(means, covs) if emission == "mixture" else hmm.categorical_start(3, 4)
+    groups = list(hmm._grouped(starts, lengths))
+    assert sorted(i for part, _ in groups for i in part) == list(range(len(lengths)))
+    got = sum(hmm._track_sums(m, own.T, lanes) for own, lanes in hmm._cut(x, starts, lengths))
+    want = sum(hmm._track_sums(m, x[:, a : a + n].T, None) for a, n in zip(starts, lengths))
+    assert np.allclose(got, want)
+    for part, lanes in groups:
+        own = x[:, lanes.rows].T
+        gamma, _, ll = hmm._lane_posterior(m, own, lanes)
+        path = hmm._lane_best(m, own, lanes)
+        for b, i in enumerate(part):
+            alone = x[:, starts[i] : starts[i] + lengths[i]].T
+            on = np.flatnonzero(lanes.track == b)
+            assert np.allclose(gamma[:, on].T, hmm.track_posterior(m, alone)[0]) and np.isclose(ll[b], hmm.track_posterior(m, alone)[2])
+            assert path[on].tolist() == hmm.chunk_best(m, alone, True, np.log(m.start), None).tolist()
+
+
+def test_lone_and_lane_tracks_decode_alike(spark, monkeypatch):
+    """Long tracks run alone, short ones side by side, tracks without a key are left out; results do not depend on it."""
+    rows = [(t, i, float(v)) for t, n in ((1, 300), (2, 290), (3, 5), (4, 1), (None, 9)) for i, v in enumerate(RNG.normal(size=n) * 3)]
+    df = spark.createDataFrame(rows, "track_id long, frame long, a double")
+    m = hmm.gaussian_start(np.array([[-2.0], [2.0]]), np.ones((2, 1, 1)))
+    read = lambda: [sorted(map(str, hmm.decode(df, ["a"], m, how).collect())) for how in ("best", "posterior")]
+    alone = read()
+    both = hmm.decode(df, ["a"], m, ("smooth", "posterior"))
+    assert both.columns == ["track_id", "frame", "smooth", "state"] and both.count() == 596
+    monkeypatch.setattr(hmm, "LANES", 1)
+    assert read() == alone and len(alone[0]) == 596
+
+
 @pytest.mark.parametrize("size", [3, 100])
 def test_hmm_path_does_not_splice_ties(spark, size):
     """Two equal emissions and a forced alternation: both best paths are possible, a mixture of them is not."""
