@@ -354,6 +354,24 @@ def test_hmm_over_chunks(spark, monkeypatch):
     assert np.allclose(np.array(smooth)[70], chunked.emission.means[1], atol=0.2)
 
 
+def test_common_kmeans_rounds_are_spark_fits(spark):
+    """Restarts in common passes end at the centres and costs of Spark's own fits from the same seeds, with weights too."""
+    from pyspark.ml.clustering import KMeans
+
+    x = np.concatenate([RNG.normal(c, 0.6, (80, 2)) for c in ((0, 0), (3, 0), (0, 3), (4, 4))])
+    df = spark.createDataFrame([(float(a), float(b), float(1 + i % 3)) for i, (a, b) in enumerate(x)] + [(None, 1.0, 1.0)], "a double, b double, w double").persist()
+    v = models.vectors(df, ["a", "b"]).persist()
+    for k, weight in ((2, None), (3, None), (4, "w")):
+        more = {"weightCol": weight} if weight else {}
+        fits = [KMeans(k=k, seed=1 + i, featuresCol="features", maxIter=100, **more).fit(v) for i in range(3)]
+        want = min(fits, key=lambda m: m.summary.trainingCost)
+        got = models.fit_kmeans_many(df, ["a", "b"], [k], restarts=3, weight=weight)[0]
+        assert np.allclose(sorted(map(tuple, got)), sorted(map(tuple, want.clusterCenters())), atol=1e-6)
+        order = sorted(range(k), key=lambda i: tuple(want.clusterCenters()[i]))
+        labels = {(r.a, r.b): order.index(r.prediction) for r in want.transform(v).collect()}
+        assert {(r.a, r.b): r.cluster for r in models.label_clusters(df, ["a", "b"], got).collect()} == labels
+
+
 def test_components_match_numpy(spark):
     x = RNG.normal(size=(200, 3)) @ np.array([[3, 1, 0], [0, 1, 0.5], [0, 0, 0.3]])
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
