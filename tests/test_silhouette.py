@@ -59,3 +59,34 @@ def test_awkward_tables(spark):
     assert silhouette.plain_silhouette(df.where("cluster > 9"), cols).count() == 0
     with pytest.raises(ValueError):
         silhouette.distance_sums(df.withColumns({"a": F.lit(1), "b": F.lit(2)}), ["c0", "c1", "a", "b"])
+
+
+def box_and_neighbours(n):
+    """A box of n points and what its eight neighbours of as many points send to it."""
+    r = np.random.default_rng(n)
+    x, w = r.random((n, 2)), np.ones((n, 1))
+    low, high = x.min(axis=0), x.max(axis=0)
+    sources, lows, highs, every = [], [], [], [x]
+    for shift in [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]:
+        y = r.random((n, 2)) + shift
+        every.append(y)
+        for c in silhouette._Cell(y, w, np.arange(n), 10).seen_from(low, high):
+            sources.append(c.stand if silhouette._gap(c.low, c.high, low, high) >= c.width else (y[c.rows], w[c.rows]))
+            lows.append(c.low)
+            highs.append(c.high)
+    return x, w, sources, np.array(lows), np.array(highs), np.concatenate(every)
+
+
+def test_work_of_a_box_grows_with_its_points(monkeypatch):
+    """Sources near a box's border are not summed again by each of its leaves."""
+    pairs, plain, per_point = [], silhouette._sums, []
+    monkeypatch.setattr(silhouette, "_sums", lambda a, s, k: pairs.append(len(a) * sum(len(p[0]) for p in s)) or plain(a, s, k))
+    for n in (2048, 16384):
+        x, w, sources, lows, highs, every = box_and_neighbours(n)
+        pairs.clear()
+        got = silhouette._box_sums(x, w, silhouette._Cell(x, w, np.arange(n), 10), sources, lows, highs, 10)
+        per_point.append(sum(pairs) / n)
+        some = slice(0, n, n // 50)
+        want = np.sqrt(((x[some, None] - every[None]) ** 2).sum(axis=2)).sum(axis=1)
+        assert np.allclose(got[some, 0], want, rtol=1e-7)
+    assert per_point[1] < 2 * per_point[0]

@@ -3,8 +3,8 @@
 Equal rows of a cluster are one point with a weight. Space is cut into boxes at medians of a bounded sample (at most ``BOXES``); a box
 cuts its points into a tree of cells at medians. The points of a cell stand, for rows that are at least as far away as the cell is wide, for
 weights on a grid of Chebyshev nodes (``ORDER`` per axis), which take the place of the points in the sum; a cell with no more points than
-nodes stands for itself. On the side of the rows a leaf that is as far away as it is wide reads the sum at its own nodes and interpolates. What
-is nearer is summed point by point.
+nodes stands for itself. On the side of the rows the largest cell that is as far away as it is wide reads the sum at its own nodes and hands
+it down to its halves; leaves interpolate. What is nearer is summed point by point.
 
 Along an axis the distance is analytic up to an imaginary offset of one cell width, so interpolating it errs by at most about
 ``8 w (2 + 5 ** 0.5) ** (1 - ORDER)`` for a cell of width w, which is no more than the distance itself: below 2e-5 of it with the orders
@@ -25,6 +25,8 @@ from ..sources.tables import discard, stored
 from .graph import boxed, distinct_points
 
 BOX_POINTS, BOXES, LEAF, STRIP = 4096, 512, 256, 8192
+#: Distances held at a time, few enough for a core's cache.
+PAIRS = 65536
 #: Nodes per axis by the number of columns; in one dimension distances between separate cells are linear, so two are exact.
 ORDER = {1: 2, 2: 10, 3: 9}
 
@@ -54,10 +56,15 @@ def _sums(x: np.ndarray, sources: list[tuple[np.ndarray, np.ndarray]], clusters:
     out = np.zeros((len(x), clusters))
     if sources:
         y, w = (np.concatenate(p) for p in zip(*sources))
-        for lo in range(0, len(y), STRIP):
-            part = y[lo : lo + STRIP]
-            d2 = sum((x[:, j, None] - part[None, :, j]) ** 2 for j in range(x.shape[1]))
-            out += np.sqrt(d2) @ w[lo : lo + STRIP]
+        x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)
+        strip = max(1, PAIRS // max(1, x.shape[1]))
+        for lo in range(0, y.shape[1], strip):
+            part, d2 = y[:, lo : lo + strip], None
+            for j in range(len(x)):
+                step = np.subtract.outer(x[j], part[j])
+                step *= step
+                d2 = step if j == 0 else np.add(d2, step, out=d2)
+            out += np.sqrt(d2, out=d2) @ w[lo : lo + strip]
     return out
 
 
@@ -85,9 +92,6 @@ class _Cell:
             parts = [h.stand for h in self.halves] or [(x[rows], w[rows])]
             self.stand = (_nodes(self.low, self.high, order), sum(_basis(y, self.low, self.high, order).T @ v for y, v in parts))
 
-    def leaves(self) -> list["_Cell"]:
-        return [leaf for h in self.halves for leaf in h.leaves()] if self.halves else [self]
-
     def seen_from(self, low: np.ndarray, high: np.ndarray) -> list["_Cell"]:
         """The coarsest cells as far from the bounds as they are wide; else leaves, whose points are needed."""
         if not self.halves or _gap(self.low, self.high, low, high) >= self.width:
@@ -95,6 +99,44 @@ class _Cell:
         return [c for h in self.halves for c in h.seen_from(low, high)]
 
 
+def _box_sums(x: np.ndarray, w: np.ndarray, root: _Cell, sources: list[tuple[np.ndarray, np.ndarray]], lows: np.ndarray, highs: np.ndarray, order: int) -> np.ndarray:
+    """points x clusters: distances from each point of a box to the points of the box and to the sources, which lie between lows and highs.
+
+    A source is summed at the nodes of the largest cell that it is far enough from. Cells hand the sums at their nodes to their halves, so a
+    leaf reads all of them at its own nodes and goes through those sources only that are far from it but not from the cells around it.
+    """
+    k, nodes = w.shape[1], order ** x.shape[1]
+    out = np.zeros((len(x), k))
+    work: list[tuple[_Cell, np.ndarray, _Cell | None, np.ndarray | None]] = [(root, np.arange(len(sources)), None, None)]
+    while work:
+        cell, rest, around, above = work.pop()
+        distant = _gap(lows[rest], highs[rest], cell.low, cell.high) >= cell.width
+        far, near, rest = [sources[g] for g in rest[distant]], [], rest[~distant]
+        if not cell.halves:
+            near = [sources[g] for g in rest]
+            for c in root.seen_from(cell.low, cell.high):
+                gap = _gap(c.low, c.high, cell.low, cell.high)
+                stand = c.stand if gap >= c.width and c is not cell else (x[c.rows], w[c.rows])
+                (far if gap >= cell.width and c is not cell else near).append(stand)
+        if len(cell.rows) > nodes:
+            at = _nodes(cell.low, cell.high, order)
+            there = _sums(at, far, k)
+            if above is not None:  # polynomials of the same order: nothing is lost
+                there += _basis(at, around.low, around.high, order) @ above
+            if cell.halves:
+                work += [(h, rest, cell, there) for h in cell.halves]
+                continue
+            for lo in range(0, len(cell.rows), STRIP):
+                rows = cell.rows[lo : lo + STRIP]
+                out[rows] += _basis(x[rows], cell.low, cell.high, order) @ there
+        else:
+            out[cell.rows] += _sums(x[cell.rows], far, k)
+            if above is not None:
+                out[cell.rows] += _basis(x[cell.rows], around.low, around.high, order) @ above
+        out[cell.rows] += _sums(x[cell.rows], near, k)
+    return out
+
+
 def _read(t: pa.Table, cols: list[str], clusters: int) -> tuple[np.ndarray, np.ndarray]:
     x = np.stack([t.column(c).to_numpy().astype(float) for c in cols], axis=1) if t.num_rows else np.zeros((0, len(cols)))
     w = np.zeros((len(x), clusters))
@@ -146,31 +188,7 @@ def distance_sums(df: DataFrame, cols: list[str], cluster: str = "cluster", size
             full = np.zeros((len(y) // dims, k))
             full[i, c] = v
             sources.append((y.reshape(-1, dims), full))
-        out = np.zeros((len(x), k))
-
-        def read_at_nodes(cell: _Cell, far: list) -> None:
-            if far and len(cell.rows) > order ** dims:
-                there = _sums(_nodes(cell.low, cell.high, order), far, k)
-                for lo in range(0, len(cell.rows), STRIP):
-                    rows = cell.rows[lo : lo + STRIP]
-                    out[rows] += _basis(x[rows], cell.low, cell.high, order) @ there
-            elif far:
-                out[cell.rows] += _sums(x[cell.rows], far, k)
-
-        distant = _gap(lows, highs, root.low, root.high) >= root.width
-        read_at_nodes(root, [sources[g] for g in np.flatnonzero(distant)])
-        rest = np.flatnonzero(~distant)
-        for leaf in root.leaves():
-            far, near = [], []
-            gaps = _gap(lows[rest], highs[rest], leaf.low, leaf.high)
-            for g, gap in zip(rest, gaps):
-                (far if gap >= leaf.width else near).append(sources[g])
-            for c in root.seen_from(leaf.low, leaf.high):
-                gap = _gap(c.low, c.high, leaf.low, leaf.high)
-                stand = c.stand if gap >= c.width and c is not leaf else (x[c.rows], w[c.rows])
-                (far if gap >= leaf.width and c is not leaf else near).append(stand)
-            read_at_nodes(leaf, far)
-            out[leaf.rows] += _sums(x[leaf.rows], near, k)
+        out = _box_sums(x, w, root, sources, lows, highs, order)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * k), pa.array(out.ravel()))
         return pa.table({"id": t.column("id"), "sums": lists})
 
