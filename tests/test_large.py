@@ -6,7 +6,8 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from trackspark.operators import models
+from trackspark.operators import chunk, models
+from trackspark.plans import spectra
 
 RNG = np.random.default_rng(5)
 
@@ -56,3 +57,29 @@ def test_weighted_cuts(spark):
     assert cuts == [float(np.nextafter(149.5, np.inf))]
     even = models._weighted_cuts(spark.createDataFrame([(float(i), 2.0) for i in range(100)], "v double, w double"), "v", "w", 4)
     assert even == pytest.approx([24.5, 49.5, 74.5])
+
+
+def test_sine_sums_leave_one_row_per_group_and_rate(spark, monkeypatch):
+    """Rows are not copied per rate; sums of a track of several chunks are put together."""
+    monkeypatch.setattr(chunk, "CHUNK_FRAMES", 64)
+    monkeypatch.setattr(models, "_sine_steps", lambda rows, value, fit, *a: fit)
+    v = {1: 30 * np.sin(0.05 * np.arange(300) + 1) + 70, 2: 30 * np.sin(0.125 * np.arange(100) - 2) + 3}
+    df = spark.createDataFrame([(k, i, float(x)) for k in v for i, x in enumerate(v[k])] + [(3, 0, None)], "track_id long, frame long, signal double")
+    fit = models.sine_fit(df, "signal")
+    assert "Generate" not in fit._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.track_id: r for r in fit.collect()}
+    assert sorted(got) == [1, 2]
+    for k, b, c, d in ((1, 0.05, 1, 70), (2, 0.125, -2, 3)):
+        assert np.isclose(got[k].b, b) and abs(got[k].c - c) < 1e-4 and abs(got[k].d - d) < 0.01 and got[k].error < 1e-3
+
+
+def test_least_on_grid(spark):
+    """The grid of the query ``sine_fit`` against single sines, on rows in no order, with a gap and a null."""
+    v = RNG.normal(25, 10, 900)
+    rows = [(7, i, None if i == 450 else float(x)) for i, x in enumerate(v) if i != 401]
+    df = spark.createDataFrame([rows[i] for i in RNG.permutation(len(rows))], "track_id long, frame long, signal double").withColumn("period", F.expr("frame div 400"))
+    got = {r.period: r.least for r in spectra._least_on_grid(df).collect()}
+    for p in (0, 1, 2):
+        t = np.array([i for _, i, x in rows if i // 400 == p and x is not None])
+        want = min(np.var(v[t] - 30 * np.sin(b / 200 * t + np.pi * c / 12)) for b in range(1, 41, 2) for c in range(-11, 13))
+        assert np.isclose(got[p], want)
