@@ -1,12 +1,14 @@
 """Steps whose time or memory once grew with all rows: what they hand on stays small, results stay those of the plain computation."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from trackspark.operators import chunk, models
+from trackspark.operators import chunk, models, quantile
 from trackspark.plans import spectra
 
 RNG = np.random.default_rng(5)
@@ -83,3 +85,21 @@ def test_least_on_grid(spark):
         t = np.array([i for _, i, x in rows if i // 400 == p and x is not None])
         want = min(np.var(v[t] - 30 * np.sin(b / 200 * t + np.pi * c / 12)) for b in range(1, 41, 2) for c in range(-11, 13))
         assert np.isclose(got[p], want)
+
+
+def test_quantiles_of_small_groups_count_no_bins(spark, monkeypatch):
+    """Small groups are ordered as they are, in as many tasks as there are rows for; large and even groups go other ways to the same result."""
+    groups = {"small": RNG.normal(size=40), "tail": np.append(RNG.normal(size=400), 1e9), "even": np.full(500, 2.5),
+              "two": np.repeat([1.0, 4.0], [150, 90]), "one": np.array([3.0]), "ties": RNG.integers(0, 5, 300).astype(float)}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in groups.items() for x in xs] + [("small", None), (None, 1.0)], "k string, v double")
+    qs = {"a": 0.1, "b": 0.5, "c": 0.975}
+    for ordered in (None, 50):
+        got = {r.k: r for r in quantile.exact_quantiles(df, ["k"], "v", qs, bins=8, ordered=ordered).collect()}
+        assert sorted(got) == sorted(groups)
+        for k, xs in groups.items():
+            assert np.allclose([got[k].a, got[k].b, got[k].c], np.quantile(xs, list(qs.values())))
+        alone = quantile.exact_quantiles(df, [], "v", qs, bins=8, ordered=ordered).first()
+        assert np.allclose(list(alone), np.quantile(np.append(np.concatenate(list(groups.values())), 1.0), list(qs.values())))
+    monkeypatch.setattr(quantile, "TASK_ROWS", 100)
+    plan = quantile.exact_quantiles(df, ["k"], "v", qs)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[[^\]]*_v#", plan) and re.search(r"RepartitionByExpression \[k#\d+\], 15", plan)
