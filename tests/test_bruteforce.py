@@ -280,6 +280,35 @@ def test_tracks_side_by_side_are_tracks_alone(emission):
             assert path[on].tolist() == hmm.chunk_best(m, alone, True, np.log(m.start), None).tolist()
 
 
+@pytest.mark.parametrize("emission", ["full", "diagonal", "mixture", "codes"])
+def test_blocks_give_the_sums_of_tracks(emission):
+    """Sums of a fit from blocks of tracks, whose squares and products are shared, equal those of one track after the other: models on all columns and on
+    some of them in another order, far from the origin, with states so narrow or so far off that digits would be lost, with a state that cannot be reached."""
+    lengths = np.array([40, 40, 40, 38, 33, 31, 28, 23, 17, 12, 9, 7, 5, 3, 2, 1, 1, 1])
+    lanes, n, compared = hmm._Lanes(np.cumsum(lengths) - lengths, lengths), lengths.sum(), 0
+    for offset, width in ((0.0, 1.0), (1e3, 1.0), (0.0, 1e-6), (40.0, 1.0)):
+        x = RNG.normal(size=(3, n)) * 2 + (0 if offset == 40 else offset) if emission != "codes" else RNG.integers(0, 4, (3, n)).astype(float)
+        models = []
+        for at in ([0, 1, 2], [2, 0], [1]):
+            means, covs = np.arange(9.0).reshape(3, 3)[:, at] % 4 - 1 + offset, np.stack([np.eye(len(at)) * width * (1 + s) for s in range(3)])
+            gauss = hmm.gaussian_start(means, covs, sticky=0.5, diagonal=emission == "diagonal")
+            models.append(gauss if emission in ("full", "diagonal") else hmm.mixture_start(means, covs) if emission == "mixture" else hmm.categorical_start(3, 4))
+            if emission == "codes":
+                break
+            shut = hmm.HMM(np.array([0.0, 0.5, 0.5]), np.array([[1.0, 0, 0], [0, 0.5, 0.5], [0, 1e-9, 1 - 1e-9]]), models[-1].emission)
+            models.append(shut)
+        used = [[0]] if emission == "codes" else [at for at in ([0, 1, 2], [2, 0], [1]) for _ in range(2)]
+        got = hmm._block_sums(models, used, x, lanes)
+        for model, at, sums in zip(models, used, got):
+            want = sum(hmm._track_sums(model, x[at][:, np.flatnonzero(lanes.track == t)].T, None) for t in range(len(lengths)))
+            if np.isfinite(want).all():  # a state that cannot be reached may be the only one that fits
+                assert np.allclose(sums, want, rtol=1e-7, atol=1e-7)
+                compared += 1
+    assert compared >= (4 if emission == "codes" else 20)
+    alone = hmm._block_sums(models[:1], used[:1], x[:, : lengths[0]], None)[0]
+    assert np.allclose(alone, hmm._track_sums(models[0], x[used[0]][:, : lengths[0]].T, None))
+
+
 def test_lone_and_lane_tracks_decode_alike(spark, monkeypatch):
     """Long tracks run alone, short ones side by side, tracks without a key are left out; results do not depend on it."""
     rows = [(t, i, float(v)) for t, n in ((1, 300), (2, 290), (3, 5), (4, 1), (None, 9)) for i, v in enumerate(RNG.normal(size=n) * 3)]

@@ -4,12 +4,16 @@ A track is cut into frame chunks. Per chunk the product of the K x K transition-
 products of a track, one small matrix per chunk, are combined into the vectors entering and leaving every chunk; with
 these the chunk runs its own forward-backward (or max-plus) recursion. No task sees more than a chunk, and only sums of fixed
 size (K states, d features) reach the driver between rounds. Tracks that fit one chunk need no combining: each round is one pass over
-them, and the tracks of a batch advance side by side, one frame at a time. Several models are fitted in the same passes.
+them, and the tracks of a batch advance side by side, one frame at a time. Several models are fitted in the same passes. The rounds of a
+fit read blocks of tracks that were laid side by side once; log-densities and sums of Gaussian states are products with the squares and
+products of a block's columns, which all models share.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -21,8 +25,12 @@ from ..sources.tables import stored
 from .chunk import chunk_size, with_chunk
 
 GROUP = 1024  # chunk matrices combined per task and level
-#: Rows of the tracks that advance side by side, the fewest tracks for which that pays, and rows per task.
-LANE_ROWS, LANES, TASK_ROWS = 262_144, 16, 250_000
+#: Rows of the tracks that advance side by side, the fewest tracks for which that pays, the longest for which it always does, and rows per task.
+LANE_ROWS, LANES, SHORT, TASK_ROWS = 524_288, 16, 256, 500_000
+#: Frames from one scaling of forward vectors to the next, rows of which log-densities are computed at a time, most columns whose products are shared.
+SCALE_EVERY, STRIP, SHARED_COLUMNS = 4, 16384, 6
+#: Sums of forward vectors below this have lost digits. Squared distances in deviations above the other lose them where squares are multiplied out.
+LEAST_SUM, MOST_SQUARE = 1e-200, 1e7
 
 
 class GaussianEmission:
@@ -35,6 +43,10 @@ class GaussianEmission:
     def states(self) -> int:
         return len(self.means)
 
+    @property
+    def parts(self) -> int:
+        return len(self.means)
+
     def log_prob(self, x: np.ndarray) -> np.ndarray:
         out = np.empty((self.states, len(x))).T
         for k in range(self.states):
@@ -61,6 +73,34 @@ class GaussianEmission:
             covs = covs * np.eye(d)
         return GaussianEmission(self.means + shift, covs + self.ridge * np.eye(d), self.diagonal, self.ridge)
 
+    def quadratic(self, shift: np.ndarray, reach: np.ndarray) -> np.ndarray | None:
+        """Coefficients (K, 1 + d + d(d+1)/2) of the log-densities in ``_products_of`` x - shift; None where digits would be lost for x within
+        ``reach`` of the shift."""
+        k, d = self.means.shape
+        i, j = np.triu_indices(d)
+        out = np.empty((k, 1 + d + len(i)))
+        for s in range(k):
+            low = np.linalg.cholesky(self.covs[s])
+            inv = np.linalg.inv(low)
+            a, m = inv.T @ inv, self.means[s] - shift
+            if not d * ((reach + np.abs(m)) ** 2) @ np.diag(a) < MOST_SQUARE:
+                return None
+            out[s, 0] = -0.5 * m @ a @ m - np.log(np.diag(low)).sum() - 0.5 * d * np.log(2 * np.pi)
+            out[s, 1 : 1 + d] = a @ m
+            out[s, 1 + d :] = np.where(i == j, -0.5, -1.0) * a[i, j]
+        return out
+
+    def from_products(self, s: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """``sums`` from the weighted sums (K, 1 + d + d(d+1)/2) of ``_products_of`` x - shift."""
+        k, d = self.means.shape
+        i, j = np.triu_indices(d)
+        w, first, m = s[:, 0], s[:, 1 : 1 + d], self.means - shift
+        second = np.empty((k, d, d))
+        second[:, i, j] = second[:, j, i] = s[:, 1 + d :]
+        cross = first[:, :, None] * m[:, None, :]
+        second += w[:, None, None] * m[:, :, None] * m[:, None, :] - cross - cross.transpose(0, 2, 1)
+        return np.concatenate([w, (first - w[:, None] * m).ravel(), second.ravel()])
+
     def centers(self) -> np.ndarray:
         return self.means
 
@@ -78,6 +118,10 @@ class CategoricalEmission:
     def states(self) -> int:
         return len(self.table)
 
+    @property
+    def parts(self) -> int:
+        return len(self.table)
+
     def log_prob(self, x: np.ndarray) -> np.ndarray:
         return np.log(np.maximum(self.table[:, x[:, 0].astype(int)].T, 1e-300))
 
@@ -106,6 +150,10 @@ class MixtureEmission:
     def states(self) -> int:
         return len(self.means)
 
+    @property
+    def parts(self) -> int:
+        return self.weights.size
+
     def _parts(self) -> GaussianEmission:
         d = self.means.shape[-1]
         return GaussianEmission(self.means.reshape(-1, d), self.covs.reshape(-1, d, d), ridge=self.ridge)
@@ -131,6 +179,16 @@ class MixtureEmission:
         parts = self._parts().updated(s)
         return MixtureEmission(w / w.sum(axis=1, keepdims=True), parts.means.reshape(k, g, d), parts.covs.reshape(k, g, d, d), self.ridge)
 
+    def quadratic(self, shift: np.ndarray, reach: np.ndarray) -> np.ndarray | None:
+        """As for Gaussians, a row for each part of each state."""
+        out = self._parts().quadratic(shift, reach)
+        if out is not None:
+            out[:, 0] += np.log(np.maximum(self.weights, 1e-300)).ravel()
+        return out
+
+    def from_products(self, s: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        return self._parts().from_products(s, shift)
+
     def centers(self) -> np.ndarray:
         return (self.weights[:, :, None] * self.means).sum(axis=1)
 
@@ -334,12 +392,26 @@ def chunk_best(model: HMM, x: np.ndarray, first: bool, enter: np.ndarray, end: i
 # are the first ``counts[t]`` of those at the frame before. Arrays are (K, rows), so a step works on whole rows of them.
 class _Lanes:
     def __init__(self, starts: np.ndarray, lengths: np.ndarray):
-        n = int(lengths.sum())
+        self.starts, self.lengths = starts, lengths
         self.counts = np.bincount(lengths - 1)[::-1].cumsum()[::-1]
         self.off = np.concatenate([[0], self.counts.cumsum()])
-        at = np.repeat(np.arange(len(self.counts)), self.counts)
-        self.track = np.arange(n) - self.off[at]
-        self.rows = starts[self.track] + at
+
+    @cached_property
+    def _at(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.counts)), self.counts)
+
+    @cached_property
+    def track(self) -> np.ndarray:
+        return np.arange(len(self._at)) - self.off[self._at]
+
+    @property
+    def rows(self) -> np.ndarray:
+        return self.starts[self.track] + self._at
+
+    @property
+    def last(self) -> np.ndarray:
+        """The row of each track's last frame."""
+        return self.off[self.lengths - 1] + np.arange(len(self.lengths))
 
     def steps(self):
         """Per frame: begin and end of its rows, begin of the rows of the frame before."""
@@ -347,16 +419,16 @@ class _Lanes:
         return zip(off[:-1], off[1:], [0, *off[:-2]])
 
 
-def _grouped(starts: np.ndarray, lengths: np.ndarray):
+def _grouped(starts: np.ndarray, lengths: np.ndarray, limit: int | None = None):
     """(numbers of tracks, lanes or None): groups of tracks of similar length; None for tracks that are better run alone."""
     by, lo = np.argsort(-lengths, kind="stable"), 0
     rows = np.concatenate([[0], lengths[by].cumsum()])
     while lo < len(by):
-        most = int(np.searchsorted(rows, rows[lo] + LANE_ROWS, "right")) - 1
+        most = int(np.searchsorted(rows, rows[lo] + (limit or LANE_ROWS), "right")) - 1
         similar = int(np.searchsorted(-lengths[by], -(lengths[by[lo]] // 2), "right"))
         hi = max(lo + 1, min(most, similar))
         part = by[lo:hi]
-        yield part, (_Lanes(starts[part], lengths[part]) if hi - lo >= LANES or lengths[part[0]] <= LANE_ROWS // 1024 else None)
+        yield part, (_Lanes(starts[part], lengths[part]) if hi - lo >= LANES or lengths[part[0]] <= SHORT else None)
         lo = hi
 
 
@@ -394,6 +466,134 @@ def _lane_posterior(model: HMM, x: np.ndarray, lanes: _Lanes) -> tuple[np.ndarra
     return alpha, model.trans * pair, np.bincount(lanes.track, logs)
 
 
+def _scratch(name: str, *shape: int, kept={}) -> np.ndarray:  # noqa: B006
+    """An array of any content that the worker keeps from one block to the next: fresh ones of this size cost as much as the sums."""
+    n = math.prod(shape)
+    if len(kept.get(name, ())) < n:
+        kept[name] = np.empty(n)
+    return kept[name][:n].reshape(shape)
+
+
+def _products_of(x: np.ndarray) -> np.ndarray:
+    """1, the columns (d, rows), and their products by pairs, row after row of the upper triangle."""
+    d, n = x.shape
+    out, at = _scratch("products", 1 + d + d * (d + 1) // 2, n), 1 + d
+    out[0], out[1:at] = 1.0, x
+    for i in range(d):
+        np.multiply(out[1 + i], out[1 + i : 1 + d], out=out[at : at + d - i])
+        at += d - i
+    return out
+
+
+def _pair_columns(at: list[int], d: int) -> np.ndarray:
+    """Where ``_products_of`` columns ``at`` stand in those of all d columns."""
+    i, j = np.triu_indices(d)
+    found = {(a, b): 1 + d + n for n, (a, b) in enumerate(zip(i.tolist(), j.tolist()))}
+    return np.array([0, *[1 + a for a in at], *[found[min(at[a], at[b]), max(at[a], at[b])] for a, b in zip(*np.triu_indices(len(at)))]])
+
+
+def _swept(model: HMM, b: np.ndarray, lanes: _Lanes) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """gamma (K, rows), summed xi and log-likelihood from emissions ``b`` up to a factor per row, which it overwrites; None where numbers
+    got too small. Forward vectors are scaled every ``SCALE_EVERY`` frames, and backward ones by the same sums, so that their product is gamma."""
+    k, n = b.shape
+    off, into, trans = lanes.off.tolist(), np.ascontiguousarray(model.trans.T), np.ascontiguousarray(model.trans)
+    frames, alpha, beta, sums = len(off) - 1, _scratch("alpha", k, n), _scratch("beta", k, n), []
+    for t in range(frames):
+        lo, hi = off[t], off[t + 1]
+        now, own = alpha[:, lo:hi], b[:, lo:hi]
+        if t:
+            before = off[t - 1]
+            np.matmul(into, alpha[:, before : before + hi - lo], out=now)
+            now *= own
+        else:
+            np.multiply(model.start[:, None], own, out=now)
+        if not t % SCALE_EVERY:
+            total = np.add.reduce(now, axis=0)
+            now /= total
+            own /= total
+            sums.append(total)
+    sums.append(alpha[:, lanes.last].sum(axis=0))
+    end, sums = 1.0 / sums[-1], np.concatenate(sums)
+    if not sums.min() >= LEAST_SUM:
+        return None
+    done = 0
+    for t in range(frames - 1, -1, -1):
+        lo, hi = off[t], off[t + 1]
+        if hi - lo > done:
+            beta[:, lo + done : hi] = end[done : hi - lo]
+        if t:
+            own, before = b[:, lo:hi], off[t - 1]
+            own *= beta[:, lo:hi]
+            np.matmul(trans, own, out=beta[:, before : before + hi - lo])
+        done = hi - lo
+    # frames that as many tracks reach as the frame before stand as far apart as their predecessors
+    pair, since, counts = np.zeros((k, k)), 1, lanes.counts
+    for t in [*(np.flatnonzero(counts[1:] != counts[:-1]) + 1).tolist(), frames]:
+        if t > since:
+            pair += alpha[:, off[since - 1] : off[t - 1]] @ b[:, off[since] : off[t]].T
+        if t < frames:
+            pair += alpha[:, off[t - 1] : off[t - 1] + int(counts[t])] @ b[:, off[t] : off[t + 1]].T
+        since = t + 1
+    return np.multiply(alpha, beta, out=alpha), trans * pair, float(np.log(sums).sum())
+
+
+def _lane_sums(model: HMM, x: np.ndarray, lanes: _Lanes, shared=None) -> np.ndarray:
+    """``_track_sums`` of tracks side by side in x (columns, rows). ``shared`` has what ``_shared`` gives."""
+    n, k, e = x.shape[1], model.states, model.emission
+    coefficients = shared and e.quadratic(shared[0], shared[1]) if hasattr(e, "quadratic") else None
+    parts = k if coefficients is None else len(coefficients)
+    if coefficients is not None:
+        products, columns = shared[2:]
+        every = np.zeros((parts, len(products)))
+        every[:, columns] = coefficients
+    else:
+        logs = e.log_prob(x.T).T
+    b, ll = _scratch("b", k, n), 0.0
+    each = _scratch("each", parts, n) if parts > k else b
+    for lo in range(0, n, STRIP):
+        strip = slice(lo, lo + STRIP)
+        lb = logs[:, strip] if coefficients is None else every @ products[:, strip]
+        top = lb.max(axis=0)
+        ll += float(top.sum())
+        np.exp(lb - top, out=each[:, strip])
+        if parts > k:
+            each[:, strip].reshape(k, parts // k, -1).sum(axis=1, out=b[:, strip])
+    found = _swept(model, b, lanes)
+    if found is None:
+        return _track_sums(model, x.T, lanes)
+    gamma, xi, more = found
+    first = gamma[:, : lanes.counts[0]].sum(axis=1)
+    if coefficients is None:
+        sums = e.sums(x.T, gamma.T)
+    else:
+        if parts > k:
+            for lo in range(0, n, STRIP):
+                strip = slice(lo, lo + STRIP)
+                own = each[:, strip].reshape(k, parts // k, -1)
+                total = own.sum(axis=1)
+                own *= np.divide(gamma[:, strip], total, out=np.zeros_like(total), where=total > 0)[:, None]
+                each[:, strip] = own.reshape(parts, -1)
+            gamma = each
+        sums = e.from_products((gamma @ products.T)[:, columns], shared[0])
+    out = np.concatenate([[ll + more], first, xi.ravel(), sums])
+    return out if np.isfinite(out).all() else _track_sums(model, x.T, lanes)
+
+
+def _block_sums(models, used, x: np.ndarray, lanes: _Lanes | None) -> list[np.ndarray]:
+    """``_track_sums`` for each model of a block of tracks; the products of its columns are computed once."""
+    d, shared = len(x), None
+    if lanes is not None and d <= SHARED_COLUMNS and any(hasattr(m.emission, "quadratic") for m in models):
+        shift = x.mean(axis=1)
+        products = _products_of(x - shift[:, None])
+        reach = np.maximum(products[1 : 1 + d].max(axis=1), -products[1 : 1 + d].min(axis=1))
+        shared = {tuple(at): (shift[at], reach[at], products, _pair_columns(at, d)) for at in used}
+    out = []
+    for model, at in zip(models, used):
+        own = x if at == list(range(d)) else x[at]
+        out.append(_track_sums(model, own.T, None) if lanes is None else _lane_sums(model, own, lanes, shared and shared[tuple(at)]))
+    return out
+
+
 def _lane_best(model: HMM, x: np.ndarray, lanes: _Lanes) -> np.ndarray:
     """States of one best path through every track; each step back follows the pointer of the state chosen after it."""
     lb = model.emission.log_prob(x).T
@@ -464,6 +664,19 @@ def packed(obs: DataFrame, cols: list[str], keys) -> DataFrame:
     return p.select(*keys, F.transform("_rows", lambda r: r["frame"]).alias("frames"), values.alias("x"))
 
 
+def blocks(whole: DataFrame, width: int, limit: int | None = None) -> DataFrame:
+    """Tracks of ``packed`` as blocks for ``_block_sums``: values (columns, rows) of tracks side by side, the longest first, and the tracks' lengths;
+    or of one track that runs alone."""
+    def lay(batches):
+        for batch in batches:
+            x, starts, lengths = _tracks(batch.column(0), width)
+            for part, lanes in _grouped(starts, lengths, limit):
+                for own, some in [(x[:, lanes.rows], lengths[part])] if lanes is not None else [(x[:, starts[i] : starts[i] + lengths[i]], lengths[[i]]) for i in part]:
+                    yield pa.record_batch({"x": pa.array([np.ascontiguousarray(own).tobytes()], pa.binary()), "lengths": pa.array([some.astype(np.int64).tobytes()], pa.binary()), "alone": pa.array([lanes is None])})
+
+    return whole.select("x").mapInArrow(lay, "x binary, lengths binary, alone boolean")
+
+
 def _products(obs: DataFrame, cols, model: HMM, keys, best: bool) -> DataFrame:
     def run(key, rows):
         rows = rows.sort_values("frame")
@@ -561,19 +774,22 @@ def _track_sums(model: HMM, x: np.ndarray, lanes: _Lanes | None) -> np.ndarray:
     return np.concatenate([[ll.sum()], gamma[:, : lanes.counts[0]].sum(axis=1), xi.ravel(), model.emission.sums(x, gamma.T)])
 
 
-def _expected(obs, whole, chunked: bool, cols, models, used, keys) -> list[np.ndarray]:
+def _expected(obs, laid, chunked: bool, cols, models, used, keys) -> list[np.ndarray]:
     """Sums of one expectation pass for each model; ``used`` has the numbers of its columns."""
-    def over_tracks(batches):
+    def over_blocks(batches):
         totals = [0.0] * len(models)
         for batch in batches:
-            x, starts, lengths = _tracks(batch.column(0), len(cols))
-            for own, lanes in _cut(x, starts, lengths):
-                for m, (model, at) in enumerate(zip(models, used)):
-                    totals[m] = totals[m] + _track_sums(model, own[at].T, lanes)
+            given = _columns(batch)
+            for i in range(batch.num_rows):
+                x = np.frombuffer(given["x"][i].as_buffer(), np.float64).reshape(len(cols), -1)
+                lengths = np.frombuffer(given["lengths"][i].as_buffer(), np.int64)
+                lanes = None if given["alone"][i].as_py() else _Lanes(np.cumsum(lengths) - lengths, lengths)
+                for m, s in enumerate(_block_sums(models, used, x, lanes)):
+                    totals[m] = totals[m] + s
         found = [m for m, t in enumerate(totals) if not np.isscalar(t)]
         yield pa.record_batch({"m": pa.array(found, pa.int32()), "s": pa.array([totals[m] for m in found], pa.list_(pa.float64()))})
 
-    parts = whole.select("x").mapInArrow(over_tracks, "m int, s array<double>")
+    parts = laid.mapInArrow(over_blocks, "m int, s array<double>")
     if chunked:
         many = obs.where("not _whole")
         for m, (model, at) in enumerate(zip(models, used)):
@@ -612,12 +828,14 @@ def fit_many(df: DataFrame, cols: list[str], jobs: list[tuple[list[str], HMM]],
     obs, chunked = chunk_rows(df, cols, keys, size)
     if chunked:
         obs = obs.persist()
-    whole = packed(obs, cols, keys).select("x").persist()
+    # as many numbers in a block for many states as for eight
+    limit = LANE_ROWS * 8 // max(8, *[m.emission.parts for _, m in jobs])
+    laid = blocks(packed(obs, cols, keys), len(cols), limit).persist()
     models, used = [m for _, m in jobs], [[cols.index(c) for c in own] for own, _ in jobs]
     traces: list[list[float]] = [[] for _ in jobs]
     live = list(range(len(jobs)))
     for r in range(rounds + 1):
-        sums = _expected(obs, whole, chunked, cols, [models[m] for m in live], [used[m] for m in live], keys)
+        sums = _expected(obs, laid, chunked, cols, [models[m] for m in live], [used[m] for m in live], keys)
         still = []
         for m, s in zip(live, sums):
             if not len(s):
@@ -633,7 +851,7 @@ def fit_many(df: DataFrame, cols: list[str], jobs: list[tuple[list[str], HMM]],
         live = still
         if not live:
             break
-    whole.unpersist()
+    laid.unpersist()
     obs.unpersist()
     for m, t in zip(models, traces):
         m.trace = t
