@@ -401,6 +401,54 @@ def test_common_kmeans_rounds_are_spark_fits(spark):
         assert {(r.a, r.b): r.cluster for r in models.label_clusters(df, ["a", "b"], got).collect()} == labels
 
 
+def test_first_centres_are_those_of_spark(spark):
+    """Common passes choose what Spark ML chooses from the same partitions, for several k and seeds, also with fewer different rows than centres."""
+    from pyspark.ml.clustering import KMeans
+
+    x = np.concatenate([RNG.normal(c, 0.8, (500, 3)) for c in ((0, 0, 1), (3, 0, 2), (0, 3, 0))])
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x] + [(None, 1.0, 2.0), (float("nan"), 1.0, 1.0)], "a double, b double, c double").repartition(5).persist()
+    few = spark.createDataFrame([(float(i % 2), 0.0, 1.0) for i in range(40)], "a double, b double, c double").persist()
+    jobs = [(2, 1), (3, 2), (5, 3), (5, -7)]
+    for data in (df, few):
+        v = models.vectors(data, ["a", "b", "c"]).persist()
+        got = models._first_centres(models._weighted(data, ["a", "b", "c"]).persist(), jobs)
+        for (k, seed), c in zip(jobs, got):
+            want = np.array(KMeans(k=k, seed=seed, featuresCol="features", maxIter=0).fit(v).clusterCenters())
+            assert c.shape == want.shape and np.allclose(c, want, atol=1e-9)
+    starts = models.gaussian_starts(df, [(["a", "b", "c"], 3), (["b"], 2), (["a", "b", "c"], 4)], seed=5)
+    for i, (cols, k) in enumerate([(["a", "b", "c"], 3), (["b"], 2), (["a", "b", "c"], 4)]):
+        want = KMeans(k=k, seed=5 + i, featuresCol="features").fit(models.vectors(df.select(*cols), cols)).clusterCenters()
+        assert np.allclose(starts[i].emission.means, want, atol=1e-6)
+
+
+@pytest.mark.parametrize("dims", [1, 3, 5])
+def test_cells_give_the_sums_of_rows(spark, monkeypatch, dims):
+    """Rounds that take cells as a whole equal rounds row by row: equal rows, rows as near to two centres, centres without rows, weights."""
+    monkeypatch.setattr(models, "CELL_BLOCK", 1000)
+    x = np.concatenate([RNG.normal(0, 1, (2500, dims)), np.round(RNG.normal(0, 2, (300, dims))), np.zeros((90, dims))])
+    w = RNG.integers(0, 4, len(x)).astype(float)
+    centres = [np.concatenate([RNG.normal(0, 1, (k, dims)), np.full((1, dims), 1.0), np.full((1, dims), -1.0), np.full((1, dims), 90.0)]) for k in (1, 4)]
+    for c in centres:
+        assert np.array_equal(np.sort(models._cells(x)), np.arange(len(x)))
+        d2 = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        near = d2.argmin(axis=1)
+        want = np.array([np.append(w[near == i].sum(), (x[near == i] * w[near == i, None]).sum(axis=0)) for i in range(len(c))])
+        df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, w)], ", ".join(f"c{i} double" for i in range(dims)) + ", w double").repartition(2)
+        cost, total = 0.0, 0.0
+        for r in models._celled(df).collect():
+            data, cells = np.frombuffer(r.x).reshape(dims + 1, -1, models.CELL_ROWS), np.frombuffer(r.cells).reshape(3 * dims + 2, -1)
+            part = models._block_round(c, data, cells)
+            cost, total = cost + part[0], total + part[1]
+        # ties may fall either way by rounding, which moves rows between centres and leaves the cost
+        assert np.isclose(cost, d2.min(axis=1) @ w)
+        assert np.isclose(total[:, 0].sum(), w.sum()) and np.allclose(total[:, 1:].sum(axis=0), x.T @ w)
+        if len(c) == 7:
+            plain = (np.sort(d2, axis=1)[:, 1] - d2.min(axis=1) > 1e-9).all()
+            assert not plain or np.allclose(total, want)
+        moved, costs = models._lloyd(df, [c], rounds=1)
+        assert np.isclose(costs[0], cost) and np.allclose(moved[0][-1], 90.0)
+
+
 def test_components_match_numpy(spark):
     x = RNG.normal(size=(200, 3)) @ np.array([[3, 1, 0], [0, 1, 0.5], [0, 0, 0.3]])
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
